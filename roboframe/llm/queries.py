@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import benchmark_decontamination as op4
 from .benchmark_decontamination import op4_benchmark_decontamination
 from .ngram_jaccard_join import op1_ngram_jaccard_join
+from .suffix_array_dedup import op9_suffix_array_dedup
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_benchmark_decontamination, op9_suffix_array_dedup)}
 ORACLE_SQL: dict[str, str] = {"op4_benchmark_decontamination": op4.ORACLE_SQL}
