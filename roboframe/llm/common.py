@@ -47,41 +47,46 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def runs_of(texts: list, chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Cut a batch of texts into runs [a, b) with about `chars` characters each (one text at least)."""
+    if len(texts):
+        sizes = np.array([len(x) if isinstance(x, str) else 0 for x in texts], dtype=np.int64)
+        group = (np.cumsum(sizes) - sizes) // chars
+        ends = np.cumsum(np.unique(group, return_counts=True)[1]).tolist()
+        yield from zip([0, *ends[:-1]], ends, strict=True)
+
+
 def slices(frame: pd.DataFrame, text: str = "text", chars: int = SLICE_CHARS) -> Iterator[pd.DataFrame]:
-    """Cut a batch into runs of rows with at most `chars` characters each (one row at least)."""
-    if not len(frame):
-        return
-    sizes = np.array([len(x) if isinstance(x, str) else 0 for x in frame[text]], dtype=np.int64)
-    group = (np.cumsum(sizes) - sizes) // chars
-    at = 0
-    for n in np.unique(group, return_counts=True)[1]:
-        yield frame.iloc[at : at + n]
-        at += n
-
-
-def bitmap_of(keys: DataFrame, column: str, log2_bits: int = 23) -> np.ndarray:
-    """Membership bitmap of a long column: 2**log2_bits bits, whatever the number of rows.
-
-    Spark sets the bits; the driver gets 2**log2_bits / 8 bytes at most (1 MB by default). A set bit may be a false
-    positive, a clear bit is proof of absence, so it may only be used to skip work that an exact step follows.
+    """The same for a batch of rows."""
+    for a, b in runs_of(frame[text].tolist(), chars):
+        yield frame.iloc[a:b]
+
+
+def bitmap(slots: DataFrame, log2_bits: int) -> np.ndarray:
+    """Bitmap of a long column `slot` in [0, 2**log2_bits), whatever the number of rows.
+
+    Spark sets the bits; the driver gets 2**log2_bits / 8 bytes at most. Where slots are hashes of keys a set bit may
+    be a false positive, but a clear bit is proof of absence: it may only be used to skip work that an exact step follows.
     """
-    slot = F.pmod(F.xxhash64(F.col(column)), F.lit(1 << log2_bits)) + 1  # the bitmap functions count from 1
+    slot = F.col("slot") + 1  # the bitmap functions count from 1
     rows = (
-        keys.select(slot.alias("slot"))
+        slots.select(slot.alias("slot"))
         .groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
         .collect()
     )
     out = np.zeros((1 << log2_bits) // 8, dtype=np.uint8)
-    for r in rows:  # bucket b holds positions (b - 1) * 32768 ...
-        at = (r["bucket"] - 1) * 4096
-        block = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)[: len(out) - at]
-        out[at : at + len(block)] = block
+    for r in rows:
+        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
     return out
 
 
-def in_bitmap(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    """slots: pmod(xxhash64(key), number of bits), computed by Spark."""
+def key_slot(column: str, log2_bits: int):
+    """Slot of a key of any kind."""
+    return F.pmod(F.xxhash64(F.col(column)), F.lit(1 << log2_bits))
+
+
+def test_bits(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
 

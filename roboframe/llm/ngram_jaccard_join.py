@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import LOWER, bitmap_of, in_bitmap, joined, mix, partitions, slices, table, words, written
+from .common import LOWER, bitmap, joined, key_slot, mix, partitions, slices, table, test_bits, words, written
 from .graph import components
 
 #: Bytes of words: all but blank and \t \n \v \f \r.
@@ -32,6 +32,13 @@ WORD = np.ones(256, dtype=bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
 #: Hash functions tried before empty parts are signed.
 LEVELS = 8
+#: Bits of a set's sketch: bit i is the parity of its number of elements with that hash. The bits in which two sketches
+#: differ are at most the elements in which the sets differ, so a pair that differs in too many bits is refuted.
+SKETCH_BITS = 1 << 11
+#: Counters of the frequency sketch that orders elements, whatever the number of rows.
+COUNTERS = 1 << 20
+#: log2 of the bits of the bitmap of documents that share a signature.
+NODE_BITS = 23
 #: Signatures that a task gathers before it hands them on.
 FLUSH = 1_500_000
 
@@ -160,8 +167,8 @@ def _sign(n_words: int, percent: int, buckets: int):
 
 
 def _collide(frame: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: kind 0 documents (a id, b size, n set hash), 1 pairs (a smallest of a group, b, n groups), and for
-    groups of three or more 2 memberships (a document, n group)."""
+    """One bucket: kind 0 documents (a id, b size, n set hash), 1 groups of two (a, b, n of them), and for larger
+    groups 2 memberships (a document, n group)."""
     out = []
     for x in frame.loc[frame["kind"] == 0, "x"]:
         ids, sizes, key = np.frombuffer(x, dtype="<i8").reshape(3, -1)
@@ -186,9 +193,8 @@ def _collide(frame: pd.DataFrame) -> pd.DataFrame:
         head = np.concatenate(([True], np.diff(sig) != 0))[: len(sig)]
         group = np.cumsum(head) - 1
         size = np.bincount(group, minlength=0)
-        least = doc[head]
-        tail = ~head
-        pairs, n = np.unique(np.stack([least[group[tail]], doc[tail]], axis=1), axis=0, return_counts=True)
+        two = size[group] == 2
+        pairs, n = np.unique(doc[two].reshape(-1, 2), axis=0, return_counts=True)
         if len(pairs):
             out.append(pd.DataFrame({"kind": 1, "a": pairs[:, 0], "b": pairs[:, 1], "n": n}))
         large = size[group] > 2 if len(group) else np.zeros(0, dtype=bool)
@@ -207,14 +213,18 @@ def _collide(frame: pd.DataFrame) -> pd.DataFrame:
 def _sets(bits: np.ndarray, n_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hit = batch[in_bitmap(bits, batch["slot"].to_numpy(np.int64))]
+            hit = batch[test_bits(bits, batch["slot"].to_numpy(np.int64))]
             for part in slices(hit):
                 x, sizes = shingle_sets(part["text"].tolist(), n_words)
                 ends = np.cumsum(sizes)
                 low = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                bit = np.repeat(np.arange(len(sizes)), sizes) * SKETCH_BITS + (x >> np.uint64(53)).astype(np.int64)
+                odd = np.bincount(bit, minlength=len(sizes) * SKETCH_BITS).astype(np.uint8).reshape(len(sizes), -1) & 1
                 yield pd.DataFrame(
                     {
                         "doc": part["doc_id"].to_numpy(np.int64),
+                        "size": sizes,
+                        "sketch": [r.tobytes() for r in np.packbits(odd, axis=1)],
                         "items": [low[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)],
                     }
                 )
@@ -250,22 +260,87 @@ def _compare(percent: int):
     return run
 
 
-def _prefixes(percent: int):
-    """Elements of a set, rarest first, as far as similar sets must share one of them."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        n = len(frame)
-        take = n - -(-percent * n // 100) + 1
-        return frame.sort_values(["df", "item"])[["doc", "item"]].head(take)
+def _refute(percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x, y = (np.frombuffer(b"".join(batch[c]), dtype=np.uint64).reshape(len(batch), -1) for c in ("x", "y"))
+                n, m = batch["n"].to_numpy(np.int64), batch["m"].to_numpy(np.int64)
+                differ = np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)
+                keep = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (
+                    differ * (100 + percent) <= (100 - percent) * (n + m)
+                )
+                yield batch.loc[keep, ["a", "b"]]
 
     return run
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets reach the threshold."""
+    """Those pairs (a, b) whose sets reach the threshold: refuted by the sketches first, then compared whole."""
+    left = sets.select(F.col("doc").alias("a"), F.col("size").alias("n"), F.col("sketch").alias("x"))
+    right = sets.select(F.col("doc").alias("b"), F.col("size").alias("m"), F.col("sketch").alias("y"))
+    near = pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(_refute(percent), "a long, b long")
+    near = written(near, "op1-near")
     left = sets.select(F.col("doc").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("doc").alias("b"), F.col("items").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(_compare(percent), "a long, b long")
+    return near.join(left, "a").join(right, "b").mapInPandas(_compare(percent), "a long, b long")
+
+
+def _slots(items: np.ndarray) -> np.ndarray:
+    return (items % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros(COUNTERS, dtype=np.int64)
+    for batch in batches:
+        for raw in batch["items"]:
+            np.add.at(total, _slots(_items(raw)), 1)
+    rows = total.reshape(-1, 4096)
+    yield pd.DataFrame({"block": np.arange(len(rows)), "counts": [r.astype("<i8").tobytes() for r in rows]})
+
+
+def _sum_counts(frame: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(x, dtype="<i8") for x in frame["counts"])
+    return pd.DataFrame({"block": frame["block"].iloc[:1], "counts": [total.tobytes()]})
+
+
+def _prefixes(counts: np.ndarray, percent: int):
+    """Elements of a set, rarest first, as far as similar sets must share one of them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            docs, items = [], []
+            for doc, raw in zip(batch["doc"], batch["items"], strict=True):
+                x = _items(raw)
+                order = np.lexsort((x, counts[_slots(x)]))
+                first = x[order[: len(x) - -(-percent * len(x) // 100) + 1]]
+                items.append(first.astype(np.int64))
+                docs.append(np.full(len(first), doc, dtype=np.int64))
+            if docs:
+                yield pd.DataFrame({"doc": np.concatenate(docs), "item": np.concatenate(items)})
+
+    return run
+
+
+def _cross_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """members(n group, a document, label component) -> pairs of one group, of different components, that share one of
+    their rarest elements. Any order of the elements is exact; frequencies only make the pairs few, so counters of a
+    fixed number do (a few MB for the driver at any size)."""
+    counts = sets.mapInPandas(_count, "block int, counts binary").groupBy("block")
+    counts = counts.applyInPandas(_sum_counts, "block int, counts binary").orderBy("block").collect()
+    counts = np.frombuffer(b"".join(bytes(r["counts"]) for r in counts), dtype="<i8")
+    rare = written(sets.select("doc", "items").mapInPandas(_prefixes(counts, percent), "doc long, item long"), "op1-rare")
+    nodes = members.select(F.col("a").alias("doc"), "label").distinct()
+    often = rare.groupBy("item").agg(F.count("*").alias("k")).where("k > 1").select("item")
+    keyed = rare.join(often, "item").join(nodes, "doc")
+    mixed = keyed.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    keyed = written(keyed.join(mixed.select("item"), "item"), "op1-keyed")
+    x, y = keyed.alias("x"), keyed.alias("y")
+    on = [F.col("x.item") == F.col("y.item"), F.col("x.doc") < F.col("y.doc"), F.col("x.label") != F.col("y.label")]
+    cross = written(x.join(y, on).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct(), "op1-cross")
+    left = members.select("a", "n")
+    right = members.select(F.col("a").alias("b"), F.col("n"))
+    return cross.join(left, "a").join(right, ["b", "n"]).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
@@ -292,46 +367,33 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 80) ->
         key = moved.select(F.col("doc_id").alias(column), F.col("rep").alias("_rep"))
         return df.join(key, column, "left").withColumn(column, F.coalesce("_rep", column)).drop("_rep")
 
-    pairs = to_rep(to_rep(found.where("kind = 1").select("a", "b", "n"), "a"), "b")
+    # the member in most groups is nearest to what a group has in common: it is compared with all others first
+    groups = written(to_rep(found.where("kind = 2").select("a", "n"), "a").distinct(), "op1-groups")
+    degree = groups.groupBy("a").agg(F.count("*").alias("degree"))
+    hub = groups.join(degree, "a").groupBy("n").agg(F.max_by("a", F.struct("degree", -F.col("a"))).alias("hub"))
+    spokes = groups.join(hub, "n").select(F.col("hub").alias("a"), F.col("a").alias("b"), F.lit(1).cast("long").alias("n"))
+    pairs = to_rep(to_rep(found.where("kind = 1").select("a", "b", "n"), "a"), "b").unionByName(spokes)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n").where("a < b")
     pairs = written(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")), "op1-pairs")
-    groups = to_rep(found.where("kind = 2").select("a", "n"), "a").distinct()
 
     ends = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    bits = bitmap_of(ends, "doc")
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(len(bits) * 8))
-    sets = source.withColumn("slot", slot).mapInPandas(_sets(bits, n_words), "doc long, items binary")
-    sets = written(sets.join(ends, "doc", "left_semi").dropDuplicates(["doc"]), "op1-sets")
-
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
-    links = written(similar_pairs(best, sets, percent), "op1-links")
+    bits = bitmap(ends.select(key_slot("doc", NODE_BITS).alias("slot")), NODE_BITS)
+    sets = source.withColumn("slot", key_slot("doc_id", NODE_BITS)).mapInPandas(
+        _sets(bits, n_words), "doc long, size long, sketch binary, items binary"
+    )
+    sets = written(sets.dropDuplicates(["doc"]), "op1-sets")
+    links = written(similar_pairs(pairs, sets, percent), "op1-links")
     root = components(links, "op1-components")
 
     def labelled(df: DataFrame, column: str, out: str) -> DataFrame:
         key = root.select(F.col("node").alias(column), F.col("root").alias("_root"))
         return df.join(key, column, "left").withColumn(out, F.coalesce("_root", column)).drop("_root")
 
-    rest = labelled(labelled(pairs.join(best, ["a", "b"], "left_anti"), "a", "la"), "b", "lb").where("la <> lb")
-    more = written(similar_pairs(rest, sets, percent), "op1-links")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        root = components(links, "op1-components")
-
     members = labelled(groups, "a", "label")
     open_ = members.groupBy("n").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     members = written(members.join(open_.select("n"), "n"), "op1-open")
     if not members.isEmpty():
-        items = sets.join(members.select(F.col("a").alias("doc")).distinct(), "doc", "left_semi")
-        items = items.mapInPandas(_explode, "doc long, item long")
-        weights = items.groupBy("item").agg(F.count("*").alias("df"))
-        rare = items.join(weights.where("df > 1"), "item", "left").fillna(1, "df")
-        rare = rare.groupBy("doc").applyInPandas(_prefixes(percent), "doc long, item long")
-        keyed = written(members.join(rare, members["a"] == rare["doc"]).select("n", "item", "a", "label"), "op1-keyed")
-        x, y = keyed.alias("x"), keyed.alias("y")
-        on = [F.col("x.n") == F.col("y.n"), F.col("x.item") == F.col("y.item")]
-        cross = x.join(y, [*on, F.col("x.a") < F.col("y.a"), F.col("x.label") != F.col("y.label")])
-        cross = cross.select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()
-        cross = cross.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        cross = _cross_pairs(members, sets, percent).join(pairs, ["a", "b"], "left_anti")
         more = written(similar_pairs(cross, sets, percent), "op1-links")
         if not more.isEmpty():
             root = components(links.unionByName(more), "op1-components")
@@ -342,12 +404,6 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 80) ->
     )
 
 
-def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for doc, raw in zip(batch["doc"], batch["items"], strict=True):
-            yield pd.DataFrame({"doc": doc, "item": _items(raw).astype(np.int64)})
-
-
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     return jaccard_components(table(spark, sf_dir, "documents"))

@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from . import benchmark_decontamination as op4
+from . import benchmark_decontamination, exact_topk
 from .benchmark_decontamination import op4_benchmark_decontamination
+from .bpe import op8_bpe_encoding
+from .exact_topk import op7_exact_topk
 from .ngram_jaccard_join import op1_ngram_jaccard_join
 from .suffix_array_dedup import op9_suffix_array_dedup
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_benchmark_decontamination, op9_suffix_array_dedup)}
-ORACLE_SQL: dict[str, str] = {"op4_benchmark_decontamination": op4.ORACLE_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op4_benchmark_decontamination,
+        op7_exact_topk,
+        op8_bpe_encoding,
+        op9_suffix_array_dedup,
+    )
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_benchmark_decontamination": benchmark_decontamination.ORACLE_SQL,
+    "op7_exact_topk": exact_topk.ORACLE_SQL,
+}

@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import bitmap_of, in_bitmap, joined, mix, partitions, prefix_hash, slices, span_hash, table, written
+from .common import bitmap, joined, key_slot, mix, partitions, prefix_hash, slices, span_hash, table, test_bits, written
 
 #: log2 of the bits of the bitmap of repeated cores.
 CORE_BITS = 24
+#: log2 of the bits of the bitmap of texts that lose bytes.
+KEY_BITS = 23
 NONE = np.zeros(0, dtype=np.int64)
 
 
@@ -152,12 +154,8 @@ def _suffixes(length: int, core: int, bits: np.ndarray):
     return run
 
 
-def _slot(token: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    return (mix(token, 61) % np.uint64(len(bits) * 8)).astype(np.int64)
-
-
 def _repeated(bits: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return in_bitmap(bits, _slot(token, bits))
+    return test_bits(bits, token.astype(np.int64) & (len(bits) * 8 - 1))
 
 
 RUNS = "core long, context long, first int, last int, token long, n long"
@@ -298,7 +296,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, core: int = 200, carry: t
 
     cores = long_.select("text").mapInPandas(_cores(length, core), "core long, n long")
     again = cores.groupBy("core").agg(F.sum("n").alias("n")).where("n > 1").select("core")
-    bits = _core_bitmap(again)
+    bits = bitmap(again.select(F.pmod("core", F.lit(1 << CORE_BITS)).alias("slot")), CORE_BITS)
     schema = f"kind int, {CLASSES}, key long, at long"
     found = written(long_.mapInPandas(_suffixes(length, core, bits), schema), "op9-suffixes")
 
@@ -314,9 +312,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, core: int = 200, carry: t
     cut = F.shiftleft(F.col("at") - F.col("last"), 32) + (F.col("at") - F.col("first") + length)
     cuts = written(places.groupBy("key").agg(F.collect_set(cut).alias("cuts")), "op9-cuts")
 
-    bits = bitmap_of(cuts, "key")
-    slot = F.pmod(F.xxhash64("key"), F.lit(len(bits) * 8))
-    touched = source.withColumn("hit", _in_bitmap_udf(bits)(slot))
+    bits = bitmap(cuts.select(key_slot("key", KEY_BITS).alias("slot")), KEY_BITS)
+    touched = source.withColumn("hit", _in_bitmap_udf(bits)(key_slot("key", KEY_BITS)))
     none = F.lit(None).cast("array<long>")
     whole = touched.where("not hit").select(*names, "text", none.alias("cuts"))
     part = touched.where("hit").join(cuts, "key", "left").select(*names, "text", "cuts")
@@ -326,33 +323,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, core: int = 200, carry: t
     return whole.mapInPandas(_cut(names), schema).unionByName(part.mapInPandas(_cut(names), schema))
 
 
-def _core_bitmap(cores: DataFrame) -> np.ndarray:
-    bits = CORE_BITS
-    slots = cores.mapInPandas(_to_slots(1 << bits), "slot long")
-    rows = (
-        slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-        .collect()
-    )
-    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
-    for r in rows:
-        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-    return out
-
-
-def _to_slots(size: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            token = batch["core"].to_numpy(np.int64).astype(np.uint64)
-            yield pd.DataFrame({"slot": (mix(token, 61) % np.uint64(size)).astype(np.int64) + 1})
-
-    return run
-
-
 def _in_bitmap_udf(bits: np.ndarray):
     @F.pandas_udf("boolean")
     def hit(slot: pd.Series) -> pd.Series:
-        return pd.Series(in_bitmap(bits, slot.to_numpy(np.int64)))
+        return pd.Series(test_bits(bits, slot.to_numpy(np.int64)))
 
     return hit
 
