@@ -6,13 +6,17 @@ from . import benchmark_decontamination, exact_topk
 from .benchmark_decontamination import op4_benchmark_decontamination
 from .bpe import op8_bpe_encoding
 from .exact_topk import op7_exact_topk
+from .language_id import op2_language_id
 from .ngram_jaccard_join import op1_ngram_jaccard_join
+from .quality_crf import op3_quality_crf
 from .suffix_array_dedup import op9_suffix_array_dedup
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join,
+        op2_language_id,
+        op3_quality_crf,
         op4_benchmark_decontamination,
         op7_exact_topk,
         op8_bpe_encoding,
