@@ -1,10 +1,81 @@
-"""Corpus pipeline: the stages in order, each on all that its predecessor kept."""
+"""Corpus pipeline: from raw documents to token ids, in five stages, each on all that its predecessor kept.
+
+Every stage takes (spark, docs, sf_dir) and returns the columns of `documents`; the last one returns the encoded
+documents. Between stages the rows are written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roboframe.llm import common
+from roboframe.llm.benchmark_decontamination import decontaminate
+from roboframe.llm.bpe import default_path, encode_documents
+from roboframe.llm.ngram_jaccard_join import jaccard_components
+from roboframe.llm.suffix_array_dedup import remove_repeats
+from roboframe.llm.toxicity_chain import fit, label_toxicity
+
+
+@F.pandas_udf("string")
+def valid_text(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain rejects go. Fitted on the labelled ones among docs."""
+    common.prepare(spark)
+    labels = common.table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = fit(docs, labels)
+    return label_toxicity(docs, model, tuple(docs.columns)).where("not is_toxic").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
+    common.prepare(spark)
+    groups = jaccard_components(docs)
+    return common.without(docs, groups.where("component_id <> doc_id"), "doc_id").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings of 400 or more that occur elsewhere are cut out; a document of which nothing is left goes. A
+    character that a cut splits goes with it."""
+    common.prepare(spark)
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    out = remove_repeats(docs, carry=(*rest, "n_chars"))
+    out = out.withColumn("text", F.when(F.col("n_removed") > 0, valid_text("kept")).otherwise(F.col("kept").cast("string")))
+    out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.where("n_removed = 0 OR length(text) > 0").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    common.prepare(spark)
+    found = decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
+    return common.without(docs, found.where("contaminated"), "doc_id").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, with their digests."""
+    common.prepare(spark)
+    return encode_documents(docs, default_path(), carry=("lang", "source"), with_ids=True)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("suffix_array_dedup", cut_repeats),
+    ("benchmark_decontamination", drop_contaminated),
+    ("bpe_encoding", encode),
+]
+
+#: SQL can't express the stages; tests hold each against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -58,6 +58,7 @@ class Codec:
         for t, i in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
             self.raw[i] = t
         self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        self.special = special
         self.quick = None
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         if all(vocab["".join(m)] == 256 + i for i, m in enumerate(pairs)) and spec["normalizer"] is None:
@@ -65,7 +66,6 @@ class Codec:
             from public_tokenizers import PATTERN
 
             self.quick = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-            self.special = set(special)
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
@@ -74,6 +74,9 @@ class Codec:
             return np.array(self.quick.encode(text, allowed_special="all"), dtype=self.kind)
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=self.kind)
 
+    def special_id(self, token: str) -> int:
+        return self.special[token]
+
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
 

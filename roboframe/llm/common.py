@@ -90,7 +90,26 @@ def test_bits(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
 
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+def bitmap_udf(bits: np.ndarray):
+    @F.pandas_udf("boolean")
+    def hit(slot: pd.Series) -> pd.Series:
+        return pd.Series(test_bits(bits, slot.to_numpy(np.int64)))
+
+    return hit
+
+
+#: log2 of the bits of the bitmaps of rows that a join has to see.
+KEY_BITS = 23
+
+
+def without(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of docs whose key is not in keys. A bitmap of fixed size lets most rows pass beside the anti-join."""
+    gone = written(keys.select(key).distinct(), "without")
+    bits = bitmap(gone.select(key_slot(key, KEY_BITS).alias("slot")), KEY_BITS)
+    hit = F.coalesce(bitmap_udf(bits)(key_slot(key, KEY_BITS)), F.lit(False))
+    marked = docs.select("*", hit.alias("_hit"))
+    rest = marked.where("_hit").drop("_hit").join(gone, key, "left_anti")
+    return marked.where("not _hit").drop("_hit").unionByName(rest)
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:

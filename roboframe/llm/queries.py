@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import benchmark_decontamination, exact_topk
+from . import benchmark_decontamination, chat_format, exact_topk
 from .benchmark_decontamination import op4_benchmark_decontamination
 from .bpe import op8_bpe_encoding
+from .chat_format import op10_chat_format
 from .exact_topk import op7_exact_topk
 from .language_id import op2_language_id
 from .ngram_jaccard_join import op1_ngram_jaccard_join
 from .quality_crf import op3_quality_crf
 from .suffix_array_dedup import op9_suffix_array_dedup
+from .token_counts import op5_token_counts
+from .toxicity_chain import op6_toxicity_chain
 
 QUERIES = {
     f.__name__: f
@@ -18,12 +21,16 @@ QUERIES = {
         op2_language_id,
         op3_quality_crf,
         op4_benchmark_decontamination,
+        op5_token_counts,
+        op6_toxicity_chain,
         op7_exact_topk,
         op8_bpe_encoding,
         op9_suffix_array_dedup,
+        op10_chat_format,
     )
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_benchmark_decontamination": benchmark_decontamination.ORACLE_SQL,
     "op7_exact_topk": exact_topk.ORACLE_SQL,
+    "op10_chat_format": chat_format.ORACLE_SQL,
 }
