@@ -20,12 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import bitmap, joined, key_slot, mix, partitions, prefix_hash, slices, span_hash, table, test_bits, written
+from .common import KEY_BITS, bitmap, bitmap_udf, joined, key_slot, mix, partitions, prefix_hash, slices, span_hash, table, test_bits, written
 
 #: log2 of the bits of the bitmap of repeated cores.
 CORE_BITS = 24
-#: log2 of the bits of the bitmap of texts that lose bytes.
-KEY_BITS = 23
 NONE = np.zeros(0, dtype=np.int64)
 
 
@@ -158,12 +156,13 @@ def _repeated(bits: np.ndarray, token: np.ndarray) -> np.ndarray:
     return test_bits(bits, token.astype(np.int64) & (len(bits) * 8 - 1))
 
 
-RUNS = "core long, context long, first int, last int, token long, n long"
+RUNS = "core long, context long, first int, last int, bucket int, entries binary"
+ENTRY = np.dtype([("token", "<u8"), ("core", "<i8"), ("context", "<i8"), ("offset", "<i4"), ("n", "<i4")])
 
 
-def _sort_bucket(length: int, core: int):
-    """A bucket of suffix classes -> runs of repeated windows (offsets first..last); for the groups at its two ends
-    every window with its fingerprint (token) instead."""
+def _sort_bucket(length: int, core: int, buckets: int):
+    """A bucket of suffix classes -> runs of repeated windows (offsets first..last). The groups at its two ends may go
+    on in the next buckets: their distinct windows are also handed on, packed by buckets of window fingerprints."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frames = [b for b in batches if len(b)]
@@ -183,19 +182,19 @@ def _sort_bucket(length: int, core: int):
         group = np.cumsum(np.concatenate(([True], np.diff(tokens) != 0))) - 1
         classes = np.bincount(group)[group]
         end = (group == 0) | (group == group[-1])
-        whole = ~end & (n > 1)
-        yield pd.DataFrame(
-            {"core": tokens[whole], "context": contexts[whole], "first": lo[whole], "last": hi[whole], "token": 0, "n": 0}
-        )
-        # windows of groups with several classes, and of the groups at the ends
+        whole = n > 1
+        yield _runs(tokens[whole], contexts[whole], lo[whole], hi[whole])
         for open_, at_end in (((classes > 1) & ~end, False), (end, True)):
-            pick = np.flatnonzero(open_)
-            for part in _portions(pick, group):
-                yield from _windows(part, tokens, contexts, lo, hi, n, group, body_of, length - core, at_end)
+            for part in _portions(np.flatnonzero(open_), group):
+                yield from _windows(part, tokens, contexts, lo, hi, n, body_of, length - core, at_end, buckets)
 
     return run
 
 
+def _runs(core, context, first, last, bucket=-1, entries=b"") -> pd.DataFrame:
+    return pd.DataFrame({"core": core, "context": context, "first": first, "last": last, "bucket": bucket, "entries": entries})
+
+
 def _portions(pick: np.ndarray, group: np.ndarray, size: int = 10_000) -> Iterator[np.ndarray]:
     """Cut into portions of about `size` classes that keep groups whole."""
     at = 0
@@ -207,7 +206,7 @@ def _portions(pick: np.ndarray, group: np.ndarray, size: int = 10_000) -> Iterat
         at = to
 
 
-def _windows(pick, tokens, contexts, lo, hi, n, group, body_of, width: int, at_end: bool) -> Iterator[pd.DataFrame]:
+def _windows(pick, tokens, contexts, lo, hi, n, body_of, width: int, at_end: bool, buckets: int) -> Iterator[pd.DataFrame]:
     data = np.frombuffer(b"".join(body_of[pick]), dtype=np.uint8)
     sizes = np.array([len(x) for x in body_of[pick]])
     base = np.cumsum(sizes) - sizes
@@ -220,28 +219,38 @@ def _windows(pick, tokens, contexts, lo, hi, n, group, body_of, width: int, at_e
     salt = mix(tokens[pick][owner].astype(np.uint64) + mix(offset.astype(np.uint64)), 9)
     one = mix(span_hash(prefix, start, start + half) + salt)
     two = mix(span_hash(prefix, start + half, start + width) + salt, 1)
-    if at_end:
-        yield pd.DataFrame(
-            {
-                "core": tokens[pick][owner], "context": contexts[pick][owner], "first": offset, "last": offset,
-                "token": (one ^ (two << np.uint64(1)) ^ (two >> np.uint64(63))).astype(np.int64), "n": n[pick][owner],
-            }
-        )
-        return
     order, number = multikey_sort([one, two])
     times = np.bincount(number, weights=n[pick][owner[order]])
     repeated = np.zeros(len(owner), dtype=bool)
     repeated[order] = times[number] > 1
-    repeated &= n[pick][owner] == 1  # classes that occur twice are told as a whole
-    rows = np.flatnonzero(repeated)
+    rows = np.flatnonzero(repeated & (n[pick][owner] == 1))  # classes that occur twice are told as a whole
     if len(rows):
         new = np.concatenate(([True], (np.diff(rows) != 1) | (np.diff(owner[rows]) != 0)))
         head = rows[np.flatnonzero(new)]
         tail = rows[np.concatenate((np.flatnonzero(new)[1:], [len(rows)])) - 1]
         who = pick[owner[head]]
-        yield pd.DataFrame(
-            {"core": tokens[who], "context": contexts[who], "first": offset[tail], "last": offset[head], "token": 0, "n": 0}
-        )
+        yield _runs(tokens[who], contexts[who], offset[tail], offset[head])
+    if at_end:
+        first = order[np.concatenate(([True], np.diff(number) != 0))]
+        entry = np.zeros(len(first), dtype=ENTRY)
+        entry["token"] = one[first] ^ (two[first] << np.uint64(1)) ^ (two[first] >> np.uint64(63))
+        who = pick[owner[first]]
+        entry["core"], entry["context"], entry["offset"] = tokens[who], contexts[who], offset[first]
+        entry["n"] = np.minimum(times, 2)
+        bucket = (entry["token"] % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], len(by)], strict=True):
+            yield _runs([0], [0], [0], [0], int(bucket[by[a]]), [entry[by[a:b]].tobytes()])
+
+
+def _across(frame: pd.DataFrame) -> pd.DataFrame:
+    """Windows of the ends of all buckets with one range of fingerprints: those that occur once in their own bucket
+    and again in another."""
+    entry = np.frombuffer(b"".join(frame["entries"]), dtype=ENTRY)
+    _, place = np.unique(entry["token"], return_inverse=True)
+    hit = entry[(np.bincount(place, weights=entry["n"])[place] > 1) & (entry["n"] == 1)]
+    return pd.DataFrame({"core": hit["core"], "context": hit["context"], "first": hit["offset"], "last": hit["offset"]})
 
 
 def _cut(names: list[str]):
@@ -301,19 +310,19 @@ def remove_repeats(docs: DataFrame, length: int = 400, core: int = 200, carry: t
     found = written(long_.mapInPandas(_suffixes(length, core, bits), schema), "op9-suffixes")
 
     classes = found.where("kind = 0").select("core", "context", "lo", "hi", "n", "body")
-    buckets = classes.repartitionByRange(2 * partitions(spark), "core", "context")
-    runs = written(buckets.mapInPandas(_sort_bucket(length, core), RUNS), "op9-runs")
-    ends = runs.where("n > 0")
-    many = ends.groupBy("token").agg(F.sum("n").alias("times")).where("times > 1").select("token")
-    across = ends.join(many, "token").select("core", "context", "first", "last")
-    runs = runs.where("n = 0").select("core", "context", "first", "last").unionByName(across)
+    buckets = classes.repartitionByRange(partitions(spark), "core", "context")
+    ends = partitions(spark)
+    runs = written(buckets.mapInPandas(_sort_bucket(length, core, ends), RUNS), "op9-runs")
+    across = runs.where("bucket >= 0").select("bucket", "entries").groupBy("bucket")
+    across = across.applyInPandas(_across, "core long, context long, first int, last int")
+    runs = runs.where("bucket < 0").select("core", "context", "first", "last").unionByName(across)
 
     places = found.where("kind = 1").select("core", "context", "key", "at").join(runs, ["core", "context"])
     cut = F.shiftleft(F.col("at") - F.col("last"), 32) + (F.col("at") - F.col("first") + length)
     cuts = written(places.groupBy("key").agg(F.collect_set(cut).alias("cuts")), "op9-cuts")
 
     bits = bitmap(cuts.select(key_slot("key", KEY_BITS).alias("slot")), KEY_BITS)
-    touched = source.withColumn("hit", _in_bitmap_udf(bits)(key_slot("key", KEY_BITS)))
+    touched = source.withColumn("hit", bitmap_udf(bits)(key_slot("key", KEY_BITS)))
     none = F.lit(None).cast("array<long>")
     whole = touched.where("not hit").select(*names, "text", none.alias("cuts"))
     part = touched.where("hit").join(cuts, "key", "left").select(*names, "text", "cuts")
@@ -323,14 +332,6 @@ def remove_repeats(docs: DataFrame, length: int = 400, core: int = 200, carry: t
     return whole.mapInPandas(_cut(names), schema).unionByName(part.mapInPandas(_cut(names), schema))
 
 
-def _in_bitmap_udf(bits: np.ndarray):
-    @F.pandas_udf("boolean")
-    def hit(slot: pd.Series) -> pd.Series:
-        return pd.Series(test_bits(bits, slot.to_numpy(np.int64)))
-
-    return hit
-
-
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
