@@ -30,6 +30,9 @@ from .graph import components
 #: Bytes of words: all but blank and \t \n \v \f \r.
 WORD = np.ones(256, dtype=bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
+#: Bytes that a signature, and an element whose sharing is counted, keep beside their bucket. A chance agreement of two
+#: only adds a candidate, or loosens a bound.
+SIGNATURE, SHARED = 5, 4
 #: Hash functions tried before empty parts are signed.
 LEVELS = 8
 #: Bits of a set's sketch: bit i is the parity of its number of elements with that hash. The bits in which two sketches
@@ -112,24 +115,34 @@ def shingle_sets(texts: list, n_words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 OUT = "kind int, a long, b long, n long"
+PACKED = "bucket int, kind int, x binary, y binary"
+
+
+def pack(value: np.ndarray, doc: np.ndarray, buckets: int, width: int) -> pd.DataFrame:
+    """Values with their documents (in runs) as a row for each bucket of values: the low `width` bytes of each value (the
+    bucket comes from the high ones), small steps of ids."""
+    zip_ = zstandard.ZstdCompressor(level=1)
+    bucket = ((value >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    order = np.argsort(bucket.astype(np.uint32), kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(buckets)))
+    low = value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    rows = []
+    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        at = order[a:b]
+        ids = np.diff(doc[at], prepend=0).astype("<i8").tobytes()
+        rows.append((int(bucket[at[0]]), 1, low[at].tobytes(), zip_.compress(ids)))
+    return pd.DataFrame(rows, columns=["bucket", "kind", "x", "y"])
+
+
+def unpack(part: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    unzip = zstandard.ZstdDecompressor()
+    doc = [np.cumsum(np.frombuffer(unzip.decompress(y), dtype="<i8")) for y in part["y"]]
+    return _wide(b"".join(part["x"]), width), np.concatenate(doc)
 
 
 def _sign(n_words: int, percent: int, buckets: int):
     """(doc_id, text) -> rows (bucket, kind, x, y): packed signatures with their documents, and packed documents."""
 
-    def pack(sig: np.ndarray, doc: np.ndarray) -> pd.DataFrame:
-        zip_ = zstandard.ZstdCompressor(level=1)
-        bucket = ((sig >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        order = np.argsort(bucket.astype(np.uint32), kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(buckets)))
-        low = sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        rows = []
-        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-            at = order[a:b]
-            ids = np.diff(doc[at], prepend=0).astype("<i8").tobytes()
-            rows.append((int(bucket[at[0]]), 1, low[at].tobytes(), zip_.compress(ids)))
-        return pd.DataFrame(rows, columns=["bucket", "kind", "x", "y"])
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sigs, docs, held, seen, turn = [], [], 0, set(), 0
         for batch in batches:
@@ -158,10 +171,10 @@ def _sign(n_words: int, percent: int, buckets: int):
                 docs.append(ids[fresh][whose])
                 held += len(sig)
                 if held > FLUSH:
-                    yield pack(np.concatenate(sigs), np.concatenate(docs))
+                    yield pack(np.concatenate(sigs), np.concatenate(docs), buckets, SIGNATURE)
                     sigs, docs, held = [], [], 0
         if held:
-            yield pack(np.concatenate(sigs), np.concatenate(docs))
+            yield pack(np.concatenate(sigs), np.concatenate(docs), buckets, SIGNATURE)
 
     return run
 
@@ -175,12 +188,7 @@ def _collide(frame: pd.DataFrame) -> pd.DataFrame:
         out.append(pd.DataFrame({"kind": 0, "a": ids, "b": sizes, "n": key}))
     part = frame[frame["kind"] == 1]
     if len(part):
-        raw = np.frombuffer(b"".join(part["x"]), dtype=np.uint8).reshape(-1, 6)
-        wide = np.zeros((len(raw), 8), dtype=np.uint8)
-        wide[:, :6] = raw
-        sig = wide.view("<u8").ravel()
-        unzip = zstandard.ZstdDecompressor()
-        doc = np.concatenate([np.cumsum(np.frombuffer(unzip.decompress(y), dtype="<i8")) for y in part["y"]])
+        sig, doc = unpack(part, SIGNATURE)
         order = np.argsort(sig)
         same = np.concatenate(([False], np.diff(sig[order]) == 0))
         shared = same | np.concatenate((same[1:], [False]))
@@ -212,8 +220,10 @@ def _collide(frame: pd.DataFrame) -> pd.DataFrame:
 
 def _sets(bits: np.ndarray, n_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = set()
         for batch in batches:
             hit = batch[test_bits(bits, batch["slot"].to_numpy(np.int64))]
+            hit = hit[[not (i in seen or seen.add(i)) for i in hit["doc_id"]]]
             for part in slices(hit):
                 x, sizes = shingle_sets(part["text"].tolist(), n_words)
                 ends = np.cumsum(sizes)
@@ -232,11 +242,15 @@ def _sets(bits: np.ndarray, n_words: int):
     return run
 
 
+def _wide(raw: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(raw) // width, 8), dtype=np.uint8)
+    wide[:, :width] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, width)
+    return wide.view("<u8").ravel()
+
+
 def _items(raw: bytes) -> np.ndarray:
     """Shingles as their low 48 bits: two sets of 20,000 shingles differ in a chance agreement once in 10**6 pairs."""
-    wide = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
-    wide[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
+    return _wide(raw, 6)
 
 
 def _compare(percent: int):
@@ -286,6 +300,52 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.join(left, "a").join(right, "b").mapInPandas(_compare(percent), "a long, b long")
 
 
+def _deal(buckets: int):
+    """Sets -> their elements by buckets of elements."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        items, docs, held = [], [], 0
+        for batch in batches:
+            for doc, raw in zip(batch["doc"], batch["items"], strict=True):
+                x = _items(raw)
+                items.append(x << np.uint64(16) | x >> np.uint64(32))  # high bits for the bucket, low ones to tell apart
+                docs.append(np.full(len(x), doc, dtype=np.int64))
+                held += len(x)
+                if held > FLUSH:
+                    yield pack(np.concatenate(items), np.concatenate(docs), buckets, SHARED)
+                    items, docs, held = [], [], 0
+        if held:
+            yield pack(np.concatenate(items), np.concatenate(docs), buckets, SHARED)
+
+    return run
+
+
+def _shared(buckets: int):
+    """A bucket of elements -> for each document how many of them another document has too, by buckets of documents."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        item, doc = unpack(frame, SHARED)
+        order = np.argsort(item)
+        same = np.concatenate(([False], np.diff(item[order]) == 0))
+        two = same | np.concatenate((same[1:], [False]))
+        doc, n = np.unique(doc[order][two], return_counts=True)
+        number = (mix(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        rows = []
+        for k in np.unique(number):
+            at = number == k
+            rows.append((int(k), doc[at].astype("<i8").tobytes(), n[at].astype("<u4").tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "x", "y"])
+
+    return run
+
+
+def _add_shared(frame: pd.DataFrame) -> pd.DataFrame:
+    doc = np.frombuffer(b"".join(frame["x"]), dtype="<i8")
+    n = np.frombuffer(b"".join(frame["y"]), dtype="<u4")
+    doc, place = np.unique(doc, return_inverse=True)
+    return pd.DataFrame({"doc": doc, "common": np.bincount(place, weights=n).astype(np.int64)})
+
+
 def _slots(items: np.ndarray) -> np.ndarray:
     return (items % np.uint64(COUNTERS)).astype(np.int64)
 
@@ -309,35 +369,65 @@ def _prefixes(counts: np.ndarray, percent: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            docs, items = [], []
+            docs, items, places = [], [], []
             for doc, raw in zip(batch["doc"], batch["items"], strict=True):
                 x = _items(raw)
                 order = np.lexsort((x, counts[_slots(x)]))
                 first = x[order[: len(x) - -(-percent * len(x) // 100) + 1]]
                 items.append(first.astype(np.int64))
                 docs.append(np.full(len(first), doc, dtype=np.int64))
+                places.append(np.arange(len(first)))
             if docs:
-                yield pd.DataFrame({"doc": np.concatenate(docs), "item": np.concatenate(items)})
+                yield pd.DataFrame(
+                    {"doc": np.concatenate(docs), "item": np.concatenate(items), "place": np.concatenate(places)}
+                )
 
     return run
 
 
 def _cross_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """members(n group, a document, label component) -> pairs of one group, of different components, that share one of
-    their rarest elements. Any order of the elements is exact; frequencies only make the pairs few, so counters of a
-    fixed number do (a few MB for the driver at any size)."""
+    """members(n group, a document, label component) -> pairs of one group, of different components, that can be similar.
+
+    The intersection is at most the number of elements that a document shares with anybody (`common`), so a partner's
+    size is at most `reach` = common * (100 + percent) / percent - size; of two similar documents at least one has a
+    reach of its own size or more (else each would be smaller than the other). Similar sets also share an element that
+    is so early in both orders, rarest first, that enough elements follow it. Any order of the elements is exact; frequencies only make the pairs few, so counters of a fixed
+    number do (a few MB for the driver at any size)."""
+    buckets = partitions(members.sparkSession)
+    dealt = sets.select("doc", "items").mapInPandas(_deal(buckets), PACKED).groupBy("bucket")
+    common_ = dealt.applyInPandas(_shared(buckets), "bucket int, x binary, y binary").groupBy("bucket")
+    common_ = common_.applyInPandas(_add_shared, "doc long, common long")
+    labels = members.select(F.col("a").alias("doc"), "label").distinct()
+    nodes = sets.select("doc", "size").distinct().join(common_, "doc").join(labels, "doc")
+    reach = F.floor(F.col("common") * (100 + percent) / percent).cast("long") - F.col("size")
+    nodes = nodes.withColumn("reach", reach).where(100 * F.col("reach") >= percent * F.col("size"))
+    nodes = written(nodes, "op1-nodes")
+
     counts = sets.mapInPandas(_count, "block int, counts binary").groupBy("block")
     counts = counts.applyInPandas(_sum_counts, "block int, counts binary").orderBy("block").collect()
     counts = np.frombuffer(b"".join(bytes(r["counts"]) for r in counts), dtype="<i8")
-    rare = written(sets.select("doc", "items").mapInPandas(_prefixes(counts, percent), "doc long, item long"), "op1-rare")
-    nodes = members.select(F.col("a").alias("doc"), "label").distinct()
-    often = rare.groupBy("item").agg(F.count("*").alias("k")).where("k > 1").select("item")
-    keyed = rare.join(often, "item").join(nodes, "doc")
-    mixed = keyed.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    keyed = written(keyed.join(mixed.select("item"), "item"), "op1-keyed")
-    x, y = keyed.alias("x"), keyed.alias("y")
-    on = [F.col("x.item") == F.col("y.item"), F.col("x.doc") < F.col("y.doc"), F.col("x.label") != F.col("y.label")]
-    cross = written(x.join(y, on).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct(), "op1-cross")
+    live = sets.select("doc", "items").join(nodes.select("doc"), "doc", "left_semi")
+    rare = live.mapInPandas(_prefixes(counts, percent), "doc long, item long, place long")
+    keyed = written(rare.distinct().join(nodes, "doc"), "op1-keyed")
+    strong = F.col("reach") >= F.col("size")
+    use = keyed.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(strong).alias("any"))
+    use = use.where("low <> high and any").select("item")
+    keyed = written(keyed.join(use, "item"), "op1-keyed")
+    # y is the smaller set of a pair: it has to have the element in the part that sets of its own size look at
+    short = (100 + percent) * (F.col("size") - F.col("place")) >= 2 * percent * F.col("size")
+    x, y = keyed.alias("x"), keyed.where(short).alias("y")
+    need = F.expr(f"{percent} * (x.size + y.size)")
+    on = [
+        F.col("x.item") == F.col("y.item"),
+        F.col("x.label") != F.col("y.label"),
+        F.col("y.size") <= F.col("x.size"),
+        F.col("x.size") <= F.col("y.reach"),
+        F.col("y.size") <= F.col("x.reach"),
+        (100 + percent) * (F.col("x.size") - F.col("x.place")) >= need,
+        (100 + percent) * (F.col("y.size") - F.col("y.place")) >= need,
+    ]
+    ends = [F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")]
+    cross = written(x.join(y, on).select(*ends).distinct(), "op1-cross")
     left = members.select("a", "n")
     right = members.select(F.col("a").alias("b"), F.col("n"))
     return cross.join(left, "a").join(right, ["b", "n"]).select("a", "b").distinct()
@@ -355,7 +445,7 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 80) ->
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     source = source.where("doc_id IS NOT NULL")
     buckets = 4 * partitions(spark)
-    packed = source.mapInPandas(_sign(n_words, percent, buckets), "bucket int, kind int, x binary, y binary")
+    packed = source.mapInPandas(_sign(n_words, percent, buckets), PACKED)
     found = written(packed.groupBy("bucket").applyInPandas(_collide, OUT), "op1-found")
 
     info = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("size"), F.col("n").alias("key"))
@@ -381,7 +471,7 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 80) ->
     sets = source.withColumn("slot", key_slot("doc_id", NODE_BITS)).mapInPandas(
         _sets(bits, n_words), "doc long, size long, sketch binary, items binary"
     )
-    sets = written(sets.dropDuplicates(["doc"]), "op1-sets")
+    sets = written(sets, "op1-sets")
     links = written(similar_pairs(pairs, sets, percent), "op1-links")
     root = components(links, "op1-components")
 
