@@ -1 +1,83 @@
-"""Queries."""
+"""Queries over text samples."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import text as T
+from ..registry import query
+from ..sources.views import read
+
+L = 16
+#: words of a text and their lengths as stand-in ids, the same in both engines
+TOK = r"tok AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> ''), lambda x: CAST(length(x) % 50 + 1 AS INTEGER)) AS ids FROM documents)"
+
+
+def docs(spark, sf):
+    return read(spark, sf, "documents")
+
+
+def tokens(spark, sf):
+    ids = F.transform(T.whitespace_tokens(F.col("text")), lambda t: F.length(t) % 50 + 1)
+    return docs(spark, sf).select("doc_id", ids.alias("ids"))
+
+
+@query("A06_read_parquet_text", "SELECT text FROM documents")
+def _(spark, sf):
+    return docs(spark, sf).select("text")
+
+
+@query("A07_parquet_row_counts", "SELECT count(*) AS n FROM documents")
+def _(spark, sf):
+    return docs(spark, sf).groupBy("_metadata.file_path").count().agg(F.sum("count").alias("n"))
+
+
+@query("B14_filter_blank_text", "SELECT doc_id FROM documents WHERE regexp_matches(text, '\\S')")
+def _(spark, sf):
+    return T.filter_blank_text(docs(spark, sf)).select("doc_id")
+
+
+@query("B12_filter_min_length", f"WITH {TOK} SELECT doc_id, len(ids) AS n FROM tok WHERE len(ids) > 200")
+def _(spark, sf):
+    return T.filter_min_length(tokens(spark, sf), "ids", 200).select("doc_id", F.size("ids").alias("n"))
+
+
+@query("H19_select_instruction", """SELECT doc_id, (['find ' || lang, 'go to ' || source, 'stop'])[CAST('0x' || substr(md5('5|' || doc_id), 1, 7) AS INTEGER) % 3 + 1] AS instruction, '' AS none FROM documents""")
+def _(spark, sf):
+    d = docs(spark, sf)
+    m = F.map_from_arrays(
+        F.array(F.lit("original"), F.lit("other"), F.lit("verbose")),
+        F.array(F.array(F.concat(F.lit("find "), "lang"), F.concat(F.lit("go to "), "source")), F.array(F.lit("x")), F.array(F.lit("stop"))),
+    )
+    return d.select("doc_id", T.select_instruction(m, ["original", "verbose"], F.col("doc_id"), 5).alias("instruction"), T.select_instruction(m, ["absent"], F.col("doc_id"), 5).alias("none"))
+
+
+@query("H22_chat_template", "SELECT conv_id, string_agg(repeat('<image> ', CAST(turn % 3 AS INTEGER)) || text, chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
+def _(spark, sf):
+    line = T.chat_prompt(F.col("text"), (F.col("turn") % 3).cast("int"))
+    one = F.array_sort(F.collect_list(F.struct("turn", line.alias("l"))))
+    return read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(one, lambda x: x["l"]), "\n").alias("prompt"))
+
+
+@query("H23_tokenize_pad_truncate", f"WITH {TOK} SELECT doc_id, list_concat(ids[1:{L + 1}], list_transform(range(0, greatest({L + 1} - len(ids), 0)), lambda x: 0)) AS ids FROM tok")
+def _(spark, sf):
+    return tokens(spark, sf).select("doc_id", T.pad_truncate(F.col("ids"), L + 1).alias("ids"))
+
+
+CH = f"ch AS (SELECT doc_id, ids[1:least({L}, greatest(len(ids) - 1, 0))] AS inputs, ids[2:1 + least({L}, greatest(len(ids) - 1, 0))] AS targets FROM tok)"
+
+
+@query("H24_next_token_chunk", f"WITH {TOK}, {CH} SELECT doc_id, inputs, targets FROM ch")
+def _(spark, sf):
+    return tokens(spark, sf).select("doc_id", T.next_token_chunk(F.col("ids"), L).alias("c")).select("doc_id", "c.*")
+
+
+@query("H25_loss_mask", f"WITH {TOK}, {CH} SELECT doc_id, list_transform(targets, lambda x: x IN (1, 3)) AS mask FROM ch")
+def _(spark, sf):
+    c = tokens(spark, sf).select("doc_id", T.next_token_chunk(F.col("ids"), L).alias("c"))
+    return c.select("doc_id", T.loss_mask(F.col("c.targets"), [1, 3]).alias("mask"))
+
+
+@query("H26_text_to_seed", "SELECT doc_id, CAST((" + " + ".join(f"CAST('0x' || substr(sha256(text), {8 * i + 1}, 8) AS HUGEINT)" for i in range(8)) + ") % 4294967295 AS BIGINT) AS seed FROM documents")
+def _(spark, sf):
+    return docs(spark, sf).select("doc_id", T.text_to_seed(F.col("text")).alias("seed"))
