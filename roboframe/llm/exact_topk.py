@@ -92,8 +92,9 @@ def _best(k: int):
                     ids = q_ids[a : a + 64]
                     out += _select(ids, accumulate(q[a : a + 64], columns, len(c_ids)), c_ids, k)
                 if out:
+                    q_row = np.repeat(np.arange(len(out)), [len(x[0]) for x in out])
                     i, s, v = (np.concatenate(x) for x in zip(*out, strict=True))
-                    yield pd.DataFrame({"query_id": i, "score": s, "vec_id": v})
+                    yield pd.DataFrame({"query_id": i, "q_block": r.q_block, "q_row": q_row, "score": s, "vec_id": v})
 
     return run
 
@@ -128,7 +129,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     Components become floor(64 * x); the score is the integer inner product; each query gets its k highest scores
     among all rows with another vec_id, ties to the smaller vec_id. Rows take no part if vec_id or the vector is null,
     or a component is null, NaN or infinite; vectors of different lengths are not compared; empty vectors score 0.
-    Rows that repeat a vec_id are candidates each, and as queries give their rows once each. Other columns are ignored.
+    Rows that repeat a vec_id are candidates each, and as queries give their own rows each. Other columns are ignored.
     """
     good = vectors.select(
         F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("q")
@@ -144,8 +145,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     numbers = asked.groupBy("dims").agg(F.collect_list("q_block").alias("q_blocks"))
     meet = blocks.join(numbers, "dims").withColumn("q_block", F.explode("q_blocks")).drop("q_blocks", "block")
     met = meet.repartition("q_block", "ids").join(asked, ["q_block", "dims"])
-    found = met.select("q_ids", "q_m", "ids", "m").mapInPandas(_best(k), "query_id long, score long, vec_id long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = met.select("q_block", "q_ids", "q_m", "ids", "m")
+    found = found.mapInPandas(_best(k), "query_id long, q_block long, q_row int, score long, vec_id long")
+    order = Window.partitionBy("query_id", "q_block", "q_row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

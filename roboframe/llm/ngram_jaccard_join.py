@@ -98,7 +98,7 @@ def shingle_sets(texts: list, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     first = np.cumsum(count) - count
     with np.errstate(over="ignore"):
         total = np.zeros(len(h), dtype=np.uint64)
-        for j in range(n_words):
+        for j in range(min(n_words, len(h))):
             c = np.uint64((0xD1342543DE82EF95 * (2 * j + 3)) & 0xFFFFFFFFFFFFFFFF | 1)
             total[: len(h) - j] += h[j:] * c
         out, sizes = [], np.zeros(len(texts), dtype=np.int64)
@@ -223,7 +223,7 @@ def _sets(bits: np.ndarray, n_words: int):
         seen = set()
         for batch in batches:
             hit = batch[test_bits(bits, batch["slot"].to_numpy(np.int64))]
-            hit = hit[[not (i in seen or seen.add(i)) for i in hit["doc_id"]]]
+            hit = hit[np.array([not (i in seen or seen.add(i)) for i in hit["doc_id"]], dtype=bool)]
             for part in slices(hit):
                 x, sizes = shingle_sets(part["text"].tolist(), n_words)
                 ends = np.cumsum(sizes)
