@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("episodes", "statistics", "poses", "messages", "shards", "rollouts", "datasets", "texts")
+MODULES = ("episodes", "statistics", "poses", "messages", "shards", "rollouts", "datasets", "texts", "files")
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
 
