@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def success_summary(rollouts: DataFrame, keys: tuple[str, ...] = ("task", "model")) -> DataFrame:
@@ -59,7 +60,7 @@ def binomial_ci(confidence: float = 0.90, side: str = "two-sided"):
     """Clopper-Pearson interval of (successes, total) as an array of two; total 0 gives (0, 1)."""
     tail = (1 - confidence) / (2 if side == "two-sided" else 1)
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(ArrayType(DoubleType()))
     def ci(k: pd.Series, n: pd.Series) -> pd.Series:
         k, n = k.to_numpy(float), n.to_numpy(float)
         lo, hi = np.zeros(len(k)), np.ones(len(k))
@@ -74,7 +75,7 @@ def binomial_ci(confidence: float = 0.90, side: str = "two-sided"):
     return ci
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def beta_quantiles(a: pd.Series, b: pd.Series) -> pd.Series:
     """2.5, 25, 50, 75 and 97.5 % points of Beta(a, b)."""
     q = np.stack([beta_quantile(p, a.to_numpy(float), b.to_numpy(float)) for p in (0.025, 0.25, 0.5, 0.75, 0.975)], axis=1)
