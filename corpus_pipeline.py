@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from roboframe.llm import common
 from roboframe.llm.benchmark_decontamination import decontaminate
@@ -18,7 +19,7 @@ from roboframe.llm.suffix_array_dedup import remove_repeats
 from roboframe.llm.toxicity_chain import fit, label_toxicity
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def valid_text(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
 
