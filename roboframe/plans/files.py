@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import windows as W
@@ -98,3 +102,69 @@ def _(spark, sf):
     both = first.unionByName(r.withColumn("stamp", F.lit(1)))
     out = streamed(spark, both, F.col("stamp") * 2 + F.col("demo_id") % 2, J.stream_results, "complete")
     return out.groupBy("task", "model").agg(F.count_if(F.col("success").isNotNull()).alias("total"), F.count_if("success").alias("successes"))
+
+
+def npz(**arrays) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
+
+
+@query("A10_scan_frame_files", f"WITH {EP} SELECT 'ep' || episode AS episode, t, 'x' AS field, round(x, 4) AS x FROM ep")
+def _(spark, sf):
+    def pack(batches):
+        for b in batches:
+            paths = [f"root/ep{e}_t{t:04d}.npz" for e, t in zip(b["episode"], b["t"], strict=True)]
+            yield pd.DataFrame({"path": paths, "content": [npz(x=np.array([v]), name=np.array("n")) for v in b["x"]]})
+
+    s = W.episode_timesteps(frames(spark, sf)).select("episode", "t", "x")
+    f = S.frame_files(s.mapInPandas(pack, "path string, content binary"))
+    return f.select("episode", "t", "field", F.round(F.get("value", F.lit(0)), 4).alias("x"))
+
+
+@query("A11_scan_processed_episodes", f"WITH {EP} SELECT 'ep' || episode AS episode, t, 'obs/x' AS field, round(x, 4) AS x FROM ep")
+def _(spark, sf):
+    def pack(frame):
+        x = frame.sort_values("t")["x"].to_numpy()
+        return pd.DataFrame({"path": [f"root/ep{frame['episode'].iloc[0]}/obs.npz"], "content": [npz(x=x, depth=x)]})
+
+    s = W.episode_timesteps(frames(spark, sf)).select("episode", "t", "x")
+    f = S.processed_episodes(s.groupBy("episode").applyInPandas(pack, "path string, content binary"), ("depth",))
+    return f.select("episode", "t", "field", F.round(F.get("value", F.lit(0)), 4).alias("x"))
+
+
+def keyed(spark, sf, processor):
+    """Run a stateful processor over the episodes' steps, 25 steps of each a batch."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    s = W.episode_timesteps(frames(spark, sf)).select(F.col("episode").cast("string").alias("key"), F.col("t").cast("long").alias("t"), "x")
+    return streamed(spark, s, F.floor(F.col("t") / 25), lambda r: J.stateful(r, "key", processor))
+
+
+@query("K02_stream_history_window", f"""WITH {EP}, s AS (SELECT e.episode, e.t, j, greatest(e.t - 3 + j, 0) AS i FROM ep e, (SELECT unnest(range(0, 4)) AS j) WHERE e.t < 100)
+SELECT CAST(s.episode AS VARCHAR) AS key, CAST(s.t AS BIGINT) AS t, list(e.x ORDER BY j) AS h, CAST(least(s.t + 1, 4) AS INTEGER) AS filled FROM s JOIN ep e ON e.episode = s.episode AND e.t = s.i GROUP BY ALL""")
+def _(spark, sf):
+    return keyed(spark, sf, J.HistoryWindow(3))
+
+
+@query("K03_stream_hysteresis", f"""WITH {EP}, e AS (SELECT episode, t, x, CASE WHEN x > 60 THEN true WHEN x < 20 THEN false WHEN t = 0 THEN x >= 40 END AS e FROM ep)
+SELECT CAST(episode AS VARCHAR) AS key, CAST(t AS BIGINT) AS t, last_value(e IGNORE NULLS) OVER (PARTITION BY episode ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS is_open FROM e""")
+def _(spark, sf):
+    return keyed(spark, sf, J.Hysteresis(20.0, 60.0))
+
+
+@query("K08_stream_every_nth", f"WITH {EP} SELECT CAST(episode AS VARCHAR) AS key, CAST(t AS BIGINT) AS t, CAST(t + 1 AS BIGINT) AS k FROM ep WHERE t = 0 OR (t + 1) % 4 = 0")
+def _(spark, sf):
+    return keyed(spark, sf, J.EveryNth(4))
+
+
+@query("K04_stream_action_buffer", f"""WITH {EP} SELECT CAST(episode AS VARCHAR) AS key, CAST(t AS BIGINT) AS t, CAST(t // 10 * 10 + least(t % 10 - 1, 4) AS DOUBLE) AS action, t % 10 <= 5 AS valid,
+CAST(greatest(5 - t % 10, 0) AS INTEGER) AS remaining FROM ep WHERE t % 10 <> 0""")
+def _(spark, sf):
+    # every tenth step brings a plan of five steps, the others take one each
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    s = W.episode_timesteps(frames(spark, sf))
+    plan = F.when(F.col("t") % 10 == 0, F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: (F.col("t") + i).cast("double")))
+    s = s.select(F.col("episode").cast("string").alias("key"), F.col("t").cast("long").alias("t"), plan.alias("plan"))
+    return streamed(spark, s, F.floor(F.col("t") / 25), lambda r: J.stateful(r, "key", J.ActionBuffer()))
