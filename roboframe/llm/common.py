@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker turns into arrays at once; bounds the memory of a worker.
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 600_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +35,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/roboframe-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables of written() that no later plan reads."""
+    for df in frames:
+        session = df.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def prepare(spark: SparkSession) -> None:
@@ -102,6 +112,14 @@ def bitmap_udf(bits: np.ndarray):
 KEY_BITS = 23
 
 
+def near_keys(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key may be among keys (one column): all that are, and a few more. Keeps a join that follows from
+    shuffling the rest; needs no size bound on keys."""
+    (name,) = keys.columns
+    bits = bitmap(keys.select(key_slot(name, KEY_BITS).alias("slot")), KEY_BITS)
+    return rows.where(F.coalesce(bitmap_udf(bits)(key_slot(key, KEY_BITS)), F.lit(False)))
+
+
 def without(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows of docs whose key is not in keys. A bitmap of fixed size lets most rows pass beside the anti-join."""
     gone = written(keys.select(key).distinct(), "without")

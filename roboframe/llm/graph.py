@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 MAX_ROUNDS = 60
 
@@ -28,13 +28,16 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         near = large.join(low, "v")
         small = near.select(F.col("m").alias("u"), "v").union(near.select(F.col("m").alias("u"), F.col("u").alias("v")))
-        e = written(small.where("u < v").distinct(), label)
+        last, e = e, written(small.where("u < v").distinct(), label)
+        discard(last)
         before, state = state, _fingerprint(e)
         if before == state:
             break
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    return e.select(F.col("v").alias("node"), F.col("u").alias("root"))
+    out = e.select(F.col("v").alias("node"), F.col("u").alias("root"))
+    out._written_to = e._written_to
+    return out
 
 
 def _fingerprint(e: DataFrame) -> tuple:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import LOWER, bitmap, joined, key_slot, mix, partitions, slices, table, test_bits, words, written
+from .common import LOWER, bitmap, discard, joined, key_slot, mix, near_keys, partitions, slices, table, test_bits, words, written
 from .graph import components
 
 #: Bytes of words: all but blank and \t \n \v \f \r.
@@ -295,8 +295,9 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("doc").alias("b"), F.col("size").alias("m"), F.col("sketch").alias("y"))
     near = pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(_refute(percent), "a long, b long")
     near = written(near, "op1-near")
-    left = sets.select(F.col("doc").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("doc").alias("b"), F.col("items").alias("y"))
+    whole = near_keys(sets.select("doc", "items"), "doc", near.select(F.explode(F.array("a", "b")).alias("doc")))
+    left = whole.select(F.col("doc").alias("a"), F.col("items").alias("x"))
+    right = whole.select(F.col("doc").alias("b"), F.col("items").alias("y"))
     return near.join(left, "a").join(right, "b").mapInPandas(_compare(percent), "a long, b long")
 
 
@@ -406,7 +407,7 @@ def _cross_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     counts = sets.mapInPandas(_count, "block int, counts binary").groupBy("block")
     counts = counts.applyInPandas(_sum_counts, "block int, counts binary").orderBy("block").collect()
     counts = np.frombuffer(b"".join(bytes(r["counts"]) for r in counts), dtype="<i8")
-    live = sets.select("doc", "items").join(nodes.select("doc"), "doc", "left_semi")
+    live = near_keys(sets.select("doc", "items"), "doc", nodes.select("doc"))
     rare = live.mapInPandas(_prefixes(counts, percent), "doc long, item long, place long")
     keyed = written(rare.distinct().join(nodes, "doc"), "op1-keyed")
     strong = F.col("reach") >= F.col("size")
@@ -450,7 +451,7 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 80) ->
 
     info = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("size"), F.col("n").alias("key"))
     classes = info.where("size > 0").groupBy("size", "key").agg(F.min("doc_id").alias("rep"))
-    info = written(info.join(classes, ["size", "key"], "left"), "op1-classes")
+    info = written(info.join(classes, ["size", "key"], "left"), "op1-classes")  # with root all that the result reads
     moved = info.where("rep <> doc_id").select("doc_id", "rep").distinct()
 
     def to_rep(df: DataFrame, column: str) -> DataFrame:
@@ -483,10 +484,13 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 80) ->
     open_ = members.groupBy("n").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     members = written(members.join(open_.select("n"), "n"), "op1-open")
     if not members.isEmpty():
-        cross = _cross_pairs(members, sets, percent).join(pairs, ["a", "b"], "left_anti")
+        cross = written(_cross_pairs(members, sets, percent).join(pairs, ["a", "b"], "left_anti"), "op1-cross")
         more = written(similar_pairs(cross, sets, percent), "op1-links")
         if not more.isEmpty():
-            root = components(links.unionByName(more), "op1-components")
+            last, root = root, components(links.unionByName(more), "op1-components")
+            discard(last)
+        discard(cross, more)
+    discard(found, groups, pairs, sets, links, members)
 
     key = root.select(F.col("node").alias("rep"), "root")
     return info.join(key, "rep", "left").select(

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import KEY_BITS, bitmap, bitmap_udf, joined, key_slot, mix, partitions, prefix_hash, slices, span_hash, table, test_bits, written
+from .common import KEY_BITS, bitmap, bitmap_udf, discard, joined, key_slot, mix, partitions, prefix_hash, slices, span_hash, table, test_bits, written
 
 #: log2 of the bits of the bitmap of repeated cores.
 CORE_BITS = 24
@@ -195,7 +195,7 @@ def _runs(core, context, first, last, bucket=-1, entries=b"") -> pd.DataFrame:
     return pd.DataFrame({"core": core, "context": context, "first": first, "last": last, "bucket": bucket, "entries": entries})
 
 
-def _portions(pick: np.ndarray, group: np.ndarray, size: int = 10_000) -> Iterator[np.ndarray]:
+def _portions(pick: np.ndarray, group: np.ndarray, size: int = 4_000) -> Iterator[np.ndarray]:
     """Cut into portions of about `size` classes that keep groups whole."""
     at = 0
     while at < len(pick):
@@ -310,16 +310,17 @@ def remove_repeats(docs: DataFrame, length: int = 400, core: int = 200, carry: t
     found = written(long_.mapInPandas(_suffixes(length, core, bits), schema), "op9-suffixes")
 
     classes = found.where("kind = 0").select("core", "context", "lo", "hi", "n", "body")
-    buckets = classes.repartitionByRange(partitions(spark), "core", "context")
-    ends = partitions(spark)
+    buckets = classes.repartitionByRange(2 * partitions(spark), "core", "context")
+    ends = max(1, partitions(spark) // 8)
     runs = written(buckets.mapInPandas(_sort_bucket(length, core, ends), RUNS), "op9-runs")
     across = runs.where("bucket >= 0").select("bucket", "entries").groupBy("bucket")
     across = across.applyInPandas(_across, "core long, context long, first int, last int")
-    runs = runs.where("bucket < 0").select("core", "context", "first", "last").unionByName(across)
+    told = runs.where("bucket < 0").select("core", "context", "first", "last").unionByName(across)
 
-    places = found.where("kind = 1").select("core", "context", "key", "at").join(runs, ["core", "context"])
+    places = found.where("kind = 1").select("core", "context", "key", "at").join(told, ["core", "context"])
     cut = F.shiftleft(F.col("at") - F.col("last"), 32) + (F.col("at") - F.col("first") + length)
     cuts = written(places.groupBy("key").agg(F.collect_set(cut).alias("cuts")), "op9-cuts")
+    discard(found, runs)
 
     bits = bitmap(cuts.select(key_slot("key", KEY_BITS).alias("slot")), KEY_BITS)
     touched = source.withColumn("hit", bitmap_udf(bits)(key_slot("key", KEY_BITS)))
