@@ -127,7 +127,7 @@ def image_offset_lookup(steps: DataFrame, offsets: list[int], field: str, episod
         value = F.lag(field, -k).over(w) if k < 0 else F.lead(field, k).over(w)
         inside = (F.col("t") + k >= 0) & (F.col("t") + k < F.col("n"))
         edge = F.first(field).over(whole) if k < 0 else F.last(field).over(whole)
-        steps = steps.withColumn(f"{field}_t{k}", F.when(inside, value if k >= 0 else F.lag(field, -k).over(w)).otherwise(edge))
+        steps = steps.withColumn(f"{field}_t{k}", F.when(inside, value).otherwise(edge))
     return steps
 
 

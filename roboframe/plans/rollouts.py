@@ -145,8 +145,8 @@ def _(spark, sf):
     return R.missing_indices(rollouts(spark, sf), "task", "demo_id", 0, 300)
 
 
-@query("G06_index_ranges", f"""WITH {RO}, d AS (SELECT task, demo_id, demo_id - row_number() OVER (PARTITION BY task ORDER BY demo_id) AS i FROM ro WHERE lang_ok(demo_id)),
-r AS (SELECT task, min(demo_id) AS lo, max(demo_id) AS hi FROM d GROUP BY task, i) SELECT task, string_agg(CASE WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE lo || '-' || hi END, ',' ORDER BY lo) AS ranges FROM r GROUP BY task""".replace("WHERE lang_ok(demo_id)", "WHERE demo_id % 7 <> 3").replace("SELECT task, demo_id, demo_id -", "SELECT model AS task, demo_id, demo_id -").replace("PARTITION BY task ORDER BY demo_id", "PARTITION BY model ORDER BY demo_id"))
+@query("G06_index_ranges", f"""WITH {RO}, d AS (SELECT model, demo_id, demo_id - row_number() OVER (PARTITION BY model ORDER BY demo_id) AS i FROM ro WHERE demo_id % 7 <> 3),
+r AS (SELECT model AS task, min(demo_id) AS lo, max(demo_id) AS hi FROM d GROUP BY model, i) SELECT task, string_agg(CASE WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE lo || '-' || hi END, ',' ORDER BY lo) AS ranges FROM r GROUP BY task""")
 def _(spark, sf):
     r = rollouts(spark, sf).where("demo_id % 7 <> 3").select(F.col("model").alias("task"), "demo_id")
     return R.index_ranges(r, "task", "demo_id")
