@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import benchmark_decontamination, chat_format, exact_topk
+from . import benchmark_decontamination, chat_format, exact_topk, ngram_jaccard_join
 from .benchmark_decontamination import op4_benchmark_decontamination
 from .bpe import op8_bpe_encoding
 from .chat_format import op10_chat_format
@@ -30,6 +30,7 @@ QUERIES = {
     )
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": ngram_jaccard_join.ORACLE_SQL,
     "op4_benchmark_decontamination": benchmark_decontamination.ORACLE_SQL,
     "op7_exact_topk": exact_topk.ORACLE_SQL,
     "op10_chat_format": chat_format.ORACLE_SQL,
