@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import names as N
+from ..functions import names as N
 from ..registry import query
 from ..sources.views import LS, RN, listing, read, runs
 

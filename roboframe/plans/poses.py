@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import geometry as G
-from ..operators import vectors as V
+from ..functions import geometry as G
+from ..functions import vectors as V
 from ..registry import query
 from ..sources.views import EV, VE, messages, vectors
 

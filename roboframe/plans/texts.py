@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import text as T
+from ..functions import text as T
 from ..registry import query
 from ..sources.views import read
 

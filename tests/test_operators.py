@@ -5,7 +5,8 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from roboframe.operators import alignment, geometry, names, results, shards, statistics, vectors, windows
+from roboframe.functions import geometry, names, vectors
+from roboframe.operators import alignment, results, shards, statistics, windows
 
 
 def rows(spark, data, schema):
