@@ -25,17 +25,20 @@ SCALE = 64
 
 
 def quantized(vectors: list) -> np.ndarray:
-    return np.floor(np.asarray(vectors, dtype=np.float64) * SCALE).astype(np.int64)
+    top = float(2**63 - 1024)  # the largest double below 2**63: larger components are cut to it
+    return np.clip(np.floor(np.asarray(vectors, dtype=np.float64) * SCALE), -top, top).astype(np.int64)
 
 
 def _pack(rows: int):
-    """(id, v) -> blocks of at most `rows` rows: block number, ids, and the matrix row by row."""
+    """(id, v) -> blocks of at most `rows` rows: block number, ids, and the matrix row by row in the least integer type."""
 
     def block(part: int, number: int, ids: list, vectors: list) -> pd.DataFrame:
         order = np.argsort(np.array(ids, dtype=np.int64), kind="stable")
         i = np.array(ids, dtype=np.int64)[order]
         m = np.stack(vectors)[order]
-        return pd.DataFrame([((part << 32) + number, m.shape[1], i.tobytes(), m.tobytes())], columns=["block", "dims", "ids", "m"])
+        kind = next(k for k in ("<i1", "<i2", "<i4", "<i8") if np.abs(m).max(initial=0) <= np.iinfo(k).max)
+        row = ((part << 32) + number, m.shape[1], i.tobytes(), kind, m.astype(kind).tobytes())
+        return pd.DataFrame([row], columns=["block", "dims", "ids", "kind", "m"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, tuple[list, list]] = {}
@@ -81,8 +84,8 @@ def _best(k: int):
         for batch in batches:
             for r in batch.itertuples(index=False):
                 q_ids, c_ids = np.frombuffer(r.q_ids, dtype=np.int64), np.frombuffer(r.ids, dtype=np.int64)
-                q = np.frombuffer(r.q_m, dtype=np.int64).reshape(len(q_ids), -1)
-                c = np.frombuffer(r.m, dtype=np.int64).reshape(len(c_ids), -1)
+                q = np.frombuffer(r.q_m, dtype=r.q_kind).astype(np.int64).reshape(len(q_ids), -1)
+                c = np.frombuffer(r.m, dtype=r.kind).astype(np.int64).reshape(len(c_ids), -1)
                 largest = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
                 if largest < 2**31:  # the same sums in half the bytes
                     q, c = q.astype(np.int32), c.astype(np.int32)
@@ -128,7 +131,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
 
     Components become floor(64 * x); the score is the integer inner product; each query gets its k highest scores
     among all rows with another vec_id, ties to the smaller vec_id. Rows take no part if vec_id or the vector is null,
-    or a component is null, NaN or infinite; vectors of different lengths are not compared; empty vectors score 0.
+    or a component is null, NaN or infinite; sums are 64-bit integers; vectors of different lengths are not compared; empty vectors score 0.
     Rows that repeat a vec_id are candidates each, and as queries give their own rows each. Other columns are ignored.
     """
     good = vectors.select(
@@ -136,16 +139,16 @@ def top_k(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     ).where("id IS NOT NULL AND v IS NOT NULL")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = good.where(finite)
-    schema = "block long, dims int, ids binary, m binary"
+    schema = "block long, dims int, ids binary, kind string, m binary"
     blocks = good.select("id", "v").mapInPandas(_pack(CANDIDATES), schema)
     asked = written(good.where("q").select("id", "v").mapInPandas(_pack(QUERIES), schema), "op7-queries")
-    asked = asked.select(F.col("block").alias("q_block"), "dims", F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
+    asked = asked.select(F.col("block").alias("q_block"), "dims", *[F.col(c).alias(f"q_{c}") for c in ("ids", "kind", "m")])
     blocks = written(blocks, "op7-candidates")
     # one row for each query block that a candidate block meets: an equi-join on the vector length and the block number
     numbers = asked.groupBy("dims").agg(F.collect_list("q_block").alias("q_blocks"))
     meet = blocks.join(numbers, "dims").withColumn("q_block", F.explode("q_blocks")).drop("q_blocks", "block")
-    met = meet.repartition("q_block", "ids").join(asked, ["q_block", "dims"])
-    found = met.select("q_block", "q_ids", "q_m", "ids", "m")
+    met = meet.join(asked, ["q_block", "dims"])
+    found = met.select("q_block", "q_ids", "q_kind", "q_m", "ids", "kind", "m")
     found = found.mapInPandas(_best(k), "query_id long, q_block long, q_row int, score long, vec_id long")
     order = Window.partitionBy("query_id", "q_block", "q_row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
