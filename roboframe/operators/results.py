@@ -99,9 +99,9 @@ def balanced_success(rollouts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def z_score(na: Column, ka: Column, nb: Column, kb: Column) -> Column:
     """Pooled two-proportion statistic; 0 where it is not defined."""
-    p = (ka + kb) / (na + nb)
-    se = F.sqrt(p * (1 - p) * (1 / na + 1 / nb))
-    return F.when((na == 0) | (nb == 0) | (p == 0) | (p == 1), F.lit(0.0)).otherwise((ka / na - kb / nb) / se)
+    p = F.try_divide(ka + kb, na + nb)
+    se = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1), na) + F.try_divide(F.lit(1), nb)))
+    return F.coalesce(F.try_divide(F.try_divide(ka, na) - F.try_divide(kb, nb), se), F.lit(0.0))
 
 
 def critical_z(alpha: float) -> float:
