@@ -175,14 +175,14 @@ def _(spark, sf):
     return S.masked_mse(rows, "p", "y", "w", ("label",)).select("label", r6("loss").alias("loss"))
 
 
-@query("D31_weighted_mean_metric", f"""WITH {EV}, m AS (SELECT *, episode % 5 + 1 AS k FROM ev)
-SELECT topic, event_id, round(sum(value * k) OVER w / sum(k) OVER w, 3) AS running FROM m WINDOW w AS (PARTITION BY topic ORDER BY s, event_id)""")
-def _(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("topic").orderBy("s", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    k = F.col("episode") % 5 + 1
-    return messages(spark, sf).select("topic", "event_id", F.round(F.sum(F.col("value") * k).over(w) / F.sum(k).over(w), 3).alias("running"))
+@query("D31_weighted_mean_metric", f"""WITH {EV}, m AS (SELECT *, episode % 5 + 1 AS k, CAST(round(value * 100) AS BIGINT) AS cents FROM ev)
+SELECT topic, event_id, CAST(sum(cents * k) OVER w AS BIGINT) * 1000 // CAST(sum(k) OVER w AS BIGINT) AS running FROM m WINDOW w AS (PARTITION BY topic ORDER BY s, event_id)""")
+def _(spark, sf):
+    # in whole hundred-thousandths, so that both engines cut at the same place
+    rows = messages(spark, sf).withColumn("k", F.col("episode") % 5 + 1).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    rows.createOrReplaceTempView("d31_metric")
+    return spark.sql("""SELECT topic, event_id, sum(cents * k) OVER w * 1000 div sum(k) OVER w AS running FROM d31_metric
+      WINDOW w AS (PARTITION BY topic ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 
 
 @query("D32_throughput", f"""WITH {EV} SELECT event_id, round(512 / nullif(value, 0), 6) AS samples_s, round(512 / nullif(value, 0) / 8, 6) AS samples_s_gpu, round(512 * 2048 / nullif(value, 0), 6) AS tokens_s FROM ev""")
