@@ -365,11 +365,12 @@ def _sum_counts(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": frame["block"].iloc[:1], "counts": [total.tobytes()]})
 
 
-def _prefixes(counts: np.ndarray, percent: int):
-    """Elements of a set, rarest first, as far as similar sets must share one of them."""
+def _prefixes(counts: np.ndarray, percent: int, bits: np.ndarray):
+    """Elements of the sets in the bitmap, rarest first, as far as similar sets must share one of them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            batch = batch[test_bits(bits, batch["slot"].to_numpy(np.int64))]
             docs, items, places = [], [], []
             for doc, raw in zip(batch["doc"], batch["items"], strict=True):
                 x = _items(raw)
@@ -407,8 +408,9 @@ def _cross_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     counts = sets.mapInPandas(_count, "block int, counts binary").groupBy("block")
     counts = counts.applyInPandas(_sum_counts, "block int, counts binary").orderBy("block").collect()
     counts = np.frombuffer(b"".join(bytes(r["counts"]) for r in counts), dtype="<i8")
-    live = near_keys(sets.select("doc", "items"), "doc", nodes.select("doc"))
-    rare = live.mapInPandas(_prefixes(counts, percent), "doc long, item long, place long")
+    bits = bitmap(nodes.select(key_slot("doc", NODE_BITS).alias("slot")), NODE_BITS)
+    slotted = sets.select("doc", "items", key_slot("doc", NODE_BITS).alias("slot"))
+    rare = slotted.mapInPandas(_prefixes(counts, percent, bits), "doc long, item long, place long")
     keyed = written(rare.distinct().join(nodes, "doc"), "op1-keyed")
     strong = F.col("reach") >= F.col("size")
     use = keyed.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(strong).alias("any"))

@@ -253,9 +253,13 @@ def _across(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"core": hit["core"], "context": hit["context"], "first": hit["offset"], "last": hit["offset"]})
 
 
-def _cut(names: list[str]):
+def _cut(names: list[str], bits: np.ndarray | None = None):
+    """Cut the rows' texts; with a bitmap only those rows whose slot is clear, the others are left out."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if bits is not None:
+                batch = batch[~test_bits(bits, batch["slot"].to_numpy(np.int64))]
             out = {c: batch[c].array for c in names}
             kept, removed, spans, sizes = [], [], [], []
             for text, cuts in zip(batch["text"], batch["cuts"], strict=True):
@@ -323,14 +327,15 @@ def remove_repeats(docs: DataFrame, length: int = 400, core: int = 200, carry: t
     discard(found, runs)
 
     bits = bitmap(cuts.select(key_slot("key", KEY_BITS).alias("slot")), KEY_BITS)
-    touched = source.withColumn("hit", bitmap_udf(bits)(key_slot("key", KEY_BITS)))
+    # one Python stage for each row: texts that lose nothing are finished at once, the others meet their cuts first
+    marked = source.withColumn("slot", key_slot("key", KEY_BITS))
     none = F.lit(None).cast("array<long>")
-    whole = touched.where("not hit").select(*names, "text", none.alias("cuts"))
-    part = touched.where("hit").join(cuts, "key", "left").select(*names, "text", "cuts")
+    whole = marked.select(*names, "text", "slot", none.alias("cuts"))
+    part = marked.where(bitmap_udf(bits)("slot")).join(cuts, "key", "left").select(*names, "text", "cuts")
     kinds = dict(source.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
     schema += ", n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
-    return whole.mapInPandas(_cut(names), schema).unionByName(part.mapInPandas(_cut(names), schema))
+    return whole.mapInPandas(_cut(names, bits), schema).unionByName(part.mapInPandas(_cut(names), schema))
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
