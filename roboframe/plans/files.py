@@ -7,6 +7,7 @@ import io
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import windows as W
 from ..registry import query
@@ -14,6 +15,10 @@ from ..sources import files as S
 from ..sources.views import EP, EV, RO, frames, messages, read, rollouts
 from ..streaming import jobs as J
 
+#: Batches of steps double in width from 100 on, so many times, up to the widest.
+DOUBLINGS = 10
+WIDEST = 100 << DOUBLINGS
+
 
 def tar_rows(spark, sf):
     d = read(spark, sf, "documents")
@@ -71,27 +76,37 @@ def _(spark, sf):
     return S.summaries(text).select(F.col("path").cast("long").alias("demo_id"), "success")
 
 
-def streamed(spark, rows, order, build, mode="append", batches=4):
-    """Write rows in `batches` files in order and run a streaming query over them, one file a batch; returns its rows."""
+def streamed(spark, rows, batch, build, mode="append", key=None):
+    """Write rows into a folder for each value of `batch`, one folder after the other, each once a streaming query has
+    taken all before it; returns the query's rows. Rows without a batch come in batch 0. Rows of a `key` lie in one file
+    of each folder, so their order holds where a trigger sees a folder that is not yet whole."""
     root = S.scratch(spark)
-    for k in range(batches):
-        rows.where(order % batches == k).coalesce(1).write.mode("append").parquet(f"{root}/in/{k}")
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{root}/in")
-    out = build(source)
-    path = f"{root}/out"
+    rows.withColumn("_batch", F.coalesce(batch.cast("long"), F.lit(0))).write.partitionBy("_batch").parquet(f"{root}/held")
+    held = spark.read.schema(T.StructType([*rows.schema, T.StructField("_batch", T.LongType())])).parquet(f"{root}/held")
+    path, q = f"{root}/out", None
 
     def keep(df, k):
         df.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
 
-    q = out.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(keep).start()
-    q.awaitTermination()
+    batches = [r[0] for r in held.select("_batch").distinct().sort("_batch").collect()]
+    try:
+        for k in batches or [0]:
+            part = held.where(F.col("_batch") == k).drop("_batch")
+            (part.repartition(key) if key else part).write.parquet(f"{root}/in/{k}")
+            if q is None:
+                out = build(spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{root}/in"))
+                q = out.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").foreachBatch(keep).start()
+            q.processAllAvailable()
+    finally:
+        if q is not None:
+            q.stop()
     return spark.read.schema(out.schema).parquet(path)
 
 
 @query("K01_stream_masked_moments", f"WITH {EV} SELECT topic, count(*) AS n, round(avg(value), 6) AS mean, round(var_pop(value) * count(*), 2) AS m2, min(value) AS min, max(value) AS max FROM ev GROUP BY topic")
 def _(spark, sf):
     m = messages(spark, sf).select("topic", F.col("value").alias("x"), "event_id")
-    out = streamed(spark, m, F.col("event_id"), lambda s: J.stream_masked_moments(s, ["topic"]), "complete")
+    out = streamed(spark, m, F.pmod("event_id", F.lit(4)), lambda s: J.stream_masked_moments(s, ["topic"]), "complete")
     return out.select("topic", "n", F.round("mean", 6).alias("mean"), F.round("m2", 2).alias("m2"), "min", "max")
 
 
@@ -133,12 +148,19 @@ def _(spark, sf):
     return f.select("episode", "t", "field", F.round(F.get("value", F.lit(0)), 4).alias("x"))
 
 
+def step_batch(t):
+    """The batch of a step, growing with it: 25 steps a batch up to 100, then batches that double in width, then of
+    WIDEST steps each; so no batch holds more than WIDEST steps of a key, and their number stays low."""
+    early, doubling = F.floor(t / 25), 3 + F.length(F.bin(F.floor(t / 100)))
+    return F.when(t < 100, early).when(t < WIDEST, doubling).otherwise(3 + DOUBLINGS + F.floor(t / WIDEST))
+
+
 def keyed(spark, sf, processor):
-    """Run a stateful processor over the episodes' steps, 25 steps of each a batch."""
+    """Run a stateful processor over the episodes' steps, in batches of steps."""
     name = "spark.sql.streaming.stateStore.providerClass"
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     s = W.episode_timesteps(frames(spark, sf)).select(F.col("episode").cast("string").alias("key"), F.col("t").cast("long").alias("t"), "x")
-    return streamed(spark, s, F.floor(F.col("t") / 25), lambda r: J.stateful(r, "key", processor))
+    return streamed(spark, s, step_batch(F.col("t")), lambda r: J.stateful(r, "key", processor), key="key")
 
 
 @query("K02_stream_history_window", f"""WITH {EP}, s AS (SELECT e.episode, e.t, j, greatest(e.t - 3 + j, 0) AS i FROM ep e, (SELECT unnest(range(0, 4)) AS j) WHERE e.t < 100)
@@ -167,4 +189,4 @@ def _(spark, sf):
     s = W.episode_timesteps(frames(spark, sf))
     plan = F.when(F.col("t") % 10 == 0, F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: (F.col("t") + i).cast("double")))
     s = s.select(F.col("episode").cast("string").alias("key"), F.col("t").cast("long").alias("t"), plan.alias("plan"))
-    return streamed(spark, s, F.floor(F.col("t") / 25), lambda r: J.stateful(r, "key", J.ActionBuffer()))
+    return streamed(spark, s, step_batch(F.col("t")), lambda r: J.stateful(r, "key", J.ActionBuffer()), key="key")

@@ -119,3 +119,43 @@ def test_action_buffer_stream(spark, tmp_path):
     parts = [[("a", 0, [1.0, 2.0]), ("a", 1, None), ("a", 2, None)], [("a", 3, None), ("a", 4, [9.0]), ("a", 5, None)]]
     got = run_stream(spark, parts, "key string, t long, plan array<double>", tmp_path, lambda s: jobs.stateful(s, "key", jobs.ActionBuffer()))
     assert sorted(map(tuple, got.collect())) == [("a", 1, 1.0, True, 1), ("a", 2, 2.0, True, 0), ("a", 3, 2.0, False, 0), ("a", 5, 9.0, True, 0)]
+
+
+def test_streams_of_long_episodes(spark, tmp_path):
+    """Steps past 100 come after those before them, whatever the length of the episode."""
+    from datetime import datetime, timedelta
+
+    from roboframe import registry
+
+    rng = np.random.default_rng(5)
+    x = {u: [float(v) for v in rng.integers(0, 100, n)] for u, n in ((1, 430), (2, 101), (3, 7))}
+    start = datetime(2024, 1, 1)
+    rows = [(u * 1000 + t, start + timedelta(seconds=t), u, "a", v, "{}") for u in x for t, v in enumerate(x[u])]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+
+    def got(name):
+        return sorted(map(tuple, registry.queries()[name](spark, str(tmp_path)).collect()))
+
+    steps = [(str(u), t) for u in x for t in range(len(x[u]))]
+    windows_ = [(k, t, [x[int(k)][max(t - 3 + j, 0)] for j in range(4)], min(t + 1, 4)) for k, t in steps]
+    assert got("K02_stream_history_window") == sorted(windows_)
+    assert got("K08_stream_every_nth") == sorted((k, t, t + 1) for k, t in steps if t == 0 or (t + 1) % 4 == 0)
+    assert got("K04_stream_action_buffer") == sorted((k, t, float(t // 10 * 10 + min(t % 10 - 1, 4)), t % 10 <= 5, max(5 - t % 10, 0)) for k, t in steps if t % 10)
+    is_open = []
+    for u in x:
+        now = x[u][0] >= 40
+        for t, v in enumerate(x[u]):
+            now = True if v > 60 else False if v < 20 else now
+            is_open.append((str(u), t, now))
+    assert got("K03_stream_hysteresis") == sorted(is_open)
+    assert [tuple(r)[:2] for r in registry.queries()["K01_stream_masked_moments"](spark, str(tmp_path)).collect()] == [("a", len(steps))]
+
+
+def test_step_batches_grow(spark):
+    from roboframe.plans import files as plans
+
+    edges = [0, 24, 25, 99, 100, 199, 200, plans.WIDEST - 1, plans.WIDEST, 2 * plans.WIDEST - 1, 2 * plans.WIDEST, 10**9]
+    rows = spark.createDataFrame([(t,) for t in edges], "t long").select("t", plans.step_batch(F.col("t")).cast("long").alias("b"))
+    got = [r.b for r in sorted(rows.collect())]
+    assert got == [0, 0, 1, 3, 4, 4, 5, 13, 14, 14, 15, 13 + 10**9 // plans.WIDEST]
