@@ -44,6 +44,10 @@ def trigrams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, starts = joined(texts)
     x = np.concatenate((LETTER[LOWER[data]], np.zeros(2, dtype=np.uint8))).astype(np.uint32)
     code = x[:-2] << 16 | x[1:-1] << 8 | x[2:]
+    # nothing of the next text: zeros follow each text, as they follow the last
+    ends = starts[1:] - 1
+    code[ends] = 0
+    code[ends[ends > starts[:-1]] - 1] &= 0xFF0000
     return (code * np.uint32(2654435761)) >> np.uint32(32 - 13), code != 0, starts
 
 
@@ -128,8 +132,9 @@ class Model:
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """labelled(doc_id, text, lang), lang not null -> a model; at most about `per_language` texts of each language
-    reach the driver, as vectors of fixed size. None where nothing is labelled."""
-    sample = bounded(labelled, "lang", "doc_id", per_language).select("text", "lang")
+    reach the driver, as vectors of fixed size. Of more than 200 languages the 200 most frequent are fitted; texts of the
+    others are told as one of these. None where nothing is labelled."""
+    sample = bounded(labelled, "lang", "doc_id", per_language, leave_rare=True).select("text", "lang")
     rows = sample.mapInPandas(_features, "lang string, x binary").collect()
     if not rows:
         return None

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 GRAIN = 1_000_000
 
 
-def bounded(rows: DataFrame, stratum: str, key: str, most: int, strata: int = 200) -> DataFrame:
+def bounded(rows: DataFrame, stratum: str, key: str, most: int, strata: int = 200, leave_rare: bool = False) -> DataFrame:
     """About `most` rows of each value of `stratum` (1.2 times that at most, up to chance), the same ones on every run:
-    those whose hash of `key` is below a share that one count of the whole table sets. All rows where there are fewer."""
-    counts = rows.groupBy(stratum).count().orderBy(stratum).limit(strata + 1).collect()
+    those whose hash of `key` is below a share that one count of the whole table sets. All rows where there are fewer.
+    Beyond `strata` values it raises, or with leave_rare takes the most frequent ones."""
+    counts = rows.groupBy(stratum).count().orderBy(F.desc("count"), stratum).limit(strata + 1).collect()
+    if leave_rare:
+        counts = counts[:strata]
     if len(counts) > strata:
         raise ValueError(f"more than {strata} values of {stratum}")
     share = F.lit(0)

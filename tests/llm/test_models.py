@@ -100,3 +100,19 @@ def test_toxicity_edges(spark):
     assert len(rows) == len(EDGES) and not any(r.is_toxic for r in rows)
     assert toxicity_chain.fit(docs, labels.select("doc_id", F.col("toxic").alias("label")).limit(0)) is None
     assert not any(r.is_toxic for r in toxicity_chain.label_toxicity(edges, None).collect())
+
+
+def test_trigrams_of_a_text_stand_alone():
+    texts = ["a", "zebra", "", "ein Haus", "é"]
+    slot, counts, starts = language_id.trigrams(texts)
+    for text, a, b in zip(texts, starts, starts[1:]):
+        own, real, at = language_id.trigrams([text])
+        n = at[1]
+        assert slot[a:b].tolist() == own[:n].tolist() and counts[a:b].tolist() == real[:n].tolist()
+
+
+def test_many_languages(spark):
+    rows = [(i, f"word{chr(97 + i % 26)} text", f"x{i:03}") for i in range(230)] + [(1000 + i, "das ist ein Haus", "de") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, 20)
+    assert len(model.langs) == 200 and "de" in model.langs
