@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from . import common
 from .common import joined, mix, prefix_hash, slices, span_hash, table, words
-from .sampling import bounded, remainder
+from .sampling import GRAIN, bounded, remainder
 
-#: Labelled documents that are fitted on, of each label, and lines of each that the fit sees.
+#: Labelled documents that are fitted on, of each label, and lines of all of them together.
 PER_LABEL = 1500
-FIT_LINES = 80
+FIT_LINES = 240_000
 
 NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
@@ -156,17 +156,24 @@ def _fit_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in slices(batch):
             x, _, lines = line_features(part["text"].tolist())
             ends = np.cumsum(lines)
-            rows = [x[e - n : e][:FIT_LINES].astype("<f4").tobytes() for e, n in zip(ends, lines, strict=True)]
+            rows = [x[e - n : e].astype("<f4").tobytes() for e, n in zip(ends, lines, strict=True)]
             yield pd.DataFrame({"label": part["label"].to_numpy(), "x": rows})
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Crf | None:
-    """docs(doc_id, text), labels(doc_id, label 0/1) -> a model. About `per_label` documents of each label, up to
-    FIT_LINES lines of each, reach the driver as numbers. None where no labelled text is there."""
+    """docs(doc_id, text), labels(doc_id, label 0/1) -> a model. About `per_label` documents of each label, with all
+    lines of each, reach the driver as numbers. Where these have more than FIT_LINES lines together, whole documents
+    are left out at random by hash, and one that is longer than that alone always. None where no labelled text is there."""
     known = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     sample = F.broadcast(bounded(known, "label", "doc_id", per_label))
-    rows = docs.select("doc_id", "text").where("length(text) > 0").join(sample, "doc_id").select("text", "label")
-    rows = rows.mapInPandas(_fit_features, "label int, x binary").collect()
+    rows = docs.select("doc_id", "text").where("length(text) > 0").join(sample, "doc_id")
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    rows = rows.withColumn("text", F.col("text").cast("string")).where(n_lines <= FIT_LINES)
+    total = rows.agg(F.sum(n_lines)).first()[0] or 0
+    if total > FIT_LINES:
+        place = F.pmod(F.xxhash64("doc_id", F.lit("lines")), F.lit(GRAIN))
+        rows = rows.where(place < int(FIT_LINES / total * GRAIN))
+    rows = rows.select("text", "label").mapInPandas(_fit_features, "label int, x binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["label"], bytes(r["x"])))

@@ -116,3 +116,20 @@ def test_many_languages(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language_id.fit(docs, 20)
     assert len(model.langs) == 200 and "de" in model.langs
+
+
+def test_quality_fit_sees_all_lines(spark, monkeypatch):
+    """Documents that differ after their first 80 lines only."""
+    from functools import partial
+
+    seen = []
+    monkeypatch.setattr(quality_crf, "Crf", lambda x, lines, label: seen.append(lines))
+    docs = spark.createDataFrame([(i, "\n".join(["a line."] * 90 + [f"end {i}"] * 10)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, label int")
+    fit = partial(quality_crf.fit, docs, labels)
+    fit()
+    assert seen.pop().tolist() == [100] * 40
+    monkeypatch.setattr(quality_crf, "FIT_LINES", 2000)
+    fit()
+    kept = seen.pop().tolist()
+    assert set(kept) == {100} and 5 <= len(kept) <= 35
