@@ -32,12 +32,14 @@ def _pack(path: str, end: int, block: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c, file, number = codec(path), TaskContext.get().partitionId(), 0
+        stand_in = min(len(c.raw), np.iinfo(c.kind).max)  # no token has it, unless all are taken
+        stand_in -= stand_in == end
         held, size, ends = [], 0, []
         for batch in batches:
             for part in slices(batch):
                 for doc, text in zip(part["doc_id"], part["text"], strict=True):
                     ids = c.encode(text if isinstance(text, str) else "")
-                    held.append(ids[ids != end])
+                    held.append(np.where(ids == end, np.array(stand_in, dtype=c.kind), ids))
                     held.append(np.array([end], dtype=c.kind))
                     size += len(held[-2]) + 1
                     ends.append((size - 1, doc))
@@ -57,8 +59,8 @@ def _pack(path: str, end: int, block: int):
 def write_token_files(docs: DataFrame, path: str, end: int, block: int = BLOCK) -> DataFrame:
     """Encode docs(doc_id, text) into flat token files in blocks: file, block, ids (little-endian identifiers), docs.
 
-    End-of-document identifiers that the text itself yields are left out, so that the separator is one. Null counts as
-    empty; an empty document is its separator alone."""
+    End-of-document identifiers that the text itself yields are written as the first identifier past the vocabulary, so
+    that they count as tokens and not as separators. Null counts as empty; an empty document is its separator alone."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     source = source.where("doc_id IS NOT NULL")
     return written(source.mapInPandas(_pack(path, end, block), "file int, block long, ids binary, docs array<long>"), "op5-files")

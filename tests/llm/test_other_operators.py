@@ -66,6 +66,18 @@ def test_op5_counts_equal_encoded_lengths(spark, sf):
     assert a == {r.doc_id: r.n_tokens for r in op8_bpe_encoding(spark, sf).collect()}
 
 
+def test_op5_counts_separators_of_the_text(spark):
+    from roboframe.llm.bpe import codec, default_path
+
+    c = codec(default_path())
+    end = c.special_id("<|endoftext|>")
+    texts = ["<|endoftext|>", "one <|endoftext|> two<|endoftext|><|endoftext|>", "", "three"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    files = token_counts.write_token_files(docs, default_path(), end)
+    counts = token_counts.count_tokens(files.select("file", "block", "ids"), end, np.dtype(c.kind).itemsize)
+    assert [r.n_tokens for r in counts.orderBy("file", "document").collect()] == [len(c.encode(t)) for t in texts]
+
+
 def test_chat_rotation(spark):
     rows = [(1, 0, "system", "S", 0), (1, 1, "ann", "hi", 0), (1, 2, "bob", None, 0), (1, 3, "ann", "bye", 0), (2, 0, "system", "x", 0), (3, 0, None, "", 0), (None, 0, "ann", "z", 0), (1, 3, "ann", "bye", 0)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, parts int")
