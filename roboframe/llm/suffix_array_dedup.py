@@ -1,12 +1,14 @@
 """Suffix-array dedup: removal of long byte strings that occur more than once.
 
-Suffixes are not sorted at every byte. In every `length`-byte window the smallest of its `core`-byte strings (by hash)
-marks an anchor; equal windows have their anchor at the same place, so it is enough to sort the suffixes at anchors,
-about one in a hundred bytes. A suffix's tokens are fingerprints: first of the core, then of all that its windows
-cover. Splitters sampled by Spark range-partition the suffixes by these leading tokens; each bucket sorts by multikey
-quicksort, first the suffixes and then, where several suffixes share a core, the windows around it; and the groups at
-the two ends of a bucket, which may go on in the next one, are compared across the boundary by an exchange of their
-window fingerprints. Suffixes whose core occurs once are left out early by a bitmap of fixed size.
+The suffix array is a sparse one. In every `length`-byte window the smallest of its `core`-byte strings (by hash) marks
+an anchor; equal windows have their anchor at the same place, so it is enough to sort the suffixes that start at
+anchors, about one in a hundred bytes, each with the bytes before it that its windows cover. Suffixes whose core occurs
+once in the corpus are left out early by a bitmap of fixed size.
+
+Splitters sampled by Spark range-partition the suffixes by their leading bytes. Each bucket sorts its suffixes by
+multikey quicksort, eight bytes a step, and the reversed bytes before them likewise; what neighbours have in common in
+both orders tells which windows around an anchor are equal, byte by byte. The groups of one core at the two ends of a
+bucket may go on in the next one: their windows are compared across the boundaries by an exchange of digests.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import KEY_BITS, bitmap, bitmap_udf, discard, joined, key_slot, mix, partitions, prefix_hash, slices, span_hash, table, test_bits, written
+from .common import KEY_BITS, bitmap, bitmap_udf, discard, joined, key_slot, partitions, prefix_hash, slices, span_hash, table, test_bits, written
 
 #: log2 of the bits of the bitmap of repeated cores.
 CORE_BITS = 24
+#: Leading bytes of a suffix, and of what goes on after and before its core, by which it is dealt to a bucket.
+LEADING = 16
 NONE = np.zeros(0, dtype=np.int64)
 
 
@@ -62,16 +66,10 @@ class Anchors:
         self.at, self.text = anchor[head], text[head]
         self.token, self.hi, self.lo = gram[self.at], self.at - starts[head], self.at - starts[tail]
 
-    def context(self, keep: np.ndarray) -> np.ndarray:
-        """Second token: fingerprint of all bytes and offsets that the windows cover."""
-        at, lo, hi = self.at[keep], self.lo[keep], self.hi[keep]
-        return mix(span_hash(self.prefix, at - hi, at + self.length - lo) + mix((lo << 20 | hi).astype(np.uint64)), 8)
-
-    def body(self, i: int) -> bytes:
-        """The covered bytes without the core: window o is its bytes [hi - o, hi - o + length - core)."""
-        a = self.at[i]
-        left, right = self.data[a - self.hi[i] : a], self.data[a + self.core : a + self.length - self.lo[i]]
-        return left.tobytes() + right.tobytes()
+    def around(self, raw: bytes, i: int) -> tuple[bytes, bytes]:
+        """The suffix at an anchor and the reversed bytes before it, as far as its windows reach. raw: the bytes of data."""
+        at = int(self.at[i])
+        return raw[at : at + self.length - int(self.lo[i])], raw[at - int(self.hi[i]) : at][::-1]
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -84,22 +82,35 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[:n], before[w - 1 : w - 1 + n])
 
 
-def multikey_sort(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Order of rows by their token sequences and the group number of each row in that order (equal rows share one).
+def words_of(strings: list[bytes], width: int) -> np.ndarray:
+    """Strings of up to `width` bytes, filled up with zeros, as rows of big-endian 64-bit words."""
+    size = -(-width // 8) * 8
+    return np.frombuffer(b"".join(x.ljust(size, b"\0") for x in strings), dtype=">u8").reshape(-1, size // 8).astype(np.uint64)
+
+
+def multikey_sort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows of words, and the number of bytes that each row in this order has in common with the one before.
 
-    A multikey quicksort: rows are ordered by their first token, and only runs of equal rows go on to the next one.
+    A multikey quicksort: rows are ordered by their first word, and only runs of equal rows go on to the next one.
     """
-    order = np.argsort(tokens[0])
-    new = np.concatenate(([True], np.diff(tokens[0][order]) != 0))[: len(order)]
-    for token in tokens[1:]:
-        run = np.cumsum(new) - 1
-        wide = np.bincount(run)[run] > 1 if len(run) else np.zeros(0, dtype=bool)
-        rows = order[wide]
-        inner = np.lexsort((token[rows], run[wide]))
-        order[wide] = rows[inner]
-        value = token[order]
-        new |= np.concatenate(([True], np.diff(value) != 0))[: len(order)]
-    return order, np.cumsum(new) - 1
+    order, common_ = np.arange(len(words)), np.zeros(len(words), dtype=np.int64)
+    open_, run = np.arange(len(words)), np.zeros(len(words), dtype=np.int64)
+    for k in range(words.shape[1]):
+        rows = order[open_]
+        rows = rows[np.lexsort((words[rows, k], run))]
+        order[open_] = rows
+        value = words[rows, k]
+        together = run[1:] == run[:-1]
+        same = together & (value[1:] == value[:-1])
+        parted = np.flatnonzero(together & ~same)
+        differ = value[parted + 1] ^ value[parted]
+        leading = sum((differ < np.uint64(1 << (64 - 8 * t))).astype(np.int64) for t in range(1, 8))
+        common_[open_[parted + 1]] = 8 * k + leading
+        run = np.cumsum(np.concatenate(([0], ~same)))[: len(open_)]
+        more = np.bincount(run)[run] > 1 if len(run) else np.zeros(0, dtype=bool)
+        open_, run = open_[more], run[more]
+    common_[open_[1:][run[1:] == run[:-1]]] = 8 * words.shape[1]
+    return order, common_
 
 
 def _cores(length: int, core: int):
@@ -112,57 +123,61 @@ def _cores(length: int, core: int):
     return run
 
 
-CLASSES = "core long, context long, lo int, hi int, n long, body binary"
+FOUND = "kind int, h1 long, h2 long, core long, suffix binary, before binary, lo int, hi int, n int, key long, at long"
 
 
 def _suffixes(length: int, core: int, bits: np.ndarray):
-    """(doc_id, key, text) -> kind 0: suffix classes of this task with their number and bytes; kind 1: occurrences."""
+    """(key, text) -> kind 0: the distinct suffixes of this task (a digest, their bytes, the windows lo..hi, and whether
+    they occur once or again); kind 1: occurrences, for each key once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        told, seen = set(), set()
+        told, seen = {}, set()
         for batch in batches:
             for part in slices(batch):
                 x = Anchors(part["text"].tolist(), length, core)
                 keep = np.flatnonzero(_repeated(bits, x.token))
-                context = x.context(keep).astype(np.int64) if len(keep) else NONE
-                token = x.token[keep].astype(np.int64)
-                pairs, at, n = np.unique(np.stack([token, context]), axis=1, return_index=True, return_counts=True)
-                bodies = []
-                for c, t, i in zip(*pairs, at, strict=True):
-                    fresh = (c, t) not in told
-                    told.add((c, t))
-                    bodies.append(x.body(keep[i]) if fresh else None)
-                yield pd.DataFrame(
-                    {
-                        "kind": 0, "core": pairs[0], "context": pairs[1], "lo": x.lo[keep[at]], "hi": x.hi[keep[at]],
-                        "n": n, "body": bodies, "key": 0, "at": 0,
-                    }
-                )
+                raw, digests, rows = x.data.tobytes(), [], {}
+                for i in keep.tolist():
+                    suffix, before = x.around(raw, i)
+                    d = hashlib.blake2b(before, digest_size=16, salt=b"%d" % len(suffix))
+                    d.update(suffix)
+                    digests.append(d := d.digest())
+                    times = told.get(d, 0)
+                    if times < 2:
+                        told[d] = times + 1
+                        n = rows[d][-1] if d in rows else 0
+                        rows[d] = (0, int(x.token[i].astype(np.int64)), suffix, before, int(x.lo[i]), int(x.hi[i]), n + 1)
+                ids = np.frombuffer(b"".join(rows), dtype="<i8").reshape(-1, 2)
+                if rows:
+                    out = pd.DataFrame(list(rows.values()), columns=["kind", "core", "suffix", "before", "lo", "hi", "n"])
+                    yield out.assign(h1=ids[:, 0], h2=ids[:, 1], key=0, at=0)[COLUMNS]
                 keys = part["key"].to_numpy(np.int64)
                 fresh = np.array([not (k in seen or seen.add(k)) for k in keys], dtype=bool)
+                ids = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
                 own = fresh[x.text[keep]]
-                rows = keep[own]
-                yield pd.DataFrame(
-                    {
-                        "kind": 1, "core": token[own], "context": context[own], "lo": 0, "hi": 0, "n": 0, "body": None,
-                        "key": keys[x.text[rows]], "at": x.at[rows] - x.starts[x.text[rows]],
-                    }
-                )
+                keep, ids = keep[own], ids[own]
+                if len(keep):
+                    text = x.text[keep]
+                    out = pd.DataFrame({"kind": 1, "h1": ids[:, 0], "h2": ids[:, 1], "key": keys[text], "at": x.at[keep] - x.starts[text]})
+                    yield out.assign(core=0, suffix=None, before=None, lo=0, hi=0, n=0)[COLUMNS]
 
     return run
 
 
+COLUMNS = [c.split()[0] for c in FOUND.split(", ")]
+
+
 def _repeated(bits: np.ndarray, token: np.ndarray) -> np.ndarray:
     return test_bits(bits, token.astype(np.int64) & (len(bits) * 8 - 1))
 
 
-RUNS = "core long, context long, first int, last int, bucket int, entries binary"
-ENTRY = np.dtype([("token", "<u8"), ("core", "<i8"), ("context", "<i8"), ("offset", "<i4"), ("n", "<i4")])
+RUNS = "h1 long, h2 long, first int, last int, bucket int, entries binary"
+ENTRY = np.dtype([("d1", "<i8"), ("d2", "<i8"), ("h1", "<i8"), ("h2", "<i8"), ("offset", "<i4"), ("n", "<i4")])
 
 
 def _sort_bucket(length: int, core: int, buckets: int):
-    """A bucket of suffix classes -> runs of repeated windows (offsets first..last). The groups at its two ends may go
-    on in the next buckets: their distinct windows are also handed on, packed by buckets of window fingerprints."""
+    """A bucket of suffixes -> runs of repeated windows (offsets first..last) of each. The groups of one core at its two
+    ends may go on in the next buckets: digests of their distinct windows are also handed on, packed by `buckets`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frames = [b for b in batches if len(b)]
@@ -170,87 +185,85 @@ def _sort_bucket(length: int, core: int, buckets: int):
             return
         f = pd.concat(frames, ignore_index=True)
         del frames
-        order, number = multikey_sort([f["core"].to_numpy(np.int64), f["context"].to_numpy(np.int64)])
-        head = np.concatenate(([True], np.diff(number) != 0))
-        n = np.bincount(number, weights=f["n"].to_numpy()[order]).astype(np.int64)
-        lead = order[head]
-        tokens, contexts, lo, hi = (f[c].to_numpy()[lead].astype(np.int64) for c in ("core", "context", "lo", "hi"))
-        bodies = f["body"].to_numpy(dtype=object)
-        with_body = np.flatnonzero([x is not None for x in bodies[order]])
-        body_of = np.empty(len(lead), dtype=object)
-        body_of[number[with_body]] = bodies[order[with_body]]
-        group = np.cumsum(np.concatenate(([True], np.diff(tokens) != 0))) - 1
-        classes = np.bincount(group)[group]
-        end = (group == 0) | (group == group[-1])
-        whole = n > 1
-        yield _runs(tokens[whole], contexts[whole], lo[whole], hi[whole])
-        for open_, at_end in (((classes > 1) & ~end, False), (end, True)):
-            for part in _portions(np.flatnonzero(open_), group):
-                yield from _windows(part, tokens, contexts, lo, hi, n, body_of, length - core, at_end, buckets)
+        n = f.groupby(["h1", "h2"])["n"].transform("sum").to_numpy(np.int64)
+        f = f.assign(n=n).drop_duplicates(["h1", "h2"])
+        order, common_ = multikey_sort(words_of(f["suffix"].tolist(), length))
+        f = f.iloc[order]
+        group = np.cumsum(common_ < core)
+        group -= group[:1]
+        leads = [(x[:LEADING], c) for x, c in zip(f["suffix"], f["core"].tolist(), strict=True)]
+        ends = np.isin(group, [group[leads.index(min(leads))], group[leads.index(max(leads))]])
+        many = np.bincount(group)[group] > 1
+        whole = (f["n"].to_numpy() > 1) & ~many
+        yield _runs(f[whole], f["lo"][whole], f["hi"][whole])
+        pick = np.flatnonzero(many | ends)
+        yield from _windows(f.iloc[pick], common_[pick], ends[pick], length, core, buckets)
 
     return run
 
 
-def _runs(core, context, first, last, bucket=-1, entries=b"") -> pd.DataFrame:
-    return pd.DataFrame({"core": core, "context": context, "first": first, "last": last, "bucket": bucket, "entries": entries})
-
-
-def _portions(pick: np.ndarray, group: np.ndarray, size: int = 4_000) -> Iterator[np.ndarray]:
-    """Cut into portions of about `size` classes that keep groups whole."""
-    at = 0
-    while at < len(pick):
-        to = min(len(pick), at + size)
-        while to < len(pick) and group[pick[to]] == group[pick[to - 1]]:
-            to += 1
-        yield pick[at:to]
-        at = to
-
-
-def _windows(pick, tokens, contexts, lo, hi, n, body_of, width: int, at_end: bool, buckets: int) -> Iterator[pd.DataFrame]:
-    data = np.frombuffer(b"".join(body_of[pick]), dtype=np.uint8)
-    sizes = np.array([len(x) for x in body_of[pick]])
-    base = np.cumsum(sizes) - sizes
-    count = hi[pick] - lo[pick] + 1
-    owner = np.repeat(np.arange(len(pick)), count)
-    offset = hi[pick][owner] - (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count))
-    start = base[owner] + hi[pick][owner] - offset
-    prefix = prefix_hash(data)
-    half = width // 2
-    salt = mix(tokens[pick][owner].astype(np.uint64) + mix(offset.astype(np.uint64)), 9)
-    one = mix(span_hash(prefix, start, start + half) + salt)
-    two = mix(span_hash(prefix, start + half, start + width) + salt, 1)
-    order, number = multikey_sort([one, two])
-    times = np.bincount(number, weights=n[pick][owner[order]])
-    repeated = np.zeros(len(owner), dtype=bool)
-    repeated[order] = times[number] > 1
-    rows = np.flatnonzero(repeated & (n[pick][owner] == 1))  # classes that occur twice are told as a whole
-    if len(rows):
-        new = np.concatenate(([True], (np.diff(rows) != 1) | (np.diff(owner[rows]) != 0)))
-        head = rows[np.flatnonzero(new)]
-        tail = rows[np.concatenate((np.flatnonzero(new)[1:], [len(rows)])) - 1]
-        who = pick[owner[head]]
-        yield _runs(tokens[who], contexts[who], offset[tail], offset[head])
-    if at_end:
-        first = order[np.concatenate(([True], np.diff(number) != 0))]
-        entry = np.zeros(len(first), dtype=ENTRY)
-        entry["token"] = one[first] ^ (two[first] << np.uint64(1)) ^ (two[first] >> np.uint64(63))
-        who = pick[owner[first]]
-        entry["core"], entry["context"], entry["offset"] = tokens[who], contexts[who], offset[first]
-        entry["n"] = np.minimum(times, 2)
-        bucket = (entry["token"] % np.uint64(buckets)).astype(np.int64)
+def _runs(ids, first, last, bucket=-1, entries=b"") -> pd.DataFrame:
+    return pd.DataFrame(
+        {"h1": ids["h1"].to_numpy(), "h2": ids["h2"].to_numpy(), "first": np.asarray(first), "last": np.asarray(last), "bucket": bucket, "entries": entries}
+    )
+
+
+def _windows(f: pd.DataFrame, common_: np.ndarray, ends: np.ndarray, length: int, core: int, buckets: int) -> Iterator[pd.DataFrame]:
+    """f in the order of suffixes, with the bytes that neighbours have in common. Window o starts o bytes before its
+    anchor: two are equal if the suffixes agree in length - o bytes and the reversed bytes before them in o."""
+    if not len(f):
+        return
+    order, before = multikey_sort(words_of(f["before"].tolist(), length - core))
+    lo, hi, n = f["lo"].to_numpy(), f["hi"].to_numpy(), f["n"].to_numpy(np.float64)
+    again = np.zeros((len(f), length - core + 3), dtype=np.int8)  # a column of zeros at both ends
+    left, handed = np.empty(len(f), dtype=np.int64), []
+    for o in range(length - core + 1):
+        here = np.flatnonzero((lo <= o) & (o <= hi))
+        if not len(here):
+            continue
+        left[order] = np.cumsum(before < o)
+        block = np.cumsum(common_ < length - o)[here] * (len(f) + 1) + left[here]
+        _, first, place = np.unique(block, return_index=True, return_inverse=True)
+        times = np.bincount(place, weights=n[here])
+        again[here, o + 1] = times[place] > 1
+        first = first[ends[here[first]]]
+        handed.append((here[first], np.full(len(first), o), np.minimum(times[place[first]], 2)))
+    step = np.diff(again, axis=1)
+    row, first = np.nonzero(step == 1)
+    yield _runs(f.iloc[row], first, np.nonzero(step == -1)[1] - 1)
+    row, offset, times = (np.concatenate(x) for x in zip(*handed, strict=True))
+    yield from _hand_on(f, row, offset, times, length, buckets)
+
+
+def _hand_on(f: pd.DataFrame, row, offset, times, length: int, buckets: int, most: int = 200_000) -> Iterator[pd.DataFrame]:
+    suffix, before = f["suffix"].tolist(), f["before"].tolist()
+    h1, h2 = f["h1"].to_numpy(np.int64), f["h2"].to_numpy(np.int64)
+    for a in range(0, len(row), most):
+        r, o = row[a : a + most], offset[a : a + most]
+        digests = [
+            hashlib.blake2b(before[i][:k][::-1] + suffix[i][: length - k], digest_size=16, salt=b"%d" % k).digest()
+            for i, k in zip(r.tolist(), o.tolist(), strict=True)
+        ]
+        entry = np.zeros(len(r), dtype=ENTRY)
+        digests = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+        entry["d1"], entry["d2"], entry["h1"], entry["h2"] = digests[:, 0], digests[:, 1], h1[r], h2[r]
+        entry["offset"], entry["n"] = o, times[a : a + most]
+        bucket = entry["d1"] % buckets
         by = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1))
-        for a, b in zip(cuts, [*cuts[1:], len(by)], strict=True):
-            yield _runs([0], [0], [0], [0], int(bucket[by[a]]), [entry[by[a:b]].tobytes()])
+        packed = [entry[by[x:y]].tobytes() for x, y in zip(cuts, [*cuts[1:], len(by)], strict=True)]
+        yield pd.DataFrame({"h1": 0, "h2": 0, "first": 0, "last": 0, "bucket": bucket[by[cuts]], "entries": packed})
 
 
 def _across(frame: pd.DataFrame) -> pd.DataFrame:
-    """Windows of the ends of all buckets with one range of fingerprints: those that occur once in their own bucket
-    and again in another."""
+    """Windows of the ends of all buckets with one range of digests: those that occur once in their own bucket and again
+    in another. A window has an entry in each bucket at most, so no digest fills the group."""
     entry = np.frombuffer(b"".join(frame["entries"]), dtype=ENTRY)
-    _, place = np.unique(entry["token"], return_inverse=True)
+    entry = entry[np.lexsort((entry["d2"], entry["d1"]))]
+    new = np.concatenate(([True], (np.diff(entry["d1"]) != 0) | (np.diff(entry["d2"]) != 0)))[: len(entry)]
+    place = np.cumsum(new) - 1
     hit = entry[(np.bincount(place, weights=entry["n"])[place] > 1) & (entry["n"] == 1)]
-    return pd.DataFrame({"core": hit["core"], "context": hit["context"], "first": hit["offset"], "last": hit["offset"]})
+    return pd.DataFrame({"h1": hit["h1"], "h2": hit["h2"], "first": hit["offset"], "last": hit["offset"]})
 
 
 def _cut(names: list[str], bits: np.ndarray | None = None):
@@ -260,6 +273,8 @@ def _cut(names: list[str], bits: np.ndarray | None = None):
         for batch in batches:
             if bits is not None:
                 batch = batch[~test_bits(bits, batch["slot"].to_numpy(np.int64))]
+            if not len(batch):
+                continue
             out = {c: batch[c].array for c in names}
             kept, removed, spans, sizes = [], [], [], []
             for text, cuts in zip(batch["text"], batch["cuts"], strict=True):
@@ -310,18 +325,18 @@ def remove_repeats(docs: DataFrame, length: int = 400, core: int = 200, carry: t
     cores = long_.select("text").mapInPandas(_cores(length, core), "core long, n long")
     again = cores.groupBy("core").agg(F.sum("n").alias("n")).where("n > 1").select("core")
     bits = bitmap(again.select(F.pmod("core", F.lit(1 << CORE_BITS)).alias("slot")), CORE_BITS)
-    schema = f"kind int, {CLASSES}, key long, at long"
-    found = written(long_.mapInPandas(_suffixes(length, core, bits), schema), "op9-suffixes")
+    found = written(long_.mapInPandas(_suffixes(length, core, bits), FOUND), "op9-suffixes")
 
-    classes = found.where("kind = 0").select("core", "context", "lo", "hi", "n", "body")
-    buckets = classes.repartitionByRange(2 * partitions(spark), "core", "context")
-    ends = max(1, partitions(spark) // 8)
-    runs = written(buckets.mapInPandas(_sort_bucket(length, core, ends), RUNS), "op9-runs")
+    suffixes = found.where("kind = 0").select("h1", "h2", "core", "suffix", "before", "lo", "hi", "n")
+    # by leading bytes; a core that fills several buckets goes on by the bytes after it and before it
+    leading = [F.substring("suffix", 1, LEADING), F.col("core"), F.substring("suffix", core + 1, LEADING), F.substring("before", 1, LEADING)]
+    sorted_ = suffixes.repartitionByRange(2 * partitions(spark), *leading).mapInPandas(_sort_bucket(length, core, partitions(spark)), RUNS)
+    runs = written(sorted_, "op9-runs")
     across = runs.where("bucket >= 0").select("bucket", "entries").groupBy("bucket")
-    across = across.applyInPandas(_across, "core long, context long, first int, last int")
-    told = runs.where("bucket < 0").select("core", "context", "first", "last").unionByName(across)
+    across = across.applyInPandas(_across, "h1 long, h2 long, first int, last int")
+    told = runs.where("bucket < 0").select("h1", "h2", "first", "last").unionByName(across)
 
-    places = found.where("kind = 1").select("core", "context", "key", "at").join(told, ["core", "context"])
+    places = found.where("kind = 1").select("h1", "h2", "key", "at").join(told, ["h1", "h2"])
     cut = F.shiftleft(F.col("at") - F.col("last"), 32) + (F.col("at") - F.col("first") + length)
     cuts = written(places.groupBy("key").agg(F.collect_set(cut).alias("cuts")), "op9-cuts")
     discard(found, runs)

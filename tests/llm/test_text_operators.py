@@ -139,15 +139,45 @@ def test_suffix_dedup_of_one_hot_passage(spark):
     assert got_removed(spark, rows, 100, 50) == removed(rows, 100)
 
 
+def test_suffix_dedup_of_a_batch_without_rest(spark):
+    """Every row of a batch loses something."""
+    rows = [(i, "the same text " * 40) for i in range(8)]
+    assert got_removed(spark, rows) == removed(rows, 400)
+
+
+def test_suffix_dedup_across_buckets(spark):
+    """A hot passage fills several buckets; windows that reach over its ends repeat in some texts only. Zero bytes too."""
+    rng = random.Random(13)
+    text = lambda n: "".join(rng.choice("ab\0 ") for _ in range(n))
+    passage, heads, tails = text(80), [text(30) for _ in range(6)], [text(30) for _ in range(6)]
+    rows = [(i, text(25) + rng.choice(heads) + passage + rng.choice(tails) + text(25)) for i in range(150)]
+    rows += [(200 + i, text(40) + heads[0][15:] + passage + text(40)) for i in range(20)]
+    assert got_removed(spark, rows, 100, 50) == removed(rows, 100)
+
+
+def test_suffix_dedup_of_long_texts(spark, monkeypatch):
+    """Texts longer than what a worker takes at once."""
+    monkeypatch.setattr(sd.common, "SLICE_CHARS", 2000)
+    rng = random.Random(14)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    long_ = text(9000)
+    rows = [(1, long_), (2, text(5000) + long_[3000:3700] + text(5000)), (3, long_[:8999]), (4, text(300))]
+    assert got_removed(spark, rows) == removed(rows, 400)
+
+
 def test_multikey_sort():
     import numpy as np
 
-    rng = np.random.default_rng(1)
-    tokens = [rng.integers(0, 4, 500) for _ in range(3)]
-    order, number = sd.multikey_sort(tokens)
-    rows = [tuple(t[i] for t in tokens) for i in order]
-    assert len(set(rows)) == number[-1] + 1
-    assert all((a == b) == (x == y) for a, b, x, y in zip(rows, rows[1:], number, number[1:], strict=False))
+    rng = random.Random(1)
+    strings = [bytes(rng.choice(b"\0ab") for _ in range(rng.choice([0, 3, 9, 20]))).rstrip(b"\0") for _ in range(400)]
+    order, same = sd.multikey_sort(sd.words_of(strings, 21))
+    padded = [strings[i].ljust(24, b"\0") for i in order]
+    assert padded == sorted(padded)
+    for k in range(1, len(padded)):
+        n = next((j for j in range(24) if padded[k][j] != padded[k - 1][j]), 24)
+        assert same[k] == n
+    order, same = sd.multikey_sort(np.zeros((0, 3), dtype=np.uint64))
+    assert len(order) == len(same) == 0
 
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
