@@ -1,12 +1,15 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 Sets whose sizes lie in one band or in neighbouring bands and whose Jaccard similarity reaches the threshold differ in
-at most k elements, k depending on the band alone. The feature domain is cut into more than k parts by a hash; by the
-pigeonhole principle two such sets have the same elements in at least one part, and the content of each part is one
-signature. Both sets empty in a part would agree there without saying anything, so empty parts give no signature:
-`spare` further parts make up for them, and a set with more empty parts than that also signs under the next hash
-function (at the last one it signs the empty parts too). Two sets that agree only in empty parts both have too many of
-them, hence both go on: no pair is lost.
+at most k elements, k depending on the band alone. A hash cuts the feature domain into k / 2 + 1 first-level parts or
+more, so that two such sets differ in at most one element in one of these; each is cut into three second-level parts,
+and the content of every subset of two of the three is one signature: at least one subset is the same in both. Where k
+is small a part is not cut again: there are more than k parts, one of which is the same in both.
+
+Both sets empty in a subset would agree there without saying anything, so empty subsets give no signature: `spare`
+further parts make up for them, and a set in which more parts than that have an empty subset also signs under the next
+hash function (at the last one it signs the empty ones too). If one of two sets stops at a level, more good parts than
+it has with empty subsets are left, so they meet there; else both go on: no pair is lost.
 
 Candidates are compared exactly. Of every group that shares a signature first the pairs with its smallest member are
 compared; where that leaves more than one component in a group, its members are split by the rare elements that
@@ -32,7 +35,9 @@ WORD = np.ones(256, dtype=bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
 #: Bytes that a signature, and an element whose sharing is counted, keep beside their bucket. A chance agreement of two
 #: only adds a candidate, or loosens a bound.
-SIGNATURE, SHARED = 5, 4
+SIGNATURE, SHARED = 4, 4
+#: From this number of differing elements on, parts are cut again, and subsets of CUTS - 1 of them are enumerated.
+LEAST_CUT, CUTS = 8, 3
 #: Hash functions tried before empty parts are signed.
 LEVELS = 8
 #: Bits of a set's sketch: bit i is the parity of its number of elements with that hash. The bits in which two sketches
@@ -43,45 +48,60 @@ COUNTERS = 1 << 20
 #: log2 of the bits of the bitmap of documents that share a signature.
 NODE_BITS = 23
 #: Signatures that a task gathers before it hands them on.
-FLUSH = 1_500_000
+FLUSH = 600_000
 
 
-def bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Band of each size up to `largest`; per band the number of parts and of spare parts."""
+def bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Band of each size up to `largest`; per band the number of parts, of spare ones among them, and of the second-level
+    parts of each."""
     last, at = [0], 1
     while at <= largest:
         last.append(at * 100 // percent)
         at = last[-1] + 1
     last.append(at * 100 // percent)
     ends = np.array(last, dtype=np.int64)
+    least = np.concatenate(([0, 0], ends[:-2] + 1))  # of the band before, which signs here too
     differ = 2 * ends * (100 - percent) // (100 + percent)
-    spare = np.where(differ > 0, np.ceil(0.1 * differ + np.sqrt(0.1 * differ)), 0).astype(np.int64)
-    return np.searchsorted(ends, np.arange(largest + 1)), differ + 1 + spare, spare
+    cuts = np.where(differ >= LEAST_CUT, CUTS, 1)
+    parts = np.where(cuts > 1, differ // 2 + 1, differ + 1)
+    # parts with an empty subset that are to be expected
+    empty = np.where(cuts > 1, CUTS * parts * np.exp(-least * (CUTS - 1) / CUTS / parts), 0.1 * differ)
+    spare = np.where(differ > 0, np.ceil(empty + np.sqrt(empty)), 0).astype(np.int64)
+    return np.searchsorted(ends, np.arange(largest + 1)), parts + spare, spare, cuts
 
 
 def signatures(x: np.ndarray, owner: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Elements x of sets `owner` (0..) of the given sizes (none empty) -> signatures and their owners."""
-    band, parts, spare = bands(percent, int(size.max(initial=1)))
+    band, parts, spare, cuts = bands(percent, int(size.max(initial=1)))
     value, out, whose = mix(x, 50), [], []
     for step in (0, 1):
         tag = band[size] + step
         active, e_x, e_owner, e_value = np.arange(len(size)), x, owner, value
         for level in range(LEVELS):
-            n = parts[tag[active]]
+            cut = cuts[tag[active]]
+            n = parts[tag[active]] * cut
             base = np.cumsum(n) - n
             local = np.searchsorted(active, e_owner) if level else e_owner
-            part = ((mix(e_x, 100 + level) >> np.uint64(32)) * n[local].astype(np.uint64)) >> np.uint64(32)
-            slot = base[local] + part.astype(np.int64)
+            second = ((mix(e_x, 100 + level) >> np.uint64(32)) * n[local].astype(np.uint64)) >> np.uint64(32)
+            slot = base[local] + second.astype(np.int64)
             total = np.zeros(int(n.sum()), dtype=np.uint64)
             np.add.at(total, slot, e_value)
-            filled = np.bincount(slot, minlength=len(total)) > 0
+            count = np.bincount(slot, minlength=len(total))
             set_of = np.repeat(np.arange(len(active)), n)
             number = np.arange(len(total)) - base[set_of]
+            first = np.arange(len(total)) - number % cut[set_of]  # place of the part in which a second-level part lies
+            whole = cut[set_of] == 1
+            # a subset is told by the second-level part that it leaves out
+            heads = np.flatnonzero(number % cut[set_of] == 0)
+            part = np.searchsorted(heads, first)
+            total, count = (np.where(whole, v, np.add.reduceat(v, heads)[part] - v) for v in (total, count))
             sig = mix(total + mix((((tag[active][set_of] * LEVELS + level) << 32) + number).astype(np.uint64), 7), 9)
+            filled = count > 0
             keep = filled if level < LEVELS - 1 else np.ones(len(sig), dtype=bool)
             out.append(sig[keep])
             whose.append(active[set_of[keep]])
-            empty = n - np.bincount(set_of[filled], minlength=len(active))
+            lacking = np.unique(first[~filled])
+            empty = np.bincount(set_of[lacking], minlength=len(active))
             more = empty > spare[tag[active]]
             if not more.any():
                 break
@@ -352,16 +372,20 @@ def _slots(items: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(COUNTERS, dtype=np.int64)
+    """Counters of a task, those of each block of slots packed: what was not seen takes no room."""
+    total = np.zeros(COUNTERS, dtype="<u4")
     for batch in batches:
         for raw in batch["items"]:
-            np.add.at(total, _slots(_items(raw)), 1)
-    rows = total.reshape(-1, 4096)
-    yield pd.DataFrame({"block": np.arange(len(rows)), "counts": [r.astype("<i8").tobytes() for r in rows]})
+            np.add.at(total, _slots(_items(raw)), np.uint32(1))
+    rows = total.reshape(-1, 1 << 14)
+    seen = np.flatnonzero(rows.any(axis=1))
+    zip_ = zstandard.ZstdCompressor(level=1)
+    yield pd.DataFrame({"block": seen, "counts": [zip_.compress(rows[k].tobytes()) for k in seen]})
 
 
 def _sum_counts(frame: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, dtype="<i8") for x in frame["counts"])
+    unzip = zstandard.ZstdDecompressor()
+    total = sum(np.frombuffer(unzip.decompress(x), dtype="<u4").astype("<i8") for x in frame["counts"])
     return pd.DataFrame({"block": frame["block"].iloc[:1], "counts": [total.tobytes()]})
 
 
@@ -407,7 +431,10 @@ def _cross_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
     counts = sets.mapInPandas(_count, "block int, counts binary").groupBy("block")
     counts = counts.applyInPandas(_sum_counts, "block int, counts binary").orderBy("block").collect()
-    counts = np.frombuffer(b"".join(bytes(r["counts"]) for r in counts), dtype="<i8")
+    table_ = np.zeros((COUNTERS >> 14, 1 << 14), dtype=np.int64)
+    for r in counts:
+        table_[r["block"]] = np.frombuffer(bytes(r["counts"]), dtype="<i8")
+    counts = table_.ravel()
     bits = bitmap(nodes.select(key_slot("doc", NODE_BITS).alias("slot")), NODE_BITS)
     slotted = sets.select("doc", "items", key_slot("doc", NODE_BITS).alias("slot"))
     rare = slotted.mapInPandas(_prefixes(counts, percent, bits), "doc long, item long, place long")
@@ -447,13 +474,17 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 80) ->
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     source = source.where("doc_id IS NOT NULL")
-    buckets = 4 * partitions(spark)
+    buckets = 2 * partitions(spark)
     packed = source.mapInPandas(_sign(n_words, percent, buckets), PACKED)
     found = written(packed.groupBy("bucket").applyInPandas(_collide, OUT), "op1-found")
 
     info = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("size"), F.col("n").alias("key"))
-    classes = info.where("size > 0").groupBy("size", "key").agg(F.min("doc_id").alias("rep"))
-    info = written(info.join(classes, ["size", "key"], "left"), "op1-classes")  # with root all that the result reads
+    some = info.where("size > 0")
+    classes = some.groupBy("size", "key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    # read from a table: a join of two plain exchanges, in which Spark can split a class with very many copies
+    classes = written(classes.where("n > 1").drop("n"), "op1-copied")
+    some = some.join(classes, ["size", "key"], "left").unionByName(info.where("size = 0").withColumn("rep", F.lit(None).cast("long")))
+    info = written(some.withColumn("rep", F.coalesce("rep", "doc_id")), "op1-classes")  # with root all that the result reads
     moved = info.where("rep <> doc_id").select("doc_id", "rep").distinct()
 
     def to_rep(df: DataFrame, column: str) -> DataFrame:
@@ -492,7 +523,7 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 80) ->
             last, root = root, components(links.unionByName(more), "op1-components")
             discard(last)
         discard(cross, more)
-    discard(found, groups, pairs, sets, links, members)
+    discard(found, classes, groups, pairs, sets, links, members)
 
     key = root.select(F.col("node").alias("rep"), "root")
     return info.join(key, "rep", "left").select(

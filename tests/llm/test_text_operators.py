@@ -87,7 +87,7 @@ def test_signatures_of_similar_sets_meet():
     import numpy as np
 
     rng = np.random.default_rng(5)
-    for size in (4, 5, 9, 17, 40, 130, 400):
+    for size in (4, 5, 9, 17, 31, 40, 60, 130, 400, 1000):
         for _ in range(40):
             a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
             drop = rng.integers(0, max(1, int(0.1 * len(a)) + 1))
@@ -96,6 +96,9 @@ def test_signatures_of_similar_sets_meet():
             if 100 * both >= 80 * (len(a) + len(b) - both):
                 x, of = nj.signatures(np.concatenate((a, b)), np.repeat([0, 1], [len(a), len(b)]), np.array([len(a), len(b)]), 80)
                 assert len(np.intersect1d(x[of == 0], x[of == 1]))
+    # no more than the subsets of all parts, twice, and some repeats
+    x, _ = nj.signatures(rng.integers(0, 2**63, 400, dtype=np.uint64), np.zeros(400, dtype=np.int64), np.array([400]), 80)
+    assert len(x) < 1.2 * 2 * 3 * (88 // 2 + 1 + 8)
 
 
 def removed(rows, length):
