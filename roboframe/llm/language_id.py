@@ -32,6 +32,9 @@ FAMILIES = {
 }
 #: Labelled texts that are fitted on, of each language.
 PER_LANGUAGE = 300
+#: Texts of all languages together that are fitted on, and those of them that tell families apart; where there are many
+#: languages, each has the fewer.
+FITTED, FAMILY_FITTED = 12_000, 6_000
 DIMS = 1 << 13
 
 LETTER = np.zeros(256, dtype=np.uint8)
@@ -87,22 +90,23 @@ class Model:
         self.pairs = [(a, b) for a, b in combinations(range(len(langs)), 2) if self.of[a] == self.of[b]]
         scale = 1.0 / np.sqrt(x.mean(axis=0) + 1e-5)
         z = x * scale
-        gram = z @ z.T + 1.0
         target = np.array([self.of[i] for i in y])
         columns, bias = [], []
 
-        def fit(rows: np.ndarray, positive: np.ndarray) -> None:
-            sign = np.where(positive, 1.0, -1.0)
-            c = svm(gram[np.ix_(rows, rows)].astype(np.float64), sign)
-            columns.append((c @ z[rows]) * scale)
-            bias.append(c.sum())
-
-        everything = np.arange(len(y))
-        for f in range(len(self.families)):
-            fit(everything, target == f)
+        def fit(rows: np.ndarray, signs: list[np.ndarray]) -> None:
+            own = z[rows]
+            gram = (own @ own.T + 1.0).astype(np.float64)
+            for positive in signs:
+                c = svm(gram, np.where(positive, 1.0, -1.0))
+                columns.append((c @ own) * scale)
+                bias.append(c.sum())
+
+        each = max(1, FAMILY_FITTED // len(langs))  # rows come in no order that texts of a language depend on
+        some = np.concatenate([np.flatnonzero(y == i)[:each] for i in range(len(langs))])
+        fit(some, [target[some] == f for f in range(len(self.families))])
         for a, b in self.pairs:
             rows = np.flatnonzero((y == a) | (y == b))
-            fit(rows, y[rows] == a)
+            fit(rows, [y[rows] == a])
         self.w = np.stack(columns, axis=1).astype(np.float32) if columns else np.zeros((DIMS, 0), dtype=np.float32)
         self.b = np.array(bias)
 
@@ -131,9 +135,11 @@ class Model:
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """labelled(doc_id, text, lang), lang not null -> a model; at most about `per_language` texts of each language
-    reach the driver, as vectors of fixed size. Of more than 200 languages the 200 most frequent are fitted; texts of the
+    """labelled(doc_id, text, lang), lang not null -> a model; at most about `per_language` texts of each language, and
+    FITTED of all, reach the driver, as vectors of fixed size. Of more than 200 languages the 200 most frequent are fitted; texts of the
     others are told as one of these. None where nothing is labelled."""
+    languages = max(1, labelled.select("lang").distinct().limit(200).count())
+    per_language = min(per_language, FITTED // languages)
     sample = bounded(labelled, "lang", "doc_id", per_language, leave_rare=True).select("text", "lang")
     rows = sample.mapInPandas(_features, "lang string, x binary").collect()
     if not rows:
