@@ -25,8 +25,10 @@ SCALE = 64
 
 
 def quantized(vectors: list) -> np.ndarray:
-    top = float(2**63 - 1024)  # the largest double below 2**63: larger components are cut to it
-    return np.clip(np.floor(np.asarray(vectors, dtype=np.float64) * SCALE), -top, top).astype(np.int64)
+    v = np.floor(np.asarray(vectors, dtype=np.float64) * SCALE)
+    if (np.abs(v) >= 2.0**63).any():
+        raise ValueError(f"a component times {SCALE} is not a 64-bit integer")
+    return v.astype(np.int64)
 
 
 def _pack(rows: int):
@@ -36,7 +38,7 @@ def _pack(rows: int):
         order = np.argsort(np.array(ids, dtype=np.int64), kind="stable")
         i = np.array(ids, dtype=np.int64)[order]
         m = np.stack(vectors)[order]
-        kind = next(k for k in ("<i1", "<i2", "<i4", "<i8") if np.abs(m).max(initial=0) <= np.iinfo(k).max)
+        kind = next(k for k in ("<i1", "<i2", "<i4", "<i8") if m.max(initial=0) <= np.iinfo(k).max and m.min(initial=0) >= np.iinfo(k).min)
         row = ((part << 32) + number, m.shape[1], i.tobytes(), kind, m.astype(kind).tobytes())
         return pd.DataFrame([row], columns=["block", "dims", "ids", "kind", "m"])
 
@@ -59,6 +61,10 @@ def _pack(rows: int):
     return run
 
 
+def _largest(m: np.ndarray) -> float:
+    return max(float(m.max(initial=0)), -float(m.min(initial=0)))
+
+
 def accumulate(queries: np.ndarray, columns: list[tuple[np.ndarray, np.ndarray]], rows: int) -> np.ndarray:
     """Scores of each query against `rows` candidates, term at a time: columns[d] = (rows, weights) of dimension d."""
     scores = np.zeros((len(queries), rows), dtype=queries.dtype)
@@ -86,9 +92,11 @@ def _best(k: int):
                 q_ids, c_ids = np.frombuffer(r.q_ids, dtype=np.int64), np.frombuffer(r.ids, dtype=np.int64)
                 q = np.frombuffer(r.q_m, dtype=r.q_kind).astype(np.int64).reshape(len(q_ids), -1)
                 c = np.frombuffer(r.m, dtype=r.kind).astype(np.int64).reshape(len(c_ids), -1)
-                largest = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
+                largest = _largest(q) * _largest(c) * q.shape[1]
                 if largest < 2**31:  # the same sums in half the bytes
                     q, c = q.astype(np.int32), c.astype(np.int32)
+                elif largest >= 2**62:  # sums may not fit into 64 bits: Python's integers
+                    q, c = q.astype(object), c.astype(object)
                 columns = [(at := np.flatnonzero(c[:, d]), c[at, d]) for d in range(c.shape[1])]
                 out = []
                 for a in range(0, len(q_ids), 64):
@@ -121,6 +129,8 @@ def _select(q_ids: np.ndarray, scores: np.ndarray, c_ids: np.ndarray, k: int) ->
                 tie = tie[(tie < own_from[r]) | (tie >= own_to[r])]
                 at = np.concatenate((above, tie[:k]))
         at = at[(at < own_from[r]) | (at >= own_to[r])]
+        if s.dtype == object and any(abs(x) >= 1 << 63 for x in s[at]):
+            raise ValueError("a score is not a 64-bit integer")
         at = at[np.lexsort((at, -s[at].astype(np.int64)))][:k]
         out.append((np.full(len(at), q_ids[r]), s[at].astype(np.int64), c_ids[at]))
     return out
@@ -131,7 +141,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
 
     Components become floor(64 * x); the score is the integer inner product; each query gets its k highest scores
     among all rows with another vec_id, ties to the smaller vec_id. Rows take no part if vec_id or the vector is null,
-    or a component is null, NaN or infinite; sums are 64-bit integers; vectors of different lengths are not compared; empty vectors score 0.
+    or a component is null, NaN or infinite. Sums are exact: where 64 bits may not hold them Python's integers do, and a component or a best score that
+    is no 64-bit integer is an error, not another number. Vectors of different lengths are not compared; empty vectors score 0.
     Rows that repeat a vec_id are candidates each, and as queries give their own rows each. Other columns are ignored.
     """
     good = vectors.select(
