@@ -84,7 +84,7 @@ def _scan(width: int, end: int):
         for batch in batches:
             rows = []
             for file, block, raw in zip(batch["file"], batch["block"], batch["ids"], strict=True):
-                ids = np.frombuffer(raw, dtype=f"<u{width}")
+                ids = np.frombuffer(raw, dtype=f"<u{width}", count=len(raw) // width)
                 at = np.flatnonzero(ids == end)
                 if len(at):
                     rows.append((file, block, len(at), int(at[0]), len(ids) - int(at[-1]) - 1, np.diff(at) - 1))
@@ -99,7 +99,7 @@ def count_tokens(blocks: DataFrame, end: int, width: int = 2) -> DataFrame:
     """blocks(file, block, ids) -> (file, document, n_tokens): the documents of each file in their order from 0, with
     the identifiers before their separators. What follows a file's last separator is its last document, if there is any.
 
-    Empty blocks and empty tables give no rows; an empty document counts 0; null ids are taken as an empty block.
+    Empty blocks and empty tables give no rows; bytes at the end of a block that make no identifier do not count; an empty document counts 0; null ids are taken as an empty block.
     """
     kind = dict(blocks.dtypes)["file"]
     rows = blocks.select("file", "block", F.coalesce("ids", F.lit(b"")).alias("ids"))
