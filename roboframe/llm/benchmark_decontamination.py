@@ -9,6 +9,7 @@ over the words of a batch in step, so that each table look-up is one array opera
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -17,14 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import LOWER, joined, mix, slices, table, words, written
+from .common import LOWER, discard, joined, mix, slices, table, words, written
 
 #: Bytes of words after lower-casing: digits, a-z and all of non-ASCII characters.
 WORD = np.zeros(256, dtype=bool)
 WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
 #: Patterns that a task holds at once; a larger benchmark is searched for in several passes.
 PATTERNS_PER_PASS = 100_000
-TABLE_BITS = 18
+#: Slots of a shift table for each block of a pattern, so that most blocks of a text find an empty one and are skipped.
+SLOTS_PER_BLOCK = 8
 LANE = 256
 
 
@@ -65,7 +67,8 @@ class Patterns:
         order = np.argsort(suffix)
         self.suffix, self.hash, self.ids = suffix[order], h[order], ids[order]
         self.bodies = [bodies[i] for i in order]
-        self.shift = np.full(1 << TABLE_BITS, length - self.b + 1, dtype=np.int64)
+        self.bits = max(12, (SLOTS_PER_BLOCK * len(bodies) * (length - self.b + 1)).bit_length())
+        self.shift = np.full(1 << self.bits, length - self.b + 1, dtype=np.int32)
         for end in range(self.b - 1, length):
             at = self.slot(self.block(h, np.full(len(bodies), end)))
             np.minimum.at(self.shift, at, length - 1 - end)
@@ -79,9 +82,8 @@ class Patterns:
                 total = (total + h[(*rows, at - j)]) * np.uint64(0xD1342543DE82EF95)
         return mix(total)
 
-    @staticmethod
-    def slot(block: np.ndarray) -> np.ndarray:
-        return (block >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    def slot(self, block: np.ndarray) -> np.ndarray:
+        return (block >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def search(self, data, start, end, h, first) -> tuple[np.ndarray, np.ndarray]:
         """Last word of each occurrence, and the pattern's place."""
@@ -120,7 +122,7 @@ class Patterns:
 
 
 def _scan(groups: list[tuple[int, list[bytes], np.ndarray]]):
-    """(doc_id, text) -> (doc_id, key, n_words, hits, windows): hits = word intervals [from, to), flat."""
+    """(doc_id, row, text) -> (doc_id, row, n_words, hits, windows): hits = word intervals [from, to), flat."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         patterns = [Patterns(*g) for g in groups]
@@ -148,7 +150,7 @@ def _scan(groups: list[tuple[int, list[bytes], np.ndarray]]):
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].array,
-                        "key": part["key"].array,
+                        "row": part["row"].array,
                         "n_words": np.diff(first),
                         "hits": hits,
                         "windows": windows,
@@ -175,11 +177,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     windows = written(windows.select("item_id", "length", "body", "window").distinct(), "op4-windows")
     distinct = windows.select("length", "body", "window").distinct()
     passes = max(1, ceil(distinct.count() / PATTERNS_PER_PASS))
-    source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    source = source.withColumn("key", F.xxhash64("doc_id", "text"))
+    source = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    if passes > 1:
+        source = written(source, "op4-source")  # so that a row has the same number in each pass
     doc_kind = dict(source.dtypes)["doc_id"]
-    schema = f"doc_id {doc_kind}, key long, n_words long, hits array<int>, windows array<long>"
-    found = None
+    schema = f"doc_id {doc_kind}, row long, n_words long, hits array<int>, windows array<long>"
+    found = []
     for k in range(passes):
         block = distinct.where(F.pmod("window", F.lit(passes)) == k).orderBy("length", "window").collect()
         groups = []
@@ -187,11 +190,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
             rows = [r for r in block if r["length"] == m]
             groups.append((m, [bytes(r["body"]) for r in rows], np.array([r["window"] for r in rows], dtype=np.int64)))
         got = source.mapInPandas(_scan(groups), schema)
-        found = got if found is None else found.unionByName(got)
-    found = found.withColumn("row", F.monotonically_increasing_id())
-    found = written(found, "op4-found")
+        found.append(written(got if k == 0 else got.where("size(hits) > 0"), "op4-found"))  # a pass holds its patterns alone
     if passes > 1:
-        found = _merge(found, passes)
+        discard(source)
+    found = found[0] if passes == 1 else _merge(found)
     pairs = found.select("row", F.explode("windows").alias("window"))
     pairs = pairs.join(windows.where("item_id IS NOT NULL").select("window", "item_id"), "window")
     named = pairs.groupBy("row").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
@@ -210,27 +212,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     )
 
 
-def _merge(found: DataFrame, passes: int) -> DataFrame:
-    """Unite what several passes found in the same text; each text keeps as many rows as it had."""
-    flat = F.sort_array(F.collect_list("hits"))
-    one = found.groupBy("doc_id", "key").agg(
-        F.min("row").alias("row"),
-        F.first("n_words").alias("n_words"),
-        flat.alias("all"),
+def _merge(found: list[DataFrame]) -> DataFrame:
+    """Unite what several passes found in the same row: the first has all rows, the others those with hits."""
+    first, more = found[0], reduce(DataFrame.unionByName, found[1:]).select("row", "hits", "windows")
+    pairs = "transform(filter(sequence(0, size(hits) - 1), i -> i % 2 = 0), i -> struct(hits[i] as a, hits[i + 1] as b))"
+    more = more.unionByName(first.where("size(hits) > 0").select("row", "hits", "windows"))
+    more = more.select("row", F.expr(pairs).alias("spans"), "windows").groupBy("row").agg(
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_distinct(F.flatten(F.collect_list("windows"))).alias("windows"),
-        F.count("*").alias("times"),
-    )
-    spans = """
-      flatten(transform(filter(
-        transform(sequence(0, cast(n_words as int)), i -> struct(i as i,
-          exists(all, h -> size(h) > 0 and exists(sequence(0, size(h) div 2 - 1), j -> h[2 * j] <= i and i < h[2 * j + 1])) as inside,
-          exists(all, h -> size(h) > 0 and exists(sequence(0, size(h) div 2 - 1), j -> h[2 * j] <= i - 1 and i - 1 < h[2 * j + 1])) as before)),
-        x -> x.inside <> x.before), x -> array(cast(x.i as int))))"""
-    hits = F.when(F.exists("all", lambda h: F.size(h) > 0), F.expr(spans)).otherwise(F.expr("cast(array() as array<int>)"))
-    again = F.explode(F.expr(f"sequence(1, cast(times div {passes} as int))"))
-    return one.withColumn("hits", hits).drop("all").withColumn("copy", again).drop("times").select(
-        "doc_id", "key", "n_words", "hits", "windows", F.xxhash64("row", "copy").alias("row")
     )
+    # spans in their order: one that starts where the last one goes on lengthens it
+    united = """aggregate(spans, cast(array() as array<int>), (s, x) ->
+        CASE WHEN size(s) = 0 OR x.a > s[size(s) - 1] THEN concat(s, array(x.a, x.b))
+             WHEN x.b > s[size(s) - 1] THEN concat(slice(s, 1, size(s) - 1), array(x.b)) ELSE s END)"""
+    more = more.select("row", F.expr(united).alias("all"), F.col("windows").alias("named"))
+    out = first.drop("windows").join(more, "row", "left")
+    windows = F.coalesce("named", F.expr("cast(array() as array<bigint>)"))
+    return out.select("doc_id", "row", "n_words", F.coalesce("all", "hits").alias("hits"), windows.alias("windows"))
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
