@@ -5,7 +5,8 @@ common chunks. Chunks that occur more than once in the corpus are encoded once a
 between them is encoded in place. Joins are repaired from the text around them: outside the first and last safe cut
 of a piece (a blank between a word and a letter, where no token of the whole text can cross) nothing is kept of its own
 encoding; the bytes from the last safe cut of one piece to the first of the next are encoded anew, over as many pieces
-as it takes to reach safe cuts on both sides, where old and new encoding agree.
+as it takes to reach safe cuts on both sides, together with some tokens on both sides. If these come out as they were,
+old and new encoding agree; else the window grows into the pieces until they do.
 """
 
 from __future__ import annotations
@@ -48,6 +49,9 @@ class Codec:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        splits = spec["pre_tokenizer"] or {}
+        if splits.get("type") != "ByteLevel" or spec["normalizer"] is not None or splits.get("add_prefix_space"):
+            raise ValueError(f"{path} is not a byte-level BPE of plain text")
         self.slow = Tokenizer.from_str(json.dumps(spec | {"truncation": None, "padding": None}))
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
@@ -61,7 +65,7 @@ class Codec:
         self.special = special
         self.quick = None
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
-        if all(vocab["".join(m)] == 256 + i for i, m in enumerate(pairs)) and spec["normalizer"] is None:
+        if splits.get("use_regex", True) and all(vocab["".join(m)] == 256 + i for i, m in enumerate(pairs)):
             import tiktoken
             from public_tokenizers import PATTERN
 
@@ -93,6 +97,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+common.KEPT.append(codec)
+
+
 def chunk_ends(texts: list) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """The joined bytes, the start of each text, and the ends of its chunks (relative to its start)."""
     data, starts = joined(texts)
@@ -155,15 +162,43 @@ class Piece:
         return Piece(text[:a].encode("utf-8", "surrogatepass"), c.encode(text[a:b]).tobytes(), text[b:].encode("utf-8", "surrogatepass"))
 
 
+#: Tokens on either side of a join that are encoded again at first.
+OVERLAP = 4
+
+
+def _repair(out: list[np.ndarray], middle: bytes, right: np.ndarray, c: Codec) -> None:
+    """Add to the ids in out those of the bytes that follow and of right, with a window around the join encoded until
+    it agrees with both sides. The window begins and ends where a word begins."""
+    n, left = OVERLAP, np.zeros(0, dtype=c.kind)
+    while True:
+        while out and len(left) < 4 * n:
+            left = np.concatenate((out.pop(), left))
+        a, b = max(0, len(left) - n), min(n, len(right))
+        while a > 0 and not c.raw[left[a]].startswith(b" "):
+            a -= 1
+        while b < len(right) and not c.raw[right[b]].startswith(b" "):
+            b += 1
+        raw = b"".join([*map(c.raw.__getitem__, left[a:].tolist()), middle, *map(c.raw.__getitem__, right[:b].tolist())])
+        new = c.encode(raw.decode("utf-8", "surrogatepass")) if a or not out else None
+        if (
+            new is not None
+            and (not a or np.array_equal(new[: len(left) - a], left[a:]))
+            and (b == len(right) or np.array_equal(new[len(new) - b :], right[:b]))
+        ):
+            out += [left[:a], new, right[b:]]
+            return
+        n *= 4
+
+
 def join_pieces(pieces: list[Piece], c: Codec) -> np.ndarray:
+    """The ids of a text from those of its pieces."""
     out, pending = [], b""
     for p in pieces:
         pending += p.head
         if p.ids is not None:
-            out.append(c.encode(pending.decode("utf-8", "surrogatepass")))
-            out.append(np.frombuffer(p.ids, dtype=c.kind))
+            _repair(out, pending, np.frombuffer(p.ids, dtype=c.kind), c)
             pending = p.tail
-    out.append(c.encode(pending.decode("utf-8", "surrogatepass")))
+    _repair(out, pending, np.zeros(0, dtype=c.kind), c)
     return np.concatenate(out)
 
 
