@@ -92,6 +92,44 @@ def test_toxicity_held_out(spark):
     assert n.get((0, True), 0) < 0.01 * n[0, False]
 
 
+def test_toxicity_out_of_fold(spark):
+    """The chain of a small sample against the same steps in plain numpy."""
+    import numpy as np
+
+    docs, labels = tables(spark)
+    labels = labels.select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity_chain.fit(docs, labels)
+    rows = docs.where("text IS NOT NULL").join(labels, "doc_id").withColumn("fold", remainder("doc_id", toxicity_chain.FOLDS)).collect()
+    rows.sort(key=lambda r: r.doc_id)
+    toxic, fold = np.array([r.label == 1 for r in rows]), np.array([r.fold for r in rows])
+    pairs = [toxicity_chain.term_slots([r.text])[0] for r in rows]
+
+    def terms(fitted):
+        t, n = {}, {}
+        for slots, y in ((np.unique(p), y) for p, y, f in zip(pairs, toxic, fitted) if f):
+            for x in slots.tolist():
+                n[x] = n.get(x, 0) + 1
+                t[x] = t.get(x, 0) + int(y)
+        share = toxic[fitted].mean()
+        best = [(-(t[x] - n[x] * share) / np.sqrt(n[x] * share + 0.5), x) for x in n if t[x] >= 3 and t[x] > 3 * n[x] * share]
+        return np.array(sorted(x for _, x in sorted(best)[: toxicity_chain.TERMS]), dtype=np.int64)
+
+    everything = np.ones(len(rows), dtype=bool)
+    assert terms(everything).tolist() == model.terms.tolist()
+    earlier, own = np.zeros((len(rows), 0)), [terms(fold != k) for k in range(toxicity_chain.FOLDS)] + [terms(everything)]
+    x = [toxicity_chain.features(*toxicity_chain.hits_of([r.text for r in rows], t), len(t)) for t in own]
+    for c, w in enumerate(model.weights):
+        fit = lambda k, fitted: toxicity_chain.logistic(
+            np.concatenate((x[k], earlier), axis=1)[fitted], toxicity_chain.targets(x[k], toxic, fitted)[c][fitted].astype(float)
+        )
+        assert np.abs(fit(toxicity_chain.FOLDS, everything) - w).max() < 0.02
+        p = np.zeros(len(rows))
+        for k in range(toxicity_chain.FOLDS):
+            there = fold == k
+            p[there] = toxicity_chain.probability(np.concatenate((x[k], earlier), axis=1)[there], fit(k, ~there))
+        earlier = np.concatenate((earlier, p[:, None]), axis=1)
+
+
 def test_toxicity_edges(spark):
     docs, labels = tables(spark)
     model = toxicity_chain.fit(docs, labels.select("doc_id", F.col("toxic").alias("label")))
@@ -111,6 +149,70 @@ def test_trigrams_of_a_text_stand_alone():
         assert slot[a:b].tolist() == own[:n].tolist() and counts[a:b].tolist() == real[:n].tolist()
 
 
+def test_language_id_by_votes(spark):
+    """Predictions of a fitted model against a plain count of its votes, text by text."""
+    import numpy as np
+
+    docs, _ = tables(spark)
+    model = language_id.fit(docs.select("doc_id", "text", "lang"), 60)
+    sample = docs.where("length(text) < 3000").limit(150)
+    got = {r.doc_id: r for r in language_id.identify(sample, model, F.lit(False)).collect()}
+    k = len(model.families)
+    for r in sample.collect():
+        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in r.text.encode())
+        raw = bytes(b if 97 <= b <= 122 or b >= 128 else 0 for b in raw) + b"\0\0\0"
+        grams = [raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2] for i in range(len(raw) - 2)]
+        grams = [((g * 2654435761) & 0xFFFFFFFF) >> 19 for g in grams if g]
+        margin = sum(model.w[g].astype(float) for g in grams) / len(grams) + model.b
+        family = int(np.argmax(margin[:k]))
+        votes = {i: 0.0 for i in range(len(model.langs)) if model.of[i] == family}
+        sure = dict.fromkeys(votes, 1.0)
+        for j, (a, b) in enumerate(model.pairs):
+            if model.of[a] == family:
+                p = 1 / (1 + np.exp(-2 * margin[k + j]))
+                votes[a], votes[b] = votes[a] + (p > 0.5), votes[b] + (p <= 0.5)
+                sure[a], sure[b] = min(sure[a], p), min(sure[b], 1 - p)
+        best = max(votes, key=lambda i: votes[i] + 0.5 * sure[i])
+        e = np.exp(2 * (margin[:k] - margin[:k].max()))
+        assert got[r.doc_id].lang_pred == model.langs[best]
+        assert abs(got[r.doc_id].score - e[family] / e.sum() * sure[best]) < 1e-6
+
+
+def test_quality_score_by_line(spark):
+    """Scores of a fitted model from marginals by enumeration, line features one text at a time."""
+    from itertools import product
+
+    import numpy as np
+
+    docs, labels = tables(spark)
+    model = quality_crf.fit(docs, labels.select("doc_id", F.col("quality").alias("label")), 100)
+    rows = [r for r in docs.where("length(text) > 0").limit(400).collect() if r.text.count("\n") < 8][:80]
+    got = {r.doc_id: r.score for r in quality_crf.score_quality(docs.where(F.col("doc_id").isin([r.doc_id for r in rows])), model, F.lit(False)).collect()}
+    for r in rows:
+        x, size, _ = quality_crf.line_features([r.text])
+        lines = r.text.split("\n")
+        assert size.tolist() == [len(line.encode()) for line in lines]
+        z = (x - model.mean) / model.spread
+        none = np.zeros((1, z.shape[1]), dtype=z.dtype)
+        u = np.concatenate((z, np.concatenate((none, z[:-1])), np.concatenate((z[1:], none)), np.ones((len(z), 1))), axis=1) @ model.w
+        mass, good = 0.0, np.zeros(len(u))
+        for y in product((0, 1), repeat=len(u)):
+            w = np.exp(sum(a * b for a, b in zip(u, y)) + sum(model.pair[a, b] for a, b in zip(y, y[1:])))
+            mass += w
+            good += w * np.array(y)
+        want = (good / mass * size).sum() / size.sum() if size.sum() else model.prior
+        assert abs(got[r.doc_id] - want) < 1e-4
+
+
+def test_models_with_empty_tables(spark):
+    docs, labels = tables(spark)
+    none = docs.limit(0)
+    assert quality_crf.fit(none, labels.select("doc_id", F.col("quality").alias("label"))) is None
+    assert toxicity_chain.fit(none, labels.select("doc_id", F.col("toxic").alias("label"))) is None
+    assert quality_crf.score_quality(none, None, F.lit(False)).count() == 0
+    assert toxicity_chain.label_toxicity(none, None).count() == 0
+
+
 def test_many_languages(spark):
     rows = [(i, f"word{chr(97 + i % 26)} text", f"x{i:03}") for i in range(230)] + [(1000 + i, "das ist ein Haus", "de") for i in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

@@ -29,6 +29,23 @@ def test_top_k_matches_brute_force(spark, monkeypatch, blocks):
     assert exact_topk.top_k(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Sums beyond 32 and 64 bits are exact; what no 64-bit integer holds is an error."""
+    big = 1.3 * 2.0**24 + 1 / 64
+    rows = [(0, [big, big, 3.0]), (1, [big, big, -big]), (2, [-big, 0.5, big]), (3, [1.0, 1.0, 1.0]), (20, [big, big, -big])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = {i: [int(x * 64 // 1) for x in v] for i, v in rows}
+    want = Counter()
+    for q in (0, 20):
+        best = sorted((-sum(a * b for a, b in zip(exact[q], exact[i])), i) for i in exact if i != q)
+        want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(best))
+    got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in exact_topk.top_k(frame, F.col("vec_id") % 20 == 0).collect())
+    assert got == want
+    for x in (2.0**57, 2.0**40):  # the component itself, and the square of it
+        with pytest.raises(Exception, match="64-bit"):
+            exact_topk.top_k(spark.createDataFrame([(0, [x]), (1, [x])], frame.schema), F.col("vec_id") % 20 == 0).collect()
+
+
 @pytest.mark.parametrize("block", [1, 7, 1 << 19])
 def test_token_counts(spark, monkeypatch, block):
     monkeypatch.setattr(token_counts, "STRETCH", 3)
@@ -54,7 +71,7 @@ def test_token_counts(spark, monkeypatch, block):
 
 
 def test_raw_token_files(spark, tmp_path):
-    (tmp_path / "a.bin").write_bytes(np.array([1, 2, 9, 9, 3], dtype="<u2").tobytes())
+    (tmp_path / "a.bin").write_bytes(np.array([1, 2, 9, 9, 3], dtype="<u2").tobytes() + b"\1")  # half an identifier at the end
     blocks = token_counts.read_token_files(spark, str(tmp_path), 2, block=2)
     assert sorted(r.n_tokens for r in token_counts.count_tokens(blocks, 9).collect()) == [0, 1, 2]
 

@@ -217,6 +217,20 @@ def test_decontamination_matches_brute_force(spark, monkeypatch, per_pass):
     assert Counter(tuple(r)[:6] for r in out.collect()) == contamination(rows, items)
 
 
+def test_decontamination_of_long_texts(spark, monkeypatch):
+    """A text above the slice size, hits of several passes that touch and overlap, and repeated rows without an id."""
+    rng = random.Random(23)
+    text = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(30)) for _ in range(n))
+    items = [(i, text(25)) for i in range(6)]
+    long_ = text(200_000)
+    rows = [(1, long_ + " " + items[0][1]), (2, items[1][1] + " " + items[2][1]), (None, items[3][1]), (None, items[3][1]), (4, text(50))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for per_pass in (100_000, 20):
+        monkeypatch.setattr(bd, "PATTERNS_PER_PASS", per_pass)
+        out = bd.decontaminate(frame(spark, rows), bench)
+        assert Counter(tuple(r)[:6] for r in out.collect()) == contamination(rows, items)
+
+
 def test_decontamination_with_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert not bd.decontaminate(frame(spark, [(1, "a b")]), bench).first().contaminated
@@ -245,6 +259,36 @@ def test_bpe_matches_the_library(spark):
     assert encode_documents(frame(spark, []), default_path()).count() == 0
 
 
+def test_bpe_of_another_file_and_long_texts(spark, tmp_path, monkeypatch):
+    """A file that does not split into words: cuts between words are no longer sure, and joins grow until they agree."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    from roboframe.llm import bpe
+
+    with open(default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"] |= {"use_regex": False}
+    path = str(tmp_path / "own.json")
+    (tmp_path / "own.json").write_text(json.dumps(spec))
+    rng = random.Random(18)
+    prose = lambda n: "".join(rng.choice(["the ", "to", ". A", "x  y ", "42 a", ", and", "é "]) for _ in range(n))
+    shared = [prose(900) for _ in range(3)]
+    rows = [(i, prose(rng.randint(0, 90)) + rng.choice(shared) + prose(30)) for i in range(12)] + [(20, prose(60_000) + shared[0])]
+    t, want = Tokenizer.from_file(path), Counter()
+    for i, x in rows:
+        want[i, hashlib.sha256(",".join(map(str, t.encode(x, add_special_tokens=False).ids)).encode()).hexdigest()] += 1
+    out = encode_documents(frame(spark, rows), path)
+    assert Counter((r.doc_id, r.ids_sha256) for r in out.collect()) == want
+    # the library's file, with a text above QUICK_CHARS and above the slice size
+    rows = [(1, prose(60_000) + shared[1]), (2, shared[1] + prose(160_000)), (3, shared[1])]
+    out = encode_documents(frame(spark, rows), default_path())
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out.collect()) == encoded(rows)
+    with pytest.raises(ValueError):
+        bpe.Codec(default_path().replace("byte_bpe_50k", "word_bpe_49k"))
+
+
 def test_quick_encoder_agrees_with_the_library():
     rng, c = random.Random(1), Codec(default_path())
     letters = [chr(i) for i in range(1, 0x250)] + [" "] * 200 + ["\n"] * 40 + list("abcde'st") * 20 + ["<|endoftext|>"] * 5
