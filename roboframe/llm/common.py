@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,12 +20,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Models that a worker keeps from one task to the next; tasks of other operators let go of them.
+KEPT: list = []
+
+
+def lean() -> None:
+    """At the start of a task that needs much memory of its own: Python workers go on to the next task, and what earlier
+    ones left would add up. Large arrays return to the system when they are freed, whatever sizes were seen before."""
+    for cache in KEPT:
+        cache.cache_clear()
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to set
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a temporary one does on a
+    single machine; on a cluster that is an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.conf.get("roboframe.shared.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("roboframe.shared.dir", base)
     return base.rstrip("/")

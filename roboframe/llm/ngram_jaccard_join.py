@@ -164,6 +164,7 @@ def _sign(n_words: int, percent: int, buckets: int):
     """(doc_id, text) -> rows (bucket, kind, x, y): packed signatures with their documents, and packed documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.lean()
         sigs, docs, held, seen, turn = [], [], 0, set(), 0
         for batch in batches:
             for part in slices(batch):
@@ -240,6 +241,7 @@ def _collide(frame: pd.DataFrame) -> pd.DataFrame:
 
 def _sets(bits: np.ndarray, n_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.lean()
         seen = set()
         for batch in batches:
             hit = batch[test_bits(bits, batch["slot"].to_numpy(np.int64))]
@@ -318,7 +320,9 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     whole = near_keys(sets.select("doc", "items"), "doc", near.select(F.explode(F.array("a", "b")).alias("doc")))
     left = whole.select(F.col("doc").alias("a"), F.col("items").alias("x"))
     right = whole.select(F.col("doc").alias("b"), F.col("items").alias("y"))
-    return near.join(left, "a").join(right, "b").mapInPandas(_compare(percent), "a long, b long")
+    # merge: the filter and the comparison are in stages of their own, so that a task needs one Python worker at a time
+    both = near.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    return both.mapInPandas(_compare(percent), "a long, b long")
 
 
 def _deal(buckets: int):

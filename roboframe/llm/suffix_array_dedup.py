@@ -115,6 +115,7 @@ def multikey_sort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _cores(length: int, core: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.lean()
         for batch in batches:
             for part in slices(batch):
                 token, n = np.unique(Anchors(part["text"].tolist(), length, core).token, return_counts=True)
@@ -131,6 +132,7 @@ def _suffixes(length: int, core: int, bits: np.ndarray):
     they occur once or again); kind 1: occurrences, for each key once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.lean()
         told, seen = {}, set()
         for batch in batches:
             for part in slices(batch):
@@ -266,7 +268,7 @@ def _across(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"h1": hit["h1"], "h2": hit["h2"], "first": hit["offset"], "last": hit["offset"]})
 
 
-def _cut(names: list[str], bits: np.ndarray | None = None):
+def _cut(names: list[str], with_text: bool, bits: np.ndarray | None = None):
     """Cut the rows' texts; with a bitmap only those rows whose slot is clear, the others are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -300,6 +302,7 @@ def _cut(names: list[str], bits: np.ndarray | None = None):
                     "n_removed": np.array(removed, dtype=np.int64),
                     "n_spans": np.array(spans, dtype=np.int64),
                     "kept": kept,
+                    "kept_text": [x.decode("utf-8", "ignore") for x in kept] if with_text else None,
                     "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept],
                 }
             )
@@ -307,9 +310,10 @@ def _cut(names: list[str], bits: np.ndarray | None = None):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, core: int = 200, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, core: int = 200, carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """docs(doc_id, text, ...) -> a row per row of docs: doc_id, the columns in `carry`, n_bytes, n_removed, n_spans,
-    kept (the remaining bytes), kept_sha256.
+    kept (the remaining bytes), kept_text (these as a text, without characters that a cut splits; null unless with_text
+    is set), kept_sha256.
 
     Each byte covered by a `length`-byte string of UTF-8 bytes that also starts anywhere else (the same text included,
     overlaps count) is removed; strings are judged on the input, and none crosses texts. Null and empty texts have no
@@ -346,13 +350,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, core: int = 200, carry: t
     marked = source.withColumn("slot", key_slot("key", KEY_BITS))
     none = F.lit(None).cast("array<long>")
     whole = marked.select(*names, "text", "slot", none.alias("cuts"))
-    part = marked.where(bitmap_udf(bits)("slot")).join(cuts, "key", "left").select(*names, "text", "cuts")
+    part = marked.where(bitmap_udf(bits)("slot")).join(cuts.hint("merge"), "key", "left").select(*names, "text", "cuts")
     kinds = dict(source.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
-    schema += ", n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
-    return whole.mapInPandas(_cut(names, bits), schema).unionByName(part.mapInPandas(_cut(names), schema))
+    schema += ", n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string"
+    cut_whole, cut_part = _cut(names, with_text, bits), _cut(names, with_text)
+    return whole.mapInPandas(cut_whole, schema).unionByName(part.mapInPandas(cut_part, schema))
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "kept_text")
