@@ -6,10 +6,8 @@ documents. Between stages the rows are written as Parquet and read again.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from roboframe.llm import common
 from roboframe.llm.benchmark_decontamination import decontaminate
@@ -19,9 +17,8 @@ from roboframe.llm.suffix_array_dedup import remove_repeats
 from roboframe.llm.toxicity_chain import fit, label_toxicity
 
 
-@F.pandas_udf(StringType())
-def valid_text(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
+#: Bytes of the shortest repeated string that is cut out: less than 51 words of five bytes with their blanks.
+REPEATED = 240
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +37,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings of 400 or more that occur elsewhere are cut out; a document of which nothing is left goes. A
-    character that a cut splits goes with it."""
+    """Byte strings of REPEATED or more that occur elsewhere are cut out, which are passages of over 50 words at least; a
+    document of which nothing is left goes. A character that a cut splits goes with it."""
     common.prepare(spark)
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = remove_repeats(docs, carry=(*rest, "n_chars"))
-    out = out.withColumn("text", F.when(F.col("n_removed") > 0, valid_text("kept")).otherwise(F.col("kept").cast("string")))
+    out = remove_repeats(docs, REPEATED, REPEATED // 2, carry=(*rest, "n_chars"), with_text=True)
+    out = out.withColumnRenamed("kept_text", "text")
     out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.where("n_removed = 0 OR length(text) > 0").select(*docs.columns)
 
