@@ -496,11 +496,12 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 80) ->
         return df.join(key, column, "left").withColumn(column, F.coalesce("_rep", column)).drop("_rep")
 
     # the member in most groups is nearest to what a group has in common: it is compared with all others first
-    groups = written(to_rep(found.where("kind = 2").select("a", "n"), "a").distinct(), "op1-groups")
+    groups = written(to_rep(found.where("kind = 2").select("a", "n").distinct(), "a").distinct(), "op1-groups")
     degree = groups.groupBy("a").agg(F.count("*").alias("degree"))
     hub = groups.join(degree, "a").groupBy("n").agg(F.max_by("a", F.struct("degree", -F.col("a"))).alias("hub"))
     spokes = groups.join(hub, "n").select(F.col("hub").alias("a"), F.col("a").alias("b"), F.lit(1).cast("long").alias("n"))
-    pairs = to_rep(to_rep(found.where("kind = 1").select("a", "b", "n"), "a"), "b").unionByName(spokes)
+    pairs = found.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("n"))  # a pair meets in many buckets
+    pairs = to_rep(to_rep(pairs, "a"), "b").unionByName(spokes)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n").where("a < b")
     pairs = written(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")), "op1-pairs")
 
