@@ -77,10 +77,14 @@ def actual_key(field: Column) -> Column:
 
 
 def parse_tensor_name(name: Column) -> Column:
-    """robot__group__category__limb::robot__representation as a struct; missing parts are null."""
+    """robot__group__category__limb::robot__representation as a struct; missing parts are null. A name without `::` is
+    special: it is its own category; the part before it may lack the prefix `robot__`."""
     left, right = F.split(F.split_part(name, F.lit("::"), F.lit(1)), "__"), F.split(F.split_part(name, F.lit("::"), F.lit(2)), "__")
-    g = lambda a, i: F.nullif(F.get(a, F.lit(i)), F.lit(""))
-    return F.struct(g(left, 1).alias("group"), g(left, 2).alias("category"), g(left, 3).alias("limb"), g(right, 0).alias("robot"), g(right, 1).alias("repr"))
+    left = F.when(F.get(left, F.lit(0)) == "robot", F.slice(left, 2, F.size(left))).otherwise(left)
+    named = name.contains("::")
+    g = lambda a, i: F.when(named, F.nullif(F.get(a, F.lit(i)), F.lit("")))
+    category = F.when(named, g(left, 1)).otherwise(name)
+    return F.struct(g(left, 0).alias("group"), category.alias("category"), g(left, 2).alias("limb"), g(right, 0).alias("robot"), g(right, 1).alias("repr"))
 
 
 def parse_image_key(key: Column) -> Column:
@@ -92,19 +96,28 @@ def parse_image_key(key: Column) -> Column:
     )
 
 
+#: What a run's name begins with, and the marks before its learning rate and its batch size.
+STAMP, RATE, BATCH = r"\d{4}_\d{2}_\d{2}-\d{2}_\d{2}_\d{2}", "-lr_", "-bsz_"
+
+
 def run_attributes(path: Column) -> Column:
     """Model type, variant, learning rate, batch size and time stamp of a run's path; without a variant in the path it is
     named after the time stamp."""
-    clean = F.rtrim(path, F.lit("/"))
-    last = part(clean, -1)
+    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    name = F.element_at(parts, -1)
     none = lambda c: F.nullif(c, F.lit(""))
-    stamp = none(F.regexp_extract(last, r"^(\d{4}_\d{2}_\d{2}-\d{2}_\d{2}_\d{2})", 1))
-    variant = none(F.regexp_extract(clean, r"(?:^|/)ablations/[^/]*/([^/]+)", 1))
+    after = lambda mark: F.when(F.contains(name, F.lit(mark)), F.element_at(F.split(name, mark), -1))
+    stamp = none(F.regexp_extract(name, f"^{STAMP}", 0))
+    # up to the next field: a dash after an exponent's e belongs to the number
+    rate = none(F.regexp_extract(after(RATE), r"^(?:[^-]|(?<=e)-)+", 0))
+    at = F.array_position(parts, "ablations")
+    variant = F.when(at > 0, F.get(parts, (at + 1).cast("int")))
+    kind = F.filter(parts, lambda p: p == "diffusion_policy")
     return F.struct(
-        F.when(F.array_contains(F.split(clean, "/"), "diffusion_policy"), "diffusion_policy").alias("model_type"),
+        F.get(kind, F.lit(0)).alias("model_type"),
         F.coalesce(variant, F.concat(F.lit("run_"), stamp)).alias("ablation"),
-        none(F.regexp_extract(last, r"-lr_([0-9e.\-]+)", 1)).alias("learning_rate"),
-        none(F.regexp_extract(last, r"-bsz_(\d+)", 1)).cast("int").alias("batch_size"),
+        rate.alias("learning_rate"),
+        none(F.regexp_extract(after(BATCH), r"^\d+", 0)).cast("int").alias("batch_size"),
         stamp.alias("run_timestamp"),
     )
 

@@ -13,7 +13,7 @@ def filter_blank_text(rows: DataFrame, text: str = "text") -> DataFrame:
 
 def unwrap(text: Column) -> Column:
     """The `text` member of a JSON object, else the text itself."""
-    return F.coalesce(F.get_json_object(text, "$.text"), text)
+    return F.when(F.ltrim(text).startswith("{"), F.coalesce(F.get_json_object(text, "$.text"), text)).otherwise(text)
 
 
 def whitespace_tokens(text: Column) -> Column:
@@ -25,6 +25,12 @@ def token_ids(tokens: Column, vocabulary: int) -> Column:
     return F.transform(tokens, lambda t: (F.crc32(t.cast("binary")) % (vocabulary - 1) + 1).cast("int"))
 
 
+def tokenize(text: Column, tokenizer, split=whitespace_tokens) -> Column:
+    """Ids of a text: `tokenizer` takes the column of its tokens, as `split` makes them, and gives one of ids. A null text
+    has no tokens. A tokenizer of whole texts is a pandas_udf with `split` leaving the text as it is."""
+    return tokenizer(split(F.coalesce(text, F.lit(""))))
+
+
 def pad_truncate(ids: Column, length: int, pad: int = 0) -> Column:
     short = F.greatest(F.lit(length) - F.size(ids), F.lit(0))
     return F.concat(F.slice(ids, 1, length), F.array_repeat(F.lit(pad), short))
@@ -43,8 +49,10 @@ def next_token_chunk(ids: Column, length: int, start: Column | None = None) -> C
 
 
 def hashed_start(key: Column, ids: Column, length: int, seed: int) -> Column:
+    """A start by hash of the seed and the key, each that leaves a whole chunk being as likely."""
     room = F.greatest(F.size(ids) - 1 - length, F.lit(0)) + 1
-    return F.pmod(F.xxhash64(key, F.lit(seed)), room.cast("long")).cast("int")
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")).cast("binary"))
+    return (F.conv(F.substring(h, 1, 7), 16, 10).cast("long") % room).cast("int")
 
 
 def loss_mask(targets: Column, ignored: list[int]) -> Column:

@@ -78,10 +78,12 @@ def effective_rate(time: str) -> Column:
 def best_timestamp(messages: DataFrame, keys: list[str], header: str, log: str) -> DataFrame:
     """Header stamps where all messages of a channel have one, log stamps where none has, else an error; both as seconds
     after the earliest log time of the recording."""
-    w = Window.partitionBy(*keys)
-    n, h = F.count("*").over(w), F.count(header).over(w)
+    # counts per channel by partial sums, then a join with a row for each channel: no channel is sorted in one task
+    counts = messages.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.count("*").alias("_n"), F.count(header).alias("_h"))
+    n, h = F.col("_n"), F.col("_h")
     stamp = F.when(h == n, F.col(header)).when(h == 0, F.col(log)).otherwise(F.raise_error(F.lit("some messages have no header stamp")))
-    return messages.withColumn("stamp", stamp)
+    rows = messages.join(counts, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return rows.withColumn("stamp", stamp).drop(*[f"_of_{k}" for k in keys], "_n", "_h")
 
 
 def quaternion_to_matrix(x: Column, y: Column, z: Column, w: Column) -> Column:

@@ -190,3 +190,8 @@ def leaderboard_filter(rows: DataFrame, tags: str | None = None, need: list[str]
         rows = rows.where(F.array_contains(tags, t))
     return rows if least is None else rows.where(F.col("total_rollouts") >= least)
 
+
+
+def replace_groups(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of new, and those of old whose keys do not come in new: a group is replaced as a whole."""
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

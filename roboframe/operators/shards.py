@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import running_sums
+
 
 def seeded_order(key: Column, seed: int, epoch: Column | int = 0) -> Column:
     """A hash that orders rows: every (seed, epoch) is another full permutation."""
@@ -65,12 +67,10 @@ def resume(plan: DataFrame, cursors: DataFrame) -> DataFrame:
 
 
 def mix_datasets(selected: DataFrame, seed: int) -> DataFrame:
-    """Interleave datasets in proportion to their scheduled samples: the middle of each shard on its dataset's own
-    scale from 0 to 1, with a jitter of its width from the seed."""
-    total = F.sum("num_sequences").over(Window.partitionBy("dataset"))
-    middle = (F.col("cum") - F.col("num_sequences") / 2) / total
-    jitter = (F.pmod(F.xxhash64(F.lit(seed), "dataset", "shard", "epoch"), F.lit(1000)) / 1000.0 - 0.5) * F.col("num_sequences") / total
-    return selected.withColumn("mix", middle + jitter)
+    """Interleave datasets at random in proportion to their scheduled shards: every scheduled shard has a place by hash
+    of the seed in [0, 1), all places being as likely for each dataset; `mix`, then dataset, epoch and position order."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), "dataset", F.col("epoch").cast("string"), "shard").cast("binary"))
+    return selected.withColumn("mix", F.conv(F.substring(h, 1, 7), 16, 10).cast("long") / F.lit(float(1 << 28)))
 
 
 def assign_to_workers(selected: DataFrame, nodes: int, per_node: int) -> DataFrame:
@@ -78,22 +78,30 @@ def assign_to_workers(selected: DataFrame, nodes: int, per_node: int) -> DataFra
     return selected.withColumn("node", (w % nodes).cast("int")).withColumn("worker", F.floor(w / nodes).cast("int"))
 
 
-def batch_rows(rows: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
-    """Number rows of a worker into batches of `size`; the incomplete last one is dropped."""
-    w = Window.partitionBy(*keys)
-    b = F.floor((F.row_number().over(w.orderBy(*order)) - 1) / size).cast("long")
-    full = F.floor(F.count("*").over(w) / size)
-    return rows.withColumn("batch", b).withColumn("_full", full).where("batch < _full").drop("_full")
+def batch_rows(rows: DataFrame, keys: list[str], order: list[str], size: int, block: Column | None = None) -> DataFrame:
+    """Number rows of a worker into batches of `size`; the incomplete last one is dropped. `block`, a monotone function
+    of the order, deals a worker's rows over several tasks: whole blocks are counted first."""
+    rows = running_sums(rows.withColumn("_one", F.lit(1)), keys, F.lit(0) if block is None else block, order, ["_one"])
+    total = rows.groupBy(*keys).agg(F.floor(F.count("*") / size).alias("_full"))
+    total = F.broadcast(total.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_full"))  # a row for each worker
+    rows = rows.join(total, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]).drop(*[f"_of_{k}" for k in keys])
+    rows = rows.withColumn("batch", F.floor((F.col("sum__one") - 1) / size).cast("long"))
+    return rows.where("batch < _full").drop("_full", "_one", "sum__one")
 
 
-def chunk_into_shards(rows: DataFrame, key: str, per_shard: int, seed: int, blocks: int = 64) -> DataFrame:
+def chunk_into_shards(rows: DataFrame, key: str, per_shard: int, seed: int, block_digits: int = 4) -> DataFrame:
     """Shuffled rows in groups of `per_shard` (the last may be short), numbered over all rows: a count per block of the
-    hash order first, so that no task sorts everything."""
+    hash order first, so that no task sorts everything. There are 16 ** block_digits blocks."""
     h = seeded_order(F.col(key), seed)
-    rows = rows.withColumn("h", h).withColumn("_b", F.conv(F.substring("h", 1, 2), 16, 10).cast("int"))
+    rows = rows.withColumn("h", h).withColumn("_b", F.conv(F.substring("h", 1, block_digits), 16, 10).cast("int"))
     counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = F.broadcast(counts.withColumn("_before", before).drop("_n"))  # 256 rows
+    # blocks of blocks, then blocks: two short orders
+    counts = counts.withColumn("_top", F.floor(F.col("_b") / 256).cast("int"))
+    tops = counts.groupBy("_top").agg(F.sum("_n").alias("_t"))
+    tops = tops.select("_top", F.coalesce(F.sum("_t").over(Window.orderBy("_top").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_t"))
+    inside = F.sum("_n").over(Window.partitionBy("_top").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("_before", F.coalesce(inside, F.lit(0))).join(F.broadcast(tops), "_top")
+    counts = F.broadcast(counts.select("_b", (F.col("_before") + F.col("_t")).alias("_before")))  # 16 ** block_digits rows
     n = F.row_number().over(Window.partitionBy("_b").orderBy("h", key))
     rows = rows.join(counts, "_b").withColumn("shard", F.floor((F.col("_before") + n - 1) / per_shard).cast("long"))
     return rows.drop("_b", "_before", "h")

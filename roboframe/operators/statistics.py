@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PERCENTS = (0.01, 0.02, 0.05, 0.95, 0.98, 0.99)
@@ -38,26 +38,70 @@ def step_deviation() -> Column:
     return F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1))).otherwise(0.0)
 
 
+def _beside(a: DataFrame, b: DataFrame, on: tuple[str, ...] | list[str]) -> DataFrame:
+    """Inner join on columns of the same names, in which null equals null."""
+    b = b.select(*[F.col(k).alias(f"_r_{k}") for k in on], *[c for c in b.columns if c not in on])
+    return a.join(b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in on]).drop(*[f"_r_{k}" for k in on])
+
+
+def _with_mean(parts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """parts with the pooled mean of their key beside them: what is summed afterwards are differences from it, which
+    cancel nothing where values are large and close."""
+    mean = parts.groupBy(*keys).agg(F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("_mean"))
+    if not keys:
+        return parts.crossJoin(F.broadcast(mean))  # one row
+    return _beside(parts, mean, keys)
+
+
 def finalize_statistics(moments: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Overall statistics from those per step: count-weighted mean; deviation from the weighted mean of the per-step
     variances (sample) and the weighted variance of the per-step means."""
-    steps = moments.withColumn("var", step_deviation() * step_deviation())
+    apart = F.col("mean") - F.col("_mean")
     n = F.sum("n")
-    mean = F.try_divide(F.sum(F.col("n") * F.col("mean")), n)
-    within = F.try_divide(F.sum(F.col("n") * F.col("var")), n)
-    square = F.try_divide(F.sum(F.col("n") * F.col("mean") * F.col("mean")), n)
-    return steps.groupBy(*keys).agg(
+    spread = F.try_divide(F.sum(F.col("n") * (step_deviation() * step_deviation() + apart * apart)), n)
+    return _with_mean(moments, keys).groupBy(*keys).agg(
         n.alias("n"),
-        mean.alias("mean"),
-        F.sqrt(within + F.greatest(square - mean * mean, F.lit(0.0))).alias("std"),
+        F.first("_mean").alias("mean"),
+        F.sqrt(spread).alias("std"),
         F.min("min").alias("min"),
         F.max("max").alias("max"),
     )
 
 
+#: Ranges of values that each key is dealt into where exact percentiles are looked up.
+RANGES = 64
+
+
 def masked_percentiles(rows: DataFrame, keys: tuple[str, ...] = ("t",), x: str = "x", percents: tuple[float, ...] = PERCENTS) -> DataFrame:
-    """Exact percentiles by linear interpolation."""
-    return rows.groupBy(*keys).agg(F.percentile(valid(x), F.array(*[F.lit(p) for p in percents])).alias("p"))
+    """Exact percentiles by linear interpolation, found by rank: (keys, p), without keys one row.
+
+    A sketch deals each key's values into ranges; their counts tell in which range a rank lies, and only such a range is
+    put in order, so no task holds a key. rows are read three times; a key without a value has no row."""
+    keys = keys or ("_all",)
+    one = F.lit(0)
+    v = rows.withColumn("_all", one).select(*keys, valid(x).cast("double").alias("_x")).where("_x IS NOT NULL")
+    cuts = F.kll_sketch_get_quantile_double("_s", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]))
+    bounds = v.groupBy(*keys).agg(F.kll_sketch_agg_double("_x").alias("_s"), F.count("*").alias("_n"))
+    bounds = bounds.select(*keys, "_n", cuts.alias("_cuts"))
+
+    values = v.groupBy(*keys, "_x").agg(F.count("*").alias("_k"))
+    dealt = _beside(values, bounds, [*keys]).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_x"))))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a key
+    counts = dealt.groupBy(*keys, "_b").agg(F.sum("_k").alias("_c"))
+    counts = counts.withColumn("_from", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    place = [F.struct(F.lit(i).alias("i"), ((F.col("_n") - 1) * F.lit(p)).alias("r")) for i, p in enumerate(percents)]
+    ranks = bounds.select(*keys, F.explode(F.array(*place)).alias("_w"))
+    ranks = ranks.select(*keys, F.col("_w.i").alias("_i"), F.col("_w.r").alias("_r"), F.explode(F.array(F.floor("_w.r"), F.ceil("_w.r"))).alias("_at"))
+    wanted = _beside(ranks, counts, [*keys]).where("_at >= _from AND _at < _from + _c").select(*keys, "_i", "_r", "_at", "_b", "_from").distinct()
+    # the values of the ranges with a wanted rank, in order
+    some = _beside(dealt.select(*keys, "_b", "_x", "_k"), wanted.select(*keys, "_b", "_from").distinct(), [*keys, "_b"])
+    upto = F.sum("_k").over(Window.partitionBy(*keys, "_b").orderBy("_x"))
+    some = some.withColumn("_to", F.col("_from") + upto).withColumn("_low", F.col("_to") - F.col("_k"))
+    found = _beside(wanted.drop("_from"), some.select(*keys, "_b", "_x", "_low", "_to"), [*keys, "_b"]).where("_at >= _low AND _at < _to")
+    lower, upper = F.min_by("_x", "_at"), F.max_by("_x", "_at")
+    each = found.groupBy(*keys, "_i").agg((lower + (upper - lower) * (F.first("_r") - F.min("_at"))).alias("_p"))
+    out = each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_p"))), lambda s: s["_p"]).alias("p"))
+    return out.drop("_all")
 
 
 def quantile_state(rows: DataFrame, keys: tuple[str, ...] = ("t",), x: str = "x") -> DataFrame:
@@ -78,13 +122,11 @@ def merge_moments(parts: DataFrame, keys: tuple[str, ...] = ("t",)) -> DataFrame
     """Combine partial moments (n, mean, m2, min, max) of the same key: pooled m2 with the term between the parts.
 
     Parts without a value count for nothing; a key with no value at all has null mean."""
-    n = F.sum("n")
-    mean = F.try_divide(F.sum(F.col("n") * F.col("mean")), n)
-    square = F.sum(F.col("n") * F.col("mean") * F.col("mean"))
-    return parts.groupBy(*keys).agg(
-        n.alias("n"),
-        mean.alias("mean"),
-        (F.sum("m2") + F.greatest(F.coalesce(square - n * mean * mean, F.lit(0.0)), F.lit(0.0))).alias("m2"),
+    apart = F.col("mean") - F.col("_mean")
+    return _with_mean(parts, keys).groupBy(*keys).agg(
+        F.sum("n").alias("n"),
+        F.first("_mean").alias("mean"),
+        F.sum(F.col("m2") + F.coalesce(F.col("n") * apart * apart, F.lit(0.0))).alias("m2"),
         F.min("min").alias("min"),
         F.max("max").alias("max"),
     )
@@ -147,6 +189,24 @@ def center_scale(stats: Column, method: str, epsilon: float = 1e-6) -> tuple[Col
     return center, F.greatest(scale, F.lit(epsilon))
 
 
+def field_setting(field: Column, settings: dict[str, str], default: str) -> Column:
+    """What holds for a field: the setting of its exact name, else of the first name in `settings` that its own contains,
+    else the default."""
+    exact, part = F.lit(None).cast("string"), F.lit(default)
+    for name, value in reversed(settings.items()):
+        exact = F.when(field == name, value).otherwise(exact)
+        part = F.when(field.contains(name), value).otherwise(part)
+    return F.coalesce(exact, part)
+
+
+def normalize_by_setting(window: Column, stats: Column, method: Column, scope: str = "global", start: Column | None = None) -> Column:
+    """As normalize_window, with the method in a column; another method raises."""
+    out = F.raise_error(F.concat(F.lit("no normalization "), method)).cast("array<double>")
+    for name in NORMS:
+        out = F.when(method == name, normalize_window(window, stats, name, scope, start)).otherwise(out)
+    return out
+
+
 def normalize_window(window: Column, stats: Column, method: str, scope: str = "global", start: Column | None = None) -> Column:
     """(x - center) / scale. scope global: one statistics struct; per_step: an array of structs from step `start` on;
     a window that the statistics do not cover raises."""

@@ -172,3 +172,18 @@ def every_nth(rows: DataFrame, keys: list[str], order: list[str], n: int) -> Dat
         raise ValueError("n must be 1 or more")
     k = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("_k", k).where((F.col("_k") == 1) | (F.col("_k") % n == 0)).drop("_k")
+
+
+def running_sums(rows: DataFrame, keys: list[str], block: Column, order: list[str], values: list[str]) -> DataFrame:
+    """rows with sum_<value>: the sums of `values` over the rows of the same keys up to the row, in `order`.
+
+    `block` cuts the order of a key into pieces (a monotone function of it, such as a range of time): sums of whole
+    blocks first, then inside each, so that a key with very many rows is dealt over as many tasks as it has blocks."""
+    rows = rows.withColumn("_block", block)
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    blocks = rows.groupBy(*keys, "_block").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    blocks = blocks.select(*[F.col(k).alias(f"_of_{k}") for k in [*keys, "_block"]], *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}") for v in values])
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in [*keys, "_block"]]
+    out = rows.withColumns({f"sum_{v}": F.sum(v).over(inside) for v in values}).join(blocks, same)
+    return out.withColumns({f"sum_{v}": F.col(f"sum_{v}") + F.col(f"_{v}") for v in values}).drop(*[f"_{v}" for v in values], *[f"_of_{k}" for k in [*keys, "_block"]], "_block")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..registry import query
+from ..sources import files
 from ..sources.views import LS, RN, listing, read, runs
 
 ROOT = "split_part(path, '/', 3)"
@@ -22,9 +23,14 @@ def _(spark, sf):
 
 @query("A17_assert_empty_output", f"WITH {LS} SELECT split_part(path, '/', 2) AS task, bool_or(path LIKE '%file_0002%') AS completed, count(*) FILTER (WHERE contains(path, 'file_0000')) AS partial FROM ls GROUP BY 1")
 def _(spark, sf):
-    return listing(spark, sf).groupBy(N.part("path", 2).alias("task")).agg(
+    # the report itself is a sink that refuses a folder with output
+    report = listing(spark, sf).groupBy(N.part("path", 2).alias("task")).agg(
         F.bool_or(F.col("path").like("%file_0002%")).alias("completed"), F.count_if(F.col("path").contains("file_0000")).alias("partial")
     )
+    path = files.scratch(spark)
+    files.assert_empty_output(spark, path)
+    report.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @query("A18_pending_transfers", f"WITH {LS} SELECT path, size FROM ls WHERE size % 3 <> 0")
@@ -151,12 +157,15 @@ def _(spark, sf):
     return n.select("n_nationkey", N.actual_key(F.concat_ws("__", F.lit("robot"), kind, F.lit("poses"), "n_name")).alias("key"), N.actual_key(F.lit("a__b")).alias("short"))
 
 
-@query("B20_tensor_axis_filter", "SELECT n_nationkey, 'poses' AS category, n_name AS limb FROM nation WHERE n_regionkey = 2")
+@query("B20_tensor_axis_filter", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 2 THEN 'special_' || n_name ELSE 'poses' END AS category, CASE WHEN n_nationkey % 3 < 2 THEN n_name END AS limb FROM nation WHERE n_regionkey = 2 OR n_nationkey % 3 = 2")
 def _(spark, sf):
     n = read(spark, sf, "nation")
-    name = F.concat(F.lit("robot__actual__poses__"), "n_name", F.lit("::r"), "n_regionkey", F.lit("__xyz"))
+    # names with the prefix, without it, and special ones
+    prefix = F.when(F.col("n_nationkey") % 3 == 0, "robot__").otherwise("")
+    name = F.concat(prefix, F.lit("actual__poses__"), "n_name", F.lit("::r"), "n_regionkey", F.lit("__xyz"))
+    name = F.when(F.col("n_nationkey") % 3 == 2, F.concat(F.lit("special_"), "n_name")).otherwise(name)
     rows = n.select("n_nationkey", N.parse_tensor_name(name).alias("p"))
-    return rows.where("p.robot = 'r2'").select("n_nationkey", "p.category", "p.limb")
+    return rows.where("p.robot = 'r2' OR p.robot IS NULL").select("n_nationkey", "p.category", "p.limb")
 
 
 @query("H20_parse_image_key", "SELECT n_nationkey, 'cam' || n_regionkey AS camera, CAST(n_nationkey AS INTEGER) - 5 AS \"offset\", 'cam' || n_regionkey || '_t' || (n_nationkey - 5) AS key FROM nation")

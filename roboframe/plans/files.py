@@ -51,20 +51,27 @@ def _(spark, sf):
     root = S.scratch(spark)
     s = W.episode_timesteps(frames(spark, sf)).withColumn("chunk", F.format_string("chunk-%03d", F.floor(F.col("episode") / 100)))
     s = s.withColumn("file", F.format_string("episode_%06d", "episode"))
-    s.select("t", "x", "chunk", "file").repartition("file").write.partitionBy("chunk", "file").parquet(f"{root}/raw")
-    rows = spark.read.parquet(f"{root}/raw")
-    rows = rows.withColumn("episode_index", F.regexp_extract("_metadata.file_path", r"episode_(\d+)", 1).cast("int"))
+    s.select("t", "x", "chunk", "file").repartition("file").write.partitionBy("chunk", "file").parquet(f"{root}/held")
+    # the layout of chunks: data/chunk-000/episode_000000.parquet, here a folder for each
+    fs, folder = S.file_system(spark, root)
+    fs.mkdirs(folder(f"{root}/data"))
+    for chunk in fs.listStatus(folder(f"{root}/held")):
+        if (name := chunk.getPath().getName()).startswith("chunk="):
+            fs.rename(chunk.getPath(), folder(f"{root}/data/{name.removeprefix('chunk=')}"))
+    rows = S.scan_chunked_episodes(spark, root)
     return rows.groupBy("episode_index").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("total"))
 
 
 @query("A09_scan_frame_json", f"WITH {EP} SELECT 'h1' AS robot_type, count(*) AS n, round(sum(x), 4) AS total FROM ep")
 def _(spark, sf):
-    # the frames of each episode as one JSON array, parsed by the schema of frame files
+    # the frames of each episode as a file of its own that holds one JSON array
+    root = S.scratch(spark)
     s = W.episode_timesteps(frames(spark, sf))
     one = F.struct(F.col("t").alias("time"), F.struct(F.array("x").alias("arm_state")).alias("states"))
-    text = s.groupBy("episode").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("j"))
-    rows = text.select(F.explode(F.from_json("j", f"array<struct<{S.FRAME_JSON.replace(' DOUBLE,', ': DOUBLE,').replace(' STRING,', ': STRING,').replace('states STRUCT', 'states: STRUCT').replace('actions STRUCT', 'actions: STRUCT')}>>")).alias("f"))
-    rows = rows.select(F.coalesce("f.robot_type", F.lit("h1")).alias("robot_type"), F.col("f.states.arm_state")[0].alias("x"))
+    text = s.groupBy("episode").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("value"))
+    text.select(F.col("episode").alias("file"), "value").write.partitionBy("file").text(f"{root}/task")
+    rows = S.scan_frame_json(spark, f"{root}/task/*")
+    rows = rows.select("robot_type", F.col("states.arm_state")[0].alias("x"))
     return rows.groupBy("robot_type").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("total"))
 
 
@@ -86,7 +93,8 @@ def streamed(spark, rows, batch, build, mode="append", key=None):
     path, q = f"{root}/out", None
 
     def keep(df, k):
-        df.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+        # a folder for each batch: one that runs again replaces its rows
+        df.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={k}")
 
     batches = [r[0] for r in held.select("_batch").distinct().sort("_batch").collect()]
     try:
@@ -100,7 +108,7 @@ def streamed(spark, rows, batch, build, mode="append", key=None):
     finally:
         if q is not None:
             q.stop()
-    return spark.read.schema(out.schema).parquet(path)
+    return spark.read.schema(out.schema).parquet(path).select(*out.columns)
 
 
 @query("K01_stream_masked_moments", f"WITH {EV} SELECT topic, count(*) AS n, round(avg(value), 6) AS mean, round(var_pop(value) * count(*), 2) AS m2, min(value) AS min, max(value) AS max FROM ev GROUP BY topic")
@@ -163,7 +171,7 @@ def keyed(spark, sf, processor):
     return streamed(spark, s, step_batch(F.col("t")), lambda r: J.stateful(r, "key", processor), key="key")
 
 
-@query("K02_stream_history_window", f"""WITH {EP}, s AS (SELECT e.episode, e.t, j, greatest(e.t - 3 + j, 0) AS i FROM ep e, (SELECT unnest(range(0, 4)) AS j) WHERE e.t < 100)
+@query("K02_stream_history_window", f"""WITH {EP}, s AS (SELECT e.episode, e.t, j, greatest(e.t - 3 + j, 0) AS i FROM ep e, (SELECT unnest(range(0, 4)) AS j))
 SELECT CAST(s.episode AS VARCHAR) AS key, CAST(s.t AS BIGINT) AS t, list(e.x ORDER BY j) AS h, CAST(least(s.t + 1, 4) AS INTEGER) AS filled FROM s JOIN ep e ON e.episode = s.episode AND e.t = s.i GROUP BY ALL""")
 def _(spark, sf):
     return keyed(spark, sf, J.HistoryWindow(3))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import alignment as A
+from ..operators.statistics import masked_percentiles
 from ..registry import query
 from ..sources.views import EV, messages, read
 
@@ -117,21 +118,25 @@ def _(spark, sf):
     return counts.withColumn("k", k).where("k <= 50").select("path", "value", "n")
 
 
-@query("D20_config_diff", f"""WITH {EV}, f AS (SELECT event_id, 'k' AS path, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM ev WHERE event_id < 40)
-SELECT path, count(DISTINCT value) AS n_values, string_agg(event_id || '=' || value, ',' ORDER BY event_id) AS values FROM f GROUP BY path HAVING count(DISTINCT value) > 1""")
+@query("D20_config_diff", f"""WITH {EV}, f AS (SELECT event_id, 'k' AS path, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM ev), n AS (SELECT path, count(DISTINCT value) AS n_values FROM f GROUP BY path)
+SELECT path, value, n_values, count(*) AS n, min(event_id) AS first_run, max(event_id) AS last_run FROM f JOIN n USING (path) WHERE n_values > 1 GROUP BY ALL""")
 def _(spark, sf):
     pairs = F.explode(F.map_entries(F.from_json("props", "map<string,string>")))
-    flat = messages(spark, sf).where("event_id < 40").select("event_id", pairs.alias("p"))
-    one = F.array_sort(F.collect_list(F.struct("event_id", F.concat("event_id", F.lit("="), "p.value").alias("v"))))
-    out = flat.groupBy(F.col("p.key").alias("path")).agg(F.countDistinct("p.value").alias("n_values"), one.alias("z"))
-    return out.where("n_values > 1").select("path", "n_values", F.array_join("z.v", ",").alias("values"))
+    # every run against all others: the paths that differ, and which runs say what
+    flat = messages(spark, sf).select("event_id", pairs.alias("p")).groupBy(F.col("p.key").alias("path"), F.col("p.value").alias("value"))
+    said = flat.agg(F.count("*").alias("n"), F.min("event_id").alias("first_run"), F.max("event_id").alias("last_run"))
+    paths = said.where("value IS NOT NULL").groupBy("path").agg(F.count("*").alias("n_values")).where("n_values > 1")
+    return said.join(paths, "path").select("path", "value", "n_values", "n", "first_run", "last_run")
 
 
 @query("D22_duration_summary", f"""WITH {EV} SELECT topic = 'error' AS failed, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, min(value) AS min, max(value) AS max, round(stddev_pop(value), 6) AS std FROM ev GROUP BY 1""")
 def _(spark, sf):
     v = F.col("value")
-    return messages(spark, sf).groupBy((F.col("topic") == "error").alias("failed")).agg(
-        F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.median(v), 6).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.stddev_pop(v), 6).alias("std"))
+    rows = messages(spark, sf).select((F.col("topic") == "error").alias("failed"), "value")
+    out = rows.groupBy("failed").agg(
+        F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.stddev_pop(v), 6).alias("std"))
+    middle = masked_percentiles(rows, ("failed",), "value", (0.5,)).select("failed", F.round(F.get("p", F.lit(0)), 6).alias("median"))
+    return out.join(middle, "failed")
 
 
 @query("D23_duration_histogram", f"""WITH {EV}, r AS (SELECT min(value) AS lo, (max(value) - min(value)) / 60 AS w FROM ev), b AS (SELECT CAST(least(floor((value - lo) / w), 59) AS INTEGER) AS bin, topic <> 'error' AS ok FROM ev, r)
@@ -139,7 +144,8 @@ SELECT bin, count(*) AS n, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS
 def _(spark, sf):
     m = messages(spark, sf)
     r = F.broadcast(m.agg(F.min("value").alias("lo"), ((F.max("value") - F.min("value")) / 60).alias("w")))  # one row
-    b = F.least(F.floor((F.col("value") - F.col("lo")) / F.col("w")), F.lit(59)).cast("int")
+    b = F.least(F.floor(F.try_divide(F.col("value") - F.col("lo"), "w")), F.lit(59)).cast("int")
+    b = F.when(F.col("w") == 0, 0).otherwise(b)  # all values equal
     share = F.round(F.avg(F.when(F.col("topic") != "error", 1.0).otherwise(0.0)), 6)
     return m.crossJoin(r).groupBy(b.alias("bin")).agg(F.count("*").alias("n"), share.alias("share"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import results as R
 from ..registry import query
+from ..sources import files
 from ..sources.views import RN, RO, evaluations, rollouts, runs, samples
 
 SUM = """sm AS (SELECT task, model, count(*) FILTER (WHERE success IS NOT NULL) AS total, count(*) FILTER (WHERE success) AS successes,
@@ -25,7 +26,24 @@ def _(spark, sf):
 
 @query("A13_scan_rollout_results", f"WITH {RO} SELECT task, model, demo_id, success, pending, round(duration, 3) AS duration FROM ro")
 def _(spark, sf):
-    return rollouts(spark, sf).withColumn("duration", F.round("duration", 3))
+    # a results file for each task and model
+    root, r = files.scratch(spark), rollouts(spark, sf)
+    one = F.struct(
+        F.lit("skill").alias("skill_type"), F.col("demo_id").cast("int").alias("scenario_index"), F.col("success").alias("is_success"),
+        F.col("pending").alias("is_pending"), F.col("duration").alias("total_time"), F.lit("").alias("failure_message"),
+    )
+    held = r.groupBy("task", "model").agg(F.lit(50).alias("max_sample_size_per_model"), F.collect_list(one).alias("evaluations"))
+    held.write.partitionBy("model", "task").json(f"{root}/held")
+    fs, path = files.file_system(spark, root)
+    for model in (m.getPath() for m in fs.listStatus(path(f"{root}/held"))):
+        if model.getName().startswith("model="):
+            for task in (t.getPath() for t in fs.listStatus(model)):
+                target = f"{root}/raw/{model.getName()[6:]}/{task.getName()[5:]}/rollouts/2025-01-01T00-00-00"
+                fs.mkdirs(path(target))
+                part = next(p.getPath() for p in fs.listStatus(task) if p.getPath().getName().startswith("part-"))
+                fs.rename(part, path(f"{target}/results.json"))
+    rows = files.scan_results(spark, f"{root}/raw")
+    return rows.select("task", "model", F.col("demo_id").cast("long").alias("demo_id"), "success", "pending", F.round("duration", 3).alias("duration"))
 
 
 @query("D10_pending_crashed", f"WITH {RO}, {SUM} SELECT task, model, pending, crashed FROM sm")
@@ -125,7 +143,9 @@ def _(spark, sf):
 
 @query("A20_export_summary", f"WITH {RO}, {SUM} SELECT task, model, total, successes FROM sm ORDER BY successes DESC")
 def _(spark, sf):
-    return summary(spark, sf).select("task", "model", "total", "successes").orderBy(F.desc("pct"), "task", "model")
+    path = files.scratch(spark)
+    files.export_csv(summary(spark, sf).orderBy(F.desc("pct"), "task", "model").select("task", "model", "total", "successes"), path)
+    return spark.read.schema("task string, model string, total long, successes long").option("header", True).csv(path)
 
 
 @query("A22_results_to_summaries", f"WITH {RO} SELECT task, model, demo_id, success FROM ro WHERE success IS NOT NULL AND demo_id % 10 <> 0")
@@ -216,8 +236,10 @@ def _(spark, sf):
 
 @query("A15_scan_run_csv", f"WITH {RN}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY sample_index) AS k FROM samples) SELECT run_id, sample_index, tag FROM r WHERE k = 1")
 def _(spark, sf):
-    first = F.min_by("tag", "sample_index")
-    return samples(spark, sf).groupBy("run_id").agg(F.min("sample_index").alias("sample_index"), first.alias("tag"))
+    path = files.scratch(spark)
+    rows = samples(spark, sf).select("run_id", "sample_index", "tag")
+    rows.repartitionByRange(4, "sample_index").sortWithinPartitions("sample_index").write.option("header", True).csv(path)
+    return files.scan_run_csv(spark, path, "run_id LONG, sample_index LONG, tag STRING", "run_id")
 
 
 @query("E15_number_duplicates", f"""WITH {RN}, t AS (SELECT run_id, list_sort(list(DISTINCT tag)) AS tags FROM samples GROUP BY 1), n AS (SELECT run_id, len(tags) = 5 AS plain FROM t)
@@ -258,6 +280,15 @@ def _(spark, sf):
     return runs(spark, sf).select("run_id", h.alias("id"), F.concat_ws("_", "run_id", "campaign_name").alias("eval_id"))
 
 
+@query("K07b_replace_evaluation_samples", f"""WITH {RN}, old AS (SELECT run_id, sample_index FROM samples), new AS (SELECT run_id, -sample_index AS sample_index FROM samples WHERE run_id % 4 = 0 AND sample_index % 2 = 0)
+SELECT run_id, sample_index FROM old WHERE run_id NOT IN (SELECT run_id FROM new) UNION ALL SELECT run_id, sample_index FROM new""")
+def _(spark, sf):
+    # an evaluation that comes again brings its own samples: the old ones go, however many there were
+    old = samples(spark, sf).select("run_id", "sample_index")
+    new = old.where("run_id % 4 = 0 AND sample_index % 2 = 0").withColumn("sample_index", -F.col("sample_index"))
+    return R.replace_groups(old, new, ["run_id"])
+
+
 @query("K07_upsert_evaluations", f"WITH {RN} SELECT run_id, CASE WHEN run_id % 4 = 0 THEN total_rollouts + 100 ELSE total_rollouts END AS total_rollouts FROM evals UNION ALL SELECT -1, 5")
 def _(spark, sf):
     old = evaluations(spark, sf).select("run_id", "total_rollouts")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import shards as S
 from ..registry import query
+from ..sources import files
 from ..sources.views import SH, manifest, read
 
 SEED, WORKERS = 11, 4
@@ -32,12 +33,20 @@ def selected(spark, sf, samples):
 
 @query("A01_read_manifest", f"WITH {SH} SELECT dataset, shard, CAST(num_sequences AS BIGINT) AS num_sequences FROM man")
 def _(spark, sf):
-    return manifest(spark, sf)
+    # a manifest for each dataset
+    root, m = files.scratch(spark), manifest(spark, sf)
+    parts = []
+    for d in WEIGHTS:
+        files.write_manifest(m.where(F.col("dataset") == d), f"{root}/{d}")
+        parts.append(files.read_manifest(spark, f"{root}/{d}").select(F.lit(d).alias("dataset"), "shard", "num_sequences"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("A05_write_manifest", f"WITH {SH} SELECT shard, CAST(sum(num_sequences) AS BIGINT) AS num_sequences FROM man GROUP BY shard")
 def _(spark, sf):
-    return manifest(spark, sf).groupBy("shard").agg(F.sum("num_sequences").alias("num_sequences"))
+    path = files.scratch(spark)
+    files.write_manifest(manifest(spark, sf).groupBy("shard").agg(F.sum("num_sequences").alias("num_sequences")), path)
+    return files.read_manifest(spark, path)
 
 
 @query("F01_seeded_shuffle", f"WITH {SH} SELECT dataset, shard, row_number() OVER (PARTITION BY dataset ORDER BY {H(3)}, shard) AS k FROM man")
@@ -71,9 +80,10 @@ def _(spark, sf):
     return selected(spark, sf, 200000).groupBy("dataset", "epoch").agg(F.count("*").alias("n"), F.sum("num_sequences").alias("samples"))
 
 
-@query("J03_mix_datasets")
+@query("J03_mix_datasets", f"""WITH {plan_sql(9000)} SELECT dataset, shard, num_sequences, CAST('0x' || substr(md5('{SEED}|' || dataset || '|' || epoch || '|' || shard), 1, 7) AS BIGINT) / 268435456.0 AS mix FROM sel""")
 def _(spark, sf):
-    return S.mix_datasets(selected(spark, sf, 9000), SEED).select("dataset", "shard", "num_sequences", "mix").orderBy("mix")
+    m = S.mix_datasets(selected(spark, sf, 9000), SEED).orderBy("mix", "dataset", "epoch", "pos")
+    return m.select("dataset", "shard", "num_sequences", "mix")
 
 
 @query("J04_assign_to_workers", f"WITH {plan_sql(9000)} SELECT dataset, shard, CAST((pos - 1) % 4 % 2 AS INTEGER) AS node, CAST((pos - 1) % 4 // 2 AS INTEGER) AS worker FROM sel")
@@ -85,7 +95,7 @@ def _(spark, sf):
 SELECT worker, CAST(k // 512 AS BIGINT) AS batch, count(*) AS n FROM n WHERE k // 512 < c // 512 GROUP BY ALL""")
 def _(spark, sf):
     rows = read(spark, sf, "lineitem").withColumn("worker", F.col("l_orderkey") % 4)
-    return S.batch_rows(rows, ["worker"], ["l_orderkey", "l_linenumber", "l_partkey"], 512).groupBy("worker", "batch").agg(F.count("*").alias("n"))
+    return S.batch_rows(rows, ["worker"], ["l_orderkey", "l_linenumber", "l_partkey"], 512, F.floor(F.col("l_orderkey") / 65536)).groupBy("worker", "batch").agg(F.count("*").alias("n"))
 
 
 @query("J06_chunk_into_shards", f"SELECT doc_id, CAST((row_number() OVER (ORDER BY md5('{SEED}|0|' || doc_id), doc_id) - 1) // 64 AS BIGINT) AS shard FROM documents")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import statistics as S
+from ..operators.windows import running_sums
 from ..registry import query
+from ..sources.files import scratch
 from ..sources.views import EP, EV, VE, messages, vectors
 from .episodes import OK, P, PAD, SLOT, samples
 
@@ -14,6 +16,13 @@ UN = f"WITH {EP}, {PAD}, {OK}, {SLOT}, un AS (SELECT CAST(j AS INTEGER) AS t, x,
 STEP = "step AS (SELECT t, count(x) AS n, avg(x) AS mean, var_pop(x) * count(x) AS m2, min(x) AS min, max(x) AS max, coalesce(var_samp(x), 0) AS var FROM un GROUP BY t)"
 
 
+def stored(rows):
+    """rows written to the shared folder and read again: they are looked at several times."""
+    path = scratch(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def r6(c):
     return F.round(c, 6)
 
@@ -42,7 +51,7 @@ def _(spark, sf):
 
 @query("D03_masked_percentiles", f"""{UN} SELECT t, list_transform(quantile_cont(x, [0.01, 0.02, 0.05, 0.95, 0.98, 0.99]), lambda y: round(y, 6)) AS p FROM un GROUP BY t""")
 def _(spark, sf):
-    return S.masked_percentiles(unmasked(spark, sf)).select("t", F.transform("p", r6).alias("p"))
+    return S.masked_percentiles(stored(unmasked(spark, sf))).select("t", F.transform("p", r6).alias("p"))
 
 
 @query("D04_quantile_state")
@@ -118,11 +127,11 @@ GLOBAL = "g AS (SELECT avg(x) AS mean, stddev_samp(x) AS std, min(x) AS mn, max(
 
 
 def _global(spark, sf):
-    rows = unmasked(spark, sf)
+    rows = stored(unmasked(spark, sf))
     v = S.valid("x")
-    g = rows.agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-                 F.percentile(v, F.array(*[F.lit(p) for p in S.PERCENTS])).alias("p"))
-    return F.broadcast(g.select(F.struct("*").alias("g")))  # one row
+    g = rows.agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    g = g.crossJoin(S.masked_percentiles(rows, ()))  # one row each
+    return F.broadcast(g.select(F.struct("*").alias("g")))
 
 
 @query("H10_normalize_field", f"""{UN}, {GLOBAL} SELECT episode, t, list(round((x - mean) / std, 6) ORDER BY j) AS by_std, list(round((x - (p5 + p95) / 2) / ((p95 - p5) / 2), 6) ORDER BY j) AS by_percentile,
@@ -162,7 +171,7 @@ def _(spark, sf):
     v = vectors(spark, sf)
     stats = [F.struct(F.avg(F.get("v", F.lit(i))).alias("m"), F.stddev_samp(F.get("v", F.lit(i))).alias("s")) for i in range(3)]
     rows = v.crossJoin(F.broadcast(v.agg(F.array(*stats).alias("g"))))  # one row
-    xyz = F.zip_with(F.slice("v", 1, 3), "g", lambda x, s: (x - s["m"]) / s["s"])
+    xyz = F.zip_with(F.slice("v", 1, 3), "g", lambda x, s: (x - s["m"]) / F.greatest(s["s"], F.lit(1e-6)))  # constant channels
     rgb = F.transform(F.slice("v", 4, 3), lambda x: (x - 0.5) / 0.25)
     return rows.select("vec_id", F.transform(F.concat(xyz, rgb), r6).alias("p"))
 
@@ -180,9 +189,22 @@ SELECT topic, event_id, CAST(sum(cents * k) OVER w AS BIGINT) * 1000 // CAST(sum
 def _(spark, sf):
     # in whole hundred-thousandths, so that both engines cut at the same place
     rows = messages(spark, sf).withColumn("k", F.col("episode") % 5 + 1).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
-    rows.createOrReplaceTempView("d31_metric")
-    return spark.sql("""SELECT topic, event_id, sum(cents * k) OVER w * 1000 div sum(k) OVER w AS running FROM d31_metric
-      WINDOW w AS (PARTITION BY topic ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+    rows = rows.withColumn("weighted", F.col("cents") * F.col("k")).select("topic", "s", "event_id", "weighted", "k")
+    out = running_sums(rows, ["topic"], F.floor(F.col("s") / 21600).cast("long"), ["s", "event_id"], ["weighted", "k"])
+    return out.select("topic", "event_id", F.expr("sum_weighted * 1000 div sum_k").alias("running"))
+
+
+@query("H10c_normalize_by_field", f"""{UN}, {STEP}, g AS (SELECT avg(x) AS mean, stddev_samp(x) AS std, min(x) AS mn, max(x) AS mx FROM un)
+SELECT episode, t, list(round(CASE WHEN episode % 3 = 1 THEN (x - mean) / std ELSE (x - (mn + mx) / 2) / ((mx - mn) / 2) END, 6) ORDER BY j) AS w FROM val, g GROUP BY episode, t""")
+def _(spark, sf):
+    # fields by name: the exact one, one that contains a name, one that takes the default
+    v = S.valid("x")
+    g = unmasked(spark, sf).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    g = F.broadcast(g.withColumn("p", F.array_repeat(F.lit(None).cast("double"), 6)).select(F.struct("*").alias("g")))  # one row
+    field = F.get(F.array(F.lit("xyz"), F.lit("arm_joint_0"), F.lit("other")), (F.col("episode") % 3).cast("int"))
+    method = S.field_setting(field, {"joint": "std", "xyz": "min_max", "arm": "percentile_1_99"}, "min_max")
+    rows = samples(spark, sf).crossJoin(g)
+    return rows.select("episode", "t", F.transform(S.normalize_by_setting(F.col("window"), F.col("g"), method), r6).alias("w"))
 
 
 @query("D32_throughput", f"""WITH {EV} SELECT event_id, round(512 / nullif(value, 0), 6) AS samples_s, round(512 / nullif(value, 0) / 8, 6) AS samples_s_gpu, round(512 * 2048 / nullif(value, 0), 6) AS tokens_s FROM ev""")
@@ -193,7 +215,7 @@ def _(spark, sf):
 
 @query("D34_array_profile", f"""WITH {VE} SELECT label, count(*) AS n, min(len(v)) AS shape_min, max(len(v)) AS shape_max, round(min(list_min(v)), 6) AS min, round(max(list_max(v)), 6) AS max, round(avg(list_avg(v)), 6) AS mean FROM ve GROUP BY label""")
 def _(spark, sf):
-    mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v")
+    mean = F.try_divide(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), F.size("v"))  # null for an empty array
     return vectors(spark, sf).groupBy("label").agg(
         F.count("*").alias("n"), F.min(F.size("v")).alias("shape_min"), F.max(F.size("v")).alias("shape_max"),
         r6(F.min(F.array_min("v"))).alias("min"), r6(F.max(F.array_max("v"))).alias("max"), r6(F.avg(mean)).alias("mean"),

@@ -27,9 +27,11 @@ def _(spark, sf):
     return docs(spark, sf).select("text")
 
 
-@query("A07_parquet_row_counts", "SELECT count(*) AS n FROM documents")
+@query("A07_parquet_row_counts", "SELECT 'documents.parquet' AS file, count(*) AS n FROM documents")
 def _(spark, sf):
-    return docs(spark, sf).groupBy("_metadata.file_path").count().agg(F.sum("count").alias("n"))
+    # a row for each file; of a table in a folder the files in it
+    file = F.element_at(F.split("_metadata.file_path", "/"), -1)
+    return docs(spark, sf).groupBy(file.alias("file")).agg(F.count("*").alias("n"))
 
 
 @query("B14_filter_blank_text", "SELECT doc_id FROM documents WHERE regexp_matches(text, '\\S')")
@@ -61,21 +63,38 @@ def _(spark, sf):
 
 @query("H23_tokenize_pad_truncate", f"WITH {TOK} SELECT doc_id, list_concat(ids[1:{L + 1}], list_transform(range(0, greatest({L + 1} - len(ids), 0)), lambda x: 0)) AS ids FROM tok")
 def _(spark, sf):
-    return tokens(spark, sf).select("doc_id", T.pad_truncate(F.col("ids"), L + 1).alias("ids"))
+    # every second text comes wrapped in a JSON object
+    d = docs(spark, sf)
+    raw = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct("text"))).otherwise(F.col("text"))
+    ids = T.tokenize(T.unwrap(raw), lambda tokens: F.transform(tokens, lambda t: F.length(t) % 50 + 1))
+    return d.select("doc_id", T.pad_truncate(ids, L + 1).alias("ids"))
+
+
+@query("H23b_token_ids", r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS n, true AS known FROM documents")
+def _(spark, sf):
+    ids = T.tokenize(F.col("text"), lambda tokens: T.token_ids(tokens, 50_000))
+    one = docs(spark, sf).select("doc_id", ids.alias("ids"))
+    return one.select("doc_id", F.size("ids").cast("long").alias("n"), F.forall("ids", lambda i: (i > 0) & (i < 50_000)).alias("known"))
+
+
+#: a text longer than a chunk starts at a place by hash of its id
+ST = f"st AS (SELECT doc_id, ids, least({L}, greatest(len(ids) - 1, 0)) AS n, CAST(CAST('0x' || substr(md5('3|' || doc_id), 1, 7) AS BIGINT) % (greatest(len(ids) - 1 - {L}, 0) + 1) AS INTEGER) AS s FROM tok)"
+CH = f"{ST}, ch AS (SELECT doc_id, ids[s + 1:s + n] AS inputs, ids[s + 2:s + 1 + n] AS targets FROM st)"
 
 
-CH = f"ch AS (SELECT doc_id, ids[1:least({L}, greatest(len(ids) - 1, 0))] AS inputs, ids[2:1 + least({L}, greatest(len(ids) - 1, 0))] AS targets FROM tok)"
+def chunks(spark, sf):
+    rows = tokens(spark, sf)
+    return rows.select("doc_id", T.next_token_chunk(F.col("ids"), L, T.hashed_start(F.col("doc_id"), F.col("ids"), L, 3)).alias("c"))
 
 
 @query("H24_next_token_chunk", f"WITH {TOK}, {CH} SELECT doc_id, inputs, targets FROM ch")
 def _(spark, sf):
-    return tokens(spark, sf).select("doc_id", T.next_token_chunk(F.col("ids"), L).alias("c")).select("doc_id", "c.*")
+    return chunks(spark, sf).select("doc_id", "c.*")
 
 
 @query("H25_loss_mask", f"WITH {TOK}, {CH} SELECT doc_id, list_transform(targets, lambda x: x IN (1, 3)) AS mask FROM ch")
 def _(spark, sf):
-    c = tokens(spark, sf).select("doc_id", T.next_token_chunk(F.col("ids"), L).alias("c"))
-    return c.select("doc_id", T.loss_mask(F.col("c.targets"), [1, 3]).alias("mask"))
+    return chunks(spark, sf).select("doc_id", T.loss_mask(F.col("c.targets"), [1, 3]).alias("mask"))
 
 
 @query("H26_text_to_seed", "SELECT doc_id, CAST((" + " + ".join(f"CAST('0x' || substr(sha256(text), {8 * i + 1}, 8) AS HUGEINT)" for i in range(8)) + ") % 4294967295 AS BIGINT) AS seed FROM documents")

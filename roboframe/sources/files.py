@@ -10,6 +10,7 @@ import re
 import tarfile
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +22,22 @@ MANIFEST = "shard STRING, num_sequences BIGINT"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one (spark.checkpoint.dir), or a temporary one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    """A new folder below the shared one (spark.checkpoint.dir). Where that is unset a temporary one does on a single
+    machine; on a cluster that is an error."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/roboframe-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, root: str):
+    """Spark's file system of a path, and what makes its paths."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).option("mode", "FAILFAST").json(path)
 
@@ -82,25 +94,36 @@ def read_tar_samples(spark: SparkSession, pattern: str, skip_bad: bool = True) -
 
 
 def tar_samples(files: DataFrame, skip_bad: bool = True) -> DataFrame:
-    """files(path, content) -> samples."""
+    """files(path, content) -> samples. An empty archive has none."""
+    return _tar_rows(files, skip_bad).where("reason IS NULL").drop("reason")
+
+
+def rejected_tars(files: DataFrame) -> DataFrame:
+    """files(path, content) -> the shards that can't be read, and why."""
+    return _tar_rows(files, True).where("reason IS NOT NULL").select("shard", "reason")
+
+
+def _tar_rows(files: DataFrame, skip_bad: bool) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 rows: dict[str, dict[str, bytes]] = {}
+                shard, reason = path.rsplit("/", 1)[-1], None
                 try:
                     with tarfile.open(fileobj=io.BytesIO(content)) as tar:
                         for m in tar:
                             if m.isfile():
                                 key, _, field = m.name.partition(".")
                                 rows.setdefault(key, {})[field] = tar.extractfile(m).read()
-                except tarfile.TarError:
+                except (tarfile.TarError, EOFError, OSError, zlib.error) as e:  # the last three: damaged compression
                     if not skip_bad:
                         raise
-                    continue
-                yield pd.DataFrame({"shard": path.rsplit("/", 1)[-1], "key": list(rows), "fields": list(rows.values())})
+                    rows, reason = {None: {}}, str(e) or type(e).__name__
+                if rows:
+                    yield pd.DataFrame({"shard": shard, "key": list(rows), "fields": list(rows.values()), "reason": reason})
 
-    return files.select("path", "content").mapInPandas(run, "shard string, key string, fields map<string,binary>")
+    return files.select("path", "content").mapInPandas(run, "shard string, key string, fields map<string,binary>, reason string")
 
 
 FRAMES = "episode string, t int, field string, value array<double>"
@@ -201,7 +224,23 @@ def scan_results(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scan_run_csv(spark: SparkSession, path: str, schema: str, name: str) -> DataFrame:
-    """Tracked runs; short rows are left out, of a run's name the first row in the file stays."""
+    """Tracked runs; short rows are left out, of a run's name the first row in the order of files and of rows in them
+    stays (Spark may pack the parts of files into tasks in any order)."""
     rows = spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED").csv(path)
-    rows = rows.select("*", F.monotonically_increasing_id().alias("_n"))
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rows = rows.select("*", at.alias("_n"))
     return rows.groupBy(name).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in (name, "_n")]), "_n").alias("r")).select(name, "r.*")
+
+
+def assert_empty_output(spark: SparkSession, path: str) -> None:
+    """Raise where the target of a sink holds a file already; a missing or an empty folder will do."""
+    fs, of = file_system(spark, path)
+    target = of(path)
+    if fs.exists(target) and fs.getContentSummary(target).getFileCount() > 0:
+        raise FileExistsError(f"{path} holds output")
+
+
+def export_csv(rows: DataFrame, path: str) -> None:
+    """A table with a header as one CSV file, in the rows' order: summaries are small. Refuses a folder with output."""
+    assert_empty_output(rows.sparkSession, path)
+    rows.coalesce(1).write.mode("append").option("header", True).csv(path)

@@ -159,3 +159,39 @@ def test_step_batches_grow(spark):
     rows = spark.createDataFrame([(t,) for t in edges], "t long").select("t", plans.step_batch(F.col("t")).cast("long").alias("b"))
     got = [r.b for r in sorted(rows.collect())]
     assert got == [0, 0, 1, 3, 4, 4, 5, 13, 14, 14, 15, 13 + 10**9 // plans.WIDEST]
+
+
+def test_tars_without_samples_and_damaged_ones(spark):
+    import gzip
+
+    from roboframe.sources import files as S
+
+    good = S.tar_of([("a.txt", b"x"), ("a.json", b"{}")])
+    rows = [("d/good.tar", good), ("d/empty.tar", S.tar_of([])), ("d/cut.tar.gz", gzip.compress(good * 50)[:60]), ("d/odd.tar", b"not a tar" * 100)]
+    files = spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary")
+    assert [(r.shard, r.key, sorted(r.fields)) for r in S.tar_samples(files).collect()] == [("good.tar", "a", ["json", "txt"])]
+    assert {r.shard for r in S.rejected_tars(files).collect()} == {"cut.tar.gz", "odd.tar"}
+    assert S.tar_samples(files.where("path = 'd/empty.tar'")).count() == 0
+    with pytest.raises(Exception):
+        S.tar_samples(files, skip_bad=False).count()
+
+
+def test_sinks_refuse_folders_with_output(spark, tmp_path):
+    from roboframe.sources import files as S
+
+    rows = spark.createDataFrame([("b", 2), ("a", 1)], "k string, n long")
+    path = f"file://{tmp_path}/out"
+    S.assert_empty_output(spark, path)
+    S.export_csv(rows, path)
+    assert [tuple(r) for r in spark.read.option("header", True).csv(path).collect()] == [("b", "2"), ("a", "1")]
+    with pytest.raises(FileExistsError):
+        S.export_csv(rows, path)
+
+
+def test_first_row_of_a_run_csv(spark, tmp_path):
+    from roboframe.sources import files as S
+
+    (tmp_path / "a.csv").write_text("name,x\nr1,1\nr2,2\nr1,3\n")
+    (tmp_path / "b.csv").write_text("name,x\n" + "r2,9\n" * 2000 + "r3,4\n")
+    got = S.scan_run_csv(spark, str(tmp_path), "name STRING, x INT", "name")
+    assert {r.name: r.x for r in got.collect()} == {"r1": 1, "r2": 2, "r3": 4}

@@ -142,3 +142,85 @@ def test_farthest_points(spark):
     pts = rows(spark, [("k", i, float(x), 0.0, 0.0, 1.0, 1.0, 1.0) for i, x in enumerate([0, 1, 10, 5])], "k string, i int, x double, y double, z double, r double, g double, b double")
     got = geometry.farthest_point_sample(pts, ["k"], 6).orderBy("i").collect()
     assert [r.x for r in got] == [0.0, 10.0, 5.0, 1.0, 0.0, 0.0] and [r.r for r in got] == [1.0] * 4 + [0.0] * 2
+
+
+def test_moments_far_from_zero(spark):
+    """Two parts of 1000 rows whose means are large and one apart."""
+    from roboframe.operators import statistics as S
+
+    parts = spark.createDataFrame([(0, 1000, 1.7e9, 0.0, 1.7e9, 1.7e9), (0, 1000, 1.7e9 + 1, 0.0, 1.7e9 + 1, 1.7e9 + 1), (1, 0, None, 0.0, None, None)], "t int, n long, mean double, m2 double, min double, max double")
+    rows = {r.t: r for r in S.merge_moments(parts).collect()}
+    assert rows[0].n == 2000 and abs(rows[0].m2 - 500) < 1e-6 and rows[0]["mean"] == 1.7e9 + 0.5
+    assert rows[1].n == 0 and rows[1]["mean"] is None
+    whole = S.finalize_statistics(parts.where("t = 0")).first()
+    assert abs(whole.std - 0.5) < 1e-9
+
+
+def test_percentiles_by_rank(spark):
+    import numpy as np
+
+    from roboframe.operators import statistics as S
+
+    rng = np.random.default_rng(4)
+    groups = {0: rng.normal(size=3000), 1: np.repeat([1.0, 2.0], [900, 100]), 2: np.array([5.0]), None: rng.integers(0, 9, 500) / 2}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [(0, None), (0, float("nan")), (3, None)]
+    got = {r.t: r.p for r in S.masked_percentiles(spark.createDataFrame(rows, "t int, x double").repartition(5)).collect()}
+    assert set(got) == set(groups)
+    for k, v in groups.items():
+        assert np.allclose(got[k], np.quantile(v, S.PERCENTS))
+    everything = S.masked_percentiles(spark.createDataFrame(rows, "t int, x double"), ()).first().p
+    assert np.allclose(everything, np.quantile(np.concatenate(list(groups.values())), S.PERCENTS))
+
+
+def test_running_sums_of_one_hot_key(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from roboframe.operators.shards import batch_rows
+    from roboframe.operators.windows import running_sums
+
+    rng = random.Random(2)
+    rows = [("hot" if rng.random() < 0.8 else None, i, rng.randint(-5, 5)) for i in range(500)]
+    frame = spark.createDataFrame(rows, "k string, i long, v long").repartition(3)
+    total, want = {}, set()
+    for k, i, v in rows:
+        total[k] = total.get(k, 0) + v
+        want.add((k, i, total[k]))
+    assert {(r.k, r.i, r.sum_v) for r in running_sums(frame, ["k"], F.floor(F.col("i") / 40), ["i"], ["v"]).collect()} == want
+    one, many = (batch_rows(frame, ["k"], ["i"], 7, b).select("k", "i", "batch").collect() for b in (None, F.floor(F.col("i") / 30)))
+    assert sorted(one, key=str) == sorted(many, key=str) and len(one) == sum(n // 7 * 7 for n in (sum(r[0] == k for r in rows) for k in ("hot", None)))
+
+
+def test_settings_of_fields(spark):
+    from pyspark.sql import functions as F
+
+    from roboframe.operators import statistics as S
+
+    settings = {"joint": "std", "arm_joint": "min_max", "xyz": "percentile_1_99"}
+    names = spark.createDataFrame([("xyz",), ("arm_joint",), ("left_arm_joint",), ("grip",), (None,)], "f string")
+    got = [r.s for r in names.select(S.field_setting(F.col("f"), settings, "std_default").alias("s")).collect()]
+    assert got == ["percentile_1_99", "min_max", "std", "std_default", "std_default"]
+
+
+def test_run_attributes(spark):
+    from pyspark.sql import functions as F
+
+    from roboframe.functions import names as N
+
+    paths = ["a/diffusion_policy/ablations/x/wide/2024_01_02-03_04_05-lr_1e-05-bsz_64-tail/", "2024_01_02-03_04_05-bsz_8-lr_0.001", "plain"]
+    rows = spark.createDataFrame([(p,) for p in paths], "p string").select(N.run_attributes(F.col("p")).alias("a")).select("a.*").collect()
+    assert tuple(rows[0]) == ("diffusion_policy", "wide", "1e-05", 64, "2024_01_02-03_04_05")
+    assert tuple(rows[1]) == (None, "run_2024_01_02-03_04_05", "0.001", 8, "2024_01_02-03_04_05")
+    assert tuple(rows[2]) == (None, None, None, None, None)
+
+
+def test_tensor_names(spark):
+    from pyspark.sql import functions as F
+
+    from roboframe.functions import names as N
+
+    names = ["robot__actual__poses__left::panda__xyz", "actual__poses__left::panda__xyz", "timestep", None]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select(N.parse_tensor_name(F.col("n")).alias("a")).select("a.*").collect()
+    assert tuple(rows[0]) == tuple(rows[1]) == ("actual", "poses", "left", "panda", "xyz")
+    assert tuple(rows[2]) == (None, "timestep", None, None, None) and tuple(rows[3]) == (None,) * 5
