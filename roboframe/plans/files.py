@@ -52,12 +52,13 @@ def _(spark, sf):
     s = W.episode_timesteps(frames(spark, sf)).withColumn("chunk", F.format_string("chunk-%03d", F.floor(F.col("episode") / 100)))
     s = s.withColumn("file", F.format_string("episode_%06d", "episode"))
     s.select("t", "x", "chunk", "file").repartition("file").write.partitionBy("chunk", "file").parquet(f"{root}/held")
-    # the layout of chunks: data/chunk-000/episode_000000.parquet, here a folder for each
-    fs, folder = S.file_system(spark, root)
-    fs.mkdirs(folder(f"{root}/data"))
-    for chunk in fs.listStatus(folder(f"{root}/held")):
-        if (name := chunk.getPath().getName()).startswith("chunk="):
-            fs.rename(chunk.getPath(), folder(f"{root}/data/{name.removeprefix('chunk=')}"))
+    # the layout of chunks: data/chunk-000/episode_000000.parquet
+    fs, path = S.file_system(spark, root)
+    for chunk in (c.getPath() for c in fs.globStatus(path(f"{root}/held/chunk=*"))):
+        target = f"{root}/data/{chunk.getName().removeprefix('chunk=')}"
+        fs.mkdirs(path(target))
+        for part in (p.getPath() for p in fs.globStatus(path(f"{root}/held/{chunk.getName()}/file=*/part-*"))):
+            fs.rename(part, path(f"{target}/{part.getParent().getName().removeprefix('file=')}.parquet"))
     rows = S.scan_chunked_episodes(spark, root)
     return rows.groupBy("episode_index").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("total"))
 
