@@ -26,13 +26,11 @@ KEPT: list = []
 
 def lean() -> None:
     """At the start of a task that needs much memory of its own: Python workers go on to the next task, and what earlier
-    ones left would add up. Large arrays return to the system when they are freed, whatever sizes were seen before."""
+    ones left would add up; it returns to the system."""
     for cache in KEPT:
         cache.cache_clear()
     try:
-        libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-        libc.malloc_trim(0)
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library: nothing to set
         pass
 
