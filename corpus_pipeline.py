@@ -68,7 +68,8 @@ STAGES = [
     ("bpe_encoding", encode),
 ]
 
-#: SQL can't express the stages; tests hold each against brute force.
+#: SQL can't express the stages. Tests hold their operators against brute force; of the stages themselves they check columns and
+#: numbers of rows, and that decontamination finds nothing more in what is left.
 ORACLE_SQL = None
 
 
