@@ -188,28 +188,38 @@ def decode_point_map(code: Column) -> Column:
     return (code - MAP_OFFSET) / MAP_MM
 
 
+def farthest_points(n: int, width: int = 6):
+    """Column function: an array of points, x, y, z first and `width` numbers each -> exactly n of them by farthest-point
+    sampling on xyz from the first one on (ties to the earlier point), zeros where there are fewer; null for null.
+
+    Each choice depends on those before it; a row is the cloud of one image, and a batch of rows is one call."""
+
+    @F.pandas_udf("array<array<double>>")
+    def sample(clouds: pd.Series) -> pd.Series:
+        out = []
+        for cloud in clouds:
+            if cloud is None:
+                out.append(None)
+                continue
+            points = np.array([np.asarray(p, float) for p in cloud], float).reshape(-1, width)
+            xyz, got = points[:, :3], np.zeros((n, width))
+            gap, pick = np.full(len(xyz), np.inf), 0
+            for k in range(min(n, len(xyz))):
+                got[k] = points[pick]
+                gap = np.minimum(gap, ((xyz - xyz[pick]) ** 2).sum(axis=1))
+                gap[pick] = -1
+                pick = int(gap.argmax())
+            out.append(got.tolist())
+        return pd.Series(out)
+
+    return sample
+
+
 def farthest_point_sample(points: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """points(keys, i, x, y, z, r, g, b) -> exactly n rows of each key: farthest-point sampling on xyz from the first
-    point on (ties to the smaller i), zeros where a key has fewer points. Sampling is sequential by nature and one
-    image's points are few, so each key is one group."""
+    """points(keys, i, x, y, z, r, g, b) -> exactly n rows of each key, as farthest_points takes them in the order of i.
+    A key is one image, whose points are few."""
     columns = ["x", "y", "z", "r", "g", "b"]
-
-    def sample(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("i")
-        xyz = frame[["x", "y", "z"]].to_numpy()
-        picks, gap = [0], np.full(len(xyz), np.inf)
-        while len(picks) < min(n, len(xyz)):
-            gap = np.minimum(gap, ((xyz - xyz[picks[-1]]) ** 2).sum(axis=1))
-            gap[picks] = -1
-            picks.append(int(gap.argmax()))
-        got = frame.iloc[picks][columns].to_numpy()
-        out = np.zeros((n, len(columns)))
-        out[: len(got)] = got
-        res = pd.DataFrame(out, columns=columns)
-        for k in keys:
-            res[k] = frame[k].iloc[0]
-        return res.assign(i=np.arange(n))
-
-    kinds = dict(points.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "i int", *(f"{c} double" for c in columns)])
-    return points.groupBy(*keys).applyInPandas(sample, schema)
+    one = F.struct("i", F.array(*[F.col(c).cast("double") for c in columns]).alias("p"))
+    clouds = points.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(one)), lambda s: s["p"]).alias("cloud"))
+    rows = clouds.select(*keys, F.posexplode(farthest_points(n)("cloud")).alias("i", "p"))
+    return rows.select(*keys, "i", *[F.get("p", F.lit(k)).alias(c) for k, c in enumerate(columns)])

@@ -113,3 +113,12 @@ def full_shard_plan(files: DataFrame, per_shard: int) -> DataFrame:
     k = F.floor(F.col("n_rows") / per_shard).cast("long")
     rows = files.withColumn("shards", k)
     return rows.withColumn("first_shard", F.coalesce(F.sum("shards").over(w), F.lit(0)))
+
+
+def transfer_states(listing: DataFrame, attempts: DataFrame, key: str, retries: int = 1) -> DataFrame:
+    """listing(key, ...), attempts(key, attempt, ok) -> the number of attempts for each listed file and its state: done,
+    pending (never tried), retry (failed, with a further attempt left) or failed. A file that once came is done."""
+    log = attempts.groupBy(key).agg(F.max("attempt").cast("int").alias("attempts"), F.bool_or("ok").alias("_done"))
+    rows = listing.join(log, key, "left").withColumn("attempts", F.coalesce("attempts", F.lit(0)))
+    state = F.when(F.col("_done"), "done").when(F.col("attempts") == 0, "pending").when(F.col("attempts") <= retries, "retry").otherwise("failed")
+    return rows.withColumn("state", state).drop("_done")

@@ -83,10 +83,14 @@ def past_future_masks(steps: DataFrame, past: int, future: int) -> DataFrame:
 def window_samples(steps: DataFrame, past: int, future: int, most_past: int, most_future: int, how: str = "copy", stride: int = 1,
                    field: str = "x", episode: str = "episode") -> DataFrame:
     """Anchors that pass the padding limits, each with its padded window and masks."""
-    # the frame must see all rows, so the array is collected first; the filter then drops rows before padding
-    rows = window_values(steps, past, future, field, "w", episode)
-    rows = filter_window_padding(window_padding(stride_anchors(rows, stride), past, future), most_past, most_future)
-    rows = rows.withColumn("window", pad_window(F.col("w"), F.col("past_padding"), F.col("future_padding"), how)).drop("w")
+    # every step must look at its neighbours, as plain columns; arrays are built for the anchors that stay
+    w = Window.partitionBy(episode).orderBy("t")
+    cells = {f"_x{k}": F.lead(field, k).over(w) if k > 0 else F.lag(field, -k).over(w) for k in range(-past, future + 1)}
+    rows = stride_anchors(steps.withColumns(cells), stride)
+    rows = filter_window_padding(window_padding(rows, past, future), most_past, most_future)
+    before, after = F.col("past_padding"), F.col("future_padding")
+    inside = F.slice(F.array(*cells), before + 1, F.lit(past + future + 1) - before - after)
+    rows = rows.withColumn("window", pad_window(inside, before, after, how)).drop(*cells)
     return past_future_masks(rows, past, future)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..operators import shards
 from ..registry import query
 from ..sources import files
 from ..sources.views import LS, RN, listing, read, runs
@@ -39,6 +40,17 @@ def _(spark, sf):
     return remote.join(remote.where("size % 3 = 0").select("path"), "path", "left_anti")
 
 
+@query("A18b_transfer_log", f"""WITH {LS}, a AS (SELECT path, 1 AS attempt, size % 5 <> 0 AS ok FROM ls WHERE size % 3 <> 0 UNION ALL SELECT path, 2, size % 10 <> 0 FROM ls WHERE size % 3 <> 0 AND size % 5 = 0 AND size % 4 <> 0),
+l AS (SELECT path, CAST(max(attempt) AS INTEGER) AS attempts, bool_or(ok) AS done FROM a GROUP BY path)
+SELECT ls.path, coalesce(attempts, 0) AS attempts, CASE WHEN done THEN 'done' WHEN attempts >= 2 THEN 'failed' WHEN attempts = 1 THEN 'retry' ELSE 'pending' END AS state FROM ls LEFT JOIN l USING (path)""")
+def _(spark, sf):
+    # some files fail at first, and some of these a second time
+    remote = listing(spark, sf)
+    first = remote.where("size % 3 <> 0").select("path", F.lit(1).alias("attempt"), (F.col("size") % 5 != 0).alias("ok"), "size")
+    second = first.where("NOT ok AND size % 4 <> 0").select("path", F.lit(2).alias("attempt"), (F.col("size") % 10 != 0).alias("ok"), "size")
+    return shards.transfer_states(remote, first.unionByName(second).drop("size"), "path").select("path", "attempts", "state")
+
+
 @query("A21_copy_dataset_listing", f"WITH {LS} SELECT path, 'backup/' || substr(path, length('ASIA/') + 1) AS dest FROM ls WHERE starts_with(path, 'ASIA/')")
 def _(spark, sf):
     rel = F.expr("substring(path, length('ASIA/') + 1)")
@@ -145,7 +157,11 @@ def _(spark, sf):
     return ls.join(local, "path", "left").select("path", F.coalesce("local", F.concat(F.lit("remote://"), "path")).alias("place"))
 
 
-@query("H28_stable_path_uuid")
+#: version and variant take the places of six bits of the digest
+UUID5 = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lower(to_hex(CAST('0x' || substr(h, 17, 2) AS INTEGER) % 64 + 128)) || substr(h, 19, 2) || '-' || substr(h, 21, 12)"
+
+
+@query("H28_stable_path_uuid", f"WITH {LS}, s AS (SELECT path, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(path)) AS h FROM ls) SELECT path, {UUID5} AS id, split_part(path, '/', 2) AS part FROM s")
 def _(spark, sf):
     return listing(spark, sf).select("path", N.uuid5(F.col("path")).alias("id"), N.part("path", 2).alias("part"))
 

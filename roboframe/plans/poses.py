@@ -150,10 +150,16 @@ def _(spark, sf):
     return vectors(spark, sf).select("vec_id", p.alias("p")).select("vec_id", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
 
 
-@query("H17_farthest_point_sample")
-def _(spark, sf):
-    rows = vectors(spark, sf).select("label", F.col("vec_id").alias("i"), *[G.at(F.col("v"), k).alias(c) for k, c in enumerate("xyzrgb")])
-    return G.farthest_point_sample(rows, ["label"], 16)
+@query("H17_farthest_point_sample", f"""WITH RECURSIVE {VE}, pt AS (SELECT vec_id, list_transform(range(0, 10), lambda p: v[p * 6 + 1:p * 6 + 6]) AS c FROM ve),
+s AS (SELECT vec_id, c, [CAST(1 AS BIGINT)] AS picks FROM pt UNION ALL SELECT vec_id, c, list_append(picks, CAST(list_position(gap, list_max(gap)) AS BIGINT)) FROM (SELECT *,
+  list_transform(range(1, 11), lambda i: CASE WHEN list_contains(picks, i) THEN -1.0 ELSE list_min(list_transform(picks, lambda p: {' + '.join(f'(c[i][{k}] - c[p][{k}]) * (c[i][{k}] - c[p][{k}])' for k in (1, 2, 3))})) END) AS gap
+  FROM s WHERE len(picks) < 10))
+SELECT vec_id, CAST(i AS INTEGER) AS i, {', '.join(f'round(coalesce(c[picks[i + 1]][{k + 1}], 0), 6) + 0.0 AS {n}' for k, n in enumerate('xyzrgb'))} FROM s, (SELECT unnest(range(0, 12)) AS i) WHERE len(picks) = 10""")
+def _(spark, sf):
+    # ten points of six channels each per vector, two more are asked for
+    cloud = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda p: F.slice("v", p * 6 + 1, F.lit(6)))
+    rows = vectors(spark, sf).select("vec_id", F.posexplode(G.farthest_points(12)(cloud)).alias("i", "p"))
+    return rows.select("vec_id", "i", *[(F.round(F.get("p", F.lit(k)), 6) + 0.0).alias(c) for k, c in enumerate("xyzrgb")])
 
 
 @query("H18_encode_point_map", f"""WITH {VE}, e AS (SELECT vec_id, CASE WHEN abs(v[2]) * 10 > 0.2 AND abs(v[2]) * 10 < 2 THEN CAST(floor(greatest(-32768.0, least(32767.0, v[1] * 1000)) + 32768) AS INTEGER) ELSE 32768 END AS code FROM ve)

@@ -51,11 +51,20 @@ def _(spark, sf):
     return summary(spark, sf).select("task", "model", "pending", "crashed")
 
 
-@query("D11_binomial_ci")
+def tail_sql(k, n, p):
+    """P(X >= k) of a binomial X, summed by its terms."""
+    return f"coalesce(list_sum(list_transform(range({k}, {n} + 1), lambda i: exp(lgamma({n} + 1.0) - lgamma(i + 1.0) - lgamma({n} - i + 1.0) + i * ln({p}) + ({n} - i) * ln(1 - ({p}))))), 0)"
+
+
+@query("D11_binomial_ci", f"""WITH RECURSIVE {RO}, {SUM}, b AS (SELECT task, model, successes AS k, total AS n, 0.0::DOUBLE AS l0, 1.0::DOUBLE AS l1, 0.0::DOUBLE AS h0, 1.0::DOUBLE AS h1, 0 AS step FROM sm
+UNION ALL SELECT task, model, k, n, CASE WHEN low THEN (l0 + l1) / 2 ELSE l0 END, CASE WHEN low THEN l1 ELSE (l0 + l1) / 2 END, CASE WHEN high THEN (h0 + h1) / 2 ELSE h0 END, CASE WHEN high THEN h1 ELSE (h0 + h1) / 2 END, step + 1
+  FROM (SELECT *, k > 0 AND {tail_sql('k', 'n', '(l0 + l1) / 2')} < 0.05 AS low, k = n OR {tail_sql('k + 1', 'n', '(h0 + h1) / 2')} < 0.95 AS high FROM b WHERE step < 40))
+SELECT task, model, k AS successes, n AS total, round(l0, 6) AS low, round(h1, 6) AS high FROM b WHERE step = 40""")
 def _(spark, sf):
     s = summary(spark, sf).select("task", "model", "successes", "total")
     ci = R.binomial_ci(0.9)(F.col("successes"), F.col("total"))
-    return s.withColumn("ci", ci).select("task", "model", "successes", "total", F.get("ci", F.lit(0)).alias("low"), F.get("ci", F.lit(1)).alias("high"))
+    end = lambda i: F.round(F.get("ci", F.lit(i)), 6)
+    return s.withColumn("ci", ci).select("task", "model", "successes", "total", end(0).alias("low"), end(1).alias("high"))
 
 
 @query("D12_beta_posterior", f"WITH {RO}, {SUM} SELECT task, model, 1 + successes AS a, 1 + total - successes AS b FROM sm")
@@ -64,10 +73,13 @@ def _(spark, sf):
     return s.select("task", "model", (1 + F.col("successes")).alias("a"), (1 + F.col("total") - F.col("successes")).alias("b"))
 
 
-@query("D12b_beta_quantiles")
+@query("D12b_beta_quantiles", f"""WITH RECURSIVE {RO}, {SUM}, c AS (SELECT task, model, 1 + successes AS a, 1 + total - successes AS b, share, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS step FROM sm, (SELECT unnest([0.025, 0.25, 0.5, 0.75, 0.975]) AS share)
+UNION ALL SELECT task, model, a, b, share, CASE WHEN low THEN (lo + hi) / 2 ELSE lo END, CASE WHEN low THEN hi ELSE (lo + hi) / 2 END, step + 1
+  FROM (SELECT *, {tail_sql('a', '(a + b - 1)', '(lo + hi) / 2')} < share AS low FROM c WHERE step < 40))
+SELECT task, model, a, b, list(round((lo + hi) / 2, 6) ORDER BY share) AS q FROM c WHERE step = 40 GROUP BY ALL""")
 def _(spark, sf):
     s = summary(spark, sf).select("task", "model", (1 + F.col("successes")).alias("a"), (1 + F.col("total") - F.col("successes")).alias("b"))
-    return s.withColumn("q", R.beta_quantiles("a", "b"))
+    return s.withColumn("q", F.transform(R.beta_quantiles("a", "b"), lambda x: F.round(x, 6)))
 
 
 BAL = f"""{SUM}, ct AS (SELECT task, count(*) AS k, min(total) AS least FROM sm WHERE total > 0 GROUP BY task), nm AS (SELECT count(DISTINCT model) AS m FROM sm WHERE total > 0),
@@ -105,7 +117,12 @@ def _(spark, sf):
     return both.groupBy("task", "a", "b").agg(F.count("*").alias("n"), F.count_if("sa").alias("ka"), F.count_if("sb").alias("kb"))
 
 
-@query("D15_compact_letters")
+@query("D15_compact_letters", f"""WITH RECURSIVE {RO}, {PAIRS}, o AS (SELECT task, list(model ORDER BY successes / greatest(total, 1) DESC, model) AS un FROM sm GROUP BY task),
+df AS (SELECT task, list(a || '|' || b) AS apart FROM pz WHERE abs(z) > 1.2815515655446004 GROUP BY task),
+st AS (SELECT o.task, coalesce(apart, CAST([] AS VARCHAR[])) AS apart, un, CAST([] AS VARCHAR[]) AS got, 0 AS k FROM o LEFT JOIN df USING (task)
+UNION ALL SELECT task, apart, list_filter(un, lambda y: NOT list_contains(m, y)), m, k + 1
+  FROM (SELECT *, list_filter(un, lambda y: y = un[1] OR NOT (list_contains(apart, un[1] || '|' || y) OR list_contains(apart, y || '|' || un[1]))) AS m FROM st WHERE len(un) > 0))
+SELECT task, unnest(got) AS model, chr(CAST(96 + k AS INTEGER)) AS letters FROM st WHERE k > 0""")
 def _(spark, sf):
     s = summary(spark, sf)
     return R.compact_letters(s, R.pairwise(s, "task", "model", 0.2), "task", "model")

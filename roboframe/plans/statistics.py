@@ -54,11 +54,16 @@ def _(spark, sf):
     return S.masked_percentiles(stored(unmasked(spark, sf))).select("t", F.transform("p", r6).alias("p"))
 
 
-@query("D04_quantile_state")
+@query("D04_quantile_state", f"{UN} SELECT t, count(x) AS n, 6 AS quantiles, true AS in_rank FROM un GROUP BY t")
 def _(spark, sf):
-    rows = unmasked(spark, sf, ("episode",)).withColumn("dataset", F.col("episode") % 2)
+    # sketches answer within a rank error, so each quantile is held against the share of values up to it
+    rows = stored(unmasked(spark, sf, ("episode",)).withColumn("dataset", F.col("episode") % 2))
     merged = S.merge_quantile_states(S.quantile_state(rows, ("dataset", "t")), ("t",))
-    return S.state_quantiles(merged).select("t", "n", "p")
+    state = F.broadcast(S.state_quantiles(merged).select("t", "n", "p"))  # a row for each step of the window
+    shares = [F.struct(F.avg((F.col("x") < F.get("p", F.lit(i))).cast("int")).alias("lo"), F.avg((F.col("x") <= F.get("p", F.lit(i))).cast("int")).alias("hi")) for i in range(len(S.PERCENTS))]
+    out = rows.join(state, "t").groupBy("t", "n").agg(F.size(F.first("p")).alias("quantiles"), F.array(*shares).alias("s"))
+    good = [(F.get("s", F.lit(i))["lo"] <= q + 0.02) & (F.get("s", F.lit(i))["hi"] >= q - 0.02) for i, q in enumerate(S.PERCENTS)]
+    return out.select("t", "n", "quantiles", F.forall(F.array(*good), lambda g: g).alias("in_rank"))
 
 
 @query("D05_stats_resume", f"""{UN}, {STEP} SELECT t, n, round(mean, 6) AS mean, round(sqrt(var), 6) AS std, min, max FROM step""")

@@ -224,3 +224,28 @@ def test_tensor_names(spark):
     rows = spark.createDataFrame([(n,) for n in names], "n string").select(N.parse_tensor_name(F.col("n")).alias("a")).select("a.*").collect()
     assert tuple(rows[0]) == tuple(rows[1]) == ("actual", "poses", "left", "panda", "xyz")
     assert tuple(rows[2]) == (None, "timestep", None, None, None) and tuple(rows[3]) == (None,) * 5
+
+
+def test_farthest_points_of_null_empty_and_short_clouds(spark):
+    two = [[1.0, 0.0, 0.0, 7.0], [3.0, 0.0, 0.0, 8.0]]
+    f = rows(spark, [(0, None), (1, []), (2, two), (3, [[0.0, 0.0, 0.0, 1.0], [1.0, 0.0, 0.0, 2.0], [-1.0, 0.0, 0.0, 3.0]])], "i int, c array<array<double>>")
+    got = {r.i: r.p for r in f.select("i", geometry.farthest_points(3, 4)("c").alias("p")).collect()}
+    none = [0.0] * 4
+    assert got[0] is None and got[1] == [none] * 3 and got[2] == [*two, none]
+    assert [p[3] for p in got[3]] == [1.0, 2.0, 3.0]  # both are one apart: the earlier point first
+
+
+def test_states_of_transfers(spark):
+    listed = rows(spark, [(p, 1) for p in "abcde"], "path string, ok int")
+    log = rows(spark, [("b", 1, True), ("c", 1, False), ("d", 1, False), ("d", 2, False), ("e", 1, False), ("e", 2, True), ("x", 1, True)], "path string, attempt int, ok boolean")
+    got = {r.path: (r.attempts, r.state) for r in shards.transfer_states(listed, log, "path").collect()}
+    assert got == {"a": (0, "pending"), "b": (1, "done"), "c": (1, "retry"), "d": (2, "failed"), "e": (2, "done")}
+
+
+@pytest.mark.parametrize("past,future,stride", [(0, 0, 1), (0, 3, 2), (4, 0, 1), (3, 5, 3)])
+def test_windows_against_plain_python(spark, past, future, stride):
+    data = {"a": [1.0, 2.0, None, 4.0, 5.0, 6.0, 7.0], "b": [9.0], "c": [1.5, 2.5]}
+    steps = rows(spark, [(k, t, len(v), x) for k, v in data.items() for t, x in enumerate(v)], "episode string, t int, n int, x double")
+    got = windows.window_samples(steps, past, future, past, future, "copy", stride).collect()
+    want = {(k, t): [v[min(max(t + j, 0), len(v) - 1)] for j in range(-past, future + 1)] for k, v in data.items() for t in range(0, len(v), stride)}
+    assert {(r.episode, r.t): r.window for r in got} == want
