@@ -68,8 +68,9 @@ def discard(*frames: DataFrame) -> None:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Arrow batches of 1,000 rows: rows of these tables carry whole texts, and a batch is held by a worker at once."""
+    """Arrow batches of 1,000 rows and some 32 MB: rows carry whole texts or blocks, and a batch is held by a worker at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
 def partitions(spark: SparkSession) -> int:

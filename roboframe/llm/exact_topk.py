@@ -2,25 +2,29 @@
 
 A vector's terms are its dimensions, the postings of a term are the rows of a block with a weight there. For each term
 of a query row its weight times the posting weights is scattered into the query's array of scores; a partition
-selection then keeps the k best of the block, and the blocks' bests are merged. Candidate blocks and query blocks meet
-in an equi-join on the query block's number, every query block with every candidate block.
+selection then keeps the k best of the block, and the blocks' bests are merged, in the task first. Candidate blocks stay
+where they are; query blocks come to them in passes of a bounded size, each pass written before the next one starts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .common import table, written
+from .common import discard, table, written
 
 CANDIDATES = 8192
 QUERIES = 512
+#: Components and ids of all queries of a pass, about: 16 MB at eight bytes each, which the driver and each task hold.
+PASS = 1 << 21
 SCALE = 64
 
 
@@ -83,29 +87,46 @@ def accumulate(queries: np.ndarray, columns: list[tuple[np.ndarray, np.ndarray]]
     return scores
 
 
-def _best(k: int):
-    """Joined blocks -> the k best candidates of the block for each query."""
+def _best(k: int, asked: Broadcast):
+    """Candidate blocks -> the k best candidates that the task has for each query of the pass."""
+
+    def merge(held: tuple | None, score: np.ndarray, ids: np.ndarray, real: np.ndarray) -> tuple:
+        if held is not None:
+            score, ids, real = (np.concatenate(x, axis=1) for x in zip(held, (score, ids, real), strict=True))
+        first = np.lexsort((ids, ~score, ~real), axis=-1)[:, :k]  # ~score falls as the score grows, without overflow
+        return tuple(np.take_along_axis(x, first, axis=1) for x in (score, ids, real))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        queries = []
+        for block, dims, ids, kind, m in asked.value:
+            q_ids = np.frombuffer(ids, dtype=np.int64)
+            queries.append((block, dims, q_ids, np.frombuffer(m, dtype=kind).astype(np.int64).reshape(len(q_ids), dims)))
+        held: dict[int, tuple] = {}
         for batch in batches:
             for r in batch.itertuples(index=False):
-                q_ids, c_ids = np.frombuffer(r.q_ids, dtype=np.int64), np.frombuffer(r.ids, dtype=np.int64)
-                q = np.frombuffer(r.q_m, dtype=r.q_kind).astype(np.int64).reshape(len(q_ids), -1)
-                c = np.frombuffer(r.m, dtype=r.kind).astype(np.int64).reshape(len(c_ids), -1)
-                largest = _largest(q) * _largest(c) * q.shape[1]
-                if largest < 2**31:  # the same sums in half the bytes
-                    q, c = q.astype(np.int32), c.astype(np.int32)
-                elif largest >= 2**62:  # sums may not fit into 64 bits: Python's integers
-                    q, c = q.astype(object), c.astype(object)
-                columns = [(at := np.flatnonzero(c[:, d]), c[at, d]) for d in range(c.shape[1])]
-                out = []
-                for a in range(0, len(q_ids), 64):
-                    ids = q_ids[a : a + 64]
-                    out += _select(ids, accumulate(q[a : a + 64], columns, len(c_ids)), c_ids, k)
-                if out:
-                    q_row = np.repeat(np.arange(len(out)), [len(x[0]) for x in out])
-                    i, s, v = (np.concatenate(x) for x in zip(*out, strict=True))
-                    yield pd.DataFrame({"query_id": i, "q_block": r.q_block, "q_row": q_row, "score": s, "vec_id": v})
+                c_ids = np.frombuffer(r.ids, dtype=np.int64)
+                c = np.frombuffer(r.m, dtype=r.kind).astype(np.int64).reshape(len(c_ids), r.dims)
+                high, columns = _largest(c), {}
+                for n, (_, dims, q_ids, q) in enumerate(queries):
+                    if dims != r.dims:
+                        continue
+                    largest = _largest(q) * high * dims
+                    # sums below 2**31 in half the bytes; sums that may not fit into 64 bits in Python's integers
+                    kind = np.int32 if largest < 2**31 else np.int64 if largest < 2**62 else object
+                    if kind not in columns:
+                        x = c.astype(kind)
+                        columns[kind] = [(at := np.flatnonzero(x[:, d]), x[at, d]) for d in range(dims)]
+                    score = np.zeros((len(q_ids), k), dtype=np.int64)
+                    ids, real = np.zeros_like(score), np.zeros(score.shape, dtype=bool)
+                    for a in range(0, len(q_ids), 64):
+                        scores = accumulate(q[a : a + 64].astype(kind), columns[kind], len(c_ids))
+                        for row, (s, v) in enumerate(_select(q_ids[a : a + 64], scores, c_ids, k), a):
+                            score[row, : len(s)], ids[row, : len(s)], real[row, : len(s)] = s, v, True
+                    held[n] = merge(held.get(n), score, ids, real)
+        for n, (score, ids, real) in held.items():
+            block, _, q_ids, _ = queries[n]
+            row = np.nonzero(real)[0]
+            yield pd.DataFrame({"query_id": q_ids[row], "q_block": block, "q_row": row, "score": score[real], "vec_id": ids[real]})
 
     return run
 
@@ -132,7 +153,7 @@ def _select(q_ids: np.ndarray, scores: np.ndarray, c_ids: np.ndarray, k: int) ->
         if s.dtype == object and any(abs(x) >= 1 << 63 for x in s[at]):
             raise ValueError("a score is not a 64-bit integer")
         at = at[np.lexsort((at, -s[at].astype(np.int64)))][:k]
-        out.append((np.full(len(at), q_ids[r]), s[at].astype(np.int64), c_ids[at]))
+        out.append((s[at].astype(np.int64), c_ids[at]))
     return out
 
 
@@ -151,19 +172,22 @@ def top_k(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = good.where(finite)
     schema = "block long, dims int, ids binary, kind string, m binary"
-    blocks = good.select("id", "v").mapInPandas(_pack(CANDIDATES), schema)
+    session = vectors.sparkSession
+    blocks = written(good.select("id", "v").mapInPandas(_pack(CANDIDATES), schema), "op7-candidates")
     asked = written(good.where("q").select("id", "v").mapInPandas(_pack(QUERIES), schema), "op7-queries")
-    asked = asked.select(F.col("block").alias("q_block"), "dims", *[F.col(c).alias(f"q_{c}") for c in ("ids", "kind", "m")])
-    blocks = written(blocks, "op7-candidates")
-    # one row for each query block that a candidate block meets: an equi-join on the vector length and the block number
-    numbers = asked.groupBy("dims").agg(F.collect_list("q_block").alias("q_blocks"))
-    meet = blocks.join(numbers, "dims").withColumn("q_block", F.explode("q_blocks")).drop("q_blocks", "block")
-    met = meet.join(asked, ["q_block", "dims"])
-    found = met.select("q_block", "q_ids", "q_kind", "q_m", "ids", "kind", "m")
-    found = found.mapInPandas(_best(k), "query_id long, q_block long, q_row int, score long, vec_id long")
+    components = asked.agg(F.sum((F.col("dims") + 1) * F.length("ids") / 8)).first()[0] or 0
+    passes = max(1, ceil(components / PASS))
     order = Window.partitionBy("query_id", "q_block", "q_row").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    best = []
+    for n in range(passes):
+        rows = asked.where(F.pmod(F.xxhash64("block"), F.lit(passes)) == n).collect()
+        held = session.sparkContext.broadcast([(r["block"], r["dims"], bytes(r["ids"]), r["kind"], bytes(r["m"])) for r in rows])
+        found = blocks.mapInPandas(_best(k, held), "query_id long, q_block long, q_row int, score long, vec_id long")
+        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        best.append(written(ranked.select("query_id", "rank", "vec_id", "score"), "op7-best"))
+        held.destroy()
+    discard(blocks, asked)
+    return reduce(DataFrame.unionByName, best)
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,19 +10,21 @@ from pyspark.sql import functions as F
 from roboframe.llm import chat_format, exact_topk, graph, token_counts
 
 
-@pytest.mark.parametrize("blocks", [(8192, 512), (5, 3)])
+@pytest.mark.parametrize("blocks", [(8192, 512, 1 << 21), (5, 3, 18)])
 def test_top_k_matches_brute_force(spark, monkeypatch, blocks):
     monkeypatch.setattr(exact_topk, "CANDIDATES", blocks[0])
     monkeypatch.setattr(exact_topk, "QUERIES", blocks[1])
+    monkeypatch.setattr(exact_topk, "PASS", blocks[2])
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 6) / 64 * (rng.random(6) < 0.6)], 1, 2) for i in range(70)]
     rows += [(100, None, 1, 2), (101, [0.1, None, 0.0, 0.0, 0.0, 0.0], 1, 2), (102, [float("nan")] * 6, 1, 2), (120, [float("inf")] * 6, 1, 2), (None, [0.0] * 6, 1, 2)]
     rows += [(40, rows[40][1], 1, 2), (33, rows[33][1], 1, 2)]
+    rows += [(i, [], 1, 2) for i in range(200, 243)] + [(i, [float(i), -1.0], 1, 2) for i in range(260, 290)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, ids int, block int").repartition(3)
     good = [(i, np.floor(np.array(v) * 64).astype(int)) for i, v, *_ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     want = Counter()
     for q, v in [(i, v) for i, v in good if i % 20 == 0]:
-        best = sorted((-int(v @ w), i) for i, w in good if i != q)[:20]
+        best = sorted((-int(v @ w), i) for i, w in good if i != q and len(w) == len(v))[:20]
         want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(best))
     got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in exact_topk.top_k(frame, F.col("vec_id") % 20 == 0).collect())
     assert got == want
