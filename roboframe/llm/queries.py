@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import benchmark_decontamination, chat_format, exact_topk, ngram_jaccard_join
+from . import benchmark_decontamination, chat_format, exact_topk, filter_audit, ngram_jaccard_join
 from .benchmark_decontamination import op4_benchmark_decontamination
 from .bpe import op8_bpe_encoding
 from .chat_format import op10_chat_format
 from .exact_topk import op7_exact_topk
+from .filter_audit import op11_filter_audit
+from .importance_resampling import op13_importance_resampling
 from .language_id import op2_language_id
 from .ngram_jaccard_join import op1_ngram_jaccard_join
 from .quality_crf import op3_quality_crf
@@ -27,6 +29,8 @@ QUERIES = {
         op8_bpe_encoding,
         op9_suffix_array_dedup,
         op10_chat_format,
+        op11_filter_audit,
+        op13_importance_resampling,
     )
 }
 ORACLE_SQL: dict[str, str] = {
@@ -34,4 +38,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_benchmark_decontamination": benchmark_decontamination.ORACLE_SQL,
     "op7_exact_topk": exact_topk.ORACLE_SQL,
     "op10_chat_format": chat_format.ORACLE_SQL,
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
 }
