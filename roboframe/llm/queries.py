@@ -6,6 +6,7 @@ from . import benchmark_decontamination, chat_format, exact_topk, filter_audit,
 from .benchmark_decontamination import op4_benchmark_decontamination
 from .bpe import op8_bpe_encoding
 from .chat_format import op10_chat_format
+from .edit_fingerprint import op12_edit_fingerprint
 from .exact_topk import op7_exact_topk
 from .filter_audit import op11_filter_audit
 from .importance_resampling import op13_importance_resampling
@@ -30,6 +31,7 @@ QUERIES = {
         op9_suffix_array_dedup,
         op10_chat_format,
         op11_filter_audit,
+        op12_edit_fingerprint,
         op13_importance_resampling,
     )
 }
