@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 
 def nearest_asof_join(targets: DataFrame, sources: DataFrame, keys: list[str], time: str, payload: list[str],
-                      tolerance: float | None = None, ordinal: str | None = None) -> DataFrame:
+                      tolerance: float | None = None, ordinal: str | None = None, hot: int | None = scans.HOT) -> DataFrame:
     """For each target row the source row of its key with the nearest time: equal gaps take the earlier one, beyond
     the ends the end row. `payload` columns and `source_time` are added. A key without source rows raises, and so does
     a gap above the tolerance. One exchange by key and two window passes; no range join.
 
-    Two one-sided windows look back from each target in either order of time, so the work is linear in the rows."""
+    Two one-sided scans look back from each target in either order of time, so the work is linear in the rows; a key with
+    more than `hot` rows is scanned by blocks of time, to which the last and the first source come over their borders."""
     extra = [c for c in targets.columns if c not in (*keys, time)]
     order = F.col(ordinal) if ordinal else F.lit(0)
     src = sources.select(*keys, time, order.alias("_o"), F.lit(True).alias("_src"), F.struct(F.col(time).alias("_t"), *payload).alias("_p"))
     tgt = targets.select(*keys, time, F.lit(None).cast("long").alias("_o"), F.lit(False).alias("_src"), F.struct(*(extra or [F.lit(0).alias("_none")])).alias("_x"))
-    rows = tgt.unionByName(src, allowMissingColumns=True)
-    forward = Window.partitionBy(*keys).orderBy(time, "_src", "_o").rowsBetween(Window.unboundedPreceding, -1)
-    backward = Window.partitionBy(*keys).orderBy(F.desc(time), F.desc("_src"), F.desc("_o")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_before", F.last("_p", ignorenulls=True).over(forward))
-    rows = rows.withColumn("_after", F.last("_p", ignorenulls=True).over(backward)).where("NOT _src")
+    c = scans.cut(tgt.unionByName(src, allowMissingColumns=True), keys, time, hot)
+    c = scans.carried(c, [time, "_src", "_o"], "_p", "_before", inclusive=False)
+    c = scans.carried(c, [time, "_src", "_o"], "_p", "_after", inclusive=False, backward=True)
+    rows = scans.done(c).where("NOT _src")
     a, b, x = F.col("_before"), F.col("_after"), F.col(time)
     pick = (
         F.when(a.isNull() & b.isNull(), F.raise_error(F.lit("no source rows")))
@@ -37,14 +39,15 @@ def nearest_asof_join(targets: DataFrame, sources: DataFrame, keys: list[str], t
     return rows.select(*keys, time, *[F.col(f"_x.{c}") for c in extra], F.col("_pick._t").alias("source_time"), *[F.col(f"_pick.{c}") for c in payload])
 
 
-def align_to_pivot(messages: DataFrame, pivot: str, fields: list[str], keys: list[str], field: str, time: str, value: str, ordinal: str) -> DataFrame:
+def align_to_pivot(messages: DataFrame, pivot: str, fields: list[str], keys: list[str], field: str, time: str, value: str, ordinal: str,
+                   hot: int | None = scans.HOT) -> DataFrame:
     """One row per step of the pivot channel with the nearest value of every other channel as a column."""
     own = messages.where(F.col(field) == pivot).select(*keys, time, ordinal, F.col(value).alias(pivot))
     steps = own.withColumn(field, F.explode(F.array(*[F.lit(f) for f in fields])))
     sources = messages.where(F.col(field).isin(fields)).select(*keys, field, time, F.col(ordinal).alias("_so"), F.col(value).alias("_v"))
     present = sources.select(*keys, field).distinct()
     steps = steps.join(present, [*keys, field], "left_semi")
-    near = nearest_asof_join(steps, sources, [*keys, field], time, ["_v"], ordinal="_so")
+    near = nearest_asof_join(steps, sources, [*keys, field], time, ["_v"], ordinal="_so", hot=hot)
     return near.groupBy(*keys, time, ordinal, pivot).pivot(field, fields).agg(F.first("_v"))
 
 

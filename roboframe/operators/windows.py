@@ -5,9 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def episode_timesteps(frames: DataFrame, episode: str = "episode", order: tuple[str, ...] = ("ts", "ordinal")) -> DataFrame:
-    """Number the frames of each episode 0..n-1 in order, and put the episode's length n on every row."""
+from . import scans
+
+
+def episode_timesteps(frames: DataFrame, episode: str = "episode", order: tuple[str, ...] = ("ts", "ordinal"), hot: int | None = None) -> DataFrame:
+    """Number the frames of each episode 0..n-1 in order, and put the episode's length n on every row. With `hot`, an episode
+    of more frames than that is numbered by blocks of its first order column, a number or a time."""
+    if hot is not None:
+        c = scans.cut(frames, [episode], order[0], hot)
+        if c.hot:
+            rows = scans.numbered(c, list(order), "t").rows.withColumn("t", (F.col("t") - 1).cast("int"))
+            few = rows.where("NOT _hot").withColumn("n", F.count("*").over(Window.partitionBy(episode)).cast("int"))
+            sizes = c.rows.where("_hot").groupBy(F.col(episode).alias("_of")).agg(F.count("*").cast("int").alias("n"))  # a row for each hot episode
+            many = rows.where("_hot").join(F.broadcast(sizes), F.col(episode).eqNullSafe(F.col("_of"))).drop("_of")
+            return few.unionByName(many).drop("_block", "_hot")
     w = Window.partitionBy(episode)
     t = (F.row_number().over(w.orderBy(*order)) - 1).cast("int")
     return frames.withColumn("t", t).withColumn("n", F.count("*").over(w).cast("int"))
@@ -141,17 +152,19 @@ def crop_window(values: Column, anchor: Column, past: int, future: int) -> Colum
     return F.when(bad, F.raise_error(F.lit("crop outside of the window"))).otherwise(F.slice(values, anchor - past + 1, F.lit(past + future + 1)))
 
 
-def hysteresis_state(steps: DataFrame, low: float, high: float, field: str = "x", episode: str = "episode") -> DataFrame:
-    """Open above `high`, closed below `low`, else as before; the first row by the midpoint."""
-    w = Window.partitionBy(episode).orderBy("t")
+def hysteresis_state(steps: DataFrame, low: float, high: float, field: str = "x", episode: str = "episode", hot: int | None = scans.HOT) -> DataFrame:
+    """Open above `high`, closed below `low`, else as before; the first row by the midpoint.
+
+    A step is a map of the two states: to open, to closed, or the identity. Maps compose, so that an episode of more than
+    `hot` steps is worked off by blocks, each of which hands its map on to the next."""
+    c = scans.numbered(scans.cut(steps, [episode], "t", hot), ["t"], "_k")
     event = (
         F.when(F.col(field) > high, True)
         .when(F.col(field) < low, False)
-        .when(F.row_number().over(w) == 1, F.col(field) >= (low + high) / 2)
+        .when(F.col("_k") == 1, F.col(field) >= (low + high) / 2)
     )
-    return steps.withColumn("_e", event).withColumn(
-        "is_open", F.last("_e", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ).drop("_e")
+    c = c._replace(rows=c.rows.withColumn("_e", event))
+    return scans.done(scans.carried(c, ["t"], "_e", "is_open")).drop("_e", "_k")
 
 
 def history_buffer(steps: DataFrame, past: int, field: str = "x", episode: str = "episode") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..operators import windows as W
 from ..registry import query
 from ..sources import files as S
+from ..sources import tars as TAR
 from ..sources.views import EP, EV, RO, frames, messages, read, rollouts
 from ..streaming import jobs as J
 
@@ -21,29 +22,51 @@ WIDEST = 100 << DOUBLINGS
 
 
 def tar_rows(spark, sf):
+    """Documents as samples of two members, 64 to a shard."""
     d = read(spark, sf, "documents")
-    text = d.select("doc_id", F.lit("txt").alias("field"), F.col("text").cast("binary").alias("content"))
-    meta = d.select("doc_id", F.lit("json").alias("field"), F.to_json(F.struct("lang", "source")).cast("binary").alias("content"))
-    rows = text.unionByName(meta)
-    return rows.withColumn("key", F.format_string("%08d", "doc_id")).withColumn("shard", F.floor(F.col("doc_id") / 64).cast("int"))
+    text, meta = F.col("text").cast("binary"), F.to_json(F.struct("lang", "source")).cast("binary")
+    return d.select(
+        F.floor(F.col("doc_id") / 64).cast("int").alias("shard"), F.format_string("%08d", "doc_id").alias("key"),
+        F.create_map(F.lit("txt"), text, F.lit("json"), meta).alias("fields"),
+    )
+
+
+def manifest_of(spark, root):
+    """The manifest that the sink has written, with the files' names."""
+    m = S.read_manifest(spark, f"{root}/{TAR.MANIFEST}")
+    return m.select(F.concat("shard", F.lit(".tar")).alias("name"), "num_sequences")
 
 
 @query("A03_write_tar_samples", "SELECT printf('shard_%06d.tar', doc_id // 64) AS name, count(*) AS num_sequences FROM documents GROUP BY 1")
 def _(spark, sf):
-    return S.pack_tar_shards(tar_rows(spark, sf)).select("name", "num_sequences")
+    root = S.scratch(spark)
+    TAR.write_tar_shards(tar_rows(spark, sf), root)
+    return manifest_of(spark, root)
 
 
 @query("A02_read_tar_samples", "SELECT printf('shard_%06d.tar', doc_id // 64) AS shard, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS key, text FROM documents")
 def _(spark, sf):
-    tars = S.pack_tar_shards(tar_rows(spark, sf)).select(F.col("name").alias("path"), F.col("tar").alias("content"))
-    return S.tar_samples(tars).select("shard", "key", F.col("fields")["txt"].cast("string").alias("text"))
+    root = S.scratch(spark)
+    TAR.write_tar_shards(tar_rows(spark, sf), root)
+    rows = TAR.read_tar_shards(spark, root, fields=("txt",)).where("reason IS NULL")
+    return rows.select("shard", "key", F.col("fields")["txt"].cast("string").alias("text"))
 
 
-@query("A04_write_episode_shards", f"WITH {EP} SELECT printf('shard_%06d.tar', episode) AS name, count(*) AS num_sequences FROM ep GROUP BY 1")
+@query("A04_write_episode_shards", f"""WITH {EP} SELECT printf('shard_%06d.tar', episode) AS name, count(*) AS num_sequences, round(sum(x), 4) AS total, string_agg('e' || episode || '_f' || lpad(CAST(t AS VARCHAR), 6, '0'), ',' ORDER BY t) AS keys
+FROM ep GROUP BY episode""")
 def _(spark, sf):
+    # frames lie in their shard in the order of their index, whatever their keys say
+    root = S.scratch(spark)
     s = W.episode_timesteps(frames(spark, sf))
-    rows = s.select(F.col("episode").cast("int").alias("shard"), F.format_string("e%d_f%06d", "episode", "t").alias("key"), F.lit("json").alias("field"), F.to_json(F.struct("x")).cast("binary").alias("content"))
-    return S.pack_tar_shards(rows).select("name", "num_sequences")
+    fields = F.create_map(F.lit("json"), F.to_json(F.struct("x")).cast("binary"))
+    key = F.format_string("e%d_f%06d", "episode", "t")
+    TAR.write_tar_shards(s.select(F.col("episode").cast("int").alias("shard"), key.alias("key"), "t", fields.alias("fields")), root, order="t")
+    rows = TAR.read_tar_shards(spark, root).withColumn("at", F.monotonically_increasing_id())
+    x = F.get_json_object(F.col("fields")["json"].cast("string"), "$.x").cast("double")
+    found = rows.groupBy(F.col("shard").alias("name")).agg(
+        F.round(F.sum(x), 4).alias("total"), F.transform(F.array_sort(F.collect_list(F.struct("at", "key"))), lambda r: r["key"]).alias("keys")
+    )
+    return found.join(manifest_of(spark, root), "name").select("name", "num_sequences", "total", F.array_join("keys", ",").alias("keys"))
 
 
 @query("A08_scan_chunked_episodes", f"WITH {EP} SELECT CAST(episode AS INTEGER) AS episode_index, count(*) AS n, round(sum(x), 4) AS total FROM ep GROUP BY 1")

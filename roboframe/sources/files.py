@@ -1,4 +1,4 @@
-"""File sources and sinks: tar shards, episode folders, frame files, run summaries.
+"""File sources and sinks: episode folders, frame files, run summaries. Tar shards are in tars.py.
 
 Everything is read through Spark's own file sources, so any store that Spark reaches will do; decoding runs in tasks.
 """
@@ -7,10 +7,8 @@ from __future__ import annotations
 
 import io
 import re
-import tarfile
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,85 +45,6 @@ def write_manifest(shards: DataFrame, path: str) -> None:
     shards.select("shard", "num_sequences").coalesce(1).write.mode("errorifexists").json(path)
 
 
-def tar_of(members: list[tuple[str, bytes]]) -> bytes:
-    out = io.BytesIO()
-    with tarfile.open(fileobj=out, mode="w") as tar:
-        for name, raw in members:
-            info = tarfile.TarInfo(name)
-            info.size = len(raw)
-            tar.addfile(info, io.BytesIO(raw))
-    return out.getvalue()
-
-
-def pack_tar_shards(samples: DataFrame, shard: str = "shard", order: str = "key") -> DataFrame:
-    """samples(shard, key, field, content, ...) -> shard name, num_sequences and the tar's bytes. A shard is one group:
-    its size is set by whoever numbers the shards. Members are named <key>.<field>, in the order given."""
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([order, "key", "field"])
-        members = [(f"{k}.{f}", bytes(c)) for k, f, c in zip(frame["key"], frame["field"], frame["content"], strict=True)]
-        name = f"shard_{int(frame[shard].iloc[0]):06d}.tar"
-        return pd.DataFrame([(name, frame["key"].nunique(), tar_of(members))], columns=["name", "num_sequences", "tar"])
-
-    return samples.groupBy(shard).applyInPandas(pack, "name string, num_sequences long, tar binary")
-
-
-def save_tars(tars: DataFrame, folder: str) -> None:
-    """Write packed tars as files. Needs a folder that executors can open as a path."""
-    import os
-
-    target = folder.removeprefix("file://")
-
-    def save(rows: Iterator) -> None:
-        os.makedirs(target, exist_ok=True)
-        for r in rows:
-            part = f"{target}/.{r['name']}.{uuid.uuid4().hex}"
-            with open(part, "wb") as f:
-                f.write(bytes(r["tar"]))
-            os.replace(part, f"{target}/{r['name']}")  # a task that runs again leaves the same file
-
-    tars.foreachPartition(save)
-
-
-def read_tar_samples(spark: SparkSession, pattern: str, skip_bad: bool = True) -> DataFrame:
-    """Tar shards -> shard, key, fields (map of field to bytes): members that share the name up to the first dot are one
-    sample. A shard that can't be read is left out, or fails the job."""
-    return tar_samples(spark.read.format("binaryFile").load(pattern), skip_bad)
-
-
-def tar_samples(files: DataFrame, skip_bad: bool = True) -> DataFrame:
-    """files(path, content) -> samples. An empty archive has none."""
-    return _tar_rows(files, skip_bad).where("reason IS NULL").drop("reason")
-
-
-def rejected_tars(files: DataFrame) -> DataFrame:
-    """files(path, content) -> the shards that can't be read, and why."""
-    return _tar_rows(files, True).where("reason IS NOT NULL").select("shard", "reason")
-
-
-def _tar_rows(files: DataFrame, skip_bad: bool) -> DataFrame:
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                rows: dict[str, dict[str, bytes]] = {}
-                shard, reason = path.rsplit("/", 1)[-1], None
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                        for m in tar:
-                            if m.isfile():
-                                key, _, field = m.name.partition(".")
-                                rows.setdefault(key, {})[field] = tar.extractfile(m).read()
-                except (tarfile.TarError, EOFError, OSError, zlib.error) as e:  # the last three: damaged compression
-                    if not skip_bad:
-                        raise
-                    rows, reason = {None: {}}, str(e) or type(e).__name__
-                if rows:
-                    yield pd.DataFrame({"shard": shard, "key": list(rows), "fields": list(rows.values()), "reason": reason})
-
-    return files.select("path", "content").mapInPandas(run, "shard string, key string, fields map<string,binary>, reason string")
-
-
 FRAMES = "episode string, t int, field string, value array<double>"
 
 

@@ -12,18 +12,6 @@ from roboframe.sources import files
 from roboframe.streaming import jobs
 
 
-def test_tar_round_trip(spark, tmp_path):
-    rows = [(i // 3, f"k{i}", f, f"{i}{f}".encode()) for i in range(7) for f in ("a.txt", "json")]
-    packed = files.pack_tar_shards(spark.createDataFrame(rows, "shard int, key string, field string, content binary"))
-    files.save_tars(packed, str(tmp_path))
-    assert {r["name"]: r.num_sequences for r in packed.collect()} == {"shard_000000.tar": 3, "shard_000001.tar": 3, "shard_000002.tar": 1}
-    (tmp_path / "shard_000009.tar").write_bytes(b"broken" * 200)
-    got = {(r.shard, r.key): {k: bytes(v) for k, v in r.fields.items()} for r in files.read_tar_samples(spark, f"{tmp_path}/*.tar").collect()}
-    assert len(got) == 7 and got["shard_000001.tar", "k4"] == {"a.txt": b"4a.txt", "json": b"4json"}
-    with pytest.raises(Exception):
-        files.read_tar_samples(spark, f"{tmp_path}/*.tar", skip_bad=False).collect()
-
-
 def test_manifest(spark, tmp_path):
     m = spark.createDataFrame([("00000000", 5), ("00000001", 7)], files.MANIFEST)
     files.write_manifest(m, f"{tmp_path}/m")
