@@ -37,7 +37,7 @@ def has_all(column: str, values: list[str]) -> Column:
     return F.size(F.array_except(F.array(*[F.lit(v) for v in values]), F.col(column))) == 0
 
 
-def directory_links(pages: DataFrame, html: str, host: str | None = None, keep_absolute_paths: bool = False) -> DataFrame:
+def directory_links(pages: DataFrame, html: str, host: str | Column | None = None, keep_absolute_paths: bool = False) -> DataFrame:
     """Links of an HTML listing, one row each: without the parent, queries, anchors, other hosts and absolute paths."""
     rows = pages.withColumn("link", F.explode(F.regexp_extract_all(F.col(html), F.lit('<a[^>]*href="([^"]*)"'), 1)))
     link = F.col("link")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..functions import nested
+from ..operators import crawl as C
 from ..operators import shards
 from ..registry import query
-from ..sources import files
+from ..sources import files, tars
 from ..sources.views import LS, RN, listing, read, runs
 
 ROOT = "split_part(path, '/', 3)"
@@ -17,9 +19,14 @@ def episode(path="path"):
     return N.part(path, 3)
 
 
-@query("A16_list_files", f"WITH {LS} SELECT path, size FROM ls WHERE starts_with(path, 'ASIA/') AND contains(path, 'file_0001')")
+@query("A16_list_files", """WITH s AS (SELECT doc_id // 64 AS shard, sum(512 + (strlen(text) + 511) // 512 * 512) + 1024 AS n FROM documents GROUP BY 1)
+SELECT printf('shard_%06d.tar', shard) AS path, CAST((n + 10239) // 10240 * 10240 AS BIGINT) AS size FROM s WHERE contains(printf('shard_%06d.tar', shard), '1')""")
 def _(spark, sf):
-    return listing(spark, sf).where(F.col("path").startswith("ASIA/") & F.col("path").contains("file_0001"))
+    # the folder that the shards' sink has filled, with its manifest
+    root, d = files.scratch(spark), read(spark, sf, "documents")
+    fields = F.create_map(F.lit("txt"), F.col("text").cast("binary"))
+    tars.write_tar_shards(d.select(F.floor(F.col("doc_id") / 64).cast("int").alias("shard"), F.format_string("%08d", "doc_id").alias("key"), fields.alias("fields")), root)
+    return files.list_files(spark, root, "shard_", "1")
 
 
 @query("A17_assert_empty_output", f"WITH {LS} SELECT split_part(path, '/', 2) AS task, bool_or(path LIKE '%file_0002%') AS completed, count(*) FILTER (WHERE contains(path, 'file_0000')) AS partial FROM ls GROUP BY 1")
@@ -64,6 +71,26 @@ def _(spark, sf):
     return rows.select("page_id", "link", F.endswith("link", F.lit("/")).alias("is_dir"))
 
 
+CRAWL = """l AS (SELECT DISTINCT page_id AS page, link, h % 2 = 0 AS is_dir, h % (SELECT count(*) FROM pages) AS target FROM
+ (SELECT page_id, link, CAST('0x' || substr(md5(link), 1, 7) AS BIGINT) AS h FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)) AS link FROM pages)
+  WHERE link NOT IN ('..', '../') AND NOT contains(link, '?') AND NOT starts_with(link, '#') AND NOT regexp_matches(link, '^[a-z]+://'))),
+r(root, page, depth) AS (SELECT page_id, page_id, 0 FROM pages WHERE substr(md5(CAST(page_id AS VARCHAR)), 1, 1) = '7'
+  UNION SELECT root, target, depth + 1 FROM r JOIN l USING (page) WHERE is_dir AND depth < 3),
+m AS (SELECT root, page, min(depth) AS depth FROM r GROUP BY ALL)"""
+
+
+@query("A19b_crawl_listings", f"WITH RECURSIVE {CRAWL} SELECT root, page, link, depth FROM m JOIN l USING (page) WHERE NOT is_dir")
+def _(spark, sf):
+    # a link leads to the page that its digest names, to a file if that is odd; a sixteenth of the pages are roots
+    pages = read(spark, sf, "pages")
+    n = F.broadcast(pages.agg(F.count("*").alias("n")))  # one row
+    h = F.conv(F.substring(F.md5("link"), 1, 7), 16, 10).cast("long")
+    links = N.directory_links(pages, "html", keep_absolute_paths=True).crossJoin(n)
+    links = links.select(F.col("page_id").alias("page"), "link", (h % 2 == 0).alias("is_dir"), (h % F.col("n")).alias("target"))
+    roots = pages.where(F.substring(F.md5(F.col("page_id").cast("string")), 1, 1) == "7").select(F.col("page_id").alias("root"), F.col("page_id").alias("page"))
+    return C.crawl(links, roots, 4, files.kept)
+
+
 @query("H29_cache_name", "SELECT page_id, substr(sha256(url), 1, 24) || '-' || CASE WHEN regexp_extract(rtrim(split_part(split_part(url, '?', 1), '#', 1), '/'), '^[a-z]+://[^/]+/.*?([^/]+)$', 1) = '' THEN 'shard' ELSE regexp_extract(rtrim(split_part(split_part(url, '?', 1), '#', 1), '/'), '^[a-z]+://[^/]+/.*?([^/]+)$', 1) END AS name FROM pages")
 def _(spark, sf):
     return read(spark, sf, "pages").select("page_id", N.cache_name(F.col("url")).alias("name"))
@@ -150,11 +177,18 @@ def _(spark, sf):
     return s.select("ep", F.transform(want, lambda x: F.when(F.array_contains("c", x), x)).alias("images"), F.transform(want, lambda x: F.array_contains("c", x).cast("int")).alias("mask"))
 
 
-@query("H37_localize_path", f"WITH {LS}, l AS (SELECT path FROM ls WHERE size % 2 = 0) SELECT ls.path, CASE WHEN l.path IS NOT NULL THEN '/local/' || ls.path ELSE 'remote://' || ls.path END AS place FROM ls LEFT JOIN l USING (path)")
+@query("H37_localize_path", f"""WITH {LS}, p AS (SELECT {ROOT} AS ep, row_number() OVER (PARTITION BY {ROOT} ORDER BY path) - 1 AS i, min(path) OVER (PARTITION BY {ROOT}) AS first,
+  count(*) OVER (PARTITION BY {ROOT}) AS n, CASE WHEN size % 2 = 0 THEN '/local/' ELSE 'remote://' END || path AS place, path FROM ls)
+SELECT ep, 'files[' || i || ']' AS path, place FROM p UNION ALL SELECT ep, 'meta.first', place FROM p WHERE path = first UNION ALL SELECT DISTINCT ep, 'meta.n', CAST(n AS VARCHAR) FROM p""")
 def _(spark, sf):
+    # a nested configuration for each episode; its remote paths become local where the file is there
     ls = listing(spark, sf)
-    local = ls.where("size % 2 = 0").select("path", F.concat(F.lit("/local/"), "path").alias("local"))
-    return ls.join(local, "path", "left").select("path", F.coalesce("local", F.concat(F.lit("remote://"), "path")).alias("place"))
+    paths = F.array_sort(F.collect_list(F.concat(F.lit("remote://"), "path")))
+    configs = ls.groupBy(episode().alias("ep")).agg(paths.alias("p"))
+    meta = F.struct(F.get("p", F.lit(0)).alias("first"), F.size("p").alias("n"))
+    flat = nested.walk(configs.select("ep", F.parse_json(F.to_json(F.struct(F.col("p").alias("files"), meta.alias("meta")))).alias("config")), ["ep"], "config")
+    local = ls.where("size % 2 = 0").select(F.concat(F.lit("remote://"), "path").alias("value"), F.concat(F.lit("/local/"), "path").alias("local"))
+    return flat.join(local, "value", "left").select("ep", "path", F.coalesce("local", "value").alias("place"))
 
 
 #: version and variant take the places of six bits of the digest

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import nested
 from ..operators import alignment as A
 from ..operators.statistics import masked_percentiles
 from ..registry import query
@@ -108,14 +108,36 @@ def _(spark, sf):
     return messages(spark, sf).join(mapping, "topic").select("event_id", "name")
 
 
-@query("D19_config_schema", f"""WITH {EV}, f AS (SELECT 'k' AS path, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM ev), c AS (SELECT path, value, count(*) AS n FROM f GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY value) AS k FROM c) SELECT path, value, n FROM r WHERE k <= 50""")
+TALK = """cfg AS (SELECT conv_id, json_object('turns', count(*), 'first', json_object('role', arg_min(role, turn), 'chars', CAST(length(arg_min(text, turn)) AS BIGINT)),
+  'roles', list(role ORDER BY turn), 'talk', json_object('users', count(*) FILTER (WHERE role = 'user'), 'long', count(*) > 4, 'note', NULL, 'more', json_object(),
+  'ends', [json_object('at', min(turn)), json_object('at', max(turn))])) AS j FROM conversations GROUP BY conv_id)"""
+
+
+def talks(spark, sf):
+    """A nested configuration for each conversation."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.length("text").cast("long").alias("chars"))))
+    c = read(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("t"))
+    users = F.size(F.filter("t", lambda x: x["role"] == "user"))
+    ends = F.array(F.struct(F.get("t", F.lit(0))["turn"].alias("at")), F.struct(F.element_at("t", -1)["turn"].alias("at")))
+    talk = F.struct(users.alias("users"), (F.size("t") > 4).alias("long"), F.lit(None).cast("string").alias("note"), F.create_map().cast("map<string,int>").alias("more"), ends.alias("ends"))
+    first = F.get("t", F.lit(0))
+    config = F.struct(F.size("t").alias("turns"), F.struct(first["role"].alias("role"), first["chars"].alias("chars")).alias("first"), F.col("t.role").alias("roles"), talk.alias("talk"))
+    return c.select("conv_id", F.parse_json(F.to_json(config, {"ignoreNullFields": "false"})).alias("config"))
+
+
+FLAT = f"""{TALK}, flat AS (SELECT conv_id, substr(t.fullkey, 3) AS path, CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'list' ELSE 'number' END AS kind,
+  CASE WHEN t.type <> 'NULL' THEN t.value ->> '$' END AS value FROM cfg, json_tree(cfg.j) t WHERE t.type NOT IN ('OBJECT', 'ARRAY') OR t.value::VARCHAR IN ('{{}}', '[]'))"""
+
+
+@query("D19_config_schema", f"""WITH {FLAT}, c AS (SELECT path, kind, value, count(*) AS n FROM flat GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY value NULLS FIRST, kind) AS k FROM c) SELECT path, kind, value, n FROM r WHERE k <= 50""")
 def _(spark, sf):
-    pairs = F.explode(F.map_entries(F.from_json("props", "map<string,string>")))
-    flat = messages(spark, sf).select(pairs.alias("p")).select(F.col("p.key").alias("path"), F.col("p.value").alias("value"))
-    counts = flat.groupBy("path", "value").agg(F.count("*").alias("n"))
-    k = F.row_number().over(Window.partitionBy("path").orderBy("value"))
-    return counts.withColumn("k", k).where("k <= 50").select("path", "value", "n")
+    return nested.value_counts(nested.walk(talks(spark, sf), [], "config"))
+
+
+@query("D19b_flatten_config", f"WITH {FLAT} SELECT conv_id, path, kind, value FROM flat")
+def _(spark, sf):
+    return nested.walk(talks(spark, sf), ["conv_id"], "config")
 
 
 @query("D20_config_diff", f"""WITH {EV}, f AS (SELECT event_id, 'k' AS path, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM ev), n AS (SELECT path, count(DISTINCT value) AS n_values FROM f GROUP BY path)

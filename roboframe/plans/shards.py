@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import nested
 from ..operators import shards as S
 from ..registry import query
 from ..sources import files
@@ -33,13 +34,9 @@ def selected(spark, sf, samples):
 
 @query("A01_read_manifest", f"WITH {SH} SELECT dataset, shard, CAST(num_sequences AS BIGINT) AS num_sequences FROM man")
 def _(spark, sf):
-    # a manifest for each dataset
-    root, m = files.scratch(spark), manifest(spark, sf)
-    parts = []
-    for d in WEIGHTS:
-        files.write_manifest(m.where(F.col("dataset") == d), f"{root}/{d}")
-        parts.append(files.read_manifest(spark, f"{root}/{d}").select(F.lit(d).alias("dataset"), "shard", "num_sequences"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    root = files.scratch(spark)
+    files.write_manifests(manifest(spark, sf), root)
+    return files.read_manifests(spark, root)
 
 
 @query("A05_write_manifest", f"WITH {SH} SELECT shard, CAST(sum(num_sequences) AS BIGINT) AS num_sequences FROM man GROUP BY shard")
@@ -151,16 +148,26 @@ def _(spark, sf):
     return out.select("setting", "value", F.array_join("t", ",").alias("tasks"), (F.size("t") == F.col("n")).alias("common"))
 
 
-@query("D25_group_metadata", """WITH m AS (SELECT l_returnflag AS source, CAST(l_linenumber AS VARCHAR) AS path, count(*) AS v FROM lineitem WHERE NOT (l_returnflag = 'A' AND l_linenumber = 3) GROUP BY ALL),
+@query("D25_group_metadata", """WITH c AS (SELECT l_returnflag AS source, CAST(l_linenumber AS VARCHAR) AS line, count(*) AS v, count(*) FILTER (WHERE l_linestatus = 'O') AS o FROM lineitem GROUP BY ALL),
+m AS (SELECT source, 'processing.lines.' || line AS path, CAST(v AS VARCHAR) AS value FROM c WHERE NOT (source = 'A' AND line = '3')
+ UNION ALL SELECT source, 'processing.total_samples_created', CAST(CAST(sum(v) AS BIGINT) AS VARCHAR) FROM c GROUP BY source
+ UNION ALL SELECT source, 'status', CASE source WHEN 'A' THEN 'done' ELSE '{"closed":' || CAST(sum(v) - sum(o) AS BIGINT) || ',"open":' || CAST(sum(o) AS BIGINT) || '}' END FROM c GROUP BY source
+ UNION ALL SELECT DISTINCT source, 'steps', '[1,2]' FROM c),
 g AS (SELECT s.source, p.path FROM (SELECT DISTINCT source FROM m) s, (SELECT DISTINCT path FROM m) p)
-SELECT g.path, string_agg(g.source || '=' || coalesce(CAST(v AS VARCHAR), 'null'), ',' ORDER BY g.source) AS values, CAST(sum(v) AS BIGINT) AS total FROM g LEFT JOIN m ON m.source = g.source AND m.path = g.path GROUP BY g.path""")
-def _(spark, sf):
-    li = read(spark, sf, "lineitem").where("NOT (l_returnflag = 'A' AND l_linenumber = 3)")
-    m = li.groupBy(F.col("l_returnflag").alias("source"), F.col("l_linenumber").cast("string").alias("path")).agg(F.count("*").alias("v"))
-    sources = m.agg(F.array_sort(F.collect_set("source")).alias("all"))  # one row: the sources that are merged
-    per = m.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("source", "v"))).alias("by"), F.sum("v").alias("total")).crossJoin(F.broadcast(sources))
-    text = F.array_join(F.transform("all", lambda s: F.concat(s, F.lit("="), F.coalesce(F.try_element_at("by", s).cast("string"), F.lit("null")))), ",")
-    return per.select("path", text.alias("values"), "total")
+SELECT path, source, value FROM g LEFT JOIN m USING (source, path)
+UNION ALL SELECT 'summary.total_samples_across_sources', 'all', CAST(CAST(sum(v) AS BIGINT) AS VARCHAR) FROM c""")
+def _(spark, sf):
+    # what is an object for one source may be a word for another
+    li = read(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "source")
+    per = li.groupBy("source", F.col("l_linenumber").cast("string").alias("line")).agg(F.count("*").alias("v"), F.count_if(F.col("l_linestatus") == "O").alias("o"))
+    lines = F.map_from_entries(F.collect_list(F.when(~((F.col("source") == "A") & (F.col("line") == "3")), F.struct("line", "v"))))
+    m = per.groupBy("source").agg(lines.alias("lines"), F.sum("v").alias("total_samples_created"), F.sum("o").alias("open"))
+    closed = (F.col("total_samples_created") - F.col("open")).alias("closed")
+    status = F.when(F.col("source") == "A", F.lit('"done"')).otherwise(F.to_json(F.struct("open", closed)))
+    text = F.concat(F.lit('{"processing":'), F.to_json(F.struct("lines", "total_samples_created")), F.lit(',"none":null,"steps":[1,2],"status":'), status, F.lit("}"))
+    merged = nested.merge(m.select("source", F.parse_json(text).alias("m")), "source", "m")
+    total = m.agg(F.sum("total_samples_created").cast("string").alias("value"))
+    return merged.unionByName(total.select(F.lit("summary.total_samples_across_sources").alias("path"), F.lit("all").alias("source"), "value"))
 
 
 @query("D26_derive_dataset_fields", """SELECT count(DISTINCT l_returnflag) AS datasets, min(past) AS past, min(future) AS future, CAST(sum(width) AS BIGINT) AS dims FROM

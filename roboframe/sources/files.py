@@ -30,16 +30,46 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/roboframe-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read back: no lineage before it, and lost executors lose nothing."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def file_system(spark: SparkSession, root: str):
     """Spark's file system of a path, and what makes its paths."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     return path(root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
 
 
+def list_files(spark: SparkSession, root: str, prefix: str = "", part: str = "") -> DataFrame:
+    """path (relative to the root) and size of all files below a folder whose relative path begins with `prefix` and contains
+    `part`; nothing where there is no folder. Contents aren't read."""
+    fs, of = file_system(spark, root)
+    if not fs.exists(of(root)):
+        return spark.createDataFrame([], "path string, size long")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    base = fs.makeQualified(of(root)).toUri().getPath().rstrip("/") + "/"
+    path = F.split_part("path", F.lit(base), F.lit(2))
+    return found.select(path.alias("path"), F.col("length").alias("size")).where(F.col("path").startswith(prefix) & F.col("path").contains(part))
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).option("mode", "FAILFAST").json(path)
 
 
+def write_manifests(shards: DataFrame, path: str) -> None:
+    """shards(dataset, shard, num_sequences): a manifest for each dataset, whichever there are."""
+    rows = shards.select("dataset", "shard", "num_sequences").repartition("dataset").sortWithinPartitions("dataset", "shard")
+    rows.write.mode("errorifexists").partitionBy("dataset").json(path)
+
+
+def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.schema(f"{MANIFEST}, dataset STRING").option("mode", "FAILFAST").json(path)
+    return rows.select("dataset", "shard", "num_sequences")
+
+
 def write_manifest(shards: DataFrame, path: str) -> None:
     """One JSON-lines file: a manifest has a row per shard."""
     shards.select("shard", "num_sequences").coalesce(1).write.mode("errorifexists").json(path)
