@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import bitmap, joined, prefix_hash, runs_of, slices, span_hash, table, test_bits, written
+from .common import back, bitmap, joined, prefix_hash, renamed, runs_of, set_aside, slices, span_hash, table, test_bits, written
 
 #: Bytes that decide a cut, one in how many places is a cut, and the shortest chunk.
 ROLLING, EVERY, LEAST = 32, 1024, 64
@@ -319,11 +319,13 @@ def encode_documents(docs: DataFrame, path: str, carry: tuple[str, ...] = (), wi
 
     `path` is a byte-level BPE file of the tokenizers library, the same on all executors; no special tokens are added,
     and those whose strings stand in a text are recognized as the library does. Null counts as empty, an empty text
-    has no tokens; rows that repeat give a row each; a null doc_id stays null; other columns are ignored; an empty
-    table gives an empty result.
+    has no tokens; rows that repeat give a row each; a null doc_id stays null; columns in `carry` pass as they are whatever
+    their names, but for those of the result; other columns are ignored; an empty table gives an empty result.
     """
-    names = ["doc_id", *carry]
-    source = docs.select(*names, F.col("text").cast("string").alias("text"))
+    columns = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
+    inner = set_aside(carry, columns)
+    names = ["doc_id", *inner.values()]
+    source = docs.select("doc_id", *renamed(inner), F.col("text").cast("string").alias("text"))
     kinds = dict(source.dtypes)
     own = ", ".join(f"`{n}` {kinds[n]}" for n in names)
     counts = source.select("text").mapInPandas(_count_chunks, "h1 long, h2 long, n long")
@@ -340,8 +342,8 @@ def encode_documents(docs: DataFrame, path: str, carry: tuple[str, ...] = (), wi
     fetched = fetched.agg(F.collect_list(F.struct("h1", "h2", "head", "body", "tail")).alias("fetched"))
     repaired = open_.join(fetched, "row").select(*names, "parts", "fetched")
     repaired = repaired.mapInArrow(_assemble(path, names, with_ids), f"{own}, {RESULT}")
-    columns = [*names, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
-    return done.where("kind = 0").select(*columns).unionByName(repaired.select(*columns))
+    out = done.where("kind = 0").select(*names, *columns).unionByName(repaired.select(*names, *columns))
+    return out.select("doc_id", *back(inner), *columns)
 
 
 def default_path() -> str:

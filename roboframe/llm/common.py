@@ -145,9 +145,22 @@ def without(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     gone = written(keys.select(key).distinct(), "without")
     bits = bitmap(gone.select(key_slot(key, KEY_BITS).alias("slot")), KEY_BITS)
     hit = F.coalesce(bitmap_udf(bits)(key_slot(key, KEY_BITS)), F.lit(False))
-    marked = docs.select("*", hit.alias("_hit"))
-    rest = marked.where("_hit").drop("_hit").join(gone, key, "left_anti")
-    return marked.where("not _hit").drop("_hit").unionByName(rest)
+    return docs.where(~hit).unionByName(docs.where(hit).join(gone, key, "left_anti").select(*(f"`{c}`" for c in docs.columns)))
+
+
+def set_aside(carry, result: list[str]) -> dict[str, str]:
+    """Columns that are only carried -> names that no operator has. Names of the operator's own result are refused."""
+    if clash := sorted(set(carry) & {"doc_id", *result}):
+        raise ValueError(f"columns of the result can't be carried: {', '.join(clash)}")
+    return {c: f"_carried_{k}" for k, c in enumerate(carry)}
+
+
+def renamed(inner: dict[str, str]) -> list:
+    return [F.col(f"`{c}`").alias(x) for c, x in inner.items()]
+
+
+def back(inner: dict[str, str]) -> list:
+    return [F.col(x).alias(c) for c, x in inner.items()]
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:

@@ -5,10 +5,12 @@ an anchor; equal windows have their anchor at the same place, so it is enough to
 anchors, about one in a hundred bytes, each with the bytes before it that its windows cover. Suffixes whose core occurs
 once in the corpus are left out early by a bitmap of fixed size.
 
-Splitters sampled by Spark range-partition the suffixes by their leading bytes. Each bucket sorts its suffixes by
-multikey quicksort, eight bytes a step, and the reversed bytes before them likewise; what neighbours have in common in
-both orders tells which windows around an anchor are equal, byte by byte. The groups of one core at the two ends of a
-bucket may go on in the next one: their windows are compared across the boundaries by an exchange of digests.
+Splitters sampled by Spark range-partition the suffixes by their bytes and then by the reversed bytes before them, so that
+a passage which very many documents share, each with surroundings of its own, fills several buckets. Each bucket sorts
+its suffixes by multikey quicksort, eight bytes a step, and the reversed bytes before them likewise; what neighbours have
+in common in both orders tells which windows around an anchor are equal, byte by byte. Windows whose bytes after the
+anchor are those of the first or the last suffix of a bucket may go on in the next one: only these are compared across
+the boundaries, by an exchange of digests.
 """
 
 from __future__ import annotations
@@ -18,16 +20,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import KEY_BITS, bitmap, bitmap_udf, discard, joined, key_slot, partitions, prefix_hash, slices, span_hash, table, test_bits, written
+from .common import (
+    KEY_BITS,
+    back,
+    bitmap,
+    bitmap_udf,
+    discard,
+    joined,
+    key_slot,
+    partitions,
+    prefix_hash,
+    renamed,
+    set_aside,
+    slices,
+    span_hash,
+    table,
+    test_bits,
+    written,
+)
 
 #: log2 of the bits of the bitmap of repeated cores.
 CORE_BITS = 24
-#: Leading bytes of a suffix, and of what goes on after and before its core, by which it is dealt to a bucket.
-LEADING = 16
 NONE = np.zeros(0, dtype=np.int64)
 
 
@@ -178,8 +196,8 @@ ENTRY = np.dtype([("d1", "<i8"), ("d2", "<i8"), ("h1", "<i8"), ("h2", "<i8"), ("
 
 
 def _sort_bucket(length: int, core: int, buckets: int):
-    """A bucket of suffixes -> runs of repeated windows (offsets first..last) of each. The groups of one core at its two
-    ends may go on in the next buckets: digests of their distinct windows are also handed on, packed by `buckets`."""
+    """A bucket of suffixes -> runs of repeated windows (offsets first..last) of each. Windows that the first or the last
+    suffix may share with the next buckets are also handed on, once each, as digests packed by `buckets`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frames = [b for b in batches if len(b)]
@@ -193,24 +211,31 @@ def _sort_bucket(length: int, core: int, buckets: int):
         f = f.iloc[order]
         group = np.cumsum(common_ < core)
         group -= group[:1]
-        leads = [(x[:LEADING], c) for x, c in zip(f["suffix"], f["core"].tolist(), strict=True)]
-        ends = np.isin(group, [group[leads.index(min(leads))], group[leads.index(max(leads))]])
         many = np.bincount(group)[group] > 1
         whole = (f["n"].to_numpy() > 1) & ~many
         yield _runs(f[whole], f["lo"][whole], f["hi"][whole])
-        pick = np.flatnonzero(many | ends)
-        yield from _windows(f.iloc[pick], common_[pick], ends[pick], length, core, buckets)
+        reach = _reach(common_, length)
+        pick = np.flatnonzero(many | (reach >= length - f["hi"].to_numpy(np.int64)))
+        yield from _windows(f.iloc[pick], common_[pick], reach[pick], length, core, buckets)
 
     return run
 
 
+def _reach(common_: np.ndarray, length: int) -> np.ndarray:
+    """Bytes that each suffix of a bucket has in common with the first or the last one. Another bucket's suffix that has k
+    bytes in common with it has them in common with that end too, for all suffixes between begin with them."""
+    least = np.minimum.accumulate
+    step = np.concatenate((common_[1:], [length]))
+    return np.maximum(least(np.concatenate(([length], common_[1:]))), least(step[::-1])[::-1])
+
+
 def _runs(ids, first, last, bucket=-1, entries=b"") -> pd.DataFrame:
     return pd.DataFrame(
         {"h1": ids["h1"].to_numpy(), "h2": ids["h2"].to_numpy(), "first": np.asarray(first), "last": np.asarray(last), "bucket": bucket, "entries": entries}
     )
 
 
-def _windows(f: pd.DataFrame, common_: np.ndarray, ends: np.ndarray, length: int, core: int, buckets: int) -> Iterator[pd.DataFrame]:
+def _windows(f: pd.DataFrame, common_: np.ndarray, reach: np.ndarray, length: int, core: int, buckets: int) -> Iterator[pd.DataFrame]:
     """f in the order of suffixes, with the bytes that neighbours have in common. Window o starts o bytes before its
     anchor: two are equal if the suffixes agree in length - o bytes and the reversed bytes before them in o."""
     if not len(f):
@@ -228,7 +253,7 @@ def _windows(f: pd.DataFrame, common_: np.ndarray, ends: np.ndarray, length: int
         _, first, place = np.unique(block, return_index=True, return_inverse=True)
         times = np.bincount(place, weights=n[here])
         again[here, o + 1] = times[place] > 1
-        first = first[ends[here[first]]]
+        first = first[reach[here[first]] >= length - o]
         handed.append((here[first], np.full(len(first), o), np.minimum(times[place[first]], 2)))
     step = np.diff(again, axis=1)
     row, first = np.nonzero(step == 1)
@@ -269,20 +294,20 @@ def _across(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _cut(names: list[str], with_text: bool, bits: np.ndarray | None = None):
-    """Cut the rows' texts; with a bitmap only those rows whose slot is clear, the others are left out."""
+    """Cut the rows' texts; with a bitmap only those rows whose slot is clear, the others are left out. The other columns pass
+    as they are."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if bits is not None:
-                batch = batch[~test_bits(bits, batch["slot"].to_numpy(np.int64))]
-            if not len(batch):
+                batch = batch.filter(pa.array(~test_bits(bits, batch.column("slot").to_numpy(zero_copy_only=False))))
+            if not batch.num_rows:
                 continue
-            out = {c: batch[c].array for c in names}
             kept, removed, spans, sizes = [], [], [], []
-            for text, cuts in zip(batch["text"], batch["cuts"], strict=True):
-                raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+            for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist(), strict=True):
+                raw = text.encode("utf-8", "surrogatepass") if text is not None else b""
                 sizes.append(len(raw))
-                if cuts is None or not len(cuts):
+                if not cuts:
                     kept.append(raw)
                     removed.append(0)
                     spans.append(0)
@@ -295,21 +320,28 @@ def _cut(names: list[str], with_text: bool, bits: np.ndarray | None = None):
                 kept.append(np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes())
                 removed.append(int(gone.sum()))
                 spans.append(int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])))
-            yield pd.DataFrame(
-                out
-                | {
-                    "n_bytes": np.array(sizes, dtype=np.int64),
-                    "n_removed": np.array(removed, dtype=np.int64),
-                    "n_spans": np.array(spans, dtype=np.int64),
-                    "kept": kept,
-                    "kept_text": [x.decode("utf-8", "ignore") for x in kept] if with_text else None,
-                    "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept],
-                }
-            )
+            columns = {n: batch.column(n) for n in names} | {
+                "n_bytes": pa.array(sizes, pa.int64()),
+                "n_removed": pa.array(removed, pa.int64()),
+                "n_spans": pa.array(spans, pa.int64()),
+                "kept": pa.array(kept, pa.binary()),
+                "kept_text": pa.array([x.decode("utf-8", "ignore") for x in kept] if with_text else [None] * len(kept), pa.string()),
+                "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
 
+RESULT = ["n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256"]
+
+
+def in_ranges(suffixes: DataFrame, buckets: int) -> DataFrame:
+    """Ranges of suffixes, of equal ones by the reversed bytes before them. The driver sees Spark's samples: some hundred
+    suffixes a bucket, of `length` bytes at most."""
+    return suffixes.repartitionByRange(buckets, "suffix", "before")
+
+
 def remove_repeats(docs: DataFrame, length: int = 400, core: int = 200, carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """docs(doc_id, text, ...) -> a row per row of docs: doc_id, the columns in `carry`, n_bytes, n_removed, n_spans,
     kept (the remaining bytes), kept_text (these as a text, without characters that a cut splits; null unless with_text
@@ -318,11 +350,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, core: int = 200, carry: t
     Each byte covered by a `length`-byte string of UTF-8 bytes that also starts anywhere else (the same text included,
     overlaps count) is removed; strings are judged on the input, and none crosses texts. Null and empty texts have no
     bytes; texts below `length` stay whole; rows that repeat count as places of their own, so they are removed from
-    each other; a null doc_id stays null; other columns are ignored. An empty table gives an empty result.
+    each other; a null doc_id stays null; columns in `carry` pass as they are whatever their names, but for those of the
+    result; other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    names = ["doc_id", *carry]
-    source = docs.select(*names, F.col("text").cast("string").alias("text"))
+    inner = set_aside(carry, RESULT)
+    names = ["doc_id", *inner.values()]
+    source = docs.select("doc_id", *renamed(inner), F.col("text").cast("string").alias("text"))
     source = source.withColumn("key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), "text"))
     long_ = source.where(F.octet_length("text") >= length).select("key", "text")
 
@@ -331,10 +365,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, core: int = 200, carry: t
     bits = bitmap(again.select(F.pmod("core", F.lit(1 << CORE_BITS)).alias("slot")), CORE_BITS)
     found = written(long_.mapInPandas(_suffixes(length, core, bits), FOUND), "op9-suffixes")
 
-    suffixes = found.where("kind = 0").select("h1", "h2", "core", "suffix", "before", "lo", "hi", "n")
-    # by leading bytes; a core that fills several buckets goes on by the bytes after it and before it
-    leading = [F.substring("suffix", 1, LEADING), F.col("core"), F.substring("suffix", core + 1, LEADING), F.substring("before", 1, LEADING)]
-    sorted_ = suffixes.repartitionByRange(2 * partitions(spark), *leading).mapInPandas(_sort_bucket(length, core, partitions(spark)), RUNS)
+    suffixes = found.where("kind = 0").select("h1", "h2", "suffix", "before", "lo", "hi", "n")
+    sorted_ = in_ranges(suffixes, 2 * partitions(spark)).mapInPandas(_sort_bucket(length, core, partitions(spark)), RUNS)
     runs = written(sorted_, "op9-runs")
     across = runs.where("bucket >= 0").select("bucket", "entries").groupBy("bucket")
     across = across.applyInPandas(_across, "h1 long, h2 long, first int, last int")
@@ -355,7 +387,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, core: int = 200, carry: t
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
     schema += ", n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string"
     cut_whole, cut_part = _cut(names, with_text, bits), _cut(names, with_text)
-    return whole.mapInPandas(cut_whole, schema).unionByName(part.mapInPandas(cut_part, schema))
+    out = whole.mapInArrow(cut_whole, schema).unionByName(part.mapInArrow(cut_part, schema))
+    return out.select("doc_id", *back(inner), *RESULT)
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

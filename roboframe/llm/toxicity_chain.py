@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import LOWER, joined, mix, slices, table, words
+from .common import LOWER, back, joined, mix, renamed, runs_of, set_aside, slices, table, words
 from .sampling import bounded, remainder
 
 CATEGORIES = ("abusive", "severe", "toxic")
@@ -216,18 +216,20 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Chain |
     return Chain(slots[FOLDS], weights)
 
 
-def _label(model: Chain | None, names: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part in slices(batch):
-                out = part[names].copy()
-                p = model.predict(part["text"].tolist()) if model is not None else np.zeros((len(part), len(CATEGORIES)))
-                for k, c in enumerate(CATEGORIES):
-                    out[f"p_{c}"] = p[:, k]
-                out["is_toxic"] = p[:, -1] >= 0.5
-                yield out
+SCORES = [*(f"p_{c}" for c in CATEGORIES), "is_toxic"]
 
-    return run
+
+def toxicity(model: Chain | None):
+    """A column function: text -> struct of p_abusive, p_severe, p_toxic, is_toxic. Without a model all probabilities are 0."""
+
+    @F.pandas_udf(", ".join(f"p_{c} double" for c in CATEGORIES) + ", is_toxic boolean")
+    def score(text: pd.Series) -> pd.DataFrame:
+        texts = text.tolist()
+        p = [model.predict(texts[a:b]) for a, b in runs_of(texts)] if model is not None else [np.zeros((len(texts), len(CATEGORIES)))]
+        p = np.concatenate([np.zeros((0, len(CATEGORIES))), *p])
+        return pd.DataFrame({f"p_{c}": p[:, k] for k, c in enumerate(CATEGORIES)} | {"is_toxic": p[:, -1] >= 0.5})
+
+    return score
 
 
 def label_toxicity(docs: DataFrame, model: Chain | None, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -235,14 +237,12 @@ def label_toxicity(docs: DataFrame, model: Chain | None, carry: tuple[str, ...]
     from its whole text.
 
     Null and empty texts are texts without words; without a model all probabilities are 0. Rows that repeat give a row
-    each; other columns are ignored; an empty table gives an empty result.
+    each; columns in `carry` pass as they are whatever their names, but for those of the result; other columns are ignored;
+    an empty table gives an empty result.
     """
-    names = ["doc_id", *[c for c in carry if c != "doc_id"]]
-    kinds = dict(docs.dtypes)
-    out = ", ".join(f"`{n}` {kinds[n]}" for n in names)
-    source = docs.select(*names) if "text" in names else docs.select(*names, F.col("text").cast("string").alias("text"))
-    schema = f"{out}, p_abusive double, p_severe double, p_toxic double, is_toxic boolean"
-    return source.mapInPandas(_label(model, names), schema)
+    inner = set_aside(carry, SCORES)
+    scored = docs.select("doc_id", *renamed(inner), toxicity(model)(F.col("text").cast("string")).alias("_scores"))
+    return scored.select("doc_id", *back(inner), *(F.col(f"_scores.{c}").alias(c) for c in SCORES))
 
 
 def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

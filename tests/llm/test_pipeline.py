@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as p
 from roboframe.llm.bpe import default_path
+from roboframe.llm.toxicity_chain import label_toxicity
 
 from .test_text_operators import WORD, components, contamination, lower
 
@@ -88,12 +89,43 @@ def test_toxic_documents_that_go(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = p.fit(docs, spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("toxic").alias("label")))
-    toxic = {r.doc_id for r in p.label_toxicity(docs, model).collect() if r.is_toxic}
+    toxic = {r.doc_id for r in label_toxicity(docs, model).collect() if r.is_toxic}
     columns = ["doc_id", "text", "n_chars"]
     want = {tuple(r) for r in docs.select(*columns).collect() if r.doc_id not in toxic}
     assert toxic and {tuple(r) for r in p.drop_toxic(spark, docs, sf).select(*columns).collect()} == want
 
 
+#: Columns that bear names which operators use themselves, with values that pandas would change.
+CLASHING = "_hit key slot cuts kept n_bytes n_removed kept_text is_toxic p_toxic label fold all row kind h1 h2 chunk parts component_id core suffix".split()
+
+
+@pytest.mark.parametrize("stage", [s for _, s in p.STAGES[:-1]])
+def test_other_columns_pass_unchanged(spark, planted, tmp_path, stage):
+    rows, items = planted
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(0, 0, 0), (5, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    odd = F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") + 2**60)
+    more = {c: odd if k % 3 == 0 else F.array(odd) if k % 3 == 1 else F.struct(odd.alias("x")) for k, c in enumerate(CLASHING)}
+    out = stage(spark, docs.withColumns(more), str(tmp_path))
+    plain = stage(spark, docs, str(tmp_path))
+    assert out.dtypes == docs.withColumns(more).dtypes and plain.dtypes == docs.dtypes
+    assert kept(out) == kept(plain) and out.count() > 30
+    assert out.where(" AND ".join(f"`{c}` <=> {'(' if k % 3 == 0 else 'array(' if k % 3 == 1 else "named_struct('x', "}CASE WHEN doc_id % 3 > 0 THEN doc_id + {2**60} END)" for k, c in enumerate(CLASHING))).count() == out.count()
+
+
+def test_carried_columns(spark):
+    """Names that an operator uses inside are carried, those of its result are refused."""
+    from roboframe.llm.suffix_array_dedup import remove_repeats
+
+    docs = spark.createDataFrame([(i, "word " * 200, i + 2**60, None) for i in range(3)], "doc_id long, text string, kind long, row long")
+    for f in (lambda c: p.encode_documents(docs, default_path(), c), lambda c: remove_repeats(docs, carry=c), lambda c: label_toxicity(docs, None, c)):
+        assert [r["kind"] for r in f(("kind", "row")).orderBy("doc_id").collect()] == [2**60, 2**60 + 1, 2**60 + 2]
+    for f, name in ((lambda c: p.encode_documents(docs, default_path(), c), "n_tokens"), (lambda c: remove_repeats(docs, carry=c), "kept"), (lambda c: label_toxicity(docs, None, c), "p_toxic")):
+        with pytest.raises(ValueError, match=name):
+            f((name,))
+
+
 @pytest.mark.parametrize("name,stage", p.STAGES)
 def test_empty_documents(spark, name, stage):
     sf = "/root/testdata/sf0.001"

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from roboframe.llm import benchmark_decontamination as bd
 from roboframe.llm import ngram_jaccard_join as nj
@@ -142,6 +143,41 @@ def test_suffix_dedup_of_one_hot_passage(spark):
     assert got_removed(spark, rows, 100, 50) == removed(rows, 100)
 
 
+@pytest.mark.parametrize("parts", [1, 6, 20])
+def test_suffix_dedup_over_many_boundaries(spark, parts):
+    """Windows of one hot passage and of whole copies lie in many buckets; some end where a bucket ends."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        rng = random.Random(parts)
+        text = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+        passage, heads, tails = text(95), [text(30) for _ in range(3)], [text(30) for _ in range(3)]
+        rows = [(i, text(rng.randint(0, 20)) + rng.choice(heads)[-rng.randint(0, 30) :] + passage + rng.choice(tails)[: rng.randint(0, 30)] + text(rng.randint(0, 20))) for i in range(150)]
+        rows += [(200 + i, rows[i % 4][1]) for i in range(20)] + [(300, "\0" * 250), (301, "\0" * 130 + "a")]
+        assert got_removed(spark, rows, 100, 50) == removed(rows, 100)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_suffixes_of_a_hot_passage_fill_many_buckets(spark, monkeypatch):
+    """A passage of 300 bytes in all texts, with surroundings of their own: no bucket grows with the number of texts."""
+    rng = random.Random(1)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage, ranges, sizes = text(300), sd.in_ranges, []
+
+    def watched(suffixes, buckets):
+        out = ranges(suffixes, 16)
+        sizes.append(sorted(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()))
+        return out
+
+    monkeypatch.setattr(sd, "in_ranges", watched)
+    for n in (1000, 2000):
+        rows = [(i, text(250) + passage + text(250)) for i in range(n)]
+        assert sd.remove_repeats(frame(spark, rows)).where("n_removed > 0").count() == 0
+    for n, s in zip((1000, 2000), sizes, strict=True):
+        assert sum(s) > n / 5 and s[-1] < sum(s) / 5, sizes
+
+
 def test_suffix_dedup_of_a_batch_without_rest(spark):
     """Every row of a batch loses something."""
     rows = [(i, "the same text " * 40) for i in range(8)]
