@@ -14,7 +14,7 @@ from roboframe.llm.benchmark_decontamination import decontaminate
 from roboframe.llm.bpe import default_path, encode_documents
 from roboframe.llm.ngram_jaccard_join import jaccard_components
 from roboframe.llm.suffix_array_dedup import remove_repeats
-from roboframe.llm.toxicity_chain import fit, label_toxicity
+from roboframe.llm.toxicity_chain import fit, toxicity
 
 
 #: Bytes of the shortest repeated string that is cut out: less than 51 words of five bytes with their blanks.
@@ -25,33 +25,36 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain rejects go. Fitted on the labelled ones among docs."""
     common.prepare(spark)
     labels = common.table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    model = fit(docs, labels)
-    return label_toxicity(docs, model, tuple(docs.columns)).where("not is_toxic").select(*docs.columns)
+    toxic = toxicity(fit(docs, labels))
+    return docs.where(~toxic(F.col("text").cast("string"))["is_toxic"])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
     common.prepare(spark)
     groups = jaccard_components(docs)
-    return common.without(docs, groups.where("component_id <> doc_id"), "doc_id").select(*docs.columns)
+    return common.without(docs, groups.where("component_id <> doc_id"), "doc_id")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings of REPEATED or more that occur elsewhere are cut out, which are passages of over 50 words at least; a
     document of which nothing is left goes. A character that a cut splits goes with it."""
     common.prepare(spark)
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = remove_repeats(docs, REPEATED, REPEATED // 2, carry=(*rest, "n_chars"), with_text=True)
-    out = out.withColumnRenamed("kept_text", "text")
-    out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.where("n_removed = 0 OR length(text) > 0").select(*docs.columns)
+    # columns that the operator doesn't need go through it under names of their own
+    other = {c: f"other_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    own = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(x) for c, x in other.items()))
+    out = remove_repeats(own, REPEATED, REPEATED // 2, carry=tuple(other.values()), with_text=True)
+    values = {c: F.col(x) for c, x in other.items()} | {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
+    if "n_chars" in other:
+        values["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col(other["n_chars"]))
+    return out.where("n_removed = 0 OR length(kept_text) > 0").select(*(values[c].alias(c) for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     common.prepare(spark)
     found = decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
-    return common.without(docs, found.where("contaminated"), "doc_id").select(*docs.columns)
+    return common.without(docs, found.where("contaminated"), "doc_id")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
