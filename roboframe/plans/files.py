@@ -9,12 +9,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import results as R
 from ..operators import windows as W
 from ..registry import query
 from ..sources import files as S
 from ..sources import tars as TAR
-from ..sources.views import EP, EV, RO, frames, messages, read, rollouts
+from ..sources.views import EP, EV, RN, RO, evaluations, frames, messages, read, rollouts
 from ..streaming import jobs as J
+from ..streaming import merge as M
 
 #: Batches of steps double in width from 100 on, so many times, up to the widest.
 DOUBLINGS = 10
@@ -107,22 +109,17 @@ def _(spark, sf):
     return S.summaries(text).select(F.col("path").cast("long").alias("demo_id"), "success")
 
 
-def streamed(spark, rows, batch, build, mode="append", key=None):
+def batches(spark, rows, batch, build, keep, mode="append", key=None, root=None):
     """Write rows into a folder for each value of `batch`, one folder after the other, each once a streaming query has
-    taken all before it; returns the query's rows. Rows without a batch come in batch 0. Rows of a `key` lie in one file
-    of each folder, so their order holds where a trigger sees a folder that is not yet whole."""
-    root = S.scratch(spark)
+    taken all before it and given it to keep(frame, number); returns the query's frame. Rows without a batch come in batch
+    0. Rows of a `key` lie in one file of each folder, so their order holds where a trigger sees a folder that is not yet
+    whole."""
+    root = root or S.scratch(spark)
     rows.withColumn("_batch", F.coalesce(batch.cast("long"), F.lit(0))).write.partitionBy("_batch").parquet(f"{root}/held")
     held = spark.read.schema(T.StructType([*rows.schema, T.StructField("_batch", T.LongType())])).parquet(f"{root}/held")
-    path, q = f"{root}/out", None
-
-    def keep(df, k):
-        # a folder for each batch: one that runs again replaces its rows
-        df.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={k}")
-
-    batches = [r[0] for r in held.select("_batch").distinct().sort("_batch").collect()]
+    q, numbers = None, [r[0] for r in held.select("_batch").distinct().sort("_batch").collect()]
     try:
-        for k in batches or [0]:
+        for k in numbers or [0]:
             part = held.where(F.col("_batch") == k).drop("_batch")
             (part.repartition(key) if key else part).write.parquet(f"{root}/in/{k}")
             if q is None:
@@ -132,9 +129,26 @@ def streamed(spark, rows, batch, build, mode="append", key=None):
     finally:
         if q is not None:
             q.stop()
+    return out
+
+
+def streamed(spark, rows, batch, build, mode="append", key=None):
+    """The rows that a streaming query makes of batches."""
+    path = S.scratch(spark)
+
+    def keep(df, k):
+        # a folder for each batch: one that runs again replaces its rows
+        df.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={k}")
+
+    out = batches(spark, rows, batch, build, keep, mode, key)
     return spark.read.schema(out.schema).parquet(path).select(*out.columns)
 
 
+def rocks(spark):
+    """Keyed state of one's own needs this store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 @query("K01_stream_masked_moments", f"WITH {EV} SELECT topic, count(*) AS n, round(avg(value), 6) AS mean, round(var_pop(value) * count(*), 2) AS m2, min(value) AS min, max(value) AS max FROM ev GROUP BY topic")
 def _(spark, sf):
     m = messages(spark, sf).select("topic", F.col("value").alias("x"), "event_id")
@@ -142,13 +156,53 @@ def _(spark, sf):
     return out.select("topic", "n", F.round("mean", 6).alias("mean"), F.round("m2", 2).alias("m2"), "min", "max")
 
 
+@query("K01b_resumed_moments", f"WITH {EV} SELECT topic, count(*) AS n, round(avg(value), 6) AS mean, round(var_pop(value) * count(*), 2) AS m2, min(value) AS min, max(value) AS max FROM ev GROUP BY topic")
+def _(spark, sf):
+    # half of the rows in one stream, whose state is saved; a new stream goes on from there with the other half
+    rocks(spark)
+    m = messages(spark, sf).select(F.col("topic").alias("key"), F.col("value").alias("x"), "event_id")
+    none = spark.createDataFrame([], J.Moments.output)
+    root = S.scratch(spark)
+    batches(spark, m.where("event_id % 2 = 0"), F.pmod("event_id", F.lit(4)), lambda s: J.resumed_moments(s, none), lambda df, k: df.count(), root=root)
+    saved = S.kept(J.saved_moments(spark.read.format("statestore").option("stateVarName", "moments").load(f"{root}/state")))
+    out = streamed(spark, m.where("event_id % 2 = 1"), F.pmod("event_id", F.lit(4)), lambda s: J.resumed_moments(s, saved))
+    last = out.unionByName(saved).groupBy("key").agg(F.max_by(F.struct("n", "mean", "m2", "min", "max"), "n").alias("r")).select("key", "r.*")
+    return last.select(F.col("key").alias("topic"), "n", F.round("mean", 6).alias("mean"), F.round("m2", 2).alias("m2"), "min", "max")
+
+
 @query("K05_stream_results", f"WITH {RO} SELECT task, model, count(*) FILTER (WHERE success IS NOT NULL) AS total, count(*) FILTER (WHERE success) AS successes FROM ro GROUP BY ALL")
 def _(spark, sf):
+    # each rollout is pending at first; its result comes in a file of a later hour
+    rocks(spark)
     r = rollouts(spark, sf)
-    first = r.withColumn("stamp", F.lit(0)).withColumn("success", F.lit(None).cast("boolean")).withColumn("pending", F.lit(True))
-    both = first.unionByName(r.withColumn("stamp", F.lit(1)))
-    out = streamed(spark, both, F.col("stamp") * 2 + F.col("demo_id") % 2, J.stream_results, "complete")
-    return out.groupBy("task", "model").agg(F.count_if(F.col("success").isNotNull()).alias("total"), F.count_if("success").alias("successes"))
+    hour = lambda h: F.timestamp_seconds(F.lit(1_700_000_000) + 3600 * h)
+    first = r.withColumns({"stamp": hour(F.col("demo_id") % 2), "success": F.lit(None).cast("boolean"), "pending": F.lit(True)})
+    final = r.withColumn("stamp", hour(2 + F.col("demo_id") % 2))
+    both = first.unionByName(final)
+    out = streamed(spark, both, F.floor((F.unix_timestamp("stamp") - 1_700_000_000) / 3600), lambda s: J.stream_results(s, "2 hours", 7_200_000))
+    done = (F.col("event") == "final") & F.col("success").isNotNull()
+    return out.groupBy("task", "model").agg(F.count_if(done).alias("total"), F.count_if(done & F.col("success")).alias("successes"))
+
+
+@query("K06_run_state", f"""WITH {EV} SELECT episode AS run_id, arg_max(CASE topic WHEN 'error' THEN 'crashed' WHEN 'purchase' THEN 'completed' ELSE 'running' END, (s, event_id)) AS state, arg_max(event_id, (s, event_id)) AS last_update FROM ev GROUP BY 1""")
+def _(spark, sf):
+    # events as they come, not in their order: the last one by time wins
+    state = F.when(F.col("topic") == "error", "crashed").when(F.col("topic") == "purchase", "completed").otherwise("running")
+    rows = messages(spark, sf).select(F.col("episode").alias("run_id"), state.alias("state"), F.col("event_id").alias("last_update"), "s")
+    table = M.MergedTable(spark, S.scratch(spark), rows.schema, ["run_id"], 8)
+    batches(spark, rows, F.pmod(F.xxhash64("last_update"), F.lit(3)), lambda s: s, table.sink("events", M.newest(["run_id"], ["s", "last_update"])))
+    return table.read().select("run_id", "state", "last_update")
+
+
+@query("K07_upsert_evaluations", f"WITH {RN} SELECT run_id, CASE WHEN run_id % 4 = 0 THEN total_rollouts + 100 ELSE total_rollouts END AS total_rollouts FROM evals UNION ALL SELECT -1, 5")
+def _(spark, sf):
+    # evaluations, then those that are made again, and one of a new run
+    old = evaluations(spark, sf).select("run_id", "total_rollouts", F.lit(0).alias("k"))
+    again = old.where("run_id % 4 = 0").select("run_id", F.col("total_rollouts") + 100, F.lit(1))
+    rows = old.union(again).union(spark.createDataFrame([(-1, 5, 1)], "run_id long, total_rollouts long, k int"))
+    table = M.MergedTable(spark, S.scratch(spark), "run_id long, total_rollouts long", ["run_id"], 8)
+    batches(spark, rows, F.col("k"), lambda s: s.drop("k"), table.sink("evaluations", lambda a, b: R.upsert(a, b, ["run_id"])))
+    return table.read()
 
 
 def npz(**arrays) -> bytes:
@@ -189,8 +243,7 @@ def step_batch(t):
 
 def keyed(spark, sf, processor):
     """Run a stateful processor over the episodes' steps, in batches of steps."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rocks(spark)
     s = W.episode_timesteps(frames(spark, sf)).select(F.col("episode").cast("string").alias("key"), F.col("t").cast("long").alias("t"), "x")
     return streamed(spark, s, step_batch(F.col("t")), lambda r: J.stateful(r, "key", processor), key="key")
 
@@ -216,8 +269,7 @@ def _(spark, sf):
 CAST(greatest(5 - t % 10, 0) AS INTEGER) AS remaining FROM ep WHERE t % 10 <> 0""")
 def _(spark, sf):
     # every tenth step brings a plan of five steps, the others take one each
-    name = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rocks(spark)
     s = W.episode_timesteps(frames(spark, sf))
     plan = F.when(F.col("t") % 10 == 0, F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: (F.col("t") + i).cast("double")))
     s = s.select(F.col("episode").cast("string").alias("key"), F.col("t").cast("long").alias("t"), plan.alias("plan"))

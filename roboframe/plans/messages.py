@@ -170,10 +170,3 @@ def _(spark, sf):
     b = F.when(F.col("w") == 0, 0).otherwise(b)  # all values equal
     share = F.round(F.avg(F.when(F.col("topic") != "error", 1.0).otherwise(0.0)), 6)
     return m.crossJoin(r).groupBy(b.alias("bin")).agg(F.count("*").alias("n"), share.alias("share"))
-
-
-@query("K06_run_state", f"""WITH {EV} SELECT episode AS run_id, arg_max(CASE topic WHEN 'error' THEN 'crashed' WHEN 'purchase' THEN 'completed' ELSE 'running' END, (s, event_id)) AS state, arg_max(event_id, (s, event_id)) AS last_update FROM ev GROUP BY 1""")
-def _(spark, sf):
-    state = F.when(F.col("topic") == "error", "crashed").when(F.col("topic") == "purchase", "completed").otherwise("running")
-    at = F.struct("s", "event_id")
-    return messages(spark, sf).groupBy(F.col("episode").alias("run_id")).agg(F.max_by(state, at).alias("state"), F.max_by("event_id", at).alias("last_update"))

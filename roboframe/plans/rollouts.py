@@ -304,10 +304,3 @@ def _(spark, sf):
     old = samples(spark, sf).select("run_id", "sample_index")
     new = old.where("run_id % 4 = 0 AND sample_index % 2 = 0").withColumn("sample_index", -F.col("sample_index"))
     return R.replace_groups(old, new, ["run_id"])
-
-
-@query("K07_upsert_evaluations", f"WITH {RN} SELECT run_id, CASE WHEN run_id % 4 = 0 THEN total_rollouts + 100 ELSE total_rollouts END AS total_rollouts FROM evals UNION ALL SELECT -1, 5")
-def _(spark, sf):
-    old = evaluations(spark, sf).select("run_id", "total_rollouts")
-    new = old.where("run_id % 4 = 0").withColumn("total_rollouts", F.col("total_rollouts") + 100)
-    return R.upsert(old, new.unionByName(spark.createDataFrame([(-1, 5)], "run_id long, total_rollouts long")), ["run_id"])

@@ -125,7 +125,106 @@ def stateful(rows: DataFrame, key: str, processor: _Ordered) -> DataFrame:
     return rows.groupBy(key).transformWithStateInPandas(processor, outputStructType=processor.output, outputMode="append", timeMode="none")
 
 
-def stream_results(rollouts: DataFrame) -> DataFrame:
-    """The newest state of each rollout as more result files arrive: pending rows become final."""
-    newest = F.max_by(F.struct("success", "pending", "duration"), "stamp")
-    return rollouts.groupBy("task", "model", "demo_id").agg(newest.alias("r")).select("task", "model", "demo_id", "r.*")
+class Rollouts(StatefulProcessor):
+    """The newest state of each rollout as result files arrive. A rollout is told when it is first seen (`open`), when it is
+    final (`final`), and when it has been pending for `patience` milliseconds after its last file (`lost`).
+
+    Its state goes when the watermark has passed its last file by `patience` (none is left then for finals), or is told
+    `lost`; files that come later than the watermark are not read by Spark, so none opens it again. Until then a final
+    rollout stays final, whatever comes.
+    """
+
+    output = "task string, model string, demo_id long, event string, success boolean, duration double, stamp timestamp"
+    columns = [c.split()[0] for c in output.split(", ")]
+
+    def __init__(self, patience: int):
+        self.patience = patience
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rollout = handle.getValueState("rollout", "stamp timestamp, success boolean, pending boolean, duration double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known = self.rollout.get() if self.rollout.exists() else None
+        frame = pd.concat(list(rows)).sort_values("stamp", kind="stable")
+        told = [] if known is not None else [self._row(key, "open", None, None, frame["stamp"].iloc[0])]
+        for stamp, success, pending, duration in zip(frame["stamp"], frame["success"], frame["pending"], frame["duration"], strict=True):
+            if known is not None and (not known[2] or stamp < known[0]):
+                continue
+            known = (stamp, None if pd.isna(success) else bool(success), bool(pending), None if pd.isna(duration) else float(duration))
+            if not known[2]:
+                told.append(self._row(key, "final", known[1], known[3], stamp))
+        self.rollout.update(known)
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(int(pd.Timestamp(known[0]).value // 1_000_000) + self.patience)
+        if told:
+            yield pd.DataFrame(told, columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        stamp, success, pending, duration = self.rollout.get()
+        self.rollout.clear()
+        if pending:
+            yield pd.DataFrame([self._row(key, "lost", success, duration, stamp)], columns=self.columns)
+
+    def _row(self, key, event, success, duration, stamp) -> tuple:
+        return (*key[:2], int(key[2]), event, success, duration, stamp)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_results(rollouts: DataFrame, delay: str = "10 minutes", patience: int = 3_600_000) -> DataFrame:
+    """rollouts(task, model, demo_id, success, pending, duration, stamp) as files arrive -> what becomes of each rollout, in
+    append mode; state is bounded by the rollouts of the last `delay` and `patience`."""
+    rows = rollouts.select("task", "model", "demo_id", "success", "pending", "duration", F.col("stamp").cast("timestamp").alias("stamp"))
+    return rows.withWatermark("stamp", delay).groupBy("task", "model", "demo_id").transformWithStateInPandas(
+        Rollouts(patience), outputStructType=Rollouts.output, outputMode="append", timeMode="EventTime"
+    )
+
+
+class Moments(StatefulProcessor):
+    """Count, mean, sum of squares around it, least and greatest value of each key, told anew after each batch. A saved state
+    may stand at the beginning."""
+
+    output = "key string, n long, mean double, m2 double, min double, max double"
+    schema = "n long, mean double, m2 double, min double, max double"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("moments", self.schema)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        r = initialState.iloc[0]
+        self.state.update((int(r["n"]), float(r["mean"]), float(r["m2"]), float(r["min"]), float(r["max"])))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state = self.state.get() if self.state.exists() else (0, 0.0, 0.0, None, None)
+        for frame in rows:
+            x = frame["x"].to_numpy(float)
+            x = x[~pd.isna(x)]
+            if len(x):
+                n, mean, m2, low, high = state
+                m, k = float(x.mean()), len(x)
+                apart = m - mean
+                low = float(x.min()) if low is None else min(low, float(x.min()))
+                high = float(x.max()) if high is None else max(high, float(x.max()))
+                state = (n + k, mean + apart * k / (n + k), m2 + float(((x - m) ** 2).sum()) + apart * apart * n * k / (n + k), low, high)
+        if state[0]:
+            self.state.update(state)
+            yield pd.DataFrame([(str(key[0]), *state)], columns=["key", "n", "mean", "m2", "min", "max"])
+
+    def close(self) -> None:
+        pass
+
+
+def resumed_moments(rows: DataFrame, saved: DataFrame) -> DataFrame:
+    """rows(key, x) as they arrive, saved(key, n, mean, m2, min, max) of what came before -> the moments of all, for each key
+    that a batch brings rows of, after that batch (append mode; the newest row of a key, which has its largest n, holds)."""
+    return rows.groupBy("key").transformWithStateInPandas(
+        Moments(), outputStructType=Moments.output, outputMode="append", timeMode="None", initialState=saved.groupBy("key")
+    )
+
+
+def saved_moments(state: DataFrame) -> DataFrame:
+    """Moments in the state of a stream, as Spark's state source reads it from a checkpoint."""
+    return state.select(F.col("key.key").alias("key"), "value.*")

@@ -149,21 +149,6 @@ def test_step_batches_grow(spark):
     assert got == [0, 0, 1, 3, 4, 4, 5, 13, 14, 14, 15, 13 + 10**9 // plans.WIDEST]
 
 
-def test_tars_without_samples_and_damaged_ones(spark):
-    import gzip
-
-    from roboframe.sources import files as S
-
-    good = S.tar_of([("a.txt", b"x"), ("a.json", b"{}")])
-    rows = [("d/good.tar", good), ("d/empty.tar", S.tar_of([])), ("d/cut.tar.gz", gzip.compress(good * 50)[:60]), ("d/odd.tar", b"not a tar" * 100)]
-    files = spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary")
-    assert [(r.shard, r.key, sorted(r.fields)) for r in S.tar_samples(files).collect()] == [("good.tar", "a", ["json", "txt"])]
-    assert {r.shard for r in S.rejected_tars(files).collect()} == {"cut.tar.gz", "odd.tar"}
-    assert S.tar_samples(files.where("path = 'd/empty.tar'")).count() == 0
-    with pytest.raises(Exception):
-        S.tar_samples(files, skip_bad=False).count()
-
-
 def test_sinks_refuse_folders_with_output(spark, tmp_path):
     from roboframe.sources import files as S
 
