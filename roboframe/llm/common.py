@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -77,6 +78,18 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+@contextmanager
+def few_samples(spark: SparkSession, n: int) -> Iterator[None]:
+    """What is run inside samples 3 * n rows for each range of a range partition, which the driver gets: for long keys."""
+    name = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def runs_of(texts: list, chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Cut a batch of texts into runs [a, b) with about `chars` characters each (one text at least)."""
     if len(texts):

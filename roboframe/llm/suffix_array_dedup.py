@@ -31,6 +31,7 @@ from .common import (
     bitmap,
     bitmap_udf,
     discard,
+    few_samples,
     joined,
     key_slot,
     partitions,
@@ -46,6 +47,8 @@ from .common import (
 
 #: log2 of the bits of the bitmap of repeated cores.
 CORE_BITS = 24
+#: A third of the suffixes of a bucket that Spark samples for its splitters; the driver gets these, of 600 bytes at most.
+SAMPLED = 8
 NONE = np.zeros(0, dtype=np.int64)
 
 
@@ -337,8 +340,7 @@ RESULT = ["n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256"]
 
 
 def in_ranges(suffixes: DataFrame, buckets: int) -> DataFrame:
-    """Ranges of suffixes, of equal ones by the reversed bytes before them. The driver sees Spark's samples: some hundred
-    suffixes a bucket, of `length` bytes at most."""
+    """Ranges of suffixes, of equal ones by the reversed bytes before them."""
     return suffixes.repartitionByRange(buckets, "suffix", "before")
 
 
@@ -367,7 +369,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, core: int = 200, carry: t
 
     suffixes = found.where("kind = 0").select("h1", "h2", "suffix", "before", "lo", "hi", "n")
     sorted_ = in_ranges(suffixes, 2 * partitions(spark)).mapInPandas(_sort_bucket(length, core, partitions(spark)), RUNS)
-    runs = written(sorted_, "op9-runs")
+    with few_samples(spark, SAMPLED):
+        runs = written(sorted_, "op9-runs")
     across = runs.where("bucket >= 0").select("bucket", "entries").groupBy("bucket")
     across = across.applyInPandas(_across, "h1 long, h2 long, first int, last int")
     told = runs.where("bucket < 0").select("h1", "h2", "first", "last").unionByName(across)
