@@ -47,7 +47,7 @@ def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(flip, 1 - v, v)
 
 
-def beta_quantile(p: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def beta_quantile(p: float | np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     lo, hi = np.zeros(len(a)), np.ones(len(a))
     for _ in range(60):
         mid = (lo + hi) / 2
@@ -82,6 +82,25 @@ def beta_quantiles(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(list(q))
 
 
+def uniform(seed: int, *counter: str) -> Column:
+    """A number in (0, 1) by a hash of the seed and the values of the counter: the same wherever and in whatever order."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in counter])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") + 0.5) / F.lit(float(1 << 52))
+
+
+@F.pandas_udf(DoubleType())
+def beta_inverse(p: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    """The value below which a share p of Beta(a, b) lies."""
+    return pd.Series(beta_quantile(p.to_numpy(float), a.to_numpy(float), b.to_numpy(float)))
+
+
+def beta_draws(groups: DataFrame, keys: list[str], a: str, b: str, n: int, seed: int) -> DataFrame:
+    """groups(*keys, a, b) -> n draws of Beta(a, b) for each: *keys, i, draw. Draws are numbered, and each is the inverse
+    distribution at a number that depends on seed, keys and i only."""
+    rows = groups.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return rows.select(*keys, "i", beta_inverse(uniform(seed, *keys, "i"), F.col(a), F.col(b)).alias("draw"))
+
+
 def balanced_success(rollouts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rollouts of the tasks that all models have, the same number for each model and task (the smallest of all), in
     the order of demo_id; and the excluded tasks."""

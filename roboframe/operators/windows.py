@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from . import scans
@@ -134,6 +134,24 @@ def filter_counters(steps: DataFrame, past: int, future: int, most_past: int, mo
     )
 
 
+def write_kept_windows(steps: DataFrame, path: str, past: int, future: int, most_past: int, most_future: int, threshold: float, field: str = "x") -> dict[str, int]:
+    """Write the steps whose windows pass both filters, and count in the same pass what was there, what each filter has
+    dropped and what stays: the counts are observed as the rows go by, nothing is read for them."""
+    rows = window_padding(still_spread(steps, past, future, [field]), past, future)
+    padded = (F.col("past_padding") > most_past) | (F.col("future_padding") > most_future)
+    still = ~padded & (F.col("spread") <= threshold)
+    seen = Observation()
+    rows = rows.observe(
+        seen,
+        F.count(F.lit(1)).alias("potential"),
+        F.count(F.when(padded, 1)).alias("dropped_padding"),
+        F.count(F.when(still, 1)).alias("dropped_still"),
+        F.count(F.when(~padded & ~still, 1)).alias("kept"),
+    )
+    rows.where(~padded & ~still).drop("spread").write.parquet(path)
+    return seen.get
+
+
 def image_offset_lookup(steps: DataFrame, offsets: list[int], field: str, episode: str = "episode") -> DataFrame:
     """The frame at anchor + offset, clamped to the episode: a column <field>_t<offset> for each offset."""
     w = Window.partitionBy(episode).orderBy("t")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import nested
 from ..operators import crawl as C
-from ..operators import shards
+from ..operators import folds, shards
 from ..registry import query
 from ..sources import files, tars
 from ..sources.views import LS, RN, listing, read, runs
@@ -153,11 +153,9 @@ def _(spark, sf):
     return c.join(c.groupBy("task").agg(F.min("rank").alias("rank")), ["task", "rank"]).select("task", "path")
 
 
-@query("D28_source_fingerprint", f"WITH {LS} SELECT split_part(path, '/', 1) AS source, count(*) AS n, md5(string_agg(path, chr(10) ORDER BY path)) AS fingerprint FROM ls GROUP BY 1")
+@query("D28_source_fingerprint", f"WITH {LS} SELECT split_part(path, '/', 1) AS source, count(*) AS n, list_slice(list(path ORDER BY path), 1, 10) AS first, md5(string_agg(path, chr(10) ORDER BY path)) AS fingerprint FROM ls GROUP BY 1")
 def _(spark, sf):
-    # paths of one source are listed once; their text is what the fingerprint is defined on
-    paths = F.array_sort(F.collect_list("path"))
-    return listing(spark, sf).groupBy(N.part("path", 1).alias("source")).agg(F.count("*").alias("n"), F.md5(F.array_join(paths, "\n").cast("binary")).alias("fingerprint"))
+    return folds.fingerprints(listing(spark, sf).select(N.part("path", 1).alias("source"), "path"), "source", "path")
 
 
 @query("F02_natural_latest", f"WITH {LS} SELECT {ROOT} AS run, arg_max(path, CAST(regexp_extract(path, 'file_([0-9]+)', 1) AS BIGINT)) AS latest FROM ls GROUP BY 1")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import windows as W
 from ..registry import query
+from ..sources import files
 from ..sources.views import EP, EV, VE, frames, messages, read, vectors
 
 P, FUT = 1, 14
@@ -93,7 +94,8 @@ def _(spark, sf):
 SELECT count(*) AS potential, count(*) FILTER (WHERE p) AS dropped_padding, count(*) FILTER (WHERE NOT p AND d <= 30) AS dropped_still,
   count(*) FILTER (WHERE NOT p AND d > 30) AS kept FROM s""")
 def _(spark, sf):
-    return W.filter_counters(steps(spark, sf), P, FUT, 1, 7, 30.0)
+    counts = W.write_kept_windows(steps(spark, sf), files.scratch(spark), P, FUT, 1, 7, 30.0)
+    return spark.createDataFrame([counts], "potential long, dropped_padding long, dropped_still long, kept long")
 
 
 @query("B01_select_fields", f"WITH {EP} SELECT episode, t, x AS action FROM ep")

@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import convert as C
 from ..operators import results as R
 from ..operators import windows as W
 from ..registry import query
 from ..sources import files as S
+from ..sources import rejects
 from ..sources import tars as TAR
 from ..sources.views import EP, EV, RN, RO, evaluations, frames, messages, read, rollouts
 from ..streaming import jobs as J
@@ -101,12 +103,25 @@ def _(spark, sf):
     return rows.groupBy("robot_type").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("total"))
 
 
-@query("A14_scan_summary", f"WITH {RO} SELECT demo_id, coalesce(success, false) AS success FROM ro")
-def _(spark, sf):
-    r = rollouts(spark, sf)
+def summary_files(spark, sf):
+    """A text file for each rollout: its success on a line where it has one, every thirtieth of them empty of keys."""
+    root, r = S.scratch(spark), rollouts(spark, sf)
     said = F.when(F.col("success").isNotNull(), F.concat(F.lit("success: "), F.col("success").cast("string"), F.lit("\n"))).otherwise("")
-    text = r.select(F.col("demo_id").cast("string").alias("path"), F.concat(F.lit("demo: 1\n"), said).alias("value"))
-    return S.summaries(text).select(F.col("path").cast("long").alias("demo_id"), "success")
+    text = F.when(F.col("demo_id") % 30 == 7, "nothing to say").otherwise(F.concat(F.lit("demo: 1\n"), said))
+    r.select(F.col("demo_id").alias("of"), text.alias("value")).repartition("of").write.partitionBy("of").text(root)
+    rows = spark.read.text(f"{root}/of=*", wholetext=True)
+    return S.summary_rows(rows.select(F.regexp_extract("_metadata.file_path", r"/of=(-?\d+)/", 1).alias("path"), "value"))
+
+
+@query("A14_scan_summary", f"WITH {RO} SELECT demo_id, coalesce(success, false) AS success FROM ro WHERE demo_id % 30 <> 7")
+def _(spark, sf):
+    good, _ = rejects.split(summary_files(spark, sf), "summaries", F.col("path"))
+    return good.select(F.col("path").cast("long").alias("demo_id"), "success")
+
+
+@query("A14b_summary_rejects", f"""WITH {RO} SELECT 'summaries' AS stage, CAST(demo_id AS VARCHAR) AS "row", 'no line of the form `key:`' AS reason FROM ro WHERE demo_id % 30 = 7""")
+def _(spark, sf):
+    return rejects.split(summary_files(spark, sf), "summaries", F.col("path"))[1]
 
 
 def batches(spark, rows, batch, build, keep, mode="append", key=None, root=None):
@@ -211,27 +226,60 @@ def npz(**arrays) -> bytes:
     return out.getvalue()
 
 
-@query("A10_scan_frame_files", f"WITH {EP} SELECT 'ep' || episode AS episode, t, 'x' AS field, round(x, 4) AS x FROM ep")
-def _(spark, sf):
+def frame_shards(spark, sf):
+    """Frames as files in shards, an episode to a shard, every fiftieth of them damaged; as (path, content)."""
+    root = S.scratch(spark)
+
     def pack(batches):
         for b in batches:
-            paths = [f"root/ep{e}_t{t:04d}.npz" for e, t in zip(b["episode"], b["t"], strict=True)]
-            yield pd.DataFrame({"path": paths, "content": [npz(x=np.array([v]), name=np.array("n")) for v in b["x"]]})
+            raw = [npz(x=np.array([v]), name=np.array("n")) for v in b["x"]]
+            raw = [r[:40] if o % 50 == 7 else r for r, o in zip(raw, b["ordinal"], strict=True)]
+            yield pd.DataFrame({"shard": b["episode"], "key": [f"ep{e}_t{t:04d}" for e, t in zip(b["episode"], b["t"], strict=True)], "fields": [{"npz": r} for r in raw]})
+
+    s = W.episode_timesteps(frames(spark, sf)).select(F.col("episode").cast("int").alias("episode"), "t", "x", "ordinal")
+    TAR.write_tar_shards(s.mapInPandas(pack, "shard int, key string, fields map<string,binary>"), root)
+    rows = TAR.read_tar_shards(spark, root, fields=("npz",)).where("reason IS NULL")
+    return rows.select(F.concat("shard", F.lit("/"), "key", F.lit(".npz")).alias("path"), F.col("fields")["npz"].alias("content"))
+
+
+@query("A10_scan_frame_files", f"WITH {EP} SELECT 'ep' || episode AS episode, t, 'x' AS field, round(x, 4) AS x FROM ep WHERE ordinal % 50 <> 7")
+def _(spark, sf):
+    good, _ = rejects.split(S.frame_rows(frame_shards(spark, sf)), "frames", F.col("path"))
+    return good.select("episode", "t", "field", F.round(F.get("value", F.lit(0)), 4).alias("x"))
 
-    s = W.episode_timesteps(frames(spark, sf)).select("episode", "t", "x")
-    f = S.frame_files(s.mapInPandas(pack, "path string, content binary"))
-    return f.select("episode", "t", "field", F.round(F.get("value", F.lit(0)), 4).alias("x"))
+
+@query("A10b_frame_rejects", f"""WITH {EP} SELECT 'frames' AS stage, printf('shard_%06d.tar/ep%d_t%04d.npz', episode, episode, t) AS "row", true AS told FROM ep WHERE ordinal % 50 = 7""")
+def _(spark, sf):
+    _, bad = rejects.split(S.frame_rows(frame_shards(spark, sf)), "frames", F.col("path"))
+    return bad.select("stage", "row", (F.length("reason") > 0).alias("told"))
 
 
 @query("A11_scan_processed_episodes", f"WITH {EP} SELECT 'ep' || episode AS episode, t, 'obs/x' AS field, round(x, 4) AS x FROM ep")
 def _(spark, sf):
+    # an episode is a file of arrays over time, all of them members of shards
     def pack(frame):
         x = frame.sort_values("t")["x"].to_numpy()
-        return pd.DataFrame({"path": [f"root/ep{frame['episode'].iloc[0]}/obs.npz"], "content": [npz(x=x, depth=x)]})
+        e = int(frame["episode"].iloc[0])
+        return pd.DataFrame({"shard": [e // 16], "key": [f"ep{e}/obs"], "fields": [{"npz": npz(x=x, depth=x)}]})
 
+    root = S.scratch(spark)
     s = W.episode_timesteps(frames(spark, sf)).select("episode", "t", "x")
-    f = S.processed_episodes(s.groupBy("episode").applyInPandas(pack, "path string, content binary"), ("depth",))
-    return f.select("episode", "t", "field", F.round(F.get("value", F.lit(0)), 4).alias("x"))
+    TAR.write_tar_shards(s.groupBy("episode").applyInPandas(pack, "shard int, key string, fields map<string,binary>"), root)
+    rows = TAR.read_tar_shards(spark, root, fields=("npz",)).where("reason IS NULL")
+    files = rows.select(F.concat("shard", F.lit("/"), "key", F.lit(".npz")).alias("path"), F.col("fields")["npz"].alias("content"))
+    good, _ = rejects.split(S.episode_rows(files, ("depth",)), "episodes", F.col("path"))
+    return good.select("episode", "t", "field", F.round(F.get("value", F.lit(0)), 4).alias("x"))
+
+
+@query("A04b_convert_episodes", f"""WITH {EP}, ok AS (SELECT * FROM ep WHERE t >= 0 AND t + 14 - n + 1 <= 7)
+SELECT printf('shard_%06d', s.shard) AS shard, count(ok.t) AS num_sequences FROM (SELECT DISTINCT episode // 4 AS shard FROM ep) s LEFT JOIN ok ON ok.episode // 4 = s.shard GROUP BY 1""")
+def _(spark, sf):
+    # cut off after one slice, and begun again
+    root, f = S.scratch(spark), frames(spark, sf)
+    many = f.select((F.max("episode") / 4).alias("k")).first()["k"]
+    C.convert(f, root, 1, 14, 1, 7, per_shard=4, slice_=int(many) // 2 + 1, most_slices=1)
+    C.convert(f, root, 1, 14, 1, 7, per_shard=4)
+    return C.shards_there(spark, root)
 
 
 def step_batch(t):

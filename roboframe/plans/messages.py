@@ -8,6 +8,7 @@ from ..functions import nested
 from ..operators import alignment as A
 from ..operators.statistics import masked_percentiles
 from ..registry import query
+from ..sources import rejects
 from ..sources.views import EV, messages, read
 
 PAIR = "tg AS (SELECT * FROM ev WHERE topic = 'view' AND episode IN (SELECT episode FROM ev WHERE topic = 'purchase')), so AS (SELECT * FROM ev WHERE topic = 'purchase')"
@@ -56,10 +57,21 @@ def _(spark, sf):
     return rows.select("episode", "topic", F.col("z.event_id").alias("ids"))
 
 
-@query("A12_scan_messages", f"WITH {EV} SELECT topic, event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM ev WHERE json_valid(props)")
+def parsed_messages(spark, sf):
+    """Messages whose payload is JSON; every thirteenth is cut short."""
+    props = F.when(F.col("event_id") % 13 == 5, F.expr("substring(props, 1, length(props) - 1)")).otherwise(F.col("props"))
+    rows = messages(spark, sf).select("topic", "event_id", F.try_parse_json(props).alias("v"))
+    return rejects.split(rows.withColumn("reason", F.when(F.col("v").isNull(), "the payload is not JSON")), "messages", F.col("event_id"))
+
+
+@query("A12_scan_messages", f"WITH {EV} SELECT topic, event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM ev WHERE json_valid(props) AND event_id % 13 <> 5")
+def _(spark, sf):
+    return parsed_messages(spark, sf)[0].select("topic", "event_id", F.try_variant_get("v", "$.k", "double").alias("k"))
+
+
+@query("A12b_message_rejects", f"""WITH {EV} SELECT 'messages' AS stage, CAST(event_id AS VARCHAR) AS "row", 'the payload is not JSON' AS reason FROM ev WHERE NOT json_valid(props) OR event_id % 13 = 5""")
 def _(spark, sf):
-    v = F.try_parse_json("props")
-    return messages(spark, sf).where(v.isNotNull()).select("topic", "event_id", F.try_variant_get(v, "$.k", "double").alias("k"))
+    return parsed_messages(spark, sf)[1]
 
 
 @query("H30_message_field_path", f"WITH {EV} SELECT event_id, [CAST(json_extract(props, '$.k') AS DOUBLE)] AS k, [CAST(json_extract(props, '$.k') AS DOUBLE), 1.0] AS list, CAST(NULL AS DOUBLE[]) AS bad FROM ev")

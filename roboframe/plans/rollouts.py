@@ -82,6 +82,17 @@ def _(spark, sf):
     return s.withColumn("q", F.transform(R.beta_quantiles("a", "b"), lambda x: F.round(x, 6)))
 
 
+@query("D12c_beta_draws", f"""WITH RECURSIVE {RO}, {SUM}, c AS (SELECT task, model, i, 1 + successes AS a, 1 + total - successes AS b,
+  (CAST('0x' || substr(md5('42|' || task || '|' || model || '|' || i), 1, 13) AS BIGINT) + 0.5) / 4503599627370496 AS share, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS step
+  FROM sm, (SELECT CAST(unnest(range(20)) AS INTEGER) AS i)
+UNION ALL SELECT task, model, i, a, b, share, CASE WHEN low THEN (lo + hi) / 2 ELSE lo END, CASE WHEN low THEN hi ELSE (lo + hi) / 2 END, step + 1
+  FROM (SELECT *, {tail_sql('a', '(a + b - 1)', '(lo + hi) / 2')} < share AS low FROM c WHERE step < 40))
+SELECT task, model, i, round((lo + hi) / 2, 6) AS draw FROM c WHERE step = 40""")
+def _(spark, sf):
+    s = summary(spark, sf).select("task", "model", (1 + F.col("successes")).alias("a"), (1 + F.col("total") - F.col("successes")).alias("b"))
+    return R.beta_draws(s, ["task", "model"], "a", "b", 20, 42).withColumn("draw", F.round("draw", 6))
+
+
 BAL = f"""{SUM}, ct AS (SELECT task, count(*) AS k, min(total) AS least FROM sm WHERE total > 0 GROUP BY task), nm AS (SELECT count(DISTINCT model) AS m FROM sm WHERE total > 0),
 cm AS (SELECT task, least FROM ct, nm WHERE k = m), fl AS (SELECT min(least) AS f FROM cm)"""
 

@@ -9,6 +9,8 @@ import io
 import re
 import tempfile
 import uuid
+import zipfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,42 +110,71 @@ def _arrays(raw: bytes) -> dict[str, np.ndarray]:
         return {k: np.atleast_1d(z[k]).astype(float).ravel() for k in z.files if z[k].dtype.kind in "fiub"}
 
 
-def frame_files(files: DataFrame) -> DataFrame:
-    """files(path, content) of <episode>_t%04d.npz -> frames; a name of another form raises, keys that are not numbers
-    are skipped."""
+DAMAGE = (ValueError, OSError, EOFError, KeyError, zipfile.BadZipFile, zlib.error)
+
+
+def _decoded(files: DataFrame, decode, strict: bool) -> DataFrame:
+    """files(path, content) -> the rows of each, or a row with its path and the reason why it has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                m = re.search(r"([^/]+)_t(\d+)\.npz$", path)
-                if not m:
-                    raise ValueError(f"not a frame file: {path}")
-                rows = [(m[1], int(m[2]), k, v) for k, v in _arrays(content).items()]
-                yield pd.DataFrame(rows, columns=["episode", "t", "field", "value"])
+                try:
+                    rows = [(*r, path, None) for r in decode(path, content)]
+                except DAMAGE as e:
+                    if strict:
+                        raise
+                    rows = [(None, None, None, None, path, str(e) or type(e).__name__)]
+                yield pd.DataFrame(rows, columns=["episode", "t", "field", "value", "path", "reason"]).astype({"t": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, f"{FRAMES}, path string, reason string")
+
+
+def _frame(path: str, content: bytes) -> list[tuple]:
+    m = re.search(r"([^/]+)_t(\d+)\.npz$", path)
+    if not m:
+        raise ValueError(f"not a frame file: {path}")
+    return [(m[1], int(m[2]), k, v) for k, v in _arrays(content).items()]
 
-    return files.select("path", "content").mapInPandas(run, FRAMES)
+
+def frame_rows(files: DataFrame) -> DataFrame:
+    """files(path, content) of <episode>_t%04d.npz -> episode, t, field, value, path, reason: what can't be read, or has
+    another name, is a row with its path and the reason."""
+    return _decoded(files, _frame, False)
+
+
+def frame_files(files: DataFrame) -> DataFrame:
+    """The same as frames; a file that can't be read or has a name of another form raises, keys that are not numbers are
+    skipped."""
+    return _decoded(files, _frame, True).drop("path", "reason")
 
 
 def scan_frame_files(spark: SparkSession, pattern: str) -> DataFrame:
     return frame_files(spark.read.format("binaryFile").load(pattern))
 
 
-def processed_episodes(files: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
-    """files(path, content) of <episode>/<part>.npz, one array over time per key -> frames without the dropped keys."""
+def _episode(drop: tuple[str, ...]):
+    def decode(path: str, content: bytes) -> list[tuple]:
+        episode, part = path.split("/")[-2], path.split("/")[-1].removesuffix(".npz")
+        rows = []
+        with np.load(io.BytesIO(content), allow_pickle=False) as z:
+            for k in z.files:
+                if k not in drop:
+                    a = np.asarray(z[k], dtype=float)
+                    rows += [(episode, t, f"{part}/{k}", np.atleast_1d(a[t]).ravel()) for t in range(len(a))]
+        return rows
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                episode, part = path.split("/")[-2], path.split("/")[-1].removesuffix(".npz")
-                rows = []
-                with np.load(io.BytesIO(content), allow_pickle=False) as z:
-                    for k in z.files:
-                        if k not in drop:
-                            a = np.asarray(z[k], dtype=float)
-                            rows += [(episode, t, f"{part}/{k}", np.atleast_1d(a[t]).ravel()) for t in range(len(a))]
-                yield pd.DataFrame(rows, columns=["episode", "t", "field", "value"])
+    return decode
 
-    return files.select("path", "content").mapInPandas(run, FRAMES)
+
+def episode_rows(files: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
+    """files(path, content) of <episode>/<part>.npz, one array over time per key -> episode, t, field, value, path, reason."""
+    return _decoded(files, _episode(drop), False)
+
+
+def processed_episodes(files: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
+    """The same as frames without the dropped keys; a file that can't be read raises."""
+    return _decoded(files, _episode(drop), True).drop("path", "reason")
 
 
 def scan_summaries(spark: SparkSession, pattern: str) -> DataFrame:
@@ -153,9 +184,15 @@ def scan_summaries(spark: SparkSession, pattern: str) -> DataFrame:
     return summaries(rows.select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
-def summaries(rows: DataFrame) -> DataFrame:
+def summary_rows(rows: DataFrame) -> DataFrame:
+    """rows(path, value) -> path, success, reason."""
     said = F.lower(F.regexp_extract("value", r"(?m)^success:\s*(\w+)", 1))
-    return rows.where(F.col("value").rlike(r"(?m)^\w+:")).select("path", said.isin("true", "yes").alias("success"))
+    there = F.col("value").rlike(r"(?m)^\w+:")
+    return rows.select("path", F.coalesce(said.isin("true", "yes"), F.lit(False)).alias("success"), F.when(~F.coalesce(there, F.lit(False)), "no line of the form `key:`").alias("reason"))
+
+
+def summaries(rows: DataFrame) -> DataFrame:
+    return summary_rows(rows).where("reason IS NULL").drop("reason")
 
 
 def scan_results(spark: SparkSession, root: str) -> DataFrame:

@@ -334,11 +334,7 @@ class TarWriter(DataSourceArrowWriter):
         if twice:
             raise ValueError(f"shards were written twice: {', '.join(sorted(twice)[:5])}")
         kept = dict(before + told)
-        lines = [json.dumps({"shard": n, "num_sequences": kept[n]}) for n in sorted(kept)]
-        fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/.{MANIFEST}.{self.job}") as out:
-            out.write("".join(x + "\n" for x in lines).encode())
-        fs.move(f"{root}/.{MANIFEST}.{self.job}", f"{root}/{MANIFEST}")
+        _write_manifest(fs, root, kept, self.job)
         self._clear(fs, root)
 
     def abort(self, messages: list[Told | None]) -> None:
@@ -362,6 +358,20 @@ def read_manifest_file(fs: pafs.FileSystem, root: str) -> dict[str, int]:
     return {r["shard"]: r["num_sequences"] for r in rows}
 
 
+def _write_manifest(fs: pafs.FileSystem, root: str, shards: dict[str, int], job: str) -> None:
+    lines = [json.dumps({"shard": n, "num_sequences": shards[n]}) for n in sorted(shards)]
+    fs.create_dir(root, recursive=True)
+    with fs.open_output_stream(f"{root}/.{MANIFEST}.{job}") as out:
+        out.write("".join(x + "\n" for x in lines).encode())
+    fs.move(f"{root}/.{MANIFEST}.{job}", f"{root}/{MANIFEST}")
+
+
+def enter(path: str, shards: list[tuple[str, int]]) -> None:
+    """Enter shards in a manifest that have no file, for they have no samples."""
+    fs, root = file_system(path.rstrip("/"))
+    _write_manifest(fs, root, dict(shards) | read_manifest_file(fs, root), uuid.uuid4().hex)
+
+
 class TarShards(DataSource):
     """Options for reading: path (a file, a folder or a pattern), shards (a JSON list of file names; others aren't opened),
     fields (names with commas between; others aren't read), mode (PERMISSIVE: what is damaged comes as rows with a reason; DROPMALFORMED; FAILFAST), splitBytes. For writing: path;
