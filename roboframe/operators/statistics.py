@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import kept
+
 PERCENTS = (0.01, 0.02, 0.05, 0.95, 0.98, 0.99)
 
 
@@ -68,40 +70,84 @@ def finalize_statistics(moments: DataFrame, keys: tuple[str, ...] = ()) -> DataF
     )
 
 
-#: Ranges of values that each key is dealt into where exact percentiles are looked up.
-RANGES = 64
+#: Values of a key that one task puts in order, at most; the share of ranks on either side that a sketch is trusted to.
+ORDERED, MARGIN = 1 << 22, 0.02
+#: Quantiles of a sketch that bounds are taken from.
+GRID = 200
+
+
+def masked_percentiles(rows: DataFrame, keys: tuple[str, ...] = ("t",), x: str = "x", percents: tuple[float, ...] = PERCENTS,
+                       most: int = ORDERED) -> DataFrame:
+    """Exact percentiles by linear interpolation: (keys, p), without keys one row; a key without a value has no row.
 
+    The values of a key with `most` of them or fewer are counted and put in order. For a larger key a sketch names two values
+    around each rank; a pass counts what lies below and between them, and that is narrowed again until it is `most` or fewer,
+    which are put in order. The counts prove that the rank lies between; where they don't, wider bounds are taken."""
+    out = keys or ("_all",)
+    v = rows.withColumn("_all", F.lit(0)).select(*out, valid(x).cast("double").alias("_x")).where("_x IS NOT NULL")
+    large = v.groupBy(*out).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    if large.isEmpty():
+        return _by_order(v, out, percents).drop("_all")
+    large = kept(large)
+    named = [f"_k{i}" for i in range(len(out))]
+    mark = large.select(*[F.col(k).alias(c) for k, c in zip(out, named, strict=True)], "_n")
+    same = [F.col(k).eqNullSafe(F.col(c)) for k, c in zip(out, named, strict=True)]
+    few = _by_order(v.join(mark, same, "left_anti"), out, percents)
+    many = v.join(mark, same).drop(*named)
+    return few.unionByName(_by_narrowing(many, large, out, percents, most)).drop("_all")
 
-def masked_percentiles(rows: DataFrame, keys: tuple[str, ...] = ("t",), x: str = "x", percents: tuple[float, ...] = PERCENTS) -> DataFrame:
-    """Exact percentiles by linear interpolation, found by rank: (keys, p), without keys one row.
 
-    A sketch deals each key's values into ranges; their counts tell in which range a rank lies, and only such a range is
-    put in order, so no task holds a key. rows are read three times; a key without a value has no row."""
-    keys = keys or ("_all",)
-    one = F.lit(0)
-    v = rows.withColumn("_all", one).select(*keys, valid(x).cast("double").alias("_x")).where("_x IS NOT NULL")
-    cuts = F.kll_sketch_get_quantile_double("_s", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]))
-    bounds = v.groupBy(*keys).agg(F.kll_sketch_agg_double("_x").alias("_s"), F.count("*").alias("_n"))
-    bounds = bounds.select(*keys, "_n", cuts.alias("_cuts"))
+def _interpolated(low: Column, high: Column, r: Column) -> Column:
+    return F.when(low == high, low).otherwise(low + (high - low) * (r - F.floor(r)))
 
+
+def _by_order(v: DataFrame, keys: tuple[str, ...], percents: tuple[float, ...]) -> DataFrame:
     values = v.groupBy(*keys, "_x").agg(F.count("*").alias("_k"))
-    dealt = _beside(values, bounds, [*keys]).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_x"))))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a key
-    counts = dealt.groupBy(*keys, "_b").agg(F.sum("_k").alias("_c"))
-    counts = counts.withColumn("_from", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    place = [F.struct(F.lit(i).alias("i"), ((F.col("_n") - 1) * F.lit(p)).alias("r")) for i, p in enumerate(percents)]
-    ranks = bounds.select(*keys, F.explode(F.array(*place)).alias("_w"))
-    ranks = ranks.select(*keys, F.col("_w.i").alias("_i"), F.col("_w.r").alias("_r"), F.explode(F.array(F.floor("_w.r"), F.ceil("_w.r"))).alias("_at"))
-    wanted = _beside(ranks, counts, [*keys]).where("_at >= _from AND _at < _from + _c").select(*keys, "_i", "_r", "_at", "_b", "_from").distinct()
-    # the values of the ranges with a wanted rank, in order
-    some = _beside(dealt.select(*keys, "_b", "_x", "_k"), wanted.select(*keys, "_b", "_from").distinct(), [*keys, "_b"])
-    upto = F.sum("_k").over(Window.partitionBy(*keys, "_b").orderBy("_x"))
-    some = some.withColumn("_to", F.col("_from") + upto).withColumn("_low", F.col("_to") - F.col("_k"))
-    found = _beside(wanted.drop("_from"), some.select(*keys, "_b", "_x", "_low", "_to"), [*keys, "_b"]).where("_at >= _low AND _at < _to")
-    lower, upper = F.min_by("_x", "_at"), F.max_by("_x", "_at")
-    each = found.groupBy(*keys, "_i").agg((lower + (upper - lower) * (F.first("_r") - F.min("_at"))).alias("_p"))
-    out = each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_p"))), lambda s: s["_p"]).alias("p"))
-    return out.drop("_all")
+    w = Window.partitionBy(*keys)
+    values = values.withColumns({"_to": F.sum("_k").over(w.orderBy("_x")), "_n": F.sum("_k").over(w)})
+    # the value at a rank is the least one up to which there are more values
+    at = [(F.col("_n") - 1) * F.lit(p) for p in percents]
+    ends = [F.min(F.when(F.col("_to") > f(r), F.col("_x"))).alias(f"_{side}{i}") for i, r in enumerate(at) for side, f in (("l", F.floor), ("h", F.ceil))]
+    found = values.groupBy(*keys).agg(F.first("_n").alias("_n"), *ends)
+    return found.select(*keys, F.array(*[_interpolated(F.col(f"_l{i}"), F.col(f"_h{i}"), r) for i, r in enumerate(at)]).alias("p"))
+
+
+def _by_narrowing(v: DataFrame, sizes: DataFrame, keys: tuple[str, ...], percents: tuple[float, ...], most: int) -> DataFrame:
+    """v: the values of the keys in sizes(*keys, _n), which are many."""
+    ranks = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), ((F.col("_n") - 1) * F.lit(p)).alias("_r")) for i, p in enumerate(percents)]))
+    far = F.lit(float("inf"))
+    b = sizes.withColumn("_w", ranks).select(
+        *keys, "_w.*", (-far).alias("_lo"), far.alias("_hi"), F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_inside"), F.lit(MARGIN).alias("_m")
+    )
+    b = kept(b)  # a row for each large key and rank
+    on = [*keys, "_i"]
+    v = v.select(*keys, "_x")
+    while True:
+        open_ = b.where((F.col("_inside") > most) & (F.col("_m") < 1))
+        if open_.isEmpty():
+            break
+        inside = _beside(v, open_, keys).where("_x >= _lo AND _x <= _hi")
+        q = (F.col("_r") - F.col("_below")) / F.col("_inside")
+        grid = F.kll_sketch_get_quantile_double("_s", F.array(*[F.lit(k / GRID) for k in range(1, GRID)]))
+        at = lambda k, end: F.when((k < 1) | (k >= GRID), end).otherwise(F.get(grid, k.cast("int") - 1))
+        new = inside.groupBy(*on).agg(F.kll_sketch_agg_double("_x").alias("_s"), *[F.first(c).alias(c) for c in ("_r", "_lo", "_hi", "_below", "_inside", "_m")])
+        new = kept(new.select(*on, "_r", "_lo", "_hi", "_below", "_inside", "_m", at(F.floor((q - F.col("_m")) * GRID), F.col("_lo")).alias("_a"), at(F.ceil((q + F.col("_m")) * GRID), F.col("_hi")).alias("_b")))
+        seen = _beside(v, new, keys).where("_x >= _lo AND _x <= _hi").groupBy(*on)
+        seen = seen.agg(F.count_if(F.col("_x") < F.col("_a")).alias("_less"), F.count_if(F.col("_x").between(F.col("_a"), F.col("_b"))).alias("_mid"))
+        new = _beside(new, seen, on)
+        below = F.col("_below") + F.col("_less")
+        sure = (F.floor("_r") >= below) & (F.ceil("_r") < below + F.col("_mid")) & (F.col("_mid") < F.col("_inside"))
+        new = new.select(
+            *on, "_r", *[F.when(sure, x).otherwise(F.col(o)).alias(o) for x, o in ((F.col("_a"), "_lo"), (F.col("_b"), "_hi"), (below, "_below"), (F.col("_mid"), "_inside"))],
+            F.when(sure, F.lit(MARGIN)).otherwise(F.col("_m") * 4).alias("_m"),
+        )
+        b = kept(b.where((F.col("_inside") <= most) | (F.col("_m") >= 1)).unionByName(new))
+    values = _beside(v, b, keys).where("_x >= _lo AND _x <= _hi").groupBy(*on, "_x").agg(F.count("*").alias("_k"), F.first("_r").alias("_r"), F.first("_below").alias("_below"))
+    values = values.withColumn("_to", F.col("_below") + F.sum("_k").over(Window.partitionBy(*on).orderBy("_x")))
+    ends = [F.min(F.when(F.col("_to") > f("_r"), F.col("_x"))).alias(c) for c, f in (("_l", F.floor), ("_h", F.ceil))]
+    each = values.groupBy(*on).agg(*ends, F.first("_r").alias("_r"))
+    each = each.select(*on, _interpolated(F.col("_l"), F.col("_h"), F.col("_r")).alias("_p"))
+    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_p"))), lambda s: s["_p"]).alias("p"))
 
 
 def quantile_state(rows: DataFrame, keys: tuple[str, ...] = ("t",), x: str = "x") -> DataFrame:

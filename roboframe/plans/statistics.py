@@ -131,8 +131,9 @@ def _(spark, sf):
 GLOBAL = "g AS (SELECT avg(x) AS mean, stddev_samp(x) AS std, min(x) AS mn, max(x) AS mx, quantile_cont(x, 0.05) AS p5, quantile_cont(x, 0.95) AS p95 FROM un)"
 
 
-def _global(spark, sf):
-    rows = stored(unmasked(spark, sf))
+def _global(windows):
+    """Statistics of all unmasked values of windows, one row."""
+    rows = S.slots(windows)
     v = S.valid("x")
     g = rows.agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
     g = g.crossJoin(S.masked_percentiles(rows, ()))  # one row each
@@ -142,28 +143,31 @@ def _global(spark, sf):
 @query("H10_normalize_field", f"""{UN}, {GLOBAL} SELECT episode, t, list(round((x - mean) / std, 6) ORDER BY j) AS by_std, list(round((x - (p5 + p95) / 2) / ((p95 - p5) / 2), 6) ORDER BY j) AS by_percentile,
 list(round((x - (mn + mx) / 2) / ((mx - mn) / 2), 6) ORDER BY j) AS by_range FROM val, g GROUP BY episode, t""")
 def _(spark, sf):
-    rows = samples(spark, sf).crossJoin(_global(spark, sf))
+    windows = stored(samples(spark, sf))
+    rows = windows.crossJoin(_global(windows))
     return rows.select("episode", "t", *[
         F.transform(S.normalize_window(F.col("window"), F.col("g"), m), r6).alias(a)
         for a, m in (("by_std", "std"), ("by_percentile", "percentile_5_95"), ("by_range", "min_max"))
     ])
 
 
-def _per_step(spark, sf):
-    m = S.masked_moments(unmasked(spark, sf)).withColumn("std", S.step_deviation())
+def _per_step(windows):
+    m = S.masked_moments(S.slots(windows)).withColumn("std", S.step_deviation())
     return F.broadcast(m.agg(F.array_sort(F.collect_list(F.struct("t", "mean", "std", "min", "max"))).alias("g")))  # one row of P+F+1 steps
 
 
 @query("H10b_normalize_per_step", f"""{UN}, {STEP} SELECT val.episode, val.t, list(round((x - mean) / greatest(sqrt(var), 1e-6), 6) ORDER BY j) AS w FROM val JOIN step s ON s.t = j GROUP BY val.episode, val.t""")
 def _(spark, sf):
-    rows = samples(spark, sf).crossJoin(_per_step(spark, sf))
+    windows = stored(samples(spark, sf))
+    rows = windows.crossJoin(_per_step(windows))
     w = S.normalize_window(F.col("window"), F.col("g"), "std", "per_step")
     return rows.select("episode", "t", F.transform(w, r6).alias("w"))
 
 
 @query("H11_denormalize_field", f"{UN} SELECT episode, t, list(round(x, 4) ORDER BY j) AS w, list(round(x, 4) ORDER BY j) AS s FROM val GROUP BY episode, t")
 def _(spark, sf):
-    rows = samples(spark, sf).crossJoin(_global(spark, sf)).crossJoin(_per_step(spark, sf).withColumnRenamed("g", "h"))
+    windows = stored(samples(spark, sf))
+    rows = windows.crossJoin(_global(windows)).crossJoin(_per_step(windows).withColumnRenamed("g", "h"))
     g, h = F.col("g"), F.col("h")
     back = S.denormalize_window(S.normalize_window(F.col("window"), g, "percentile_5_95"), g, "percentile_5_95")
     step = S.denormalize_window(S.normalize_window(F.col("window"), h, "std", "per_step"), h, "std", "per_step")

@@ -156,7 +156,8 @@ def test_moments_far_from_zero(spark):
     assert abs(whole.std - 0.5) < 1e-9
 
 
-def test_percentiles_by_rank(spark):
+@pytest.mark.parametrize("most", [1 << 22, 40, 3])
+def test_percentiles_by_rank(spark, most):
     import numpy as np
 
     from roboframe.operators import statistics as S
@@ -164,11 +165,11 @@ def test_percentiles_by_rank(spark):
     rng = np.random.default_rng(4)
     groups = {0: rng.normal(size=3000), 1: np.repeat([1.0, 2.0], [900, 100]), 2: np.array([5.0]), None: rng.integers(0, 9, 500) / 2}
     rows = [(k, float(x)) for k, v in groups.items() for x in v] + [(0, None), (0, float("nan")), (3, None)]
-    got = {r.t: r.p for r in S.masked_percentiles(spark.createDataFrame(rows, "t int, x double").repartition(5)).collect()}
+    got = {r.t: r.p for r in S.masked_percentiles(spark.createDataFrame(rows, "t int, x double").repartition(5), most=most).collect()}
     assert set(got) == set(groups)
     for k, v in groups.items():
         assert np.allclose(got[k], np.quantile(v, S.PERCENTS))
-    everything = S.masked_percentiles(spark.createDataFrame(rows, "t int, x double"), ()).first().p
+    everything = S.masked_percentiles(spark.createDataFrame(rows, "t int, x double"), (), most=most).first().p
     assert np.allclose(everything, np.quantile(np.concatenate(list(groups.values())), S.PERCENTS))
 
 
