@@ -87,6 +87,13 @@ def parse_tensor_name(name: Column) -> Column:
     return F.struct(g(left, 0).alias("group"), category.alias("category"), g(left, 2).alias("limb"), g(right, 0).alias("robot"), g(right, 1).alias("repr"))
 
 
+def axis_values(rows: DataFrame, parsed: str) -> DataFrame:
+    """Parsed tensor names -> axis, value, n: the different values of each axis; missing parts have none."""
+    axes = rows.schema[parsed].dataType.names
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"{parsed}.{a}").alias("value")) for a in axes]))
+    return rows.select(pairs.alias("_a")).select("_a.*").where("value IS NOT NULL").groupBy("axis", "value").agg(F.count("*").alias("n"))
+
+
 def parse_image_key(key: Column) -> Column:
     """<prefix>.<camera>_t<offset> -> camera, offset, short key."""
     pattern = r"([^.]+)_t(-?\d+)$"

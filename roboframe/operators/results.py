@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from . import scans
+
 
 def success_summary(rollouts: DataFrame, keys: tuple[str, ...] = ("task", "model")) -> DataFrame:
     """Totals over finished rollouts; pending and crashed ones (success null, by the flag) are counted apart, and keys
@@ -101,7 +103,7 @@ def beta_draws(groups: DataFrame, keys: list[str], a: str, b: str, n: int, seed:
     return rows.select(*keys, "i", beta_inverse(uniform(seed, *keys, "i"), F.col(a), F.col(b)).alias("draw"))
 
 
-def balanced_success(rollouts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def balanced_success(rollouts: DataFrame, hot: int | None = scans.HOT) -> tuple[DataFrame, DataFrame]:
     """Rollouts of the tasks that all models have, the same number for each model and task (the smallest of all), in
     the order of demo_id; and the excluded tasks."""
     done = rollouts.where("success IS NOT NULL")
@@ -111,9 +113,44 @@ def balanced_success(rollouts: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = per_task.crossJoin(F.broadcast(models))  # one row
     common, excluded = both.where("k = models").select("task", "least"), both.where("k < models").select("task")
     floor = F.broadcast(common.agg(F.min("least").alias("floor")))
-    rn = F.row_number().over(Window.partitionBy("task", "model").orderBy("demo_id"))
-    kept = done.join(common.select("task"), "task").withColumn("rn", rn).crossJoin(floor).where("rn <= floor").drop("rn", "floor")
-    return kept, excluded
+    rows = numbered(done.join(common.select("task"), "task"), ["task", "model"], "demo_id", "rn", hot)
+    return rows.crossJoin(floor).where("rn <= floor").drop("rn", "floor"), excluded
+
+
+def numbered(rows: DataFrame, keys: list[str], order: str, out: str, hot: int | None = scans.HOT) -> DataFrame:
+    """Number the rows of each key by a numeric column, from 1; keys with more than `hot` rows by blocks."""
+    return scans.done(scans.numbered(scans.cut(rows, keys, order, hot), [order], out))
+
+
+def paired(rollouts: DataFrame, hot: int | None = scans.HOT) -> DataFrame:
+    """Results of each pair of models on a task, rank by rank, up to the shorter one: task, a, b, n, ka, kb."""
+    r = numbered(rollouts.where("success IS NOT NULL"), ["task", "model"], "demo_id", "k", hot).select("task", "model", "k", "success")
+    a = r.select("task", "k", F.col("model").alias("a"), F.col("success").alias("sa"))
+    b = r.select("task", "k", F.col("model").alias("b"), F.col("success").alias("sb"))
+    both = a.join(b, ["task", "k"]).where("a < b")
+    return both.groupBy("task", "a", "b").agg(F.count("*").alias("n"), F.count_if("sa").alias("ka"), F.count_if("sb").alias("kb"))
+
+
+def pivot_rates(summary: DataFrame, rate: str = "pct", most: int = 200) -> DataFrame:
+    """A row for each task with a column for each model that there is; 0 where a model has no rate. More than `most` models
+    are an error."""
+    models = [r[0] for r in summary.where("model IS NOT NULL").select("model").distinct().orderBy("model").limit(most + 1).collect()]
+    if len(models) > most:
+        raise ValueError(f"more than {most} models")
+    return summary.groupBy("task").pivot("model", models).agg(F.first(rate)).fillna(0.0, models)
+
+
+def task_order(summary: DataFrame, rate: str = "pct") -> DataFrame:
+    """Tasks by the mean of their models' rates, the highest first, ties by name: task, mean, place. A task is one row here."""
+    means = summary.where(F.col(rate).isNotNull()).groupBy("task").agg(F.avg(rate).alias("mean"))
+    return means.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean"), "task")))
+
+
+def page_of(rows: DataFrame, order: list[str], page: int, size: int = 9) -> DataFrame:
+    """Page `page` (from 0) of the rows in their order, clamped to the pages that there are; with the page's number."""
+    pages = max(1, -(-rows.count() // size))
+    page = min(max(page, 0), pages - 1)
+    return rows.orderBy(*order).offset(page * size).limit(size).withColumn("page", F.lit(page))
 
 
 def z_score(na: Column, ka: Column, nb: Column, kb: Column) -> Column:
@@ -182,11 +219,10 @@ def missing_indices(present: DataFrame, group: str, index: str, first: int, coun
     return all_.join(present.select(group, index), [group, index], "left_anti")
 
 
-def index_ranges(rows: DataFrame, group: str, index: str) -> DataFrame:
-    """Distinct indices as ranges: 0-5,10,15-20."""
-    d = rows.select(group, index).distinct()
-    island = F.col(index) - F.row_number().over(Window.partitionBy(group).orderBy(index))
-    runs = d.withColumn("_i", island).groupBy(group, "_i").agg(F.min(index).alias("lo"), F.max(index).alias("hi"))
+def index_ranges(rows: DataFrame, group: str, index: str, hot: int | None = scans.HOT) -> DataFrame:
+    """Distinct indices as ranges: 0-5,10,15-20. A group's ranges are one text."""
+    d = numbered(rows.select(group, index).distinct(), [group], index, "_k", hot)
+    runs = d.withColumn("_i", F.col(index) - F.col("_k")).groupBy(group, "_i").agg(F.min(index).alias("lo"), F.max(index).alias("hi"))
     text = F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(F.concat_ws("-", "lo", "hi"))
     return runs.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lo", text.alias("t")))), lambda x: x["t"]), ",").alias("ranges"))
 

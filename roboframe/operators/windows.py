@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import actual_key
 from . import scans
 
 
@@ -152,6 +153,15 @@ def write_kept_windows(steps: DataFrame, path: str, past: int, future: int, most
     return seen.get
 
 
+def reference_rows(anchors: DataFrame, fields: DataFrame, field: str = "field", value: str = "x", episode: str = "episode") -> DataFrame:
+    """anchors(episode, t, field, ...) with `reference`: the value at the anchor's step of the field's actual counterpart, null
+    where the name has none or the episode doesn't have that field. A join on episode, step and counterpart, so no key is
+    more than a row."""
+    own = fields.select(F.col(episode).alias("_e"), F.col("t").alias("_t"), F.col(field).alias("_f"), F.col(value).alias("reference"))
+    on = [F.col(episode) == F.col("_e"), F.col("t") == F.col("_t"), actual_key(F.col(field)) == F.col("_f")]
+    return anchors.join(own, on, "left").drop("_e", "_t", "_f")
+
+
 def image_offset_lookup(steps: DataFrame, offsets: list[int], field: str, episode: str = "episode") -> DataFrame:
     """The frame at anchor + offset, clamped to the episode: a column <field>_t<offset> for each offset."""
     w = Window.partitionBy(episode).orderBy("t")

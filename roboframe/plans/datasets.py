@@ -153,6 +153,14 @@ def _(spark, sf):
     return c.join(c.groupBy("task").agg(F.min("rank").alias("rank")), ["task", "rank"]).select("task", "path")
 
 
+@query("C20b_all_candidates", f"WITH {LS}, c AS (SELECT {ROOT} AS task, split_part(split_part(path, '/', 4), '.', 1) AS stem, CASE split_part(path, '.', 2) WHEN 'npz' THEN 0 WHEN 'tar' THEN 1 ELSE 2 END AS rank, path FROM ls WHERE split_part(path, '.', 2) IN ('npz', 'tar', 'json')) SELECT task, count(DISTINCT stem) AS completed, count(DISTINCT rank) AS places, min(path) AS first FROM c GROUP BY task")
+def _(spark, sf):
+    # for the completion check all candidates count: what any of them has is done
+    ranks = F.broadcast(spark.createDataFrame([("npz", 0), ("tar", 1), ("json", 2)], "ext string, rank int"))
+    c = listing(spark, sf).select(episode().alias("task"), F.element_at(F.split("path", r"\."), -1).alias("ext"), N.stem("path").alias("stem"), "path").join(ranks, "ext")
+    return c.groupBy("task").agg(F.countDistinct("stem").alias("completed"), F.countDistinct("rank").alias("places"), F.min("path").alias("first"))
+
+
 @query("D28_source_fingerprint", f"WITH {LS} SELECT split_part(path, '/', 1) AS source, count(*) AS n, list_slice(list(path ORDER BY path), 1, 10) AS first, md5(string_agg(path, chr(10) ORDER BY path)) AS fingerprint FROM ls GROUP BY 1")
 def _(spark, sf):
     return folds.fingerprints(listing(spark, sf).select(N.part("path", 1).alias("source"), "path"), "source", "path")
@@ -216,6 +224,18 @@ def _(spark, sf):
     return rows.where("p.robot = 'r2' OR p.robot IS NULL").select("n_nationkey", "p.category", "p.limb")
 
 
+@query("B20b_axis_values", """SELECT 'limb' AS axis, n_name AS value, 1 AS n FROM nation WHERE n_nationkey % 3 < 2 UNION ALL SELECT 'robot', 'r' || n_regionkey, CAST(count(*) AS INTEGER) FROM nation WHERE n_nationkey % 3 < 2 GROUP BY 2
+UNION ALL SELECT 'category', CASE n_nationkey % 3 WHEN 2 THEN 'special_' || n_name ELSE 'poses' END, CAST(count(*) AS INTEGER) FROM nation GROUP BY 2 UNION ALL SELECT 'group', 'actual', CAST(count(*) AS INTEGER) FROM nation WHERE n_nationkey % 3 < 2
+UNION ALL SELECT 'repr', 'xyz', CAST(count(*) AS INTEGER) FROM nation WHERE n_nationkey % 3 < 2""")
+def _(spark, sf):
+    # the different values of each axis of the names, with their numbers
+    n = read(spark, sf, "nation")
+    prefix = F.when(F.col("n_nationkey") % 3 == 0, "robot__").otherwise("")
+    name = F.concat(prefix, F.lit("actual__poses__"), "n_name", F.lit("::r"), "n_regionkey", F.lit("__xyz"))
+    name = F.when(F.col("n_nationkey") % 3 == 2, F.concat(F.lit("special_"), "n_name")).otherwise(name)
+    return N.axis_values(n.select(N.parse_tensor_name(name).alias("p")), "p").withColumn("n", F.col("n").cast("int"))
+
+
 @query("H20_parse_image_key", "SELECT n_nationkey, 'cam' || n_regionkey AS camera, CAST(n_nationkey AS INTEGER) - 5 AS \"offset\", 'cam' || n_regionkey || '_t' || (n_nationkey - 5) AS key FROM nation")
 def _(spark, sf):
     n = read(spark, sf, "nation")

@@ -135,12 +135,14 @@ def _(spark, sf):
     return W.fractional_lag(steps(spark, sf), 2.25).select("episode", "t", F.round("lagged", 6).alias("lagged"))
 
 
-@query("E16_window_calibration", f"""WITH {VE}, k AS (SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS t, count(*) OVER (PARTITION BY label) AS n, v[1:9] AS m FROM ve),
+@query("E16_window_calibration", f"""WITH {VE}, k AS (SELECT label * 1000000 + vec_id // 512 AS label, CAST(row_number() OVER (PARTITION BY label, vec_id // 512 ORDER BY vec_id) - 1 AS INTEGER) AS t, count(*) OVER (PARTITION BY label, vec_id // 512) AS n, v[1:9] AS m FROM ve),
 s AS (SELECT e.label, e.t, j, greatest(0, least(e.n - 1, e.t - 1 + j)) AS i FROM k e, (SELECT unnest(range(0, 4)) AS j))
 SELECT s.label, s.t, list(round(list_sum(e.m), 6) ORDER BY j) AS windowed, list(round(f.m[1], 6) ORDER BY j) AS static FROM s
 JOIN k e ON e.label = s.label AND e.t = s.i JOIN k f ON f.label = s.label AND f.t = s.t GROUP BY ALL""")
 def _(spark, sf):
-    m = vectors(spark, sf).select(F.col("label").alias("episode"), F.col("vec_id").alias("ts"), F.lit(0).alias("ordinal"), F.slice("v", 1, 9).alias("m"))
+    # an episode is a run of vectors of one label, of bounded length
+    episode = F.col("label") * 1000000 + F.floor(F.col("vec_id") / 512)
+    m = vectors(spark, sf).select(episode.alias("episode"), F.col("vec_id").alias("ts"), F.lit(0).alias("ordinal"), F.slice("v", 1, 9).alias("m"))
     rows = W.window_padding(W.window_values(W.episode_timesteps(m), 1, 2, "m"), 1, 2)
     window = W.pad_window(F.col("w"), F.col("past_padding"), F.col("future_padding"))
     total = F.transform(window, lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda s, y: s + y), 6))
@@ -181,7 +183,12 @@ def _(spark, sf):
     return both.select("episode", "n_rows", "frames", status.alias("status"))
 
 
-@query("C18_reference_row_join", f"""WITH {EP}, {PAD}, {OK} SELECT episode, t, x AS reference FROM ok""")
+@query("C18_reference_row_join", f"""WITH {EP}, {PAD}, {OK} SELECT episode, t, 'robot__desired__poses__xyz' AS field, CASE WHEN episode % 3 > 0 THEN x / 2 END AS reference FROM ok
+UNION ALL SELECT episode, t, 'robot__actual__poses__xyz', x / 2 FROM ok WHERE episode % 3 > 0 UNION ALL SELECT episode, t, 'gripper', NULL FROM ok""")
 def _(spark, sf):
-    s = samples(spark, sf)
-    return s.select("episode", "t", F.element_at("window", P + 1).alias("reference"))
+    # a desired pose, in two of three episodes the actual one beside it, and a field that has no counterpart
+    s = steps(spark, sf)
+    desired, actual = s.withColumn("field", F.lit("robot__desired__poses__xyz")), s.where("episode % 3 > 0").withColumns({"field": F.lit("robot__actual__poses__xyz"), "x": F.col("x") / 2})
+    fields = desired.unionByName(actual).unionByName(s.withColumn("field", F.lit("gripper")))
+    anchors = W.filter_window_padding(W.window_padding(fields, P, FUT), 1, 7)
+    return W.reference_rows(anchors, fields).select("episode", "t", "field", "reference")

@@ -6,6 +6,8 @@ import io
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +16,7 @@ from ..operators import results as R
 from ..operators import windows as W
 from ..registry import query
 from ..sources import files as S
-from ..sources import rejects
+from ..sources import filesets, rejects
 from ..sources import tars as TAR
 from ..sources.views import EP, EV, RN, RO, evaluations, frames, messages, read, rollouts
 from ..streaming import jobs as J
@@ -73,23 +75,37 @@ def _(spark, sf):
     return found.join(manifest_of(spark, root), "name").select("name", "num_sequences", "total", F.array_join("keys", ",").alias("keys"))
 
 
+def chunked(spark, sf):
+    """A dataset in chunks: data/chunk-000/episode_000000.parquet, an episode to a file, and what is said of it in meta."""
+    root, s = S.scratch(spark), W.episode_timesteps(frames(spark, sf)).select("episode", "t", "x")
+
+    def pack(table: pa.Table) -> pa.Table:
+        e, out = table.column("episode")[0].as_py(), io.BytesIO()
+        pq.write_table(table.select(["t", "x"]).sort_by("t"), out)
+        return pa.table({"path": [f"data/chunk-{e // 100:03d}/episode_{e:06d}.parquet"], "content": [out.getvalue()]})
+
+    filesets.write_files(s.groupBy("episode").applyInArrow(pack, "path string, content binary"), root)
+    # some hundred episodes to a file of their descriptions
+    said = F.to_json(F.struct(F.col("episode").alias("episode_index"), F.array(F.concat(F.lit("task "), F.col("episode") % 5)).alias("tasks"), F.col("length")))
+    lines = s.groupBy("episode").agg(F.count("*").alias("length")).groupBy(F.floor(F.col("episode") / 100).alias("k")).agg(F.array_join(F.array_sort(F.collect_list(said)), "\n").alias("content"))
+    filesets.write_files(lines.select(F.format_string("meta/episodes-%03d.jsonl", "k").alias("path"), "content"), root)
+    filesets.write_files(spark.createDataFrame([("meta/info.json", '{"fps": 20,\n "robot_type": "x"}')], "path string, content string"), root)
+    return root
+
+
 @query("A08_scan_chunked_episodes", f"WITH {EP} SELECT CAST(episode AS INTEGER) AS episode_index, count(*) AS n, round(sum(x), 4) AS total FROM ep GROUP BY 1")
 def _(spark, sf):
-    root = S.scratch(spark)
-    s = W.episode_timesteps(frames(spark, sf)).withColumn("chunk", F.format_string("chunk-%03d", F.floor(F.col("episode") / 100)))
-    s = s.withColumn("file", F.format_string("episode_%06d", "episode"))
-    s.select("t", "x", "chunk", "file").repartition("file").write.partitionBy("chunk", "file").parquet(f"{root}/held")
-    # the layout of chunks: data/chunk-000/episode_000000.parquet
-    fs, path = S.file_system(spark, root)
-    for chunk in (c.getPath() for c in fs.globStatus(path(f"{root}/held/chunk=*"))):
-        target = f"{root}/data/{chunk.getName().removeprefix('chunk=')}"
-        fs.mkdirs(path(target))
-        for part in (p.getPath() for p in fs.globStatus(path(f"{root}/held/{chunk.getName()}/file=*/part-*"))):
-            fs.rename(part, path(f"{target}/{part.getParent().getName().removeprefix('file=')}.parquet"))
-    rows = S.scan_chunked_episodes(spark, root)
+    rows = S.scan_chunked_episodes(spark, chunked(spark, sf))
     return rows.groupBy("episode_index").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("total"))
 
 
+@query("A08b_chunked_metadata", f"WITH {EP} SELECT CAST(episode AS BIGINT) AS episode_index, 'task ' || episode % 5 AS task, count(*) AS length, count(*) / 20.0 AS seconds FROM ep GROUP BY ALL")
+def _(spark, sf):
+    root = chunked(spark, sf)
+    rows = S.scan_episode_metadata(spark, root).crossJoin(F.broadcast(S.scan_fps(spark, root)))  # one row
+    return rows.select("episode_index", F.get("tasks", F.lit(0)).alias("task"), "length", (F.col("length") / F.col("fps")).alias("seconds"))
+
+
 @query("A09_scan_frame_json", f"WITH {EP} SELECT 'h1' AS robot_type, count(*) AS n, round(sum(x), 4) AS total FROM ep")
 def _(spark, sf):
     # the frames of each episode as a file of its own that holds one JSON array

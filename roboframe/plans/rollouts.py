@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import results as R
 from ..registry import query
-from ..sources import files
+from ..sources import files, filesets
 from ..sources.views import RN, RO, evaluations, rollouts, runs, samples
 
 SUM = """sm AS (SELECT task, model, count(*) FILTER (WHERE success IS NOT NULL) AS total, count(*) FILTER (WHERE success) AS successes,
@@ -32,16 +32,9 @@ def _(spark, sf):
         F.lit("skill").alias("skill_type"), F.col("demo_id").cast("int").alias("scenario_index"), F.col("success").alias("is_success"),
         F.col("pending").alias("is_pending"), F.col("duration").alias("total_time"), F.lit("").alias("failure_message"),
     )
-    held = r.groupBy("task", "model").agg(F.lit(50).alias("max_sample_size_per_model"), F.collect_list(one).alias("evaluations"))
-    held.write.partitionBy("model", "task").json(f"{root}/held")
-    fs, path = files.file_system(spark, root)
-    for model in (m.getPath() for m in fs.listStatus(path(f"{root}/held"))):
-        if model.getName().startswith("model="):
-            for task in (t.getPath() for t in fs.listStatus(model)):
-                target = f"{root}/raw/{model.getName()[6:]}/{task.getName()[5:]}/rollouts/2025-01-01T00-00-00"
-                fs.mkdirs(path(target))
-                part = next(p.getPath() for p in fs.listStatus(task) if p.getPath().getName().startswith("part-"))
-                fs.rename(part, path(f"{target}/results.json"))
+    held = r.groupBy("task", "model").agg(F.to_json(F.struct(F.lit(50).alias("max_sample_size_per_model"), F.collect_list(one).alias("evaluations"))).alias("content"))
+    path = F.concat("model", F.lit("/"), "task", F.lit("/rollouts/2025-01-01T00-00-00/results.json"))
+    filesets.write_files(held.select(path.alias("path"), "content"), f"{root}/raw")
     rows = files.scan_results(spark, f"{root}/raw")
     return rows.select("task", "model", F.col("demo_id").cast("long").alias("demo_id"), "success", "pending", F.round("duration", 3).alias("duration"))
 
@@ -120,12 +113,7 @@ def _(spark, sf):
 @query("C12_pairwise_models", f"""WITH {RO}, r AS (SELECT *, row_number() OVER (PARTITION BY task, model ORDER BY demo_id) AS k FROM ro WHERE success IS NOT NULL)
 SELECT a.task, a.model AS a, b.model AS b, count(*) AS n, count(*) FILTER (WHERE a.success) AS ka, count(*) FILTER (WHERE b.success) AS kb FROM r a JOIN r b ON a.task = b.task AND a.model < b.model AND a.k = b.k GROUP BY ALL""")
 def _(spark, sf):
-    k = F.row_number().over(Window.partitionBy("task", "model").orderBy("demo_id"))
-    r = rollouts(spark, sf).where("success IS NOT NULL").withColumn("k", k).select("task", "model", "k", "success")
-    a = r.select("task", "k", F.col("model").alias("a"), F.col("success").alias("sa"))
-    b = r.select("task", "k", F.col("model").alias("b"), F.col("success").alias("sb"))
-    both = a.join(b, ["task", "k"]).where("a < b")  # equal ranks: both arrays end with the shorter one
-    return both.groupBy("task", "a", "b").agg(F.count("*").alias("n"), F.count_if("sa").alias("ka"), F.count_if("sb").alias("kb"))
+    return R.paired(rollouts(spark, sf))
 
 
 @query("D15_compact_letters", f"""WITH RECURSIVE {RO}, {PAIRS}, o AS (SELECT task, list(model ORDER BY successes / greatest(total, 1) DESC, model) AS un FROM sm GROUP BY task),
@@ -166,7 +154,7 @@ def _(spark, sf):
 
 @query("D36_pivot_rates", f"""WITH {RO}, {SUM} SELECT task, {', '.join(f"round(coalesce(max(100.0 * successes / nullif(total, 0)) FILTER (WHERE model = '{m}'), 0), 6) AS {m}" for m in ('de', 'en', 'es', 'fr'))} FROM sm GROUP BY task""")
 def _(spark, sf):
-    return summary(spark, sf).groupBy("task").pivot("model", ["de", "en", "es", "fr"]).agg(F.round(F.first("pct"), 6)).fillna(0.0)
+    return R.pivot_rates(summary(spark, sf).withColumn("pct", F.round("pct", 6)))
 
 
 @query("A20_export_summary", f"WITH {RO}, {SUM} SELECT task, model, total, successes FROM sm ORDER BY successes DESC")
@@ -297,9 +285,18 @@ def _(spark, sf):
     return evaluations(spark, sf).select("run_id", rate.alias("rate")).orderBy(F.desc("rate"), "run_id").limit(25)
 
 
-@query("F05_page_of_results", f"WITH {RO} SELECT demo_id, task FROM ro ORDER BY demo_id LIMIT 9 OFFSET 27")
+@query("F03b_task_order", f"""WITH {RO}, {SUM}, m AS (SELECT task, avg(100.0 * successes / total) AS mean FROM sm WHERE total > 0 GROUP BY task)
+SELECT task, round(mean, 6) AS mean, CAST(row_number() OVER (ORDER BY mean DESC, task) AS INTEGER) AS place FROM m""")
 def _(spark, sf):
-    return rollouts(spark, sf).select("demo_id", "task").orderBy("demo_id").offset(27).limit(9)
+    return R.task_order(summary(spark, sf)).withColumn("mean", F.round("mean", 6))
+
+
+@query("F05_page_of_results", f"""WITH {RO}, n AS (SELECT demo_id, task, row_number() OVER (ORDER BY demo_id) - 1 AS k, count(*) OVER () AS n FROM ro)
+SELECT demo_id, task, CAST(k // 9 AS INTEGER) AS page FROM n WHERE k // 9 IN (3, (n - 1) // 9)""")
+def _(spark, sf):
+    # the fourth page, and one far beyond the end, which is the last
+    r = rollouts(spark, sf).select("demo_id", "task")
+    return R.page_of(r, ["demo_id"], 3).unionByName(R.page_of(r, ["demo_id"], 10**9))
 
 
 @query("H27_stable_run_id", f"WITH {RN} SELECT run_id, CAST(('0x' || substr(md5('runs/' || run_id), 1, 8)) AS BIGINT) AS id, run_id || '_' || campaign_name AS eval_id FROM runs")

@@ -92,6 +92,12 @@ def scan_fps(spark: SparkSession, root: str) -> DataFrame:
     return info.select(F.coalesce("fps", F.lit(30.0)).alias("fps"))
 
 
+def scan_episode_metadata(spark: SparkSession, root: str) -> DataFrame:
+    """episode_index, tasks, length of each episode; a line that is no JSON fails."""
+    schema = "episode_index BIGINT, tasks ARRAY<STRING>, length BIGINT"
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(f"{root}/meta/episodes*.jsonl")
+
+
 FRAME_JSON = "time DOUBLE, robot_type STRING, states STRUCT<arm_state: ARRAY<DOUBLE>, leg_state: ARRAY<DOUBLE>>, actions STRUCT<sol_q: ARRAY<DOUBLE>>"
 
 

@@ -6,8 +6,9 @@ anything is opened, and `fields` leaves members out before their content is read
 sources, but keeps what they left for later queries of the same DataFrame, which then lose rows: so these are options.)
 Damaged members and shards come out of the same pass as rows with a reason.
 
-Writing: a task streams the members of each shard, moves it to its name when it is whole, and tells the driver its name and
-count; the manifest is made of what the tasks told, once all are done. A job that fails leaves nothing.
+Writing: a task streams the members of each shard beside its place, notes its name, moves it there when it is whole, and
+tells the driver its name and count; the manifest is made of what the tasks told, once all are done. A task that runs again
+replaces what it has moved; a job that fails is undone by the notes of its tasks, killed ones among them, and leaves nothing.
 
 Files are reached through Arrow's file systems: local paths and file:, hdfs:, s3:, gs: and abfs: addresses.
 """
@@ -257,6 +258,48 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
 
 
+def begin(fs: pafs.FileSystem, root: str) -> str:
+    """A folder for what a job's tasks write. The driver makes it: a task that outlives the job finds none."""
+    job = uuid.uuid4().hex
+    fs.create_dir(f"{root}/{TEMPORARY}/{job}", recursive=True)
+    return job
+
+
+def note(fs: pafs.FileSystem, held: str, names: list[str]) -> None:
+    """Before files are moved to their names: so that they can be taken back, whatever becomes of the task."""
+    with fs.open_output_stream(f"{held}/{uuid.uuid4().hex}.names") as out:
+        out.write("\n".join(names).encode())
+
+
+def noted(fs: pafs.FileSystem, held: str) -> set[str]:
+    out = set()
+    for x in fs.get_file_info(pafs.FileSelector(held, allow_not_found=True)):
+        if x.extension == "names":
+            with fs.open_input_stream(x.path) as f:
+                out.update(f.read().decode().split("\n"))
+    return out
+
+
+def undo(fs: pafs.FileSystem, root: str, job: str, keep: frozenset[str] = frozenset()) -> None:
+    """Take back what a job has moved below root. Its own folder goes first: tasks that still run can move nothing then."""
+    held, aside = f"{root}/{TEMPORARY}/{job}", f"{root}/{TEMPORARY}/.{job}"
+    if fs.get_file_info(held).type == pafs.FileType.Directory:
+        fs.move(held, aside)
+        for n in noted(fs, aside) - keep:
+            if fs.get_file_info(f"{root}/{n}").type == pafs.FileType.File:
+                fs.delete_file(f"{root}/{n}")
+        fs.delete_dir(aside)
+    clear(fs, root, job)
+
+
+def clear(fs: pafs.FileSystem, root: str, job: str) -> None:
+    """The job's own folder, and the one of all jobs if it is empty."""
+    for p in (f"{root}/{TEMPORARY}/{job}", f"{root}/{TEMPORARY}"):
+        info = fs.get_file_info(p)
+        if info.type == pafs.FileType.Directory and (p.endswith(job) or not fs.get_file_info(pafs.FileSelector(p))):
+            fs.delete_dir(p)
+
+
 @dataclass
 class Told(WriterCommitMessage):
     """What a task has written: shards with their counts."""
@@ -270,7 +313,8 @@ def shard_name(shard) -> str:
 
 class TarWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
-        self.path, self.job = options["path"].rstrip("/"), uuid.uuid4().hex
+        self.path = options["path"].rstrip("/")
+        self.job = begin(*self._root())
 
     def _root(self) -> tuple[pafs.FileSystem, str]:
         fs, root = file_system(self.path)
@@ -279,52 +323,39 @@ class TarWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Told:
         fs, root = self._root()
         held, own = f"{root}/{TEMPORARY}/{self.job}", uuid.uuid4().hex
-        fs.create_dir(held, recursive=True)
         before = read_manifest_file(fs, root)
         done: dict[str, int] = {}
         name = out = tar = None
 
         def finish() -> None:
-            nonlocal tar, out
             tar.close()
             out.close()
+            note(fs, held, [f"{name}.tar"])
             fs.move(f"{held}/{own}-{name}.tar", f"{root}/{name}.tar")
-            tar = out = None
 
-        try:
-            for batch in iterator:
-                for shard, key, fields in zip(*(batch.column(c).to_pylist() for c in ("shard", "key", "fields")), strict=True):
-                    if shard is None or key is None:
-                        raise ValueError("a sample needs a shard and a key")
-                    if (this := shard_name(shard)) != name or tar is None:
-                        if tar is not None:
-                            finish()
-                        name = this
-                        if name in done or name in before:
-                            raise ValueError(f"{name} is there, or its samples don't follow one another")
-                        done[name] = 0
-                        out = fs.open_output_stream(f"{held}/{own}-{name}.tar")
-                        tar = tarfile.open(fileobj=out, mode="w|")
-                    for part, raw in sorted(fields or []):
-                        info = tarfile.TarInfo(f"{key}.{part}")
-                        info.size = len(raw or b"")
-                        tar.addfile(info, io.BytesIO(raw or b""))
-                        tar.members = []
-                    done[name] += 1
-            if tar is not None:
-                finish()
-        except BaseException:
-            if out is not None:
-                out.close()
-            self._remove(fs, [f"{root}/{x}.tar" for x in done if x not in before and (x != name or tar is None)])
-            raise
+        for batch in iterator:
+            for shard, key, fields in zip(*(batch.column(c).to_pylist() for c in ("shard", "key", "fields")), strict=True):
+                if shard is None or key is None:
+                    raise ValueError("a sample needs a shard and a key")
+                if (this := shard_name(shard)) != name:
+                    if tar is not None:
+                        finish()
+                    name = this
+                    if name in done or name in before:
+                        raise ValueError(f"{name} is there, or its samples don't follow one another")
+                    done[name] = 0
+                    out = fs.open_output_stream(f"{held}/{own}-{name}.tar")
+                    tar = tarfile.open(fileobj=out, mode="w|")
+                for part, raw in sorted(fields or []):
+                    info = tarfile.TarInfo(f"{key}.{part}")
+                    info.size = len(raw or b"")
+                    tar.addfile(info, io.BytesIO(raw or b""))
+                    tar.members = []
+                done[name] += 1
+        if tar is not None:
+            finish()
         return Told(list(done.items()))
 
-    def _remove(self, fs: pafs.FileSystem, paths: list[str]) -> None:
-        for p in paths:
-            if fs.get_file_info(p).type == pafs.FileType.File:
-                fs.delete_file(p)
-
     def commit(self, messages: list[Told | None]) -> None:
         """The manifest: shards that were there, and those of all tasks. It is written whole, then takes the old one's place."""
         fs, root = self._root()
@@ -335,19 +366,11 @@ class TarWriter(DataSourceArrowWriter):
             raise ValueError(f"shards were written twice: {', '.join(sorted(twice)[:5])}")
         kept = dict(before + told)
         _write_manifest(fs, root, kept, self.job)
-        self._clear(fs, root)
+        clear(fs, root, self.job)
 
     def abort(self, messages: list[Told | None]) -> None:
         fs, root = self._root()
-        before = read_manifest_file(fs, root)
-        self._remove(fs, [f"{root}/{n}.tar" for m in messages if m is not None for n, _ in m.shards if n not in before])
-        self._clear(fs, root)
-
-    def _clear(self, fs: pafs.FileSystem, root: str) -> None:
-        for p in (f"{root}/{TEMPORARY}/{self.job}", f"{root}/{TEMPORARY}"):
-            info = fs.get_file_info(p)
-            if info.type == pafs.FileType.Directory and (p.endswith(self.job) or not fs.get_file_info(pafs.FileSelector(p))):
-                fs.delete_dir(p)
+        undo(fs, root, self.job, frozenset(f"{n}.tar" for n in read_manifest_file(fs, root)))
 
 
 def read_manifest_file(fs: pafs.FileSystem, root: str) -> dict[str, int]:
