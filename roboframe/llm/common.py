@@ -162,10 +162,11 @@ def without(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def set_aside(carry, result: list[str]) -> dict[str, str]:
-    """Columns that are only carried -> names that no operator has. Names of the operator's own result are refused."""
-    if clash := sorted(set(carry) & {"doc_id", *result}):
+    """Columns that are only carried -> names that no operator has. Names of the operator's own result are refused; doc_id
+    comes anyway."""
+    if clash := sorted(set(carry) & set(result)):
         raise ValueError(f"columns of the result can't be carried: {', '.join(clash)}")
-    return {c: f"_carried_{k}" for k, c in enumerate(carry)}
+    return {c: f"_carried_{k}" for k, c in enumerate(carry) if c != "doc_id"}
 
 
 def renamed(inner: dict[str, str]) -> list:

@@ -35,6 +35,8 @@ PER_LANGUAGE = 300
 #: Texts of all languages together that are fitted on, and those of them that tell families apart; where there are many
 #: languages, each has the fewer.
 FITTED, FAMILY_FITTED = 12_000, 6_000
+#: Texts of each language, at least, where it has them, however many languages there are.
+LEAST = 3
 DIMS = 1 << 13
 
 LETTER = np.zeros(256, dtype=np.uint8)
@@ -135,12 +137,16 @@ class Model:
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """labelled(doc_id, text, lang), lang not null -> a model; at most about `per_language` texts of each language, and
-    FITTED of all, reach the driver, as vectors of fixed size. Of more than 200 languages the 200 most frequent are fitted; texts of the
-    others are told as one of these. None where nothing is labelled."""
-    languages = max(1, labelled.select("lang").distinct().limit(200).count())
-    per_language = min(per_language, FITTED // languages)
-    sample = bounded(labelled, "lang", "doc_id", per_language, leave_rare=True).select("text", "lang")
+    """labelled(doc_id, text, lang), lang not null -> a model of all languages that there are; at most about `per_language`
+    texts of each language, and FITTED of all, reach the driver, as vectors of fixed size. A language with few texts, or one of
+    very many languages, has one text at least. None where nothing is labelled."""
+    languages = max(1, labelled.select("lang").distinct().count())
+    per_language = max(LEAST, min(per_language, FITTED // languages))
+    sample = bounded(labelled, "lang", "doc_id", per_language)
+    # a language of which chance has left out all texts has the one with the least id
+    first = labelled.groupBy("lang").agg(F.min_by(F.struct("text"), "doc_id").alias("t")).where("t IS NOT NULL").select("t.text", "lang")
+    first = first.join(sample.select("lang").distinct(), "lang", "left_anti")
+    sample = sample.select("text", "lang").unionByName(first)
     rows = sample.mapInPandas(_features, "lang string, x binary").collect()
     if not rows:
         return None

@@ -163,8 +163,9 @@ def _fit_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Crf | None:
     """docs(doc_id, text), labels(doc_id, label 0/1) -> a model. About `per_label` documents of each label, with all
     lines of each, reach the driver as numbers. Where these have more than FIT_LINES lines together, whole documents
-    are left out at random by hash, and one that is longer than that alone always. None where no labelled text is there."""
-    known = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
+    are left out at random by hash, and one that is longer than that alone always. Labels other than 0 and 1 are no labels.
+    None where no labelled text is there."""
+    known = labels.where("label IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     sample = F.broadcast(bounded(known, "label", "doc_id", per_label))
     rows = docs.select("doc_id", "text").where("length(text) > 0").join(sample, "doc_id")
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1

@@ -8,19 +8,14 @@ from pyspark.sql import functions as F
 GRAIN = 1_000_000
 
 
-def bounded(rows: DataFrame, stratum: str, key: str, most: int, strata: int = 200, leave_rare: bool = False) -> DataFrame:
+def bounded(rows: DataFrame, stratum: str, key: str, most: int) -> DataFrame:
     """About `most` rows of each value of `stratum` (1.2 times that at most, up to chance), the same ones on every run:
     those whose hash of `key` is below a share that one count of the whole table sets. All rows where there are fewer.
-    Beyond `strata` values it raises, or with leave_rare takes the most frequent ones."""
-    counts = rows.groupBy(stratum).count().orderBy(F.desc("count"), stratum).limit(strata + 1).collect()
-    if leave_rare:
-        counts = counts[:strata]
-    if len(counts) > strata:
-        raise ValueError(f"more than {strata} values of {stratum}")
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col(stratum) == r[stratum], int(min(1.0, 1.1 * most / r["count"]) * GRAIN)).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64(F.col(key)), F.lit(GRAIN)) < share)
+    Any number of values will do: their shares are joined, not listed. Rows without a value are left out."""
+    counts = rows.groupBy(F.col(stratum).alias("_stratum")).agg(F.count("*").alias("_n"))
+    share = counts.select("_stratum", F.least(F.lit(GRAIN), F.lit(1.1 * most * GRAIN) / F.col("_n")).cast("int").alias("_share"))
+    near = rows.join(share, F.col(stratum) == F.col("_stratum"))
+    return near.where(F.pmod(F.xxhash64(F.col(key)), F.lit(GRAIN)) < F.col("_share")).drop("_stratum", "_share")
 
 
 def remainder(key: str, of: int):

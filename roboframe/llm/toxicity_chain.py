@@ -170,9 +170,10 @@ def _fit_hits(terms: np.ndarray):
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Chain | None:
     """docs(doc_id, text), labels(doc_id, label 0/1) -> a chain, fitted on about `labelled` labelled documents, of
-    which the hits of at most (FOLDS + 1) * TERMS terms reach the driver. None where no labelled text is there."""
+    which the hits of at most (FOLDS + 1) * TERMS terms reach the driver. Labels other than 0 and 1 are no labels. None where
+    no labelled text is there."""
     spark = docs.sparkSession
-    known = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
+    known = labels.where("label IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     known = known.withColumn("all", F.lit(1))
     sample = F.broadcast(bounded(known, "all", "doc_id", labelled).drop("all"))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(sample, "doc_id")

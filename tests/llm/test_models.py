@@ -214,10 +214,37 @@ def test_models_with_empty_tables(spark):
 
 
 def test_many_languages(spark):
-    rows = [(i, f"word{chr(97 + i % 26)} text", f"x{i:03}") for i in range(230)] + [(1000 + i, "das ist ein Haus", "de") for i in range(5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = language_id.fit(docs, 20)
-    assert len(model.langs) == 200 and "de" in model.langs
+    """230 languages, some of them in one text only: all are learned, and told."""
+    rows = [(1000 * k + i, f"{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}{chr(98 + k // 9)}x " * 12 + "and more words", f"l{k}") for k in range(230) for i in range(1 if k % 10 == 3 else 6)]
+    docs = spark.createDataFrame(rows + [(9, None, "l0"), (None, "text", "l1")], "doc_id long, text string, lang string").repartition(4)
+    model = language_id.fit(docs.where("text IS NOT NULL"), 20)
+    assert model.langs == sorted({r[2] for r in rows})
+    out = {r.doc_id: r.lang_pred for r in language_id.identify(docs.where("doc_id > 9"), model, F.lit(False)).collect()}
+    assert sum(out[i] == lang for i, _, lang in rows if i in out) > 0.97 * len(out)
+
+
+def test_bounded_samples(spark):
+    from roboframe.llm.sampling import bounded
+
+    rows = [(i, k) for k in range(500) for i in range(1000 * k, 1000 * k + (900 if k < 3 else 2))] + [(7, None)]
+    frame = spark.createDataFrame(rows, "id long, k int").repartition(3)
+    got = {r["k"]: r["count"] for r in bounded(frame, "k", "id", 100).groupBy("k").count().collect()}
+    assert set(got) == set(range(500)) and all(got[k] == 2 for k in range(3, 500)) and all(70 < got[k] < 150 for k in range(3))
+    assert sorted(map(tuple, bounded(frame, "k", "id", 100).collect())) == sorted(map(tuple, bounded(frame.repartition(7), "k", "id", 100).collect()))
+
+
+def test_other_labels_are_none(spark):
+    """Labels that are neither 0 nor 1, however many, change nothing."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    more = docs.select("doc_id", (F.col("doc_id") + 2).cast("int").alias("label")).where("label > 1")
+    for module, column in ((quality_crf, "quality"), (toxicity_chain, "toxic")):
+        own = labels.select("doc_id", F.col(column).alias("label")).limit(80)
+        one, other = module.fit(docs, own), module.fit(docs, own.unionByName(more))
+        if module is quality_crf:
+            assert abs(one.w - other.w).max() < 1e-9
+        else:
+            assert (one.terms == other.terms).all()
 
 
 def test_quality_fit_sees_all_lines(spark, monkeypatch):
