@@ -61,8 +61,9 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path
 
 
-def listed(path: str) -> list[pafs.FileInfo]:
-    """A file, the tars right in a folder, or what matches a pattern; nothing where there is nothing."""
+def listed(path: str, suffixes: tuple[str, ...] = (".tar", ".tgz")) -> list[pafs.FileInfo]:
+    """A file, those right in a folder whose names have one of the suffixes (all files if there are none), or what matches a
+    pattern; nothing where there is nothing."""
     fs, at = file_system(path.replace("*", "%2A").replace("?", "%3F") if "://" in path else path)
     at = at.replace("%2A", "*").replace("%3F", "?")
     fixed = at.split("*")[0].split("?")[0].split("[")[0]
@@ -74,7 +75,7 @@ def listed(path: str) -> list[pafs.FileInfo]:
         found = [fs.get_file_info(at)]
         if found[0].type == pafs.FileType.Directory:
             found = fs.get_file_info(pafs.FileSelector(at))
-            found = [x for x in found if ".tar" in x.base_name or x.extension == "tgz"]
+            found = [x for x in found if not suffixes or any(s in x.base_name for s in suffixes)]
     return sorted((x for x in found if x.type == pafs.FileType.File and x.base_name[0] not in "._"), key=lambda x: x.path)
 
 
