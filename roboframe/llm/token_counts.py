@@ -16,7 +16,9 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..sources.tars import file_system, listed
 from . import common
 from .bpe import codec, default_path
 from .common import slices, table, written
@@ -66,17 +68,54 @@ def write_token_files(docs: DataFrame, path: str, end: int, block: int = BLOCK)
     return written(source.mapInPandas(_pack(path, end, block), "file int, block long, ids binary, docs array<long>"), "op5-files")
 
 
-def read_token_files(spark: SparkSession, pattern: str, width: int, block: int = BLOCK) -> DataFrame:
-    """Raw binary token files (each up to 2 GB, as shards are) as the same blocks: file (its path), block, ids."""
+class TokenRange(InputPartition):
+    """Blocks first..last (not included) of a flat file."""
+
+    def __init__(self, path: str, first: int, last: int):
+        super().__init__((path, first, last))
+
+
+class TokenFiles(DataSource):
+    """Flat files of token identifiers as blocks: file (its path), block, ids. A partition is a range of a file's bytes that
+    begins at a block, so that a file of any size is read by as many tasks as it has ranges, without an index; options: path,
+    width (bytes of an identifier), block (identifiers), range (blocks). The files' sizes are all that is looked up before."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "token_files"
+
+    def schema(self) -> str:
+        return "file STRING, block BIGINT, ids BINARY"
+
+    def reader(self, schema) -> DataSourceReader:
+        o = {k.lower(): v for k, v in self.options.items()}
+        return TokenReader(o["path"], int(o["width"]) * int(o["block"]), int(o["range"]))
+
+
+class TokenReader(DataSourceReader):
+    def __init__(self, path: str, size: int, together: int):
+        self.path, self.size, self.together = path, size, together
+
+    def partitions(self) -> list[TokenRange]:
+        out = []
+        for x in listed(self.path, suffixes=()):
+            blocks = -(-x.size // self.size)
+            out += [TokenRange(x.path, k, min(k + self.together, blocks)) for k in range(0, blocks, self.together)]
+        return out or [TokenRange("", 0, 0)]
+
+    def read(self, partition: TokenRange) -> Iterator[tuple]:
+        path, first, last = partition.value
+        if first < last:
+            with file_system(self.path)[0].open_input_file(path) as f:
+                for k in range(first, last):
+                    yield path, k, f.read_at(self.size, k * self.size)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, raw in zip(batch["path"], batch["content"], strict=True):
-                for k, a in enumerate(range(0, len(raw), block * width)):
-                    yield pd.DataFrame([(file, k, raw[a : a + block * width])], columns=["file", "block", "ids"])
 
-    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
-    return files.mapInPandas(run, "file string, block long, ids binary")
+def read_token_files(spark: SparkSession, path: str, width: int, block: int = BLOCK, together: int = 64) -> DataFrame:
+    """Flat binary token files (a file, those right in a folder, or a pattern; none where there are none) as blocks: file, block,
+    ids. `together` blocks of a file are one task. An empty file has no block."""
+    spark.dataSource.register(TokenFiles)
+    return spark.read.format("token_files").options(width=width, block=block, range=together).load(path)
 
 
 def _scan(width: int, end: int):

@@ -78,6 +78,26 @@ def test_raw_token_files(spark, tmp_path):
     assert sorted(r.n_tokens for r in token_counts.count_tokens(blocks, 9).collect()) == [0, 1, 2]
 
 
+@pytest.mark.parametrize(("block", "together"), [(7, 1), (7, 5), (64, 3), (1 << 19, 64)])
+def test_a_token_file_over_many_tasks(spark, tmp_path, block, together):
+    """Ranges of bytes begin at blocks, wherever documents do; there is no index."""
+    rng = random.Random(block)
+    want = Counter()
+    for name, n in (("a.bin", 5000), ("b.bin", 1), ("c.bin", 0), ("d.bin", 777)):
+        ids = [rng.choice([9] + [1, 2, 3] * 30) for _ in range(n)]
+        (tmp_path / name).write_bytes(np.array(ids, dtype="<u2").tobytes() + b"\1" * (name == "d.bin"))
+        docs = [[]]
+        for i in ids:
+            docs[-1].append(i) if i != 9 else docs.append([])
+        want.update((name, k, len(d)) for k, d in enumerate(docs) if k + 1 < len(docs) or d)
+    blocks = token_counts.read_token_files(spark, f"file://{tmp_path}", 2, block=block, together=together)
+    got = token_counts.count_tokens(blocks, 9).collect()
+    assert Counter((r.file.rpartition("/")[2], r.document, r.n_tokens) for r in got) == want
+    tasks = blocks.where("file LIKE '%a.bin'").select(F.spark_partition_id()).distinct().count()
+    assert tasks == -(-5000 // (block * together))
+    assert token_counts.read_token_files(spark, f"{tmp_path}/none", 2).count() == 0
+
+
 def test_op5_counts_equal_encoded_lengths(spark, sf):
     from roboframe.llm.bpe import op8_bpe_encoding
 
