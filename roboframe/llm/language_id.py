@@ -142,11 +142,12 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     very many languages, has one text at least. None where nothing is labelled."""
     languages = max(1, labelled.select("lang").distinct().count())
     per_language = max(LEAST, min(per_language, FITTED // languages))
-    sample = bounded(labelled, "lang", "doc_id", per_language)
-    # a language of which chance has left out all texts has the one with the least id
-    first = labelled.groupBy("lang").agg(F.min_by(F.struct("text"), "doc_id").alias("t")).where("t IS NOT NULL").select("t.text", "lang")
-    first = first.join(sample.select("lang").distinct(), "lang", "left_anti")
-    sample = sample.select("text", "lang").unionByName(first)
+    sample = common.written(bounded(labelled, "lang", "doc_id", per_language).select("text", "lang"), "op2-sample")
+    # a language of which chance has left out all texts, so one with few, has the text with the least id
+    rare = labelled.select("lang").distinct().join(sample.select("lang").distinct(), "lang", "left_anti")
+    if not rare.isEmpty():
+        first = labelled.join(rare, "lang").groupBy("lang").agg(F.min_by(F.struct("text"), "doc_id").alias("t"))
+        sample = sample.unionByName(first.where("t IS NOT NULL").select("t.text", "lang"))
     rows = sample.mapInPandas(_features, "lang string, x binary").collect()
     if not rows:
         return None
