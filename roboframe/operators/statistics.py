@@ -48,11 +48,14 @@ def _beside(a: DataFrame, b: DataFrame, on: tuple[str, ...] | list[str]) -> Data
 
 def _with_mean(parts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """parts with the pooled mean of their key beside them: what is summed afterwards are differences from it, which
-    cancel nothing where values are large and close."""
-    mean = parts.groupBy(*keys).agg(F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("_mean"))
+    cancel nothing where values are large and close. Parts are few for each key; they meet once, by key, and are made once."""
+    mean = F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n"))
     if not keys:
-        return parts.crossJoin(F.broadcast(mean))  # one row
-    return _beside(parts, mean, keys)
+        parts = kept(parts)
+        return parts.crossJoin(F.broadcast(parts.agg(mean.alias("_mean"))))  # one row
+    w = Window.partitionBy(*keys)
+    pooled = F.try_divide(F.sum(F.col("n") * F.col("mean")).over(w), F.sum("n").over(w))
+    return parts.withColumn("_mean", pooled)
 
 
 def finalize_statistics(moments: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
