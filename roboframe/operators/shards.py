@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import kept
 from .windows import running_sums
 
 
@@ -107,12 +108,21 @@ def chunk_into_shards(rows: DataFrame, key: str, per_shard: int, seed: int, bloc
     return rows.drop("_b", "_before", "h")
 
 
+def sum_before(rows: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """The sum of a value over all rows before each one in an order of the whole table: ranges of the order are summed first,
+    then each row inside its range, so that no task sees all rows. Rows are written once, by range."""
+    ranges = kept(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    totals = ranges.groupBy("_range").agg(F.sum(value).alias("_sum")).withColumn("_over", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    inside = F.sum(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = ranges.withColumn(out, F.coalesce(inside, F.lit(0))).join(F.broadcast(totals.select("_range", "_over")), "_range")
+    return rows.withColumn(out, F.col(out) + F.col("_over")).drop("_range", "_over")
+
+
 def full_shard_plan(files: DataFrame, per_shard: int) -> DataFrame:
     """files(file, n_rows) -> complete shards of each file and the number of its first shard."""
-    w = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    k = F.floor(F.col("n_rows") / per_shard).cast("long")
-    rows = files.withColumn("shards", k)
-    return rows.withColumn("first_shard", F.coalesce(F.sum("shards").over(w), F.lit(0)))
+    rows = files.withColumn("shards", F.floor(F.col("n_rows") / per_shard).cast("long"))
+    return sum_before(rows, "file", "shards", "first_shard")
 
 
 def transfer_states(listing: DataFrame, attempts: DataFrame, key: str, retries: int = 1) -> DataFrame:

@@ -47,6 +47,26 @@ def test_order_of_tasks_and_pages(spark):
     assert results.page_of(rows.limit(0), ["id"], 5).count() == 0 and results.page_of(spark.range(9), ["id"], 1).count() == 9
 
 
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_sums_over_ranges(spark, parts):
+    from roboframe.operators import shards
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        rng = random.Random(int(parts))
+        rows = [(f"f{i:04d}", rng.randrange(100)) for i in range(300)]
+        want, total = [], 0
+        for f, n in rows:
+            want.append((f, n, n // 8, total))
+            total += n // 8
+        plan = shards.full_shard_plan(spark.createDataFrame(rows, "file string, n_rows long").repartition(3), 8)
+        assert sorted(map(tuple, plan.collect())) == want
+        assert shards.full_shard_plan(spark.createDataFrame([], "file string, n_rows long"), 8).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_counterparts_and_axes(spark):
     fields = [(1, 0, "robot__desired__poses__xyz", 1.0), (1, 0, "robot__actual__poses__xyz", 2.0), (1, 0, "x", 3.0), (2, 0, "robot__desired__poses__xyz", 4.0)]
     f = spark.createDataFrame(fields, "episode int, t int, field string, x double")
