@@ -49,14 +49,21 @@ def filter_window_padding(padded: DataFrame, most_past: int, most_future: int) -
     return padded.where((F.col("past_padding") <= most_past) & (F.col("future_padding") <= most_future))
 
 
-def _frame(past: int, future: int, episode: str):
-    return Window.partitionBy(episode).orderBy("t").rowsBetween(-past, future)
-
-
-def window_values(steps: DataFrame, past: int, future: int, field: str = "x", out: str = "w", episode: str = "episode") -> DataFrame:
-    """The unpadded values of the window, nulls kept, as an array."""
-    rows = F.collect_list(F.struct(F.col(field).alias("v"))).over(_frame(past, future, episode))
-    return steps.withColumn(out, F.transform(rows, lambda r: r["v"]))
+def _frame(past: int, future: int, *keys: str):
+    return Window.partitionBy(*keys).orderBy("t").rowsBetween(-past, future)
+
+
+def window_values(steps: DataFrame, past: int, future: int, field: str = "x", out: str = "w", episode: str = "episode", block: int | None = None) -> DataFrame:
+    """The unpadded values of the window, nulls kept, as an array. With `block`, an episode (its steps numbered without gaps)
+    is dealt over blocks of so many steps; a step goes to every block with a window that it lies in."""
+    keys = [episode]
+    if block is not None:
+        at = lambda t: F.floor(t / block)
+        reached = F.sequence(at(F.greatest(F.col("t") - future, F.lit(0))), at(F.col("t") + past))
+        steps, keys = steps.withColumn("_block", F.explode(reached)), [episode, "_block"]
+    rows = F.collect_list(F.struct(F.col(field).alias("v"))).over(_frame(past, future, *keys))
+    steps = steps.withColumn(out, F.transform(rows, lambda r: r["v"]))
+    return steps if block is None else steps.where(F.col("_block") == at(F.col("t"))).drop("_block")
 
 
 def pad_window(values: Column, before: Column, after: Column, how: str = "copy") -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import scans
 from ..operators import windows as W
 from ..registry import query
 from ..sources import files
@@ -135,17 +136,18 @@ def _(spark, sf):
     return W.fractional_lag(steps(spark, sf), 2.25).select("episode", "t", F.round("lagged", 6).alias("lagged"))
 
 
-@query("E16_window_calibration", f"""WITH {VE}, k AS (SELECT label * 1000000 + vec_id // 512 AS label, CAST(row_number() OVER (PARTITION BY label, vec_id // 512 ORDER BY vec_id) - 1 AS INTEGER) AS t, count(*) OVER (PARTITION BY label, vec_id // 512) AS n, v[1:9] AS m FROM ve),
+@query("E16_window_calibration", f"""WITH {VE}, k AS (SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS t, count(*) OVER (PARTITION BY label) AS n, v[1:9] AS m FROM ve),
 s AS (SELECT e.label, e.t, j, greatest(0, least(e.n - 1, e.t - 1 + j)) AS i FROM k e, (SELECT unnest(range(0, 4)) AS j))
 SELECT s.label, s.t, list(round(list_sum(e.m), 6) ORDER BY j) AS windowed, list(round(f.m[1], 6) ORDER BY j) AS static FROM s
 JOIN k e ON e.label = s.label AND e.t = s.i JOIN k f ON f.label = s.label AND f.t = s.t GROUP BY ALL""")
 def _(spark, sf):
-    # an episode is a run of vectors of one label, of bounded length
-    episode = F.col("label") * 1000000 + F.floor(F.col("vec_id") / 512)
-    m = vectors(spark, sf).select(episode.alias("episode"), F.col("vec_id").alias("ts"), F.lit(0).alias("ordinal"), F.slice("v", 1, 9).alias("m"))
-    rows = W.window_padding(W.window_values(W.episode_timesteps(m), 1, 2, "m"), 1, 2)
+    # an episode is a label, which may have very many vectors: both its numbering and its windows go by blocks
+    m = vectors(spark, sf).where("label IS NOT NULL")
+    m = m.select(F.col("label").alias("episode"), F.col("vec_id").alias("ts"), F.lit(0).alias("ordinal"), F.slice("v", 1, 9).alias("m"))
+    steps = W.episode_timesteps(m, hot=scans.HOT)
+    rows = W.window_padding(W.window_values(steps, 1, 2, "m", block=1 << 16), 1, 2)
     window = W.pad_window(F.col("w"), F.col("past_padding"), F.col("future_padding"))
-    total = F.transform(window, lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda s, y: s + y), 6))
+    total = F.transform(window, lambda a: F.round(F.aggregate(a, F.lit(None).cast("double"), lambda s, y: F.coalesce(s + y, s, y)), 6))
     return rows.select(F.col("episode").alias("label"), "t", total.alias("windowed"), F.array_repeat(F.round(F.get("m", F.lit(0)), 6), 4).alias("static"))
 
 

@@ -85,3 +85,32 @@ def test_hysteresis_of_a_hot_episode(spark):
     for hot in (None, 200):
         got = windows.hysteresis_state(by_blocks, 20.0, 60.0, hot=hot)
         assert {(r["episode"], r["ts"], r["is_open"]) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("past,future,block", [(1, 2, 4), (3, 0, 1), (0, 5, 2), (2, 2, 1000)])
+def test_windows_by_blocks_equal_one_window(spark, past, future, block):
+    rng = random.Random(6)
+    data = {k: [rng.choice([None, float(i)]) for i in range(n)] for k, n in (("long", 57), ("b", 8), ("c", 1), (None, 9))}
+    rows = [(k, t, len(v), x) for k, v in data.items() for t, x in enumerate(v)]
+    steps = spark.createDataFrame(rows, "episode string, t int, n int, x double").repartition(5)
+    got = windows.window_values(steps, past, future, block=block)
+    want = {(k, t): v[max(t - past, 0) : t + future + 1] for k, v in data.items() for t in range(len(v))}
+    assert got.columns == [*steps.columns, "w"] and got.count() == len(rows)
+    assert {(r.episode, r.t): r.w for r in got.collect()} == want
+
+
+def test_calibration_windows_span_a_whole_label(spark, tmp_path, monkeypatch):
+    """Vectors 511 and 512 of a label are neighbours; null labels are in no window; null components add nothing."""
+    from roboframe import registry
+
+    monkeypatch.setattr(scans, "HOT", 600)
+    rows = [(i, 1 if i < 1500 else 2 if i < 1600 else None, None if i == 3 else [None if i == 7 else float(i), 0.5] * 8) for i in range(1700)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.label, r.t): (r.windowed, r.static) for r in registry.queries()["E16_window_calibration"](spark, str(tmp_path)).collect()}
+    assert len(got) == 1600
+    total = lambda i: None if i == 3 else 2.0 if i == 7 else 5.0 * i + 2.0
+    first = lambda i: None if i in (3, 7) else float(i)
+    for label, start, n in ((1, 0, 1500), (2, 1500, 100)):
+        for t in range(n):
+            window = [total(start + min(max(t - 1 + j, 0), n - 1)) for j in range(4)]
+            assert got[label, t] == (window, [first(start + t)] * 4)
