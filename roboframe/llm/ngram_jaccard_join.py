@@ -12,8 +12,8 @@ hash function (at the last one it signs the empty ones too). If one of two sets
 it has with empty subsets are left, so they meet there; else both go on: no pair is lost.
 
 Candidates are compared exactly. Of every group that shares a signature first the pairs with its smallest member are
-compared; where that leaves more than one component in a group, its members are split by the rare elements that
-similar sets must share and all pairs of different components among these are compared.
+compared; where that leaves more than one component in a group, the members of all such groups are split by the rare
+elements that similar sets must share and all pairs of different components among these are compared.
 """
 
 from __future__ import annotations
@@ -416,8 +416,10 @@ def _prefixes(counts: np.ndarray, percent: int, bits: np.ndarray):
 
 
 def _cross_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """members(n group, a document, label component) -> pairs of one group, of different components, that can be similar.
+    """members(n group, a document, label component) -> pairs of members, of different components, that can be similar.
 
+    All pairs of one group that can be are among these. Which groups a pair shares isn't looked up: it would be a row for
+    each of them, some hundreds for a pair of long texts, to spare few pairs a comparison that tells more.
     The intersection is at most the number of elements that a document shares with anybody (`common`), so a partner's
     size is at most `reach` = common * (100 + percent) / percent - size; of two similar documents at least one has a
     reach of its own size or more (else each would be smaller than the other). Similar sets also share an element that
@@ -461,10 +463,7 @@ def _cross_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         (100 + percent) * (F.col("y.size") - F.col("y.place")) >= need,
     ]
     ends = [F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")]
-    cross = written(x.join(y, on).select(*ends).distinct(), "op1-cross")
-    left = members.select("a", "n")
-    right = members.select(F.col("a").alias("b"), F.col("n"))
-    return cross.join(left, "a").join(right, ["b", "n"]).select("a", "b").distinct()
+    return x.join(y, on).select(*ends).distinct()
 
 
 def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:

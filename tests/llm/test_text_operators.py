@@ -84,6 +84,37 @@ def test_jaccard_repeated_rows_and_null_ids(spark):
     assert got_components(spark, rows) == Counter({(3, 2, 3): 2, (5, 2, 3): 1})
 
 
+def rows_of_joins(spark, after):
+    """Rows that each join of the runs after that one made."""
+    store, out = spark._jsparkSession.sharedState().statusStore(), []
+    runs = store.executionsList()
+    for run in (r for r in (runs.apply(i).executionId() for i in range(runs.size())) if r > after):
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (x for x in (nodes.apply(i) for i in range(nodes.size())) if "Join" in x.name()):
+            metrics = node.metrics()
+            for m in (metrics.apply(i) for i in range(metrics.size())):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    out.append(int(values.apply(m.accumulatorId()).replace(",", "")))
+    return out
+
+
+def test_pairs_that_share_many_signatures_are_a_row_each(spark):
+    """All pairs share signatures by the dozen, and all fall short of the threshold but two."""
+    rng, rows = random.Random(8), []
+    for i in range(40):
+        w = [f"w{j}" for j in range(400)]
+        for p in rng.sample(range(400), 8):
+            w[p] = f"x{i}_{p}"
+        rows.append((i, " ".join(w)))
+    rows += [(i + 50, t.rsplit(" ", 20)[0]) for i, t in rows[:2]]
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    after = max((runs.apply(i).executionId() for i in range(runs.size())), default=-1)
+    assert got_components(spark, rows) == components(rows)
+    made = rows_of_joins(spark, after)
+    pairs = len(rows) * (len(rows) - 1) // 2
+    assert made and max(made) < 15 * pairs
+
+
 def test_signatures_of_similar_sets_meet():
     import numpy as np
 
