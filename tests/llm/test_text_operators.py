@@ -235,6 +235,51 @@ def test_suffix_dedup_of_long_texts(spark, monkeypatch):
     assert got_removed(spark, rows) == removed(rows, 400)
 
 
+def covered(rows, length):
+    """For each row the bytes that a string which starts elsewhere too covers, and the runs of these."""
+    return Counter((i, gone, spans) for (i, _, gone, spans, _), k in removed(rows, length).items() for _ in range(k))
+
+
+@pytest.mark.parametrize("parts", [1, 6, 20])
+def test_suffix_dedup_of_two_lengths(spark, parts):
+    """Strings of a shorter length are told beside the others, each length as by itself."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        rng = random.Random(30 + parts)
+        text = lambda n: "".join(rng.choice("abcd\0é ") for _ in range(n))
+        passage, heads, tails = text(70), [text(30) for _ in range(3)], [text(30) for _ in range(3)]
+        rows = [(i, text(rng.randint(0, 20)) + rng.choice(heads)[-rng.randint(1, 30) :] + passage + rng.choice(tails)[: rng.randint(0, 30)] + text(rng.randint(0, 20))) for i in range(120)]
+        rows += [(200 + i, rows[i % 4][1]) for i in range(20)] + [(300, "\0" * 250), (301, "\0" * 130 + "a"), (302, None), (303, ""), (304, text(59)), (None, text(80))]
+        for length, core, shorter in ((100, 30, 60), (100, 50, 99), (150, 20, 31), (400, 30, 60)):
+            out = sd.remove_repeats(frame(spark, rows), length, core, shorter=shorter, with_bytes=False).collect()
+            assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == removed(rows, length)
+            assert Counter((r.doc_id, r.n_passage_bytes, r.n_passages) for r in out) == covered(rows, shorter)
+            assert all(r.kept is None and (r.rest is None) == (r.doc_id == 302) for r in out)
+            texts = dict(rows)
+            assert all(r.rest == texts[r.doc_id] for r in out if not r.n_passages)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_op9_tells_passages_of_over_50_words(spark, tmp_path):
+    """A passage of 52 words that two texts share has fewer than 400 bytes: the contract's columns leave it, those of passages
+    tell it, and a text of its own keeps all."""
+    rng = random.Random(31)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n))
+    passage = words(52)
+    rows = [(1, f"{words(90)} {passage} {words(30)}"), (2, f"{words(10)} {passage} {words(80)}"), (3, words(120)), (4, None)]
+    frame(spark, rows).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    out = sd.op9_suffix_array_dedup(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "n_passages", "text"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert {(i, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == set(removed(rows, 400))
+    assert {i: r.n_removed for i, r in got.items()} == dict.fromkeys((1, 2, 3, 4), 0)
+    assert {(i, r.n_passage_bytes, r.n_passages) for i, r in got.items()} == set(covered(rows, 240))
+    assert [got[i].n_passages for i in (1, 2, 3, 4)] == [1, 1, 0, 0] and got[1].n_passage_bytes >= len(passage)
+    assert all(passage not in got[i].text for i in (1, 2)) and got[3].text == rows[2][1] and got[4].text is None
+
+
 def test_multikey_sort():
     import numpy as np
 
