@@ -6,15 +6,17 @@ Everything is read through Spark's own file sources, so any store that Spark rea
 from __future__ import annotations
 
 import io
+import math
 import re
 import tempfile
 import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,29 +113,95 @@ def scan_frame_json(spark: SparkSession, pattern: str) -> DataFrame:
     )
 
 
+#: What begins an array's bytes; the header's length follows the version.
+MAGIC = b"\x93NUMPY"
+
+
+@lru_cache(4096)
+def _header(head: bytes) -> tuple[np.dtype, tuple[int, ...], bool]:
+    """The arrays of many small files have few headers."""
+    f = io.BytesIO(head)
+    read = np.lib.format.read_array_header_1_0 if np.lib.format.read_magic(f) == (1, 0) else np.lib.format.read_array_header_2_0
+    shape, fortran, dtype = read(f)
+    if dtype.hasobject:
+        raise ValueError("arrays of objects aren't read")
+    return dtype, shape, fortran
+
+
+def _array(raw: bytes) -> np.ndarray | None:
+    if not raw.startswith(MAGIC):
+        return None
+    if len(raw) < 12:
+        raise ValueError("an array ends in its header")
+    at, size = (10, raw[8:10]) if raw[6] == 1 else (12, raw[8:12])
+    at += int.from_bytes(size, "little")
+    if raw[6] > 2:  # names of fields in UTF-8
+        return np.lib.format.read_array(io.BytesIO(raw), allow_pickle=False)
+    dtype, shape, fortran = _header(raw[:at])
+    if len(raw) < at + math.prod(shape) * dtype.itemsize:
+        raise ValueError("an array ends before its size")
+    if not math.prod(shape) * dtype.itemsize:
+        return np.zeros(shape, dtype)
+    return np.frombuffer(raw, dtype, math.prod(shape), at).reshape(shape, order="F" if fortran else "C")
+
+
+def _members(raw: bytes, drop: tuple[str, ...] = ()) -> Iterator[tuple[str, np.ndarray | None]]:
+    """Names and arrays of an .npz file, none where a member is something else. Stored members are taken from where they lie."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        for m in z.infolist():
+            if (name := m.filename.removesuffix(".npy")) in drop:
+                continue
+            head = raw[m.header_offset : m.header_offset + 30]
+            if m.compress_type == zipfile.ZIP_STORED and not m.flag_bits & 1 and len(head) == 30 and head.startswith(b"PK\3\4"):
+                at = m.header_offset + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little")
+                content = raw[at : at + m.file_size]
+                if len(content) < m.file_size or zlib.crc32(content) != m.CRC:
+                    raise zipfile.BadZipFile(f"{m.filename} is damaged")
+            else:
+                content = z.read(m)
+            yield name, _array(content)
+
+
 def _arrays(raw: bytes) -> dict[str, np.ndarray]:
-    with np.load(io.BytesIO(raw), allow_pickle=False) as z:
-        return {k: np.atleast_1d(z[k]).astype(float).ravel() for k in z.files if z[k].dtype.kind in "fiub"}
+    return {k: np.atleast_1d(a).astype(float).ravel() for k, a in _members(raw) if a is not None and a.dtype.kind in "fiub"}
 
 
 DAMAGE = (ValueError, OSError, EOFError, KeyError, zipfile.BadZipFile, zlib.error)
 
 
+#: Rows and bytes of values that are handed on at once.
+ROWS, BYTES = 10_000, 16 << 20
+DECODED = pa.schema([("episode", pa.string()), ("t", pa.int32()), ("field", pa.string()), ("value", pa.list_(pa.float64())), ("path", pa.string()), ("reason", pa.string())])
+
+
 def _decoded(files: DataFrame, decode, strict: bool) -> DataFrame:
     """files(path, content) -> the rows of each, or a row with its path and the reason why it has none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t, from_pandas=True) for c, t in zip(columns, DECODED.types, strict=True)], schema=DECODED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # files may be small and many: their rows go on together
+        held, size = [], 0
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                path = path.as_py()
                 try:
-                    rows = [(*r, path, None) for r in decode(path, content)]
+                    rows = [(*r, path, None) for r in decode(path, content.as_py())]
                 except DAMAGE as e:
                     if strict:
                         raise
                     rows = [(None, None, None, None, path, str(e) or type(e).__name__)]
-                yield pd.DataFrame(rows, columns=["episode", "t", "field", "value", "path", "reason"]).astype({"t": "Int32"})
+                held += rows
+                size += sum(r[3].nbytes for r in rows if r[3] is not None)
+                if len(held) >= ROWS or size >= BYTES:
+                    yield packed(held)
+                    held, size = [], 0
+        if held:
+            yield packed(held)
 
-    return files.select("path", "content").mapInPandas(run, f"{FRAMES}, path string, reason string")
+    return files.select("path", "content").mapInArrow(run, f"{FRAMES}, path string, reason string")
 
 
 def _frame(path: str, content: bytes) -> list[tuple]:
@@ -163,11 +231,11 @@ def _episode(drop: tuple[str, ...]):
     def decode(path: str, content: bytes) -> list[tuple]:
         episode, part = path.split("/")[-2], path.split("/")[-1].removesuffix(".npz")
         rows = []
-        with np.load(io.BytesIO(content), allow_pickle=False) as z:
-            for k in z.files:
-                if k not in drop:
-                    a = np.asarray(z[k], dtype=float)
-                    rows += [(episode, t, f"{part}/{k}", np.atleast_1d(a[t]).ravel()) for t in range(len(a))]
+        for k, a in _members(content, drop):
+            if a is None:
+                raise ValueError(f"{k} is no array")
+            a = np.asarray(a, dtype=float)
+            rows += [(episode, t, f"{part}/{k}", np.atleast_1d(a[t]).ravel()) for t in range(len(a))]
         return rows
 
     return decode

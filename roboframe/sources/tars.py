@@ -47,6 +47,8 @@ SAMPLES = "shard STRING, key STRING, fields MAP<STRING, BINARY>, reason STRING"
 ARROW = pa.schema([("shard", pa.string()), ("key", pa.string()), ("fields", pa.map_(pa.string(), pa.binary())), ("reason", pa.string())])
 #: Bytes of a partition, about, and of what is handed on at once.
 SPLIT, BATCH = 256 << 20, 16 << 20
+#: Bytes of small files below which a partition isn't shared further.
+LEAST = 1 << 20
 MANIFEST = "manifest.jsonl"
 TEMPORARY = "_temporary"
 #: How compressed files begin, and what opens them.
@@ -211,15 +213,19 @@ class TarReader(DataSourceReader):
             raise ValueError(f"no such mode: {self.mode}")
         self.split = int(options.get("splitbytes", SPLIT))
         self.fields = frozenset(options["fields"].split(",")) if options.get("fields") else None
+        self.tasks = int(options.get("tasks", 1))
         self.shards = frozenset(json.loads(options["shards"])) if "shards" in options else None
 
     def partitions(self) -> list[Ranges]:
-        """Small files go together, in order, up to the size of a partition; large ones are walked over and cut."""
+        """Small files go together, in order, up to the size of a partition, or to their share of `tasks` where that is less;
+        large ones are walked over and cut."""
         fs, _ = file_system(self.path)
         files = [x for x in listed(self.path) if self.shards is None or x.base_name in self.shards]
         large = [x for x in files if x.size > self.split]
         with ThreadPoolExecutor(16) as pool:
             cuts = dict(zip((x.path for x in large), pool.map(lambda x: split_places(fs, x.path, self.split), large), strict=True))
+        small = sum(x.size for x in files if x.path not in cuts)
+        share = min(self.split, max(LEAST, -(-small // self.tasks)))
         out, room = [], 0
         for x in files:
             if x.path in cuts:
@@ -229,7 +235,7 @@ class TarReader(DataSourceReader):
             else:
                 if x.size > room:
                     out.append(Ranges())
-                    room = self.split
+                    room = share
                 out[-1].ranges.append(Range(x.path, 0, None))
                 room -= x.size
         return out or [Ranges()]
@@ -398,7 +404,8 @@ def enter(path: str, shards: list[tuple[str, int]]) -> None:
 
 class TarShards(DataSource):
     """Options for reading: path (a file, a folder or a pattern), shards (a JSON list of file names; others aren't opened),
-    fields (names with commas between; others aren't read), mode (PERMISSIVE: what is damaged comes as rows with a reason; DROPMALFORMED; FAILFAST), splitBytes. For writing: path;
+    fields (names with commas between; others aren't read), mode (PERMISSIVE: what is damaged comes as rows with a reason; DROPMALFORMED; FAILFAST), splitBytes, tasks (so many partitions of small files, if there is
+    a megabyte for each). For writing: path;
     rows (shard, key, fields), those of a shard one after another in one partition."""
 
     @classmethod
@@ -430,7 +437,7 @@ def read_tar_shards(spark: SparkSession, path: str, fields: tuple[str, ...] = ()
     """Samples of tar shards, of those named in `shards` if given: shard (its file's name), key, fields, reason. Members that follow one another and share the name
     up to the first dot are one sample; a sample with a damaged member or a field that comes twice has a reason and no
     fields, and so have the last sample before a damaged place and, without a key, the rest of that shard. An empty archive has no rows."""
-    options = {"mode": mode, "splitBytes": split} | ({"fields": ",".join(fields)} if fields else {})
+    options = {"mode": mode, "splitBytes": split, "tasks": 4 * spark.sparkContext.defaultParallelism} | ({"fields": ",".join(fields)} if fields else {})
     options |= {} if shards is None else {"shards": json.dumps(shards)}
     return registered(spark).read.format(NAME).options(**options).load(path)
 

@@ -1,8 +1,14 @@
 """Tables in parts, and results that don't hang on how many files there are."""
 
+import io
+import tarfile
+import zipfile
+
+import numpy as np
 import pytest
 
 from roboframe import registry
+from roboframe.sources import files, tars
 
 
 @pytest.mark.parametrize("rows, parts", [(25, 3), (0, 1)])
@@ -11,3 +17,59 @@ def test_rows_of_a_table_in_parts(spark, tmp_path, rows, parts):
     d.write.parquet(f"{tmp_path}/documents.parquet")
     got = registry.queries()["A07_parquet_row_counts"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == [("documents.parquet", rows)]
+
+
+def npz(save=np.savez, **arrays):
+    out = io.BytesIO()
+    save(out, **arrays)
+    return out.getvalue()
+
+
+def test_small_shards_are_shared_among_tasks(spark, tmp_path):
+    for k in range(12):
+        with tarfile.open(tmp_path / f"s{k:02d}.tar", "w") as tar:
+            info = tarfile.TarInfo(f"k{k}.bin")
+            info.size = 600_000
+            tar.addfile(info, io.BytesIO(bytes(info.size)))
+    frame = tars.read_tar_shards(spark, str(tmp_path))
+    assert frame.rdd.getNumPartitions() == 12 and frame.count() == 12
+    assert tars.read_tar_shards(spark, str(tmp_path), split=1_300_000).rdd.getNumPartitions() == 12
+
+
+def test_arrays_of_small_files_are_as_numpy_reads_them():
+    arrays = {"f": np.arange(6.0).reshape(2, 3), "o": np.asfortranarray(np.arange(6).reshape(2, 3)), "b": np.array([True, False]),
+              "big": np.arange(4, dtype=">i2"), "none": np.zeros((0, 3)), "one": np.float32(2.5), "s": np.array("n"), "nan": np.array([np.nan, 1])}
+    for save in (np.savez, np.savez_compressed):
+        raw = npz(save, **arrays)
+        with np.load(io.BytesIO(raw)) as z:
+            want = {k: np.atleast_1d(z[k]).astype(float).ravel() for k in arrays if k != "s"}
+        got = files._arrays(raw)
+        assert list(got) == list(want) and all(np.array_equal(got[k], want[k], equal_nan=True) for k in want)
+
+
+def test_files_with_other_members_and_many_rows(spark, monkeypatch):
+    note = io.BytesIO(npz(x=np.arange(2.0)))
+    with zipfile.ZipFile(note, "a") as z:
+        z.writestr("note.txt", "no array")
+    raw = bytearray(npz(x=np.arange(2.0)))
+    raw[raw.index(b"NUMPY") + 130] ^= 1  # a value whose checksum is wrong now
+    content = [(f"r/e_t{t:04d}.npz", npz(x=np.array([float(t)]))) for t in range(50)]
+    content += [("r/n_t0.npz", note.getvalue()), ("r/d_t0.npz", bytes(raw)), ("r/o_t0.npz", npz(x=np.array([None])))]
+    rows = files.frame_rows(spark.createDataFrame(content, "path string, content binary").coalesce(1)).collect()
+    good = {(r.episode, r.t): r.value for r in rows if r.reason is None}
+    assert good == {("e", t): [float(t)] for t in range(50)} | {("n", 0): [0.0, 1.0]}
+    assert {r.path for r in rows if r.reason} == {"r/d_t0.npz", "r/o_t0.npz"}
+
+
+def test_rows_of_files_go_on_together():
+    """A batch for each file costs more than the file."""
+
+    class Files:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run  # noqa: E731, N815
+
+    import pyarrow as pa
+
+    content = [(f"r/e_t{t:04d}.npz", npz(x=np.array([float(t)]))) for t in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*content, strict=True)], ["path", "content"])
+    assert [b.num_rows for b in files.frame_rows(Files())(iter([batch, batch]))] == [100]
