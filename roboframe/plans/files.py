@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,13 +121,16 @@ def _(spark, sf):
 
 
 def summary_files(spark, sf):
-    """A text file for each rollout: its success on a line where it has one, every thirtieth of them empty of keys."""
-    root, r = S.scratch(spark), rollouts(spark, sf)
+    """A text file for each rollout: its success on a line where it has one, every thirtieth of them empty of keys. Folders
+    hold those of a thousand numbers; of rollouts with the same number each has a file. Those without a number have none."""
+    root, r = S.scratch(spark), rollouts(spark, sf).where("demo_id IS NOT NULL")
     said = F.when(F.col("success").isNotNull(), F.concat(F.lit("success: "), F.col("success").cast("string"), F.lit("\n"))).otherwise("")
     text = F.when(F.col("demo_id") % 30 == 7, "nothing to say").otherwise(F.concat(F.lit("demo: 1\n"), said))
-    r.select(F.col("demo_id").alias("of"), text.alias("value")).repartition("of").write.partitionBy("of").text(root)
-    rows = spark.read.text(f"{root}/of=*", wholetext=True)
-    return S.summary_rows(rows.select(F.regexp_extract("_metadata.file_path", r"/of=(-?\d+)/", 1).alias("path"), "value"))
+    k = F.row_number().over(Window.partitionBy("folder", "demo_id").orderBy("value"))
+    files = r.select(F.expr("demo_id DIV 1000").alias("folder"), "demo_id", text.alias("value")).repartition("folder").withColumn("k", k)
+    filesets.write_files(files.select(F.format_string("of=%d/%d_%d.txt", "folder", "demo_id", "k").alias("path"), F.col("value").alias("content")), root)
+    rows = filesets.read_files(spark, root)
+    return S.summary_rows(rows.select(F.regexp_extract("path", r"(-?\d+)_\d+\.txt$", 1).alias("path"), F.col("content").cast("string").alias("value")))
 
 
 @query("A14_scan_summary", f"WITH {RO} SELECT demo_id, coalesce(success, false) AS success FROM ro WHERE demo_id % 30 <> 7")

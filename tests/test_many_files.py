@@ -1,6 +1,7 @@
 """Tables in parts, and results that don't hang on how many files there are."""
 
 import io
+import os
 import tarfile
 import zipfile
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 
 from roboframe import registry
-from roboframe.sources import files, tars
+from roboframe.sources import files, filesets, tars
 
 
 @pytest.mark.parametrize("rows, parts", [(25, 3), (0, 1)])
@@ -73,3 +74,29 @@ def test_rows_of_files_go_on_together():
     content = [(f"r/e_t{t:04d}.npz", npz(x=np.array([float(t)]))) for t in range(50)]
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*content, strict=True)], ["path", "content"])
     assert [b.num_rows for b in files.frame_rows(Files())(iter([batch, batch]))] == [100]
+
+
+def test_files_are_read_by_folders(spark, tmp_path):
+    content = {f"d{i % 5}/e{i % 2}/{i}.txt": f"{i}" for i in range(40)} | {"top": "é\n", "x y/%41": ""}
+    filesets.write_files(spark.createDataFrame(list(content.items()), "path string, content string").repartition(3), f"{tmp_path}/out")
+    for hidden in ("_note", ".d/x", "d1/_temporary/y"):
+        os.makedirs(os.path.dirname(f"{tmp_path}/out/{hidden}"), exist_ok=True)
+        open(f"{tmp_path}/out/{hidden}", "w").close()
+    rows = filesets.read_files(spark, f"file://{tmp_path}/out")
+    assert {r.path: bytes(r.content).decode() for r in rows.collect()} == content
+    assert 1 < rows.rdd.getNumPartitions() <= 7
+    assert filesets.read_files(spark, f"{tmp_path}/nothing").count() == 0
+
+
+def test_summaries_of_rollouts_with_the_same_number(spark, tmp_path):
+    """A file for each: rows as the SQL has them, those without a number are in neither."""
+    docs = [(i, "de", "web", 10) for i in (*range(40), 3, 3, 7, 7, -23, None)]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, i % 2) for i in range(0, 40, 3)]
+    spark.createDataFrame(labels, "doc_id long, quality long").write.parquet(f"{tmp_path}/labels.parquet")
+    q = registry.queries()
+    good = sorted(map(tuple, q["A14_scan_summary"](spark, str(tmp_path)).collect()))
+    want = [(i, i % 3 == 0 and i % 2 == 1) for i in (*range(40), 3, 3, -23) if i < 0 or i % 30 != 7]  # -23 % 30 is -23 in SQL
+    assert good == sorted(want)
+    bad = sorted(r["row"] for r in q["A14b_summary_rejects"](spark, str(tmp_path)).collect())
+    assert bad == ["37", "7", "7", "7"]
