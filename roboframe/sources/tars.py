@@ -18,7 +18,6 @@ from __future__ import annotations
 import bz2
 import fnmatch
 import gzip
-import io
 import json
 import lzma
 import tarfile
@@ -318,6 +317,24 @@ def shard_name(shard) -> str:
     return f"shard_{shard:06d}" if isinstance(shard, int) else str(shard)
 
 
+_BARE = bytearray(tarfile.TarInfo().tobuf())
+_BARE[124:136], _BARE[148:156] = bytes(12), b" " * 8
+_SUM = sum(_BARE)
+
+
+def header(name: str, size: int) -> bytes:
+    """A member's header, as tarfile makes it of a name and a size; short plain names need little of it."""
+    if not name.isascii() or len(name) > 100 or size >= 8**11:
+        info = tarfile.TarInfo(name)
+        info.size = size
+        return info.tobuf()
+    own, long = name.encode(), b"%011o" % size
+    out = bytearray(_BARE)
+    out[: len(own)], out[124:135] = own, long
+    out[148:156] = b"%06o\0 " % (_SUM + sum(own) + sum(long))
+    return bytes(out)
+
+
 class TarWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.path = options["path"].rstrip("/")
@@ -332,10 +349,10 @@ class TarWriter(DataSourceArrowWriter):
         held, own = f"{root}/{TEMPORARY}/{self.job}", uuid.uuid4().hex
         before = read_manifest_file(fs, root)
         done: dict[str, int] = {}
-        name = out = tar = None
+        name, out, at = None, None, 0
 
         def finish() -> None:
-            tar.close()
+            out.write(bytes(-(-(at + 2 * tarfile.BLOCKSIZE) // tarfile.RECORDSIZE) * tarfile.RECORDSIZE - at))
             out.close()
             note(fs, held, [f"{name}.tar"])
             fs.move(f"{held}/{own}-{name}.tar", f"{root}/{name}.tar")
@@ -345,21 +362,23 @@ class TarWriter(DataSourceArrowWriter):
                 if shard is None or key is None:
                     raise ValueError("a sample needs a shard and a key")
                 if (this := shard_name(shard)) != name:
-                    if tar is not None:
+                    if out is not None:
                         finish()
-                    name = this
+                    name, at = this, 0
                     if name in done or name in before:
                         raise ValueError(f"{name} is there, or its samples don't follow one another")
                     done[name] = 0
                     out = fs.open_output_stream(f"{held}/{own}-{name}.tar")
-                    tar = tarfile.open(fileobj=out, mode="w|")
                 for part, raw in sorted(fields or []):
-                    info = tarfile.TarInfo(f"{key}.{part}")
-                    info.size = len(raw or b"")
-                    tar.addfile(info, io.BytesIO(raw or b""))
-                    tar.members = []
+                    raw = raw or b""
+                    head, end = header(f"{key}.{part}", len(raw)), bytes(-len(raw) % tarfile.BLOCKSIZE)
+                    out.write(head + raw + end if len(raw) < BATCH else head)
+                    if len(raw) >= BATCH:
+                        out.write(raw)
+                        out.write(end)
+                    at += len(head) + len(raw) + len(end)
                 done[name] += 1
-        if tar is not None:
+        if out is not None:
             finish()
         return Told(list(done.items()))
 

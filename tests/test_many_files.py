@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from roboframe import registry
+from roboframe.operators import convert
 from roboframe.sources import files, filesets, tars
 
 
@@ -100,3 +101,44 @@ def test_summaries_of_rollouts_with_the_same_number(spark, tmp_path):
     assert good == sorted(want)
     bad = sorted(r["row"] for r in q["A14b_summary_rejects"](spark, str(tmp_path)).collect())
     assert bad == ["37", "7", "7", "7"]
+
+
+def test_jobs_of_a_conversion_are_bounded(spark, tmp_path, monkeypatch):
+    """Neither the jobs nor the files of moments nor the times that frames are read grow with the number of shards."""
+    read, jobs = spark.sparkContext.accumulator(0), []
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = spark.range(2000).selectExpr("CAST(id DIV 10 AS INT) AS episode", "CAST(id AS INT) AS ts", "CAST(id AS INT) AS ordinal", "CAST(id AS DOUBLE) AS x")
+    rows = rows.mapInArrow(seen, rows.schema)
+    monkeypatch.setattr(convert, "LEAST", 5)
+    write = tars.write_tar_shards
+    monkeypatch.setattr(tars, "write_tar_shards", lambda *a, **b: (jobs.append(1), write(*a, **b)))
+    assert convert.convert(rows, f"{tmp_path}/out", 1, 3, 1, 2, per_shard=1) == 0
+    assert len(jobs) == 16 and read.value == 4000
+    assert convert.shards_there(spark, f"{tmp_path}/out").count() == 200
+    assert sum(f.endswith(".parquet") for _, _, names in os.walk(f"{tmp_path}/out/moments") for f in names) < 200
+    n = {r["t"]: r["n"] for r in convert.converted_moments(spark, f"{tmp_path}/out").collect()}
+    assert n == {0: 1600, 1: 1800, 2: 1800, 3: 1600, 4: 1400}
+
+
+def test_headers_are_those_of_tarfile(spark, tmp_path):
+    names = ["a.txt", "x" * 100, "y" * 101, "d/é.json", "", "long/" * 60 + "z", "a/b/"]
+    for name in names:
+        for size in (0, 1, 511, 512, 8**11 - 1, 8**11):
+            info = tarfile.TarInfo(name)
+            info.size = size
+            assert tars.header(name, size) == info.tobuf()
+    rows = [(0, f"k{i}" * (1 + 30 * (i % 2)), {"a": bytes(i), "é": b"x" * 513 * i}) for i in range(30)]
+    tars.write_tar_shards(spark.createDataFrame(rows, "shard int, key string, fields map<string,binary>"), f"{tmp_path}/out")
+    want = io.BytesIO()
+    with tarfile.open(fileobj=want, mode="w|") as tar:
+        for _, key, fields in sorted(rows, key=lambda r: r[1]):
+            for part, raw in sorted(fields.items()):
+                info = tarfile.TarInfo(f"{key}.{part}")
+                info.size = len(raw)
+                tar.addfile(info, io.BytesIO(raw))
+    assert open(f"{tmp_path}/out/shard_000000.tar", "rb").read() == want.getvalue()
