@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -134,41 +134,49 @@ class Rollouts(StatefulProcessor):
     rollout stays final, whatever comes.
     """
 
-    output = "task string, model string, demo_id long, event string, success boolean, duration double, stamp timestamp"
-    columns = [c.split()[0] for c in output.split(", ")]
+    # times as microseconds, rows as they are: a frame for each rollout costs more than all else
+    output = "task string, model string, demo_id long, event string, success boolean, duration double, at long"
+    told = Row(*[c.split()[0] for c in output.split(", ")])
 
     def __init__(self, patience: int):
         self.patience = patience
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rollout = handle.getValueState("rollout", "stamp timestamp, success boolean, pending boolean, duration double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        known = self.rollout.get() if self.rollout.exists() else None
-        frame = pd.concat(list(rows)).sort_values("stamp", kind="stable")
-        told = [] if known is not None else [self._row(key, "open", None, None, frame["stamp"].iloc[0])]
-        for stamp, success, pending, duration in zip(frame["stamp"], frame["success"], frame["pending"], frame["duration"], strict=True):
-            if known is not None and (not known[2] or stamp < known[0]):
+        self.rollout = handle.getValueState("rollout", "at long, success boolean, pending boolean, duration double")
+
+    def _timer(self, at: int) -> int:
+        return at // 1000 + self.patience
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        # each call on state or timers goes to the executor and back, so none is made without need
+        before = known = self.rollout.get()
+        rows, told = sorted(rows, key=lambda r: r["at"]), []
+        if known is None:
+            told.append(self._row(key, "open", None, None, rows[0]["at"]))
+        for r in rows:
+            at, duration = r["at"], r["duration"]
+            if known is not None and (not known[2] or at < known[0]):
                 continue
-            known = (stamp, None if pd.isna(success) else bool(success), bool(pending), None if pd.isna(duration) else float(duration))
+            known = (at, r["success"], bool(r["pending"]), None if duration is None or duration != duration else duration)
             if not known[2]:
-                told.append(self._row(key, "final", known[1], known[3], stamp))
-        self.rollout.update(known)
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(int(pd.Timestamp(known[0]).value // 1_000_000) + self.patience)
-        if told:
-            yield pd.DataFrame(told, columns=self.columns)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        stamp, success, pending, duration = self.rollout.get()
+                told.append(self._row(key, "final", known[1], known[3], at))
+        if before is None or known != tuple(before):
+            self.rollout.update(known)
+        # a rollout has one timer, by its last file
+        if before is None or before[0] != known[0]:
+            if before is not None:
+                self.handle.deleteTimer(self._timer(before[0]))
+            self.handle.registerTimer(self._timer(known[0]))
+        return iter(told)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        at, success, pending, duration = self.rollout.get()
         self.rollout.clear()
-        if pending:
-            yield pd.DataFrame([self._row(key, "lost", success, duration, stamp)], columns=self.columns)
+        return iter([self._row(key, "lost", success, duration, at)] if pending else [])
 
-    def _row(self, key, event, success, duration, stamp) -> tuple:
-        return (*key[:2], int(key[2]), event, success, duration, stamp)
+    def _row(self, key, event, success, duration, at) -> Row:
+        return self.told(*key, event, success, duration, at)
 
     def close(self) -> None:
         pass
@@ -176,11 +184,14 @@ class Rollouts(StatefulProcessor):
 
 def stream_results(rollouts: DataFrame, delay: str = "10 minutes", patience: int = 3_600_000) -> DataFrame:
     """rollouts(task, model, demo_id, success, pending, duration, stamp) as files arrive -> what becomes of each rollout, in
-    append mode; state is bounded by the rollouts of the last `delay` and `patience`."""
-    rows = rollouts.select("task", "model", "demo_id", "success", "pending", "duration", F.col("stamp").cast("timestamp").alias("stamp"))
-    return rows.withWatermark("stamp", delay).groupBy("task", "model", "demo_id").transformWithStateInPandas(
+    append mode; state is bounded by the rollouts of the last `delay` and `patience`. Rows without a stamp are older than all."""
+    stamp = F.col("stamp").cast("timestamp")
+    rows = rollouts.select("task", "model", "demo_id", "success", "pending", F.col("duration").cast("double").alias("duration"), stamp.alias("stamp"))
+    rows = rows.withWatermark("stamp", delay).withColumn("at", F.coalesce(F.unix_micros("stamp"), F.lit(0)))
+    out = rows.groupBy("task", "model", "demo_id").transformWithState(
         Rollouts(patience), outputStructType=Rollouts.output, outputMode="append", timeMode="EventTime"
     )
+    return out.withColumn("stamp", F.timestamp_micros("at")).drop("at")
 
 
 class Moments(StatefulProcessor):

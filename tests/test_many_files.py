@@ -11,6 +11,7 @@ import pytest
 from roboframe import registry
 from roboframe.operators import convert
 from roboframe.sources import files, filesets, tars
+from roboframe.streaming import jobs
 
 
 @pytest.mark.parametrize("rows, parts", [(25, 3), (0, 1)])
@@ -142,3 +143,52 @@ def test_headers_are_those_of_tarfile(spark, tmp_path):
                 info.size = len(raw)
                 tar.addfile(info, io.BytesIO(raw))
     assert open(f"{tmp_path}/out/shard_000000.tar", "rb").read() == want.getvalue()
+
+
+def test_calls_of_a_rollout_on_its_state():
+    """Each call goes to the executor and back: a new rollout makes three, a file that changes nothing one."""
+    from pyspark.sql import Row
+
+    calls, state, timers = [], {}, set()
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return state.get("v")
+
+        def update(self, v):
+            calls.append("update")
+            state["v"] = v
+
+        def clear(self):
+            calls.append("clear")
+            state.clear()
+
+    class Handle:
+        getValueState = lambda self, *_: Value()  # noqa: E731, N815
+
+        def registerTimer(self, t):  # noqa: N802
+            calls.append("register")
+            timers.add(t)
+
+        def deleteTimer(self, t):  # noqa: N802
+            calls.append("delete")
+            timers.remove(t)
+
+    p = jobs.Rollouts(1000)
+    p.init(Handle())
+    one = lambda at, success, pending, duration=None: Row(at=at, success=success, pending=pending, duration=duration)
+
+    def run(*rows):
+        calls.clear()
+        told = [tuple(r) for r in p.handleInputRows(("t", "m", 5), iter(rows), None)]
+        return [(r[3], r[4], r[5], r[6]) for r in told], list(calls)
+
+    assert run(one(2_000_000, None, True)) == ([("open", None, None, 2_000_000)], ["get", "update", "register"])
+    assert run(one(1_000_000, True, False)) == ([], ["get"])  # older than what is known
+    got = run(one(4_000_000, False, False, 9.0), one(3_000_000, True, False, float("nan")))
+    assert got == ([("final", True, None, 3_000_000)], ["get", "update", "delete", "register"])
+    assert timers == {4000} and run(one(5_000_000, False, False)) == ([], ["get"])
+    assert list(p.handleExpiredTimer(("t", "m", 5), None, None)) == [] and not state
+    run(one(6_000_000, None, True))
+    assert [tuple(r) for r in p.handleExpiredTimer(("t", "m", 5), None, None)] == [("t", "m", 5, "lost", None, None, 6_000_000)]
